@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, packing, pii
+from . import bpe, exact_dedup, html_text, langid, packing, pii, secrets
 from ._shared import documents
 
 #: The vocabulary file of the token contracts.
@@ -19,6 +19,10 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(documents(spark, sf_dir))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), vocabulary())
 
@@ -27,6 +31,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(documents(spark, sf_dir))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.dedup(documents(spark, sf_dir))
     return out.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -36,11 +44,28 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary(), SEQUENCE_TOKENS, END_TOKEN)
 
 
+def trained(docs: DataFrame) -> langid.Model:
+    """The language model of the rows that are not held out."""
+    return langid.fit(docs, ~held_out())
+
+
+def held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.identify(docs, trained(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
     "op3_pii": op3_pii,
+    "op5_html": op5_html,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
+    "op10_langid": op10_langid,
 }
 
 ORACLE_SQL = {
