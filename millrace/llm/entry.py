@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, html_text, langid, packing, pii, secrets
+from . import bpe, exact_dedup, html_text, langid, ngram_join, packing, pii, secrets
 from ._shared import documents
 
 #: The vocabulary file of the token contracts.
@@ -35,6 +35,10 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.dedup(documents(spark, sf_dir))
     return out.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -63,6 +67,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_pii": op3_pii,
     "op5_html": op5_html,
+    "op6_ngram_join": op6_ngram_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
     "op10_langid": op10_langid,
