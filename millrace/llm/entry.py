@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, html_text, langid, ngram_join, packing, pii, secrets
+from . import bpe, embedding_dedup, exact_dedup, html_text, langid, ngram_join, packing, pii, secrets
 from ._shared import documents
 
 #: The vocabulary file of the token contracts.
@@ -39,6 +39,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.dedup(documents(spark, sf_dir))
     return out.select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -68,6 +72,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op5_html": op5_html,
     "op6_ngram_join": op6_ngram_join,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
     "op10_langid": op10_langid,
