@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, html_text, langid, ngram_join, packing, pii, secrets
+from . import bpe, embedding_dedup, exact_dedup, html_text, langid, ngram_join, packing, pii, secrets, substring_dedup
 from ._shared import documents
 
 #: The vocabulary file of the token contracts.
@@ -31,6 +31,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(documents(spark, sf_dir))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
     "op3_pii": op3_pii,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_html": op5_html,
     "op6_ngram_join": op6_ngram_join,
     "op7_embedding_dedup": op7_embedding_dedup,
