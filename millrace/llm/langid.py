@@ -252,7 +252,7 @@ def label_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows that have no language; ``label_col`` becomes the predicted one."""
+    """``docs`` without the rows that have no language; a missing label becomes the predicted one."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -261,7 +261,8 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", label
         for batch in slices(batches, text_col, 8 << 20):
             lang, _ = _predict(labeller, batch.column(text_col).to_pylist())
             at = batch.schema.get_field_index(label_col)
-            batch = batch.set_column(at, batch.schema.field(at), pa.array(lang, batch.schema.field(at).type))
+            field = batch.schema.field(at)
+            batch = batch.set_column(at, field, pa.array([p if own is None else own for p, own in zip(lang, batch.column(at).to_pylist(), strict=True)], field.type))
             yield batch.filter(pa.array([x != UND for x in lang], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
