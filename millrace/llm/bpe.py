@@ -97,7 +97,13 @@ class TrieEncoder:
             pair = self.id_of[left], self.id_of[right]
             self.merged[pair] = token
             self.rank[token], self.parts[token] = rank, pair
-        self.longest = max(map(len, self.id_of))
+        #: by their last three bytes, the lengths of the tokens that can end there, longest first
+        self.sizes: dict[bytes, tuple[int, ...]] = {}
+        by_tail: dict[bytes, set[int]] = {}
+        for piece in self.id_of:
+            if len(piece) > 2:
+                by_tail.setdefault(piece[-3:], set()).add(len(piece))
+        self._by_tail = by_tail
         self.pattern = _word_pattern()
         self.run_pattern = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -137,6 +143,11 @@ class TrieEncoder:
                 before = rank[right] + 1  # a merge of the same rank starting further left wins
                 right = parts[right][0]
 
+    def _sizes_of(self, tail: bytes) -> tuple[int, ...]:
+        own = set(self._by_tail.get(tail, ())) | {k for k in (1, 2) if tail[-k:] in self.id_of and len(tail) >= k}
+        out = self.sizes[tail] = tuple(sorted(own, reverse=True))
+        return out
+
     # -- the trie ------------------------------------------------------------------
     def _learn(self, words: set[str]) -> None:
         """Walk the trie of the words depth first and keep each word's ids.
@@ -145,7 +156,8 @@ class TrieEncoder:
         that a word shares with the one before it is the path from the root that both share, and
         the last tokens along that path stand in ``last`` already.
         """
-        get, border, known, whole, longest, cache = self.id_of.get, self._border_holds, self._stable, self.whole, self.longest, self.cache
+        get, border, known, whole, cache = self.id_of.get, self._border_holds, self._stable, self.whole, self.cache
+        sizes, sizes_of = self.sizes.get, self._sizes_of
         if len(known) > 400_000:
             known.clear()
         last: list[int] = [_NONE]  # by depth: the last token of that prefix, and where it starts
@@ -162,7 +174,11 @@ class TrieEncoder:
             del last[shared + 1 :], since[shared + 1 :]
             path = word
             for end in range(shared + 1, size + 1):
-                for start in range(end - longest if end > longest else 0, end):
+                tail = word[end - 3 : end] if end > 2 else word[:end]
+                for length in sizes(tail) or sizes_of(tail):
+                    start = end - length
+                    if start < 0:
+                        continue
                     token = get(word[start:end])
                     if token is not None:
                         if start:
