@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from millrace.plans import rule_queries, search_queries
+
+QUERIES = search_queries.QUERIES | rule_queries.QUERIES
+ORACLE_SQL = search_queries.SQL | rule_queries.SQL
