@@ -2,16 +2,46 @@
 
 Each round is a few equi-joins and minimum aggregations; no node's neighbours
 ever meet in one place.  Rounds end when the edges are stars around the smallest
-node of each component and no longer change.  Every round's edges are written to
-the shared folder, which also cuts the lineage.
+node of each component and no longer change, or when at most ``LOCAL_EDGES`` are
+left, a number that one task settles at once.  Every round's edges are written
+to the shared folder, which also cuts the lineage.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._shared import materialize
 
+#: Edges that one task may hold (some 16 MB); more go through rounds of stars.
+LOCAL_EDGES = 500_000
+
+
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges, ascending, and the least node that each can reach."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    parent = list(range(len(nodes)))
+    for x, y in ends.reshape(2, -1).T.tolist():
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    for x in range(len(parent)):  # a parent is smaller, so it is settled already
+        parent[x] = parent[parent[x]]
+    return nodes, nodes[parent] if len(nodes) else nodes
+
+
+def _settle(batches):
+    parts = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if parts:
+        nodes, least = least_reachable(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        moved = nodes != least
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(least[moved])], ["a", "b"])
+
 
 def _mark(edges: DataFrame) -> tuple:
     """A digest of the edge set, whose rows are distinct."""
@@ -39,6 +69,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
+        if mark[0] <= LOCAL_EDGES:
+            now = materialize(now.coalesce(1).mapInArrow(_settle, "a long, b long"), "components")
+            break
         now = materialize(_small_star(_large_star(now)), "edges")
         before, mark = mark, _mark(now)
         if mark == before:
