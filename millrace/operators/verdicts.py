@@ -113,3 +113,47 @@ def accepted_digest(references: DataFrame, names: list[str], limit: int = 1200)
     block = F.concat(F.lit("--- ACCEPTED: "), F.col("name"), F.lit(" (category="), T.toml_category(F.coalesce("toml", F.lit(""))), F.lit(") ---\n"), F.left(F.trim(F.coalesce("instruction", F.lit(""))), F.lit(limit)), F.lit("\n"))
     listed = F.array_sort(F.collect_list(F.when(order > 0, F.struct(order.alias("o"), block.alias("b")))))
     return F.when(F.size(listed) > 0, F.array_join(F.transform(listed, lambda x: x["b"]), "\n")).otherwise("[No accepted reference tasks loaded]")
+
+
+#: The yes-or-no findings that an answer may carry.
+FLAGS = ["hardcoded_solution", "instruction_leaks_rules", "unused_hash_checks", "bypass_possible", "copy_paste_risk", "too_similar_to_existing"]
+
+
+def flags(answers: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Add ``flags``: the names whose value in ``answer`` is exactly true, in the order given."""
+    value = lambda n: F.try_variant_get("answer", f"$.{n}", "variant")
+    found = [F.when((F.schema_of_variant(value(n)) == "BOOLEAN") & F.try_variant_get("answer", f"$.{n}", "boolean"), F.lit(n)) for n in names or FLAGS]
+    return answers.withColumn("flags", F.filter(F.array(*found), lambda x: x.isNotNull()))
+
+
+def comparisons(answers: DataFrame) -> DataFrame:
+    """Unnest ``answer.reference_comparisons``: per object its reference, the three scores or their defaults, and the first two issues joined."""
+    each = answers.select("*", F.posexplode(F.expr("try_variant_get(answer, '$.reference_comparisons', 'array<variant>')")).alias("pos", "one")).where(F.schema_of_variant("one").startswith("OBJECT"))
+    get = lambda path, default: F.coalesce(F.try_variant_get("one", path, "string"), F.lit(default))
+    issues = F.array_join(F.slice(F.try_variant_get("one", "$.issues", "array<string>"), 1, 2), "; ")
+    return each.select(
+        *(c for c in answers.columns if c != "answer"), "pos",
+        get("$.reference_task", "").alias("reference"), get("$.structural_alignment", "—").alias("structure"), get("$.differentiation_score", "—").alias("differentiation"), get("$.too_similar", "false").alias("too_similar"),
+        F.coalesce(issues, F.lit("")).alias("issues"),
+    )
+
+
+def reference_patterns(references: DataFrame) -> DataFrame:
+    """``name, line``: how many hash-locked fields and test classes an accepted reference has, and whether hashes are asserted."""
+    count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("string")
+    asserted = F.when(F.coalesce("hashes_asserted", F.lit(False)), "True").otherwise("False")
+    line = F.concat(F.lit("  "), F.col("name"), F.lit(": "), count("expected_field_hash_keys"), F.lit(" hash-locked fields, "), count("test_classes"), F.lit(" test classes, hashes_asserted="), asserted)
+    return references.select("name", line.alias("line"))
+
+
+def reference_list(references: DataFrame, names: list[str]) -> Column:
+    """All accepted instructions (an aggregate over ``name, instruction, toml``): the named ones numbered in order, then the others by name."""
+    place = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("name"))
+    known = F.coalesce("instruction", F.lit("")) != ""
+    rows = F.array_sort(F.collect_list(F.when(known, F.struct(F.when(place > 0, place).otherwise(1 << 30).alias("o"), F.col("name").alias("n"), F.col("instruction").alias("i"), T.toml_category(F.coalesce("toml", F.lit(""))).alias("c")))))
+
+    def block(r: Column, at: Column) -> Column:
+        named = F.concat(F.lit(" "), (at + 1).cast("string"), F.lit(f"/{len(names)}: "), r["n"], F.lit(" (category="), r["c"], F.lit(")"))
+        return F.concat(F.lit("--- ACCEPTED REFERENCE"), F.when(r["o"] < 1 << 30, named).otherwise(F.concat(F.lit(": "), r["n"])), F.lit(" ---\n"), r["i"], F.lit("\n"))
+
+    return F.when(F.size(rows) > 0, F.array_join(F.transform(rows, block), "\n")).otherwise("[No accepted references available]")

@@ -84,6 +84,11 @@ TABLES = {
     "models": ("model string", [("openai/gpt-5-mini",), ("O3",), ("gpt-4o",), ("x/y/o4-mini",), ("claude",)]),
     "accepted": ("name string, instruction string, toml string", [("t2", " do two ", 'category = "web"'), ("t1", "do one", "category='x'"), ("t9", "other", ""), ("t3", None, None)]),
 }
+ANSWERS = [
+    ("b1", "accepted_pattern", '{"verdict": "PASS", "copy_paste_risk": true, "bypass_possible": "true", "hardcoded_solution": false, "reference_comparisons": [{"reference_task": "t1", "structural_alignment": 7, "too_similar": true, "issues": ["a", "b", "c"]}, "no object", {"reference_task": "t2"}]}'),
+    ("b2", "accepted_pattern", '{"verdict": "PASS", "too_similar_to_existing": true, "instruction_leaks_rules": true}'),
+]
+TABLES["answers"] = ("bundle_id string, check_key string, raw string", ANSWERS)
 ACCEPTED_NAMES = ["t1", "t2", "t3", "t4"]
 
 

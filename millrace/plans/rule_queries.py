@@ -206,6 +206,28 @@ def accepted_digest(spark, d):
     return fixtures.frame(spark, "accepted").agg(verdicts.accepted_digest(fixtures.frame(spark, "accepted"), fixtures.ACCEPTED_NAMES).alias("digest"))
 
 
+@query(f"""SELECT string_agg('--- ACCEPTED REFERENCE' || CASE WHEN name = 't9' THEN ': ' || name ELSE ' ' || o || '/4: ' || name || ' (category=' || regexp_extract(coalesce(toml, ''), 'category\\s*=\\s*"([^"]+)"', 1) || ')' END || ' ---' || chr(10) || instruction || chr(10), chr(10) ORDER BY o, name) AS listed
+    FROM (SELECT *, CASE name WHEN 't1' THEN 1 WHEN 't2' THEN 2 ELSE 9 END AS o FROM {fixtures.sql('accepted')} WHERE coalesce(instruction, '') <> '')""")
+def accepted_list(spark, d):
+    rows = fixtures.frame(spark, "accepted")
+    return rows.agg(verdicts.reference_list(rows, fixtures.ACCEPTED_NAMES).alias("listed"))
+
+
+_FLAGGED = ", ".join(f"CASE WHEN json_type(raw, '$.{n}') = 'BOOLEAN' AND raw->>'$.{n}' = 'true' THEN '{n}' END" for n in verdicts.FLAGS)
+
+
+@query(f"SELECT bundle_id, array_to_string(list_filter([{_FLAGGED}], lambda x: x IS NOT NULL), ',') AS flags FROM {fixtures.sql('answers')}")
+def llm_flags(spark, d):
+    return verdicts.flags(verdicts.parsed(fixtures.frame(spark, "answers"))).select("bundle_id", F.array_join("flags", ",").alias("flags"))
+
+
+@query(f"""WITH r AS (SELECT bundle_id, CAST(pos AS INTEGER) AS pos, json_extract(raw, '$.reference_comparisons[' || pos || ']') AS j FROM (SELECT *, unnest(range(CAST(json_array_length(raw, '$.reference_comparisons') AS BIGINT))) AS pos FROM {fixtures.sql('answers')}))
+    SELECT bundle_id, pos, coalesce(j->>'$.reference_task', '') AS reference, coalesce(j->>'$.structural_alignment', '—') AS structure, coalesce(j->>'$.differentiation_score', '—') AS differentiation, coalesce(j->>'$.too_similar', 'false') AS too_similar,
+    coalesce(array_to_string(CAST(json_extract(j, '$.issues') AS VARCHAR[])[1:2], '; '), '') AS issues FROM r WHERE json_type(j) = 'OBJECT'""")
+def llm_comparisons(spark, d):
+    return verdicts.comparisons(verdicts.parsed(fixtures.frame(spark, "answers")).select("bundle_id", "answer"))
+
+
 _BOOL = "(VALUES (true), (false))"
 
 
