@@ -23,11 +23,18 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ._shared import digest, materialize, scratch, text_or_empty
 
-#: Fixed settings of the state: on disk, with a bound on native memory per executor.
+#: Fixed settings of the state: on disk, with a bound on native memory per executor; stores of ended queries are let go soon.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.rocksdb.maxWriteBufferNumber": "2",
+    "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "2",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "15s",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.metricsEnabled": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
@@ -45,13 +52,16 @@ def _settings(spark: SparkSession, wanted: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _retained(rows: DataFrame) -> DataFrame:
-    """``_digest, _keeper struct<_id, _row, _file>, _size`` of every digest, through the stream's state."""
+def _retained(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows as written, and ``_digest, _keeper struct<_id, _row, _file>, _size`` of every digest through the stream's state."""
     spark = rows.sparkSession
     place = f"{scratch(spark)}/millrace/state-{uuid.uuid4().hex}"
     source = f"{place}/digests"
-    rows.select("_digest", "_id", "_row", "_file").write.parquet(source)
-    stream = spark.readStream.schema("_digest binary, _id " + dict(rows.dtypes)["_id"] + ", _row long, _file string").parquet(source)
+    rows.write.parquet(source)
+    kept = spark.read.schema(rows.schema).parquet(source)
+    if kept.isEmpty():
+        return kept, kept.groupBy("_digest").agg(F.max(F.struct("_id", "_row", "_file")).alias("_keeper"), F.count(F.lit(1)).alias("_size"))
+    stream = spark.readStream.schema(rows.schema).parquet(source)
     state = stream.groupBy("_digest").agg(F.max(F.struct("_id", "_row", "_file")).alias("_keeper"), F.count(F.lit(1)).alias("_size"))
 
     def keep(batch: DataFrame, epoch: int) -> None:
@@ -62,42 +72,41 @@ def _retained(rows: DataFrame) -> DataFrame:
         query.awaitTermination()
     out = spark.read.schema(state.schema).parquet(f"{place}/out")
     # a digest is told again in each later batch that adds to it; both columns only grow
-    return out.groupBy("_digest").agg(F.max("_keeper").alias("_keeper"), F.max("_size").alias("_size"))
+    return kept, materialize(out.groupBy("_digest").agg(F.max("_keeper").alias("_keeper"), F.max("_size").alias("_size")), "state")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` as struct ``row`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256`` beside it."""
-    spark = docs.sparkSession
+    """``id_col, keep_id, group_size, kept, text_sha256`` of every row, dropped ones too."""
     text = text_or_empty(text_col)
-    rows = materialize(
-        docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.unhex(digest(text)).alias("_digest"), F.monotonically_increasing_id().alias("_row"), F.input_file_name().alias("_file")),
-        "rows",
+    binary = F.unhex(digest(text))
+    rows, state = _retained(docs.select(binary.alias("_digest"), F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.input_file_name().alias("_file")))
+    # the full bytes of every hit against those of the row that stays; only hits are kept from the one pass over the texts
+    hits = materialize(
+        docs.select(binary.alias("_digest"), F.col(id_col).alias("_id"), text.alias("_text")).join(state.where("_size > 1").select("_digest", "_keeper"), "_digest"),
+        "hits",
     )
-    if rows.isEmpty():
-        state = spark.createDataFrame([], f"_digest binary, _keeper struct<_id: {dict(rows.dtypes)['_id']}, _row: long, _file: string>, _size long")
-    else:
-        state = materialize(_retained(rows), "state")
-    hits = state.where("_size > 1")
-    # full bytes of every hit against those of the row that stays, found by its locator
-    body = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
-    keepers = rows.join(hits.select(F.col("_keeper._row").alias("_row")), "_row", "left_semi").select("_digest", body.alias("_kept_text"))
-    wrong = rows.select("_digest", body.alias("_text")).join(keepers, "_digest").where("_text != _kept_text").select("_digest").distinct()
-    wrong = materialize(wrong, "collisions")
-    result = rows.join(state, "_digest")
+    # written on their own, so that a hot digest's hits meet their one keeper in a join that Spark may split
+    keepers = hits.where(F.col("_id").eqNullSafe(F.col("_keeper._id"))).select("_digest", F.col("_text").alias("_kept_text"))
+    keepers = materialize(keepers.dropDuplicates(["_digest"]), "keepers")
+    wrong = materialize(hits.join(keepers, "_digest").where("_text != _kept_text").select("_digest"), "collisions").distinct()
+    result = rows.join(state, "_digest").select("_digest", "_id", F.col("_keeper._id").alias("_keep"), "_size", (F.col("_row") == F.col("_keeper._row")).alias("_kept"))
     if not wrong.isEmpty():  # two texts under one digest: their rows are grouped by the text itself
-        odd = rows.join(wrong, "_digest", "left_semi").withColumn("_text", body)
         by_text = Window.partitionBy("_digest", "_text")
-        odd = odd.withColumn("_keeper", F.max(F.struct("_id", "_row", "_file")).over(by_text)).withColumn("_size", F.count(F.lit(1)).over(by_text)).drop("_text")
+        odd = hits.join(wrong, "_digest", "left_semi").select(
+            "_digest", "_id", F.max("_id").over(by_text).alias("_keep"), F.count(F.lit(1)).over(by_text).alias("_size"), (F.row_number().over(by_text.orderBy(F.desc("_id"))) == 1).alias("_kept")
+        )
         result = result.join(wrong, "_digest", "left_anti").unionByName(odd)
-    return result.select(
-        "row",
-        F.col("_keeper._id").alias("keep_id"),
-        F.col("_size").alias("group_size"),
-        (F.col("_row") == F.col("_keeper._row")).alias("kept"),
-        F.lower(F.hex("_digest")).alias("text_sha256"),
-    )
+    return result.select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_kept").alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts."""
-    return dedup(docs, id_col, text_col).where("kept").select("row.*")
+    told = dedup(docs, id_col, text_col)
+    stay = told.groupBy("text_sha256", id_col).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).where("_kept")
+    stay = stay.select(F.col("text_sha256").alias("_sha"), F.col(id_col).alias("_stay"), "_rows")
+    names = [F.col(f"_doc.`{c}`").alias(c) for c in docs.columns]
+    rows = docs.select(F.struct("*").alias("_doc"), digest(text_or_empty(text_col)).alias("_sha"))
+    rows = rows.join(stay, (rows["_sha"] == stay["_sha"]) & F.col(f"_doc.`{id_col}`").eqNullSafe(F.col("_stay"))).select("_doc", stay["_sha"].alias("_sha"), "_stay", "_rows")
+    # rows that repeat the one that stays, identifier and all, leave one
+    single, repeated = rows.where("_rows = 1"), rows.where("_rows > 1").dropDuplicates(["_sha", "_stay"])
+    return single.unionByName(repeated).select(*names)
