@@ -32,16 +32,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import WORD_PATTERN, materialize, release, ship
+from ._shared import WORD_PATTERN, discard, materialize, release, ship
 from .bpe import slices
 from .fm_index import FMIndex
-from .words import gram_hashes, word_hashes
+from .words import gram_hashes, mix, word_hashes
 
 WINDOW = 13
 #: Words in the grams that minimizers are taken from.
-GRAM = 5
+GRAM = 6
 #: Different segments of one minimizer beyond which it is dealt by window.
 HOT = 2000
+#: Hot minimizers that are broadcast (8 bytes each); there is one per ``HOT`` segments at most, and more are joined.
+HOT_BROADCAST = 200_000
 #: Words that one shard indexes, about.
 SHARD = 400_000
 #: Symbols of the index's table of short patterns.
@@ -79,7 +81,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(map(len, words), pa.int64(), size=len(words)), pa.array([_sha(w) for w in words], pa.string())], ["id", "text_key", "n_words", "whole"])
 
     full = rows.mapInArrow(whole, "id long, text_key long, n_words long, whole string")
-    out = full.join(removed, ["id", "text_key"], "left")
+    out = full.join(removed.hint("shuffle_hash"), ["id", "text_key"], "left")
     release(spark)
     return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
 
@@ -88,6 +90,34 @@ def _sha(words: list[str]) -> str:
     return hashlib.sha256(" ".join(words).encode()).hexdigest()
 
 
+def _segments(batch: pa.RecordBatch, window: int):
+    """The batch's segments with an asked-for minimizer: their rows, first words, windows, minimizers, keys and words' low 32 bits."""
+    words, row, _, _ = word_hashes(batch.column("text"))
+    places, least = window_minimizers(words, row, batch.num_rows, window)
+    if not len(places):
+        return None
+    own = row[places]
+    new = np.concatenate(([True], (least[1:] != least[:-1]) | (own[1:] != own[:-1])))
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.concatenate((starts, [len(places)])))
+    hit = np.zeros(len(starts), bool)
+    first = np.searchsorted(own[starts], np.arange(batch.num_rows + 1))
+    asked = batch.column("minis")
+    for i in range(batch.num_rows):
+        a, b = first[i], first[i + 1]
+        hit[a:b] = np.isin(least[starts[a:b]], asked[i].values.to_numpy())
+    if not hit.any():
+        return None
+    # a segment's key: its windows' hashes with their places in it
+    grams = gram_hashes(words, window)[places]
+    with np.errstate(over="ignore"):
+        keys = mix(np.add.reduceat(mix(grams + (np.arange(len(places)) - np.repeat(starts, sizes)).astype(np.uint64)), starts))
+    base = np.searchsorted(row, np.arange(batch.num_rows))
+    starts, sizes, keys = starts[hit], sizes[hit], keys[hit]
+    begin = places[starts]
+    return own[starts], (begin - base[own[starts]]).astype(np.int32), begin, sizes, least[starts], keys.view(np.int64), words.astype(np.uint32)
+
+
 def _removed(rows: DataFrame, window: int) -> DataFrame:
     """``id, text_key, n_removed, kept`` of the rows that lose words."""
     spark = rows.sparkSession
@@ -106,53 +136,33 @@ def _removed(rows: DataFrame, window: int) -> DataFrame:
     minis = rows.where("id is not null and text is not null").select("id", "text").mapInArrow(minimize, "mini long, id long")
     shared = materialize(minis.groupBy("mini").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("mini"), "minis")
     release(spark)
-    wanted = materialize(minis.join(shared, "mini").groupBy("id").agg(F.collect_set("mini").alias("minis")), "wanted")
+    wanted = materialize(minis.join(shared.hint("shuffle_hash"), "mini").groupBy("id").agg(F.collect_set("mini").alias("minis")), "wanted")
     release(spark)
-    found = materialize(rows.join(wanted, "id"), "candidates")  # the only shuffle of whole texts
+    discard(shared)
+    found = materialize(rows.join(wanted.hint("shuffle_hash"), "id"), "candidates")  # the only shuffle of all texts
     release(spark)
 
-    def cut(batches):
+    def told(batches):
         for batch in slices(batches, "text", 2 << 20):
-            words, row, _, _ = word_hashes(batch.column("text"))
-            places, least = window_minimizers(words, row, batch.num_rows, window)
-            if not len(places):
+            if (own := _segments(batch, window)) is None:
                 continue
-            own = row[places]
-            asked = batch.column("minis")
-            hit = np.zeros(len(places), bool)
-            first = np.searchsorted(own, np.arange(batch.num_rows + 1))
-            for i in range(batch.num_rows):
-                a, b = first[i], first[i + 1]
-                hit[a:b] = np.isin(least[a:b], asked[i].values.to_numpy())
-            new = np.concatenate(([True], (least[1:] != least[:-1]) | (own[1:] != own[:-1]))) & hit
-            starts = np.flatnonzero(new)
-            if not len(starts):
-                continue
-            change = np.flatnonzero(np.concatenate((((least[1:] != least[:-1]) | (own[1:] != own[:-1])), [True])))
-            ends = change[np.searchsorted(change, starts)]  # the last window of each run
-            begin, stop = places[starts], places[ends] + window
-            data = [words[a:b].tobytes() for a, b in zip(begin, stop, strict=True)]
-            base = np.searchsorted(row, np.arange(batch.num_rows))
-            take = pa.array(own[starts])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(take), batch.column("text_key").take(take), pa.array((begin - base[own[starts]]).astype(np.int32)), pa.array(least[starts]), pa.array(data, pa.binary())],
-                ["id", "text_key", "start", "mini", "words"],
-            )
-
-    runs = materialize(found.select("id", "text_key", "text", "minis").mapInArrow(cut, "id long, text_key long, start int, mini long, words binary"), "segments")
-    segments = materialize(runs.groupBy("mini", "words").agg(F.min("id").alias("first")), "distinct")
-    hot = segments.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("mini")
-    width = 8 * window
-    each = F.posexplode(F.transform(F.sequence(F.lit(0), (F.octet_length("words") / 8).cast("int") - window), lambda i: F.substring(F.col("words"), 8 * i + 1, F.lit(width)))).alias("step", "piece")
-    split = segments.join(hot, "mini", "left_semi").select("first", each).groupBy("piece").agg(F.min("first").alias("first"))
-    pieces = segments.join(hot, "mini", "left_anti").select("mini", F.col("words").alias("piece"), "first").unionByName(split.select(F.xxhash64("piece").alias("mini"), "piece", "first"))
-    pieces = materialize(pieces, "pieces")
+            row, _, begin, sizes, least, keys, low = own
+            data = [low[a : a + n + window - 1].tobytes() for a, n in zip(begin, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(least), pa.array(keys), pa.array(data, pa.binary())], ["id", "mini", "key", "words"])
+
+    segments = found.select("id", "text", "minis").mapInArrow(told, "id long, mini long, key long, words binary")
+    segments = materialize(segments.groupBy("mini", "key").agg(F.min("id").alias("first"), F.first("words").alias("words")), "segments")
     release(spark)
-    total = pieces.agg(F.coalesce(F.sum(F.octet_length("piece") / 8), F.lit(0))).first()[0]
+    hot = materialize(segments.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("mini"), "hot")
+    width = 4 * window
+    each = F.posexplode(F.transform(F.sequence(F.lit(0), (F.octet_length("words") / 4).cast("int") - window), lambda i: F.substring(F.col("words"), 4 * i + 1, F.lit(width)))).alias("step", "words")
+    split = segments.join(hot, "mini", "left_semi").select("first", each).groupBy("words").agg(F.min("first").alias("first"))
+    pieces = segments.join(hot, "mini", "left_anti").select("mini", "key", "words", "first").unionByName(split.select(F.xxhash64("words").alias("mini"), F.lit(0).cast("long").alias("key"), "words", "first"))
+    total = pieces.agg(F.coalesce(F.sum(F.octet_length("words") / 4), F.lit(0))).first()[0]
     shards = max(1, -(-int(total) // SHARD))
 
     def match(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("piece")]
+        parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("words")]
         sizes = np.array([len(x) for x in parts])
         ends = np.cumsum(sizes + 1)
         starts = ends - sizes - 1
@@ -165,17 +175,49 @@ def _removed(rows: DataFrame, window: int) -> DataFrame:
         places = np.repeat(starts - (np.cumsum(asked) - asked), asked) + np.arange(int(asked.sum()))
         least = index.least_owner(*index.search(places, window))
         cuts = np.concatenate(([0], np.cumsum(asked))).astype(np.int32)
-        return pa.table([table.column("piece").combine_chunks(), pa.ListArray.from_arrays(pa.array(cuts), pa.array(least))], ["piece", "firsts"])
+        return pa.table([table.column("mini").combine_chunks(), table.column("key").combine_chunks(), pa.ListArray.from_arrays(pa.array(cuts), pa.array(least))], ["mini", "key", "firsts"])
 
-    matched = pieces.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards))).select("shard", "piece", "first").groupBy("shard").applyInArrow(match, "piece binary, firsts array<long>")
-    matched = materialize(matched.groupBy("piece").agg(F.min("firsts").alias("firsts")), "matched")
+    matched = pieces.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards))).groupBy("shard").applyInArrow(match, "mini long, key long, firsts array<long>")
+    matched = materialize(matched, "matched")
+    release(spark)
+    discard(segments)
+
+    # where each segment stands; those of a hot minimizer bring their words, to be told window by window
+    asked = found.select("id", "text_key", "text", "minis")
+    many = hot.count()
+    shared_hot = spark.sparkContext.broadcast(np.sort([r["mini"] for r in hot.collect()]).astype(np.int64) if many <= HOT_BROADCAST else None)
+    if many <= HOT_BROADCAST:
+        asked = asked.withColumn("hot", F.lit(None).cast("array<long>"))
+    else:
+        by_id = wanted.select("id", F.explode("minis").alias("mini")).join(hot, "mini").groupBy("id").agg(F.collect_set("mini").alias("hot"))
+        asked = asked.join(by_id.hint("shuffle_hash"), "id", "left")
+
+    def place(batches):
+        everywhere = shared_hot.value
+        for batch in slices(batches, "text", 2 << 20):
+            if (own := _segments(batch, window)) is None:
+                continue
+            row, start, begin, sizes, least, keys, low = own
+            if everywhere is not None:
+                busy = np.isin(least, everywhere)
+            else:
+                by_row = [set(x or ()) for x in batch.column("hot").to_pylist()]
+                busy = np.array([m in by_row[r] for r, m in zip(row.tolist(), least.tolist(), strict=True)], bool)
+            data = [low[a : a + n + window - 1].tobytes() if x else None for x, a, n in zip(busy.tolist(), begin, sizes, strict=True)]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("text_key").take(take), pa.array(start), pa.array(least), pa.array(keys), pa.array(data, pa.binary())], ["id", "text_key", "start", "mini", "key", "words"])
+
+    runs = asked.mapInArrow(place, "id long, text_key long, start int, mini long, key long, words binary")
+    whole = F.array(F.struct(F.col("start").alias("start"), F.col("mini").alias("mini"), F.col("key").alias("key")))
+    last = (F.octet_length("words") / 4).cast("int") - window
+    by_window = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((F.col("start") + i).alias("start"), F.xxhash64(F.substring(F.col("words"), 4 * i + 1, F.lit(width))).alias("mini"), F.lit(0).cast("long").alias("key")))
+    stands = runs.select("id", "text_key", F.explode(F.when(F.col("words").isNull(), whole).otherwise(by_window)).alias("x")).select("id", "text_key", "x.*")
+    stands = stands.join(matched.hint("shuffle_hash"), ["mini", "key"])
+    # which windows of the segment start in an earlier document
+    gone = stands.select("id", "text_key", F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("id"), F.col("start") + i)), lambda x: x.isNotNull()).alias("at")).where(F.size("at") > 0)
+    gone = materialize(gone.groupBy("id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")), "gone")
     release(spark)
-    plain = runs.join(hot, "mini", "left_anti").select("id", "text_key", "start", F.col("words").alias("piece"))
-    by_window = runs.join(hot, "mini", "left_semi").select("id", "text_key", "start", each).select("id", "text_key", (F.col("start") + F.col("step")).alias("start"), "piece")
-    told = plain.unionByName(by_window).join(matched, "piece")
-    # which windows of the run start in an earlier document
-    told = told.select("id", "text_key", F.explode(F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("id"), F.col("start") + i)), lambda x: x.isNotNull())).alias("at"))
-    gone = told.groupBy("id", "text_key").agg(F.collect_set("at").alias("at"))
+    discard(matched, wanted)
 
     def strip(batches):
         for batch in slices(batches, "text"):
@@ -191,5 +233,7 @@ def _removed(rows: DataFrame, window: int) -> DataFrame:
                 kept.append(_sha([w for w, c in zip(words, covered.tolist(), strict=True) if not c]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(many, pa.int64()), pa.array(kept, pa.string())], ["id", "text_key", "n_removed", "kept"])
 
-    texts = found.select("id", "text_key", "text").dropDuplicates(["id", "text_key"])
-    return materialize(texts.join(gone, ["id", "text_key"]).mapInArrow(strip, "id long, text_key long, n_removed long, kept string"), "removed")
+    out = found.select("id", "text_key", "text").join(gone.hint("shuffle_hash"), ["id", "text_key"]).mapInArrow(strip, "id long, text_key long, n_removed long, kept string")
+    out = materialize(out.dropDuplicates(["id", "text_key"]), "removed")
+    discard(found, gone)
+    return out

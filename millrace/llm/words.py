@@ -77,5 +77,6 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         total = np.zeros(size, _U)
         for k in range(n):
-            total = total * _U(_BASE) + mix(words[k : k + size] + _U(k + 1))
+            total *= _U(_BASE)
+            total += words[k : k + size]  # words are scrambled already
         return mix(total)

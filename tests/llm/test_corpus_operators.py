@@ -118,9 +118,9 @@ def brute_removed(texts, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [substring_dedup.HOT, 2])
-def test_substrings(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "HOT", hot), monkeypatch.setattr(substring_dedup, "SHARD", 500)
+@pytest.mark.parametrize("hot, most", [(substring_dedup.HOT, 10), (2, 10_000), (2, 0)])
+def test_substrings(spark, monkeypatch, hot, most):
+    monkeypatch.setattr(substring_dedup, "HOT", hot), monkeypatch.setattr(substring_dedup, "SHARD", 500), monkeypatch.setattr(substring_dedup, "HOT_BROADCAST", most)
     texts = made(4, words=12) + ["r " * 40, "r " * 30]
     got = substring_dedup.remove_repeats(clashing(spark, texts)).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute_removed(dict(enumerate(texts)), 13) and len(got) == len(texts)
@@ -297,3 +297,21 @@ def test_stages_keep_columns_and_stand_edges(spark):
     assert empty.count() == 0
 
 
+
+
+# -- very long texts -------------------------------------------------------------------
+def test_very_long_texts(spark):
+    """A text of a megabyte, one without any white space, and a copy of a part of the first."""
+    rnd = random.Random(9)
+    words = [f"w{rnd.randrange(50_000)}" for _ in range(150_000)]
+    texts = [" ".join(words), "x" * 400_000, " ".join(words[1000:1100]), "a@b.co " * 20_000]
+    docs = table(spark, texts)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == brute_removed(dict(enumerate(texts)), 13) and got[2][1] == 100
+    sets = {r["doc_id"]: r["n_shingles"] for r in ngram_join.join(docs).collect()}
+    assert sets[0] == len(set(zip(words, words[1:], words[2:]))) and sets[1] == 1 and sets[3] == 1
+    assert all(r["kept"] for r in exact_dedup.dedup(docs).collect())
+    assert {r["doc_id"]: r["n_email"] for r in pii.digests(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 20_000}
+    check_packing(entry.packing.pack_documents(docs, entry.vocabulary()).collect(), {i: texts[i] for i in range(4)}, 1024, tokenizer)
+    assert {r["doc_id"]: (r["n_assign"], r["n_hex"]) for r in entry.secrets.digests(docs).collect()} == {i: (0, 0) for i in range(4)}
