@@ -81,7 +81,7 @@ TABLES = {
     "corpus": ("key string, text string", [("a", "ca"), ("b", "cb"), ("c", "cc"), ("d", "cd")]),
     "archives": ("bundle_id string, path string, content string", [("once", "top/task.toml", "1"), ("once", "top/tests/t.sh", "2"), ("once", "__MACOSX/x", "3"), ("twice", "a/b/task.toml", "1"), ("flat", "task.toml", "1"), ("flat", "tests/t.sh", "2"), ("two", "a/x", "1"), ("two", "b/y", "2")]),
     "names": ("id int, zip_name string, folder string", [(1, "my task.zip", "d"), (2, "  .zip", "d"), (3, "a/b.tar.gz", ""), (4, "", "folder"), (5, None, None), (6, ".zip", "d")]),
-    "models": ("model string", [("openai/gpt-5-mini",), ("O3",), ("gpt-4o",), ("x/y/o4-mini",), ("claude",)]),
+    "models": ("model string", [("a/gpt-5-mini",), ("O3",), ("gpt-4o",), ("x/y/o4-mini",), ("other",)]),
     "accepted": ("name string, instruction string, toml string", [("t2", " do two ", 'category = "web"'), ("t1", "do one", "category='x'"), ("t9", "other", ""), ("t3", None, None)]),
 }
 ANSWERS = [
