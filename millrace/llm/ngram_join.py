@@ -15,7 +15,8 @@ prefix is counted once for all sets below it, and a subtree is left as soon as
 the remaining lengths cannot reach the needed overlap.  Components are all that
 is asked for, so a set that is linked leaves the trie and queries it later
 itself: a group of near copies costs about one walk a set, not one a pair.
-Large clusters are dealt out in blocks that meet pairwise.
+In clusters of more than one block, a few pivots gather most members in one pass;
+only the members that they leave are dealt out, in blocks, to meet the others.
 
 Edge cases: null texts and texts without a word have no set and link with
 nothing; texts with fewer words than a shingle have their whole sequence as one;
@@ -32,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import materialize, ship
+from ._shared import materialize, release, ship
 from .bpe import slices
 from .components import components
 from .words import gram_hashes, mix, word_hashes
@@ -42,7 +43,9 @@ BAND = 1.5
 #: Empty partitions that the signatures allow for.
 SPARE = 1
 #: Shingles in one task's trie, about.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
+#: Members of a large cluster that all its others are held against first.
+PIVOTS = 4
 #: Symbols in one trie node at most, so that bounds are looked at early.
 NODE = 32
 
@@ -114,8 +117,8 @@ def signatures(own: np.ndarray, percent: int) -> np.ndarray:
 class Trie:
     """A radix trie of sorted integer sequences, walked level by level for one query at a time."""
 
-    def __init__(self, sets: list[np.ndarray], numbers: np.ndarray, symbols: int):
-        self.numbers, self.symbols = numbers, symbols
+    def __init__(self, sets: list[np.ndarray], numbers: np.ndarray):
+        self.numbers = numbers
         keys = [sets[i].astype(">u4").tobytes() for i in numbers]
         order = sorted(range(len(numbers)), key=keys.__getitem__)
         own = [sets[numbers[i]] for i in order]
@@ -206,19 +209,22 @@ def _ranges(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarr
     return values[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)]
 
 
+def globally_ordered(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """The sets as ascending ranks in one order of all their shingles, frequent ones first so that prefixes are shared; and how many ranks there are."""
+    names, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(names), np.int64)
+    rank[np.lexsort((names, -often))] = np.arange(len(names))
+    cuts = np.cumsum([len(s) for s in sets])[:-1]
+    return [np.sort(s) for s in np.split(rank[at.reshape(-1)], cuts)], len(names)
+
+
 def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that join exactly the sets that links join: a spanning forest, by walks over a shrinking trie."""
     if len(sets) < 2:
         return []
-    flat = np.concatenate(sets)
-    names, at, often = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.empty(len(names), np.int64)
-    rank[np.lexsort((names, -often))] = np.arange(len(names))  # the global order: frequent first, so that prefixes are shared
-    symbols = rank[at.reshape(-1)]
-    cuts = np.cumsum([len(s) for s in sets])[:-1]
-    ordered = [np.sort(s) for s in np.split(symbols, cuts)]
-    inside, free, links = np.zeros(len(names), bool), np.ones(len(sets), bool), []
-    trie, left = Trie(ordered, np.arange(len(sets)), len(names)), len(sets)
+    ordered, symbols = globally_ordered(sets)
+    inside, free, links = np.zeros(symbols, bool), np.ones(len(sets), bool), []
+    trie, left = Trie(ordered, np.arange(len(sets))), len(sets)
     for seed in range(len(sets)):
         if not free[seed]:
             continue
@@ -227,7 +233,7 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]
         queue = [seed]
         while queue and left:
             if 2 * left < len(trie.numbers):
-                trie = Trie(ordered, np.flatnonzero(free), len(names))
+                trie = Trie(ordered, np.flatnonzero(free))
             x = queue.pop()
             near = trie.linked(ordered[x], inside, percent)
             near = near[free[near]]
@@ -259,13 +265,15 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     described = materialize(rows.mapInArrow(describe, "id long, n long, k1 long, k2 long, sigs array<long>"), "sets")
     told = described.where("n > 0").select("k1", F.explode("sigs").alias("sig"))
     shared = told.groupBy("sig").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b").select("sig", "a")
-    clusters = components(told.join(shared, "sig").select("a", F.col("k1").alias("b")))
+    clusters = components(told.join(shared.hint("shuffle_hash"), "sig").select("a", F.col("k1").alias("b")))
+    release(docs.sparkSession)
     clusters = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
     # one document for each distinct set of a cluster
     nodes = described.where("n > 0 and id is not null").join(clusters.withColumnRenamed("node", "k1"), "k1")
     nodes = materialize(nodes.groupBy("component", "k1", "k2").agg(F.min("id").alias("id"), F.max("n").alias("n")), "nodes")
-    links = _links(rows, nodes, n, percent, key)
-    linked = components(links)
+    release(docs.sparkSession)
+    linked = components(_links(rows, nodes, n, percent, key))
+    release(docs.sparkSession)
     owners = described.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("owner"))
     owners = owners.join(linked.withColumnRenamed("node", "owner"), "owner", "left").select("k1", "k2", F.coalesce("component", "owner").alias("component"))
     out = described.join(owners, ["k1", "k2"], "left")
@@ -274,23 +282,17 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
 
 def _links(rows: DataFrame, nodes: DataFrame, n: int, percent: int, key) -> DataFrame:
     """Spanning links ``(a, b)`` between the documents of each cluster."""
-    weights = nodes.groupBy("component").agg(F.sum("n").alias("weight")).withColumn("blocks", F.ceil(F.col("weight") / BLOCK).cast("int"))
-    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    weights = nodes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    placed = materialize(nodes.join(weights, "component"), "placed")
+    total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tasks = max(1, 4 * math.ceil(total / BLOCK))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    # a block of a large cluster meets every other; small clusters share tasks
-    meets = F.when(F.col("blocks") > 1, F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("own")), lambda j: F.concat_ws(":", F.col("component"), F.least(j, F.col("own")), F.greatest(j, F.col("own")))))
-    meets = F.coalesce(meets, F.array(F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("string")))
-    wanted = nodes.join(weights.drop("weight"), "component").withColumn("own", own).select("id", "k1", "k2", "component", meets.alias("tasks"))
 
     def read(batches):
         for batch in slices(batches, "text", 2 << 20):
             sets = shingle_sets(batch.column("text"), n)
             right = [key(s) == k for s, k in zip(sets, zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True), strict=True)]
             own = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "component", "tasks")] + [own], ["id", "component", "tasks", "own"]).filter(pa.array(right, pa.bool_()))
-
-    sets = rows.join(wanted, "id").mapInArrow(read, "id long, component long, tasks array<string>, own binary")
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "component", "blocks")] + [own], ["id", "component", "blocks", "own"]).filter(pa.array(right, pa.bool_()))
 
     def link(table: pa.Table) -> pa.Table:
         by_cluster: dict[int, list[int]] = {}
@@ -303,4 +305,72 @@ def _links(rows: DataFrame, nodes: DataFrame, n: int, percent: int, key) -> Data
                 a.append(ids[members[x]]), b.append(ids[members[y]])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return sets.withColumn("task", F.explode("tasks")).drop("tasks").groupBy("task").applyInArrow(link, "a long, b long")
+    sets = rows.join(placed.select("id", "k1", "k2", "component", "blocks").hint("shuffle_hash"), "id").mapInArrow(read, "id long, component long, blocks int, own binary")
+    if placed.where("blocks > 1").isEmpty():
+        small, large = sets, None
+    else:  # the sets of large clusters are read several times
+        sets = materialize(sets, "own-sets")
+        small, large = sets.where("blocks = 1"), sets.where("blocks > 1")
+    task = F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("string")
+    links = small.withColumn("task", task).groupBy("task").applyInArrow(link, "a long, b long")
+    return links if large is None else links.unionByName(_large(large, percent, link))
+
+
+def _large(sets: DataFrame, percent: int, link) -> DataFrame:
+    """Links within clusters of more than one block.
+
+    First every member is held against a few pivots of its cluster, which gathers most near copies of
+    one text at the cost of one pass.  Members of the largest group so found are linked already; only
+    the others are then held, in blocks, against each other and against that group.
+    """
+
+    def against_pivots(batches):
+        for batch in batches:
+            a, b = [], []
+            for member, own, pivots in zip(batch.column("id").to_pylist(), batch.column("own"), batch.column("pivots").to_pylist(), strict=True):
+                mine = np.frombuffer(own.as_buffer(), _U)
+                for p in pivots:
+                    other = np.frombuffer(p["own"], _U)
+                    if p["id"] != member and len(np.intersect1d(mine, other, assume_unique=True)) >= _needed(len(mine), len(other), percent):
+                        a.append(member), b.append(p["id"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    # a fixed number of pivots: the members with the least hash by each of so many hashes
+    least = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id")).alias(f"p{i}") for i in range(PIVOTS)]
+    chosen = sets.groupBy("component").agg(*least).select(F.explode(F.array(*(F.col(f"p{i}.id") for i in range(PIVOTS)))).alias("id")).distinct()
+    pivots = sets.join(chosen, "id", "left_semi").groupBy("component").agg(F.collect_list(F.struct("id", "own")).alias("pivots"))
+    pivots = materialize(pivots, "pivots")
+    star = materialize(sets.join(pivots, "component").select("id", "own", "pivots").mapInArrow(against_pivots, "a long, b long"), "star")
+    groups = sets.select("id", "component", F.octet_length("own").alias("size")).join(components(star).select(F.col("node").alias("id"), F.col("component").alias("grp")), "id", "left")
+    groups = materialize(groups.select("id", "component", "size", F.coalesce("grp", "id").alias("grp")).dropDuplicates(["id"]), "groups")
+    sums = groups.groupBy("component", "grp").agg(F.sum("size").alias("size"))
+    largest = sums.groupBy("component").agg(F.max_by("grp", F.struct("size", "grp")).alias("main"), F.max("size").alias("main_size"), F.sum("size").alias("size"))
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / (8 * BLOCK))).cast("int")
+    told = groups.select("id", "component", "grp").join(largest.withColumn("mains", blocks(F.col("main_size"))).withColumn("others", F.when(F.col("size") > F.col("main_size"), blocks(F.col("size") - F.col("main_size"))).otherwise(0)), "component")
+    main = F.col("grp") == F.col("main")
+    own = F.pmod(F.xxhash64("id"), F.when(main, F.col("mains")).otherwise(F.greatest("others", F.lit(1)))).cast("int")
+    told = told.where("others > 0").withColumn("own_block", own).withColumn("in_main", main)
+    name = lambda kind, i, j: F.concat_ws(":", "component", F.lit(kind), i, j)
+    up_to = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    among = F.transform(up_to("others"), lambda j: name("r", F.least(j, F.col("own_block")), F.greatest(j, F.col("own_block"))))
+    among = F.when(F.col("others") > 1, F.filter(among, lambda t: t != name("r", F.col("own_block"), F.col("own_block")))).otherwise(among)  # two blocks together cover each alone
+    with_main = F.when(F.col("in_main"), F.transform(up_to("others"), lambda i: name("m", i, F.col("own_block")))).otherwise(F.transform(up_to("mains"), lambda j: name("m", F.col("own_block"), j)))
+    tasks = F.concat(F.when(F.col("in_main"), F.array().cast("array<string>")).otherwise(among), with_main)
+    def link_main(table: pa.Table) -> pa.Table:
+        """The main group is linked in itself: of each other set one link into it is enough."""
+        ids, own, main = table.column("id").to_numpy(), table.column("own"), np.array(table.column("in_main").to_pylist(), bool)
+        if main.all() or not main.any():  # a block may be empty
+            return pa.table([pa.array([], pa.int64())] * 2, ["a", "b"])
+        ordered, symbols = globally_ordered([np.frombuffer(x.as_buffer(), _U) for x in own])
+        trie, inside = Trie(ordered, np.flatnonzero(main)), np.zeros(symbols, bool)
+        a, b = [], []
+        for x in np.flatnonzero(~main):
+            near = trie.linked(ordered[x], inside, percent)
+            if len(near):
+                a.append(ids[x]), b.append(ids[near[0]])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    dealt = sets.join(told.select("id", "in_main", tasks.alias("tasks")), "id").withColumn("task", F.explode("tasks")).select("task", "id", "component", "own", "in_main")
+    other = F.split_part(F.col("task"), F.lit(":"), F.lit(2)) == "r"
+    among_others = dealt.where(other).groupBy("task").applyInArrow(link, "a long, b long")
+    return star.unionByName(among_others).unionByName(dealt.where(~other).groupBy("task").applyInArrow(link_main, "a long, b long"))
