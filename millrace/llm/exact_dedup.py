@@ -82,7 +82,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows, state = _retained(docs.select(binary.alias("_digest"), F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.input_file_name().alias("_file")))
     # the full bytes of every hit against those of the row that stays; only hits are kept from the one pass over the texts
     hits = materialize(
-        docs.select(binary.alias("_digest"), F.col(id_col).alias("_id"), text.alias("_text")).join(state.where("_size > 1").select("_digest", "_keeper"), "_digest"),
+        docs.select(binary.alias("_digest"), F.col(id_col).alias("_id"), text.alias("_text")).join(state.where("_size > 1").select("_digest", "_keeper").hint("shuffle_hash"), "_digest"),
         "hits",
     )
     # written on their own, so that a hot digest's hits meet their one keeper in a join that Spark may split
@@ -106,7 +106,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay = stay.select(F.col("text_sha256").alias("_sha"), F.col(id_col).alias("_stay"), "_rows")
     names = [F.col(f"_doc.`{c}`").alias(c) for c in docs.columns]
     rows = docs.select(F.struct("*").alias("_doc"), digest(text_or_empty(text_col)).alias("_sha"))
-    rows = rows.join(stay, (rows["_sha"] == stay["_sha"]) & F.col(f"_doc.`{id_col}`").eqNullSafe(F.col("_stay"))).select("_doc", stay["_sha"].alias("_sha"), "_stay", "_rows")
+    rows = rows.join(stay.hint("shuffle_hash"), (rows["_sha"] == stay["_sha"]) & F.col(f"_doc.`{id_col}`").eqNullSafe(F.col("_stay"))).select("_doc", stay["_sha"].alias("_sha"), "_stay", "_rows")
     # rows that repeat the one that stays, identifier and all, leave one
     single, repeated = rows.where("_rows = 1"), rows.where("_rows > 1").dropDuplicates(["_sha", "_stay"])
     return single.unionByName(repeated).select(*names)
