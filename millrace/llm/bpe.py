@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from ._shared import ship
 
 #: Distinct words, and runs without white space, whose ids a worker keeps; beyond it they start anew (results don't depend on it).
-CACHE_WORDS, CACHE_RUNS = 200_000, 300_000
+CACHE_WORDS, CACHE_RUNS = 400_000, 500_000
 #: The code points of Unicode's White_Space property, as a character class.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 
