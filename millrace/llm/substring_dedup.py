@@ -26,13 +26,12 @@ empty result; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import WORD_PATTERN, discard, materialize, release, ship
+from ._shared import discard, materialize, release, ship
 from .bpe import slices
 from .fm_index import FMIndex
 from .words import gram_hashes, mix, word_hashes
@@ -49,8 +48,6 @@ SHARD = 400_000
 #: Symbols of the index's table of short patterns.
 TABLE = 8
 
-_WORD = re.compile(WORD_PATTERN)
-
 
 def window_minimizers(words: np.ndarray, row: np.ndarray, rows: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """The first word of each window that lies in one row, and the window's minimizer."""
@@ -77,7 +74,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     def whole(batches):
         for batch in slices(batches, "text"):
-            words = [_WORD.findall(t) if t else [] for t in batch.column("text").to_pylist()]
+            words = [t.split() if t else [] for t in _octets(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(map(len, words), pa.int64(), size=len(words)), pa.array([_sha(w) for w in words], pa.string())], ["id", "text_key", "n_words", "whole"])
 
     full = rows.mapInArrow(whole, "id long, text_key long, n_words long, whole string")
@@ -86,8 +83,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"))
 
 
-def _sha(words: list[str]) -> str:
-    return hashlib.sha256(" ".join(words).encode()).hexdigest()
+def _octets(texts: pa.Array) -> list[bytes | None]:
+    """The texts' UTF-8; without an argument ``bytes.split`` parts at the contract's six characters and no others."""
+    return texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary()).to_pylist()
+
+
+def _sha(words: list[bytes]) -> str:
+    return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
 def _segments(batch: pa.RecordBatch, window: int):
@@ -222,8 +224,8 @@ def _removed(rows: DataFrame, window: int) -> DataFrame:
     def strip(batches):
         for batch in slices(batches, "text"):
             many, kept = [], []
-            for text, at in zip(batch.column("text").to_pylist(), batch.column("at"), strict=True):
-                words = _WORD.findall(text)
+            for text, at in zip(_octets(batch.column("text")), batch.column("at"), strict=True):
+                words = text.split()
                 edge = np.zeros(len(words) + 1, np.int32)
                 at = at.values.to_numpy()
                 np.add.at(edge, at, 1)

@@ -121,7 +121,7 @@ def brute_removed(texts, window):
 @pytest.mark.parametrize("hot, most", [(substring_dedup.HOT, 10), (2, 10_000), (2, 0)])
 def test_substrings(spark, monkeypatch, hot, most):
     monkeypatch.setattr(substring_dedup, "HOT", hot), monkeypatch.setattr(substring_dedup, "SHARD", 500), monkeypatch.setattr(substring_dedup, "HOT_BROADCAST", most)
-    texts = made(4, words=12) + ["r " * 40, "r " * 30]
+    texts = made(4, words=12) + ["r " * 40, "r " * 30, "a\x1cb\x85c\xa0d\u2028e\x0bf\x0cg\x1fh"]
     got = substring_dedup.remove_repeats(clashing(spark, texts)).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute_removed(dict(enumerate(texts)), 13) and len(got) == len(texts)
 
