@@ -9,6 +9,12 @@ per band of sizes.  Signatures with one set only are dropped by a partial
 aggregation; connected components over the others are clusters.  Equal sets are
 one node, so copies of any number cost one row.
 
+*Looser joins.*  Under ``STRICT`` percent a partition holds few shingles, and common
+passages would join most texts into one cluster.  There a quarter of D more
+partitions are made, so that linked sets agree in more of them, and each set
+leaves out its most frequent signatures, as many as that allows: in one order by
+frequency the rarest signature that two linked sets share is left out by neither.
+
 *Join.*  In each cluster the sets, ordered by one global order of shingles, are
 stored in a trie.  A query set walks the trie from the root; the overlap with a
 prefix is counted once for all sets below it, and a subtree is left as soon as
@@ -31,7 +37,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ._shared import materialize, release, ship
 from .bpe import slices
@@ -42,6 +48,8 @@ from .words import gram_hashes, mix, word_hashes
 BAND = 1.5
 #: Empty partitions that the signatures allow for.
 SPARE = 1
+#: Percent under which more partitions are spared, one for so many that may differ, and frequent signatures left out.
+STRICT, LOOSE = 90, 4
 #: Shingles in one task's trie, about.
 BLOCK = 1_000_000
 #: Members of a large cluster that all its others are held against first.
@@ -90,9 +98,17 @@ def _band(size: int) -> int:
 
 def signatures(own: np.ndarray, percent: int) -> np.ndarray:
     """The set's signatures for its band and, where a partner may be in the next one, for that."""
-    size, out = len(own), []
+    return _signatures(own, percent)[0]
+
+
+def _signatures(own: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
+    """The signatures, and how many of an even and of an odd band's the set may leave out.
+
+    Under ``STRICT`` percent a signature's lowest bit is its band's.
+    """
+    size, out, surplus = len(own), [], [0, 0]
     if not size:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), surplus
     with np.errstate(over="ignore"):
         content = mix(own ^ _U(0xA24BAED4963EE407))
         place = own >> _U(11)
@@ -101,16 +117,22 @@ def signatures(own: np.ndarray, percent: int) -> np.ndarray:
             if band > b and 100 * size < percent * low:
                 continue
             differ = (100 - percent) * 2 * high // (100 + percent)
-            parts = differ + 1 + SPARE if differ else 1
+            spare = max(SPARE, differ // LOOSE) if percent < STRICT else SPARE
+            parts = differ + 1 + spare if differ else 1
             total, many = np.zeros(parts, _U), np.zeros(parts, np.int64)
             at = (place % _U(parts)).astype(np.int64)
             np.add.at(total, at, content)
             np.add.at(many, at, 1)
             full = many > 0
-            keep = full if (~full).sum() <= SPARE else np.ones(parts, bool)
+            keep = full if (~full).sum() <= spare else np.ones(parts, bool)
             number = np.arange(parts, dtype=_U)
-            out.append(mix(total + mix(number + _U(band << 40) + _U(1)))[keep])
-    return np.concatenate(out).astype(np.int64)
+            sigs = mix(total + mix(number + _U(band << 40) + _U(1)))[keep]
+            if percent < STRICT:
+                sigs = sigs & ~_U(1) | _U(band & 1)
+                if differ and (~full).sum() <= spare:
+                    surplus[band & 1] = max(0, len(sigs) - differ - 1)
+            out.append(sigs)
+    return np.concatenate(out).astype(np.int64), surplus
 
 
 # -- the trie -------------------------------------------------------------------------
@@ -259,13 +281,17 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
         for batch in slices(batches, "text", 2 << 20):
             sets = shingle_sets(batch.column("text"), n)
             keys = [key(s) for s in sets]
-            found = pa.array([signatures(s, percent) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(map(len, sets)), pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), found], ["id", "n", "k1", "k2", "sigs"])
+            told = [_signatures(s, percent) for s in sets]
+            found, surplus = pa.array([s for s, _ in told], pa.list_(pa.int64())), pa.array([x for _, x in told], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(map(len, sets)), pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), found, surplus], ["id", "n", "k1", "k2", "sigs", "surplus"])
 
-    described = materialize(rows.mapInArrow(describe, "id long, n long, k1 long, k2 long, sigs array<long>"), "sets")
+    described = materialize(rows.mapInArrow(describe, "id long, n long, k1 long, k2 long, sigs array<long>, surplus array<int>"), "sets")
     told = described.where("n > 0").select("k1", F.explode("sigs").alias("sig"))
-    shared = told.groupBy("sig").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b").select("sig", "a")
-    clusters = components(told.join(shared.hint("shuffle_hash"), "sig").select("a", F.col("k1").alias("b")))
+    if percent < STRICT:
+        clusters = components(_rarely_shared(told, described.where("n > 0").select("k1", "surplus")))
+    else:
+        shared = told.groupBy("sig").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b").select("sig", "a")
+        clusters = components(told.join(shared.hint("shuffle_hash"), "sig").select("a", F.col("k1").alias("b")))
     release(docs.sparkSession)
     clusters = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
     # one document for each distinct set of a cluster
@@ -280,6 +306,19 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _rarely_shared(told: DataFrame, surplus: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` between the sets that share a signature which neither leaves out as one of its most frequent."""
+    of_sig = Window.partitionBy("sig")
+    shared = told.select("sig", "k1", F.min("k1").over(of_sig).alias("a"), F.max("k1").over(of_sig).alias("b"), F.count(F.lit(1)).over(of_sig).alias("often"))
+    shared = materialize(shared.where("a < b").select("sig", "k1", "often").distinct(), "shared")
+    release(told.sparkSession)
+    odd = F.col("sig").bitwiseAND(F.lit(1).cast("long")).cast("int")
+    down = Window.partitionBy("k1", "odd").orderBy(F.desc("often"), F.desc("sig"))
+    ranked = shared.withColumn("odd", odd).join(surplus.groupBy("k1").agg(F.first("surplus").alias("surplus")), "k1").withColumn("place", F.row_number().over(down))
+    rare = ranked.where(F.col("place") > F.element_at("surplus", F.col("odd") + 1)).select("sig", "k1")
+    return rare.select(F.min("k1").over(of_sig).alias("a"), F.col("k1").alias("b")).where("a < b")
+
+
 def _links(rows: DataFrame, nodes: DataFrame, n: int, percent: int, key) -> DataFrame:
     """Spanning links ``(a, b)`` between the documents of each cluster."""
     weights = nodes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import entry, exact_dedup, langid, ngram_join, packing, pii
 
+#: Near copies: words in a shingle, and the similarity in percent that links two texts.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any language go; a missing label is filled in."""
@@ -19,7 +22,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest identifier stays; rows without one stay."""
-    stay = ngram_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    stay = ngram_join.join(docs, n=NEAR_WORDS, percent=NEAR_PERCENT).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from millrace.llm import components, embedding_dedup, entry, exact_dedup, ngram_join, pii, substring_dedup
+from millrace.llm import components, embedding_dedup, entry, exact_dedup, ngram_join, pii, stages, substring_dedup
 from millrace.llm.fm_index import FMIndex
 from tests.llm.test_text_operators import DOCS, check_packing, clashing, sha, table
 from tests.oracle import assert_same
@@ -281,6 +281,51 @@ def test_pipeline(spark):
     check_packing(corpus_pipeline.run(spark, SMALL).collect(), brute_pipeline(spark, SMALL), 1024, tokenizer)
 
 
+def brute_near_copies(texts):
+    """What the near-copy stage keeps: the least of each component of links at 80 percent of five-word shingles."""
+    sets = {}
+    for i, t in texts.items():
+        own = WORD.findall(t.translate(LOWER))
+        sets[i] = set(zip(*(own[k:] for k in range(5)))) if len(own) > 4 else {tuple(own)} if own else set()
+    linked = union([(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], sets)
+    return {i for i in texts if linked[i] == i}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10_000), st.integers(2, 200))
+def test_rare_signatures_lose_no_link(seed, size):
+    rnd = random.Random(seed)
+    base = rnd.sample(range(10_000), size)
+    sets = []
+    for _ in range(25):
+        rate = rnd.choice([0.02, 0.05, 0.1])
+        own = [x for x in base if rnd.random() > rate] + rnd.sample(range(10_000), rnd.randint(0, 1 + size // 12))
+        sets.append(np.unique(ngram_join.mix(np.array(own, np.uint64))))
+    told = [ngram_join._signatures(s, 80) for s in sets]
+    often = Counter(x for sigs, _ in told for x in sigs.tolist())
+    kept = []
+    for sigs, surplus in told:
+        kept.append(set())
+        for odd in (0, 1):
+            own = sorted((x for x in sigs.tolist() if x & 1 == odd), key=lambda x: (often[x], x))
+            kept[-1].update(own[: len(own) - surplus[odd]])
+    links = [(i, j) for i in range(25) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    assert links or size < 20
+    assert all(kept[i] & kept[j] for i, j in links if len(sets[i]))
+
+
+def test_near_copies_of_five_words(spark):
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+    texts = [base, base + [f"a{k}" for k in range(40)], base + [f"b{k}" for k in range(70)], base + [f"c{k}" for k in range(90)], [f"x{k}" if k % 50 == 25 else w for k, w in enumerate(base)]]
+    texts += [[f"z{k}" if k % 20 == 10 else w for k, w in enumerate(base)], ["few", "words"], ["Few", "words"], ["few", "words", "more"]]
+    texts = [" ".join(t) for t in texts] + [t or "" for t in made(13, n=60, words=300)]
+    expected = brute_near_copies(dict(enumerate(texts)))
+    assert not {1, 2, 4, 7} & expected and {0, 3, 5, 6, 8} <= expected
+    got = stages.drop_near_copies(spark, table(spark, texts), SMALL).collect()
+    assert {r["doc_id"] for r in got} == expected and len(got) == len(expected)
+
+
 def test_stages_keep_columns_and_stand_edges(spark):
     rows = [(1, "the cat and the dog are in the house", None, None, None), (2, None, None, "s", 0), (None, "mail me at x@y.org, the address of the house", "en", "s", 3), (4, "the cat and the dog are in the house", "en", "s", 3), (5, "12 34", "en", "s", 5)]
     docs = spark.createDataFrame(rows + [(10 + i, f"der hund und die katze sind in dem haus {i}", "de", "s", 1) for i in range(4)], DOCS)
