@@ -10,8 +10,12 @@ article element protects, are concatenated; the array of their suffixes, sorted
 to ``RUN`` tokens by prefix doubling, puts equal runs side by side.  A run that
 stands on enough distinct pages is boilerplate, and every token that such a run
 covers is marked.  An open block that is covered is dropped, the others are kept
-as the page's unique runs.  A host of any size is dealt out in slices of bounded
-text by a hash of the page, as boilerplate repeats in each slice.
+as the page's unique runs.
+
+*Large hosts.*  A host of more than ``SLICE_CHARS`` doesn't meet in one task.  Its
+runs, as 64-bit hashes, are counted over all its pages instead; those on enough
+pages go to the slices of pages without an article that hold them, and cover
+the same tokens there as the array of the whole host would.
 
 Edge cases: null or empty html, and pages without main text, give the empty
 text; repeated rows give repeated results; null urls form one host; an empty
@@ -27,14 +31,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import ship
+from ._shared import materialize, ship
 from .bpe import slices
+from .words import gram_hashes, word_hashes
 
 #: Tokens in a run that counts as repeated, and distinct pages that it must stand on.
 RUN, PAGES = 8, 3
 #: An open block goes when at least this share of its tokens is covered.
 COVERED = 0.7
-#: Characters of html that one slice of a host holds, about.
+#: Characters of html that one slice of a host holds, about; a host of no more has an array of its own.
 SLICE_CHARS = 2 << 20
 
 #: Elements by what they mean.
@@ -222,17 +227,49 @@ def repeated_runs(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: i
     return np.cumsum(edge[:n]) > 0
 
 
-def _unique_blocks(pages: list[list[tuple[int, str]]]) -> list[list[str]]:
-    """Per page the open blocks that no repeated run covers, judged among the pages of one slice of a host."""
+def _hashed_runs(pages: list[list[tuple[int, str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Hash, page and first token of every run that doesn't cross pages, and the number of tokens."""
+    words, page, _, _ = word_hashes(pa.array([" ".join(t for _, t in own) for own in pages], pa.string()))
+    grams = gram_hashes(words, RUN)
+    starts = np.flatnonzero(page[: len(grams)] == page[RUN - 1 :]) if len(grams) else np.zeros(0, np.int64)
+    return grams[starts], page[starts], starts, len(words)
+
+
+def _counted_runs(pages: list[list[tuple[int, str]]], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, hash and number of pages of each distinct run of a group of pages; ``groups`` has each page's."""
+    run, page, _, _ = _hashed_runs(pages)
+    order = np.lexsort((page, run, groups[page]))
+    run, page, group = run[order], page[order], groups[page][order]
+    if not len(run):
+        return group, run, np.zeros(0, np.int64)
+    new = np.concatenate(([True], (group[1:] != group[:-1]) | (run[1:] != run[:-1])))
+    new_page = new | np.concatenate(([True], page[1:] != page[:-1]))
+    return group[new], run[new], np.add.reduceat(new_page.astype(np.int64), np.flatnonzero(new))
+
+
+def _covered_by(pages: list[list[tuple[int, str]]], repeated: np.ndarray) -> np.ndarray:
+    """Which tokens lie in a run whose hash is one of ``repeated``."""
+    run, _, starts, n = _hashed_runs(pages)
+    hit = starts[np.isin(run, repeated)]
+    edge = np.zeros(n + RUN + 1, np.int64)
+    np.add.at(edge, hit, 1)
+    np.add.at(edge, hit + RUN, -1)
+    return np.cumsum(edge[:n]) > 0
+
+
+def _unique_blocks(pages: list[list[tuple[int, str]]], repeated: np.ndarray | None = None) -> list[list[str]]:
+    """Per page the open blocks that no repeated run covers, judged among the pages of one host or by its ``repeated`` runs."""
     ids: dict[str, int] = {}
-    tokens, owner, spans = [], [], []
+    tokens, owner, spans, size = [], [], [], 0
     for number, own in enumerate(pages):
         for k, (_, text) in enumerate(own):
             words = text.split()
-            spans.append((number, k, len(tokens), len(tokens) + len(words)))
-            tokens += [ids.setdefault(w, len(ids)) for w in words]
-            owner += [number] * len(words)
-    covered = repeated_runs(np.array(tokens, np.int64), np.array(owner, np.int64))
+            spans.append((number, k, size, size + len(words)))
+            size += len(words)
+            if repeated is None:
+                tokens += [ids.setdefault(w, len(ids)) for w in words]
+                owner += [number] * len(words)
+    covered = repeated_runs(np.array(tokens, np.int64), np.array(owner, np.int64)) if repeated is None else _covered_by(pages, repeated)
     total = np.concatenate(([0], np.cumsum(covered)))
     gone = {(number, k) for number, k, a, b in spans if b > a and total[b] - total[a] >= COVERED * (b - a)}
     return [[text for k, (state, text) in enumerate(own) if state == OPEN and (number, k) not in gone] for number, own in enumerate(pages)]
@@ -264,20 +301,43 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             own = [blocks(h) for h in batch.column("html").to_pylist()]
             whole = pa.array([all(s != MAIN for s, _ in o) for o in own], pa.bool_())
             outside = [[{"state": s, "text": t} for s, t in o if s != MAIN] for o in own]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), batch.column("host"), whole, pa.array(outside, pa.list_(kind))], ["id", "url", "host", "whole", "blocks"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "url", "host", "part")), whole, pa.array(outside, pa.list_(kind))], ["id", "url", "host", "part", "whole", "blocks"])
 
-    schema = f"id {types['id']}, url {types['url']}, text string, n_chars long"
-    sizes = pages.select(host.alias("host"), F.length(html_col).alias("n")).groupBy("host").agg(F.ceil(F.sum(F.coalesce("n", F.lit(0))) / SLICE_CHARS).alias("slices"))
-    parsed = rows.mapInArrow(streams, f"id {types['id']}, url {types['url']}, host string, whole boolean, blocks array<struct<state: tinyint, text: string>>")
-    dealt = parsed.join(sizes, "host").withColumn("slice", F.concat_ws("#", "host", F.pmod(F.xxhash64("id", "url"), F.greatest("slices", F.lit(1)))))
-
-    def judge(table: pa.Table) -> pa.Table:
+    def runs(batches):
+        """Runs by host and, as only pages without an article are judged, by those pages' slices."""
+        for batch in slices(batches, "html"):
+            own = [blocks(h) for h in batch.column("html").to_pylist()]
+            named: dict[tuple, int] = {}
+            told = zip(batch.column("host").to_pylist(), batch.column("part").to_pylist(), own, strict=True)
+            groups = np.array([named.setdefault((h, p if all(s != MAIN for s, _ in o) else None), len(named)) for h, p, o in told], np.int64)
+            group, run, n = _counted_runs([[b for b in o if b[0] != MAIN] for o in own], groups)
+            hosts, parts = pa.array([h for h, _ in named], pa.string()), pa.array([p for _, p in named], pa.int64())
+            yield pa.RecordBatch.from_arrays([hosts.take(pa.array(group)), parts.take(pa.array(group)), pa.array(run.astype(np.int64)), pa.array(n)], ["host", "part", "run", "n"])
+
+    def judged(table: pa.Table, repeated: np.ndarray | None) -> pa.Table:
         own = [[(b["state"], b["text"]) for b in bs] for bs in table.column("blocks").to_pylist()]
         whole = table.column("whole").to_pylist()
-        texts = ["\n\n".join(kept) for kept, w in zip(_unique_blocks(own), whole, strict=True) if w]
+        texts = ["\n\n".join(kept) for kept, w in zip(_unique_blocks(own, repeated), whole, strict=True) if w]
         table = table.filter(table.column("whole"))
         return pa.table(told(table.column("id"), table.column("url"), texts), ["id", "url", "text", "n_chars"])
 
-    unique = dealt.select("slice", "id", "url", "whole", "blocks").groupBy("slice").applyInArrow(judge, schema)
+    def judge_host(table: pa.Table) -> pa.Table:
+        return judged(table, None)
+
+    def judge_slice(table: pa.Table, repeated: pa.Table) -> pa.Table:
+        return judged(table, repeated.column("run").to_numpy().astype(np.uint64))
+
+    schema = f"id {types['id']}, url {types['url']}, text string, n_chars long"
+    parsed = f"id {types['id']}, url {types['url']}, host string, part long, whole boolean, blocks array<struct<state: tinyint, text: string>>"
+    sizes = pages.select(host.alias("host"), F.length(html_col).alias("n")).groupBy("host").agg(F.ceil(F.sum(F.coalesce("n", F.lit(0))) / SLICE_CHARS).alias("slices"))
+    large = F.broadcast(materialize(sizes.where("slices > 1"), "large-hosts"))  # at most one for every SLICE_CHARS of input
+    small = rows.join(large, "host", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    unique = small.mapInArrow(streams, parsed).groupBy("host").applyInArrow(judge_host, schema)
+    if not large.isEmpty():
+        dealt = rows.join(large, "host").withColumn("part", F.pmod(F.xxhash64("id", "url"), F.col("slices"))).drop("slices")
+        repeated = dealt.mapInArrow(runs, "host string, part long, run long, n long").groupBy("host", "run").agg(F.sum("n").alias("n"), F.collect_set("part").alias("parts"))
+        repeated = repeated.where(F.col("n") >= PAGES).select("host", "run", F.explode("parts").alias("part"))
+        by_slice = dealt.mapInArrow(streams, parsed).where("whole").groupBy("host", "part").cogroup(repeated.groupBy("host", "part")).applyInArrow(judge_slice, schema)
+        unique = unique.unionByName(by_slice)
     out = rows.select("id", "url", "html").mapInArrow(articles, schema).unionByName(unique)
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

@@ -189,6 +189,27 @@ def test_repeated_blocks_go_where_no_article_tells(spark):
     assert got[9] == common and got[10] == common, "another host's page, and an article's own text, stay"
 
 
+def test_large_hosts_are_judged_whole(spark, monkeypatch):
+    rnd = random.Random(17)
+    sections = [" ".join(f"s{k}n{j}" for j in range(12)) for k in range(25)]
+    rows = []
+    for i in range(120):
+        blocks = [" ".join(f"w{i}x{j}" for j in range(20)), *rnd.sample(sections, 1), "short on all"]
+        if i < 2:
+            blocks.append("only two pages of the host have this line so that it stays in")
+        rnd.shuffle(blocks)
+        page = "".join(f"<div>{b}</div>" for b in blocks)
+        rows.append((i, f"http://h.example/{i}", f"<body><article><p>main {i}</p></article>{page}</body>" if i % 5 == 4 else f"<body>{page}</body>"))
+    rows += [(200, "http://other.example/", f"<div>{sections[0]}</div>"), (200, "http://other.example/", f"<div>{sections[0]}</div>"), (201, "http://h.example/", None), (202, None, "<p>alone")]
+    found = lambda: sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract(pages(spark, rows)).collect())
+    expected = found()
+    monkeypatch.setattr(html_text, "SLICE_CHARS", 1500)
+    got = found()
+    assert got == expected and len(got) == len(rows)
+    on = {s: sum(s in h for _, u, h in rows if u and "//h." in u and h) for s in sections}
+    assert all(not any(on[s] >= 3 and s in t for s in sections) for i, t, _ in got if i < 120) and sum("only two pages" in t for _, t, _ in got) == 2
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), max_size=12), min_size=1, max_size=6))
 def test_repeated_runs_equal_brute_force(streams):
