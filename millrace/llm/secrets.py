@@ -5,8 +5,10 @@
 ``access`` (AKIA and more, 20 or more characters) and ``hex`` (24 or more).
 
 *Randomness battery*, kind ``random``: every run of 20 or more characters that
-could be an encoding is tested.  Its encoding is inferred from its characters;
-over that alphabet three statistics are taken: chi-squared against a uniform
+could be an encoding is tested.  Its encoding is inferred from its characters; a
+run that fits none, such as a path or a URL that ends in a key, is tested in its
+parts of 20 or more characters between slashes, and a part that fits none in its
+letters and digits.  Over the alphabet three statistics are taken: chi-squared against a uniform
 alphabet, the number of runs above and below the alphabet's middle, and the
 serial correlation of neighbours.  A run is *compatible with random* when the
 three together do not reject uniformity.  Its p-value for being ordinary text is
@@ -46,8 +48,12 @@ ENCODINGS = [
     ("BASE36", r"^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", _DIGITS + _UPPER),
     ("base62", r"^(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z]+$", _DIGITS + _UPPER + _LOWER),
     ("base64", r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[0-9A-Za-z+/]+$", _DIGITS + _UPPER + _LOWER + "+/"),
+    ("lower", r"^[a-z]+$", _LOWER),
+    ("upper", r"^[A-Z]+$", _UPPER),
     ("base64url", r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[0-9A-Za-z_-]+$", _DIGITS + _UPPER + _LOWER + "_-"),
 ]
+#: Parts of a run that fits no encoding, and parts of those.
+PARTS = (r"[^/]{20,}", r"[A-Za-z0-9]{20,}")
 #: Sums of squared and cubed letter shares of ordinary text: how concentrated its characters are.
 TEXT_S2, TEXT_S3 = 0.066, 0.0056
 #: In a small alphabet of k characters they are this many times 1 / k and 1 / k^2 at least.
@@ -82,6 +88,16 @@ def _tail(z: Column) -> Column:
     return (0.717 * z + 0.416 * z * z - math.log(0.5)) / math.log(10)
 
 
+def _pieces(span: Column, parts: tuple[str, ...]) -> Column:
+    """The candidate itself if it fits an encoding, else those of its parts that may."""
+    if not parts:
+        return F.array(span)
+    fits = F.regexp_replace(span["value"], "=+$", "").rlike("|".join(pattern for _, pattern, _ in ENCODINGS))
+    moved = lambda p: F.struct((span["start"] + p["start"]).alias("start"), (span["start"] + p["end"]).alias("end"), p["value"].alias("value"))
+    cut = F.transform(_located(span["value"], parts[0]), moved)
+    return F.when(fits, F.array(span)).otherwise(F.flatten(F.transform(cut, lambda p: _pieces(p, parts[1:]))))
+
+
 def _tested(span: Column) -> Column:
     """The battery on one candidate: struct<start, end, band, step, compatible>."""
     body = F.regexp_replace(span["value"], "=+$", "")
@@ -155,7 +171,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     named = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
     base = F.concat(F.when(text.rlike(ASSIGN), named(assign, "assign")).otherwise(none), named(_located(text, ACCESS), "access"), named(_located(text, HEX), "hex"))
-    tests = F.filter(F.transform(_located(text, CANDIDATE), _tested), lambda t: t.isNotNull())
+    tests = F.filter(F.transform(F.flatten(F.transform(_located(text, CANDIDATE), lambda s: _pieces(s, PARTS))), _tested), lambda t: t.isNotNull())
     found = materialize(docs.select(F.col(id_col).alias("id"), base.alias("base"), tests.alias("tests")), "secrets")
     limits = _thresholds(found)
     # the bands are a constant number, so their limits fit in the expression

@@ -74,6 +74,22 @@ def test_secrets_find_random_strings_and_leave_words(spark):
     assert not any("random" in got[i] for i in range(30, 33))
 
 
+def test_secrets_find_random_strings_in_paths(spark):
+    rnd = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    before = ["https://h.example/user-files/", "see deploy_key/", "X-Key/", "a/b-c+", ""]
+    kinds = [letters] * 4 + [letters[26:52]]
+    texts, spans = [], []
+    for i in range(150):
+        lead, key = before[i % 5], "".join(rnd.choice(kinds[i % 5]) for _ in range(60))
+        texts.append(f"x {lead}{key} y")
+        spans.append(f"random:{2 + len(lead)}:{62 + len(lead)}")
+    words = ["some-path/to_the/file-name/of/an_index", "donaudampfschifffahrtsgesellschaft/kapitaen-x_y", "https://h.example/the-long_story/of_some-words/pneumonoultramicroscopicsilicovolcanoconiosis"]
+    got = {r["doc_id"]: r["spans"] for r in secrets.digests(table(spark, texts + words)).collect()}
+    assert all(sum(spans[i] == got[i] for i in range(k, 150, 5)) >= 24 for k in range(5))
+    assert not any("random" in got[i] for i in range(150, 153))
+
+
 def test_secrets_are_native(spark):
     plan = secrets.scan(table(spark, ["a"]))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
