@@ -58,6 +58,11 @@ BESIDE = {
     "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "promoted", "related", "replies", "respond", "share", "sharing", "sidebar", "signup",
     "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget", "widgets",
 }
+#: Words that beside such a word name the same thing, where a class or id of an article's element has no others.
+HOLDERS = {
+    "area", "bar", "block", "box", "btn", "button", "buttons", "container", "form", "icons", "inner", "item", "items", "label", "link", "links", "list", "media", "module", "outer", "panel",
+    "posts", "section", "slot", "unit", "wrap", "wrapper",
+}
 #: Opening one of the keys ends an open one of the values, looked for up to the nearest of the bounds.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _SCOPE = {"article", "main", "section", "div", "td", "th", "table", "li", "body", "html", "blockquote", "nav", "aside", "header", "footer", "form", "button", "figure"}
@@ -76,8 +81,15 @@ class _Element:
         self.name, self.parent, self.beside, self.inside, self.holds = name, parent, beside, inside, False
 
 
-def _beside(name: str, rest: str) -> int:
-    """2 if the element is never main text, 1 if its names say so, 0 otherwise."""
+def _named_beside(names: str, inside: bool) -> bool:
+    """Whether a class or id names something beside the text: by any word or, inside an article, by all words of one name."""
+    if not inside:
+        return not BESIDE.isdisjoint(_NAME_WORD.findall(names))
+    return any(not BESIDE.isdisjoint(words) and BESIDE.union(HOLDERS).issuperset(words) for words in map(_NAME_WORD.findall, names.split()))
+
+
+def _beside(name: str, rest: str, inside: bool) -> int:
+    """2 if the element is never main text, 1 if its names say so, 0 otherwise; ``inside`` an article with more care."""
     if name in DROP:
         return 2
     if name in ("html", "body", "article", "main") or "=" not in rest and "hidden" not in rest:
@@ -88,7 +100,9 @@ def _beside(name: str, rest: str) -> int:
             return 2
         if key == "role" and value in ROLES:
             return 1
-        if key in ("class", "id") and not BESIDE.isdisjoint(_NAME_WORD.findall(value)):
+        if key == "id" and inside and (name in HEADINGS or name == "p"):
+            continue  # a slug of the text
+        if key in ("class", "id") and _named_beside(value, inside):
             return 1
     return 0
 
@@ -169,7 +183,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 pop_to(last)
         if m["rest"].endswith("/") and name in ("svg", "math", "path"):
             continue
-        beside = _beside(name, m["rest"])
+        beside = _beside(name, m["rest"], here.inside)
         here = _Element(name, here, beside, here.inside or name in ("article", "main"))
         if name in ("article", "main"):
             e = here.parent

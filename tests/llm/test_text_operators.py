@@ -196,6 +196,13 @@ def test_article_text(spark):
     assert html_text.extract(pages(spark, [])).count() == 0
 
 
+def test_slugs_inside_an_article_keep_its_text():
+    kept = ['<h2 id="related-work">A</h2>', '<h2 id="comments">B</h2>', '<p id="notice-period">C</p>', '<section id="social-policy"><p>D</p></section>', '<div class="share-price">E</div>', '<div class="text menu-planning">F</div>']
+    gone = ['<div class="share-buttons">G</div>', '<section id="comments"><p>H</p></section>', '<div class="text related-posts">I</div>', '<div class="cookie-notice">J</div>', '<p class="advert">K</p>', '<div id="ad-1">L</div>']
+    page = "<body><article>" + "".join(f"{x}{y}" for x, y in zip(kept, gone, strict=True)) + '</article><div class="share-price">M</div></body>'
+    assert [t for s, t in html_text.blocks(page) if s == html_text.MAIN] == list("ABCDEF")
+
+
 def test_repeated_blocks_go_where_no_article_tells(spark):
     common = "this line stands on every single page of the host and is boilerplate"
     rows = [(i, f"http://h.example/{i}", f"<body><div>{common}</div><div>own words of page {i} " + " ".join(f"w{i}x{j}" for j in range(20)) + "</div></body>") for i in range(6)]
