@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ._shared import materialize, ship
 from .bpe import WHITE_SPACE, _class_of, encoder, slices
 
-#: A run of this many characters without white space is encoded by the trie, whose time is linear in the run.
+#: A run of this many characters without white space, or of nothing but it, is encoded by the trie, whose time is linear in the run.
 LONG_RUN = 400
 #: Pieces that one shard ranks.
 SHARD_ROWS = 20_000
@@ -56,7 +56,8 @@ def _fast_encoder(path: str):
         space = "".join(c if c in "-" or c.isascii() and c not in " " else f"\\x{{{ord(c):x}}}" for c in WHITE_SPACE)
         pattern = "'s|'t|'re|'ve|'m|'ll|'d| ?[{0}]+| ?[{1}]+| ?[^{2}{0}{1}]+|[{2}]+(?![^{2}])|[{2}]+".format(*classes, space)
         ranks = {piece: i for piece, i in own.id_of.items()}
-        _fast[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special), own, re.compile(rf"[^\s]{{{LONG_RUN}}}")
+        long_run = re.compile(f"[^{WHITE_SPACE}]{{{LONG_RUN}}}|[{WHITE_SPACE}]{{{LONG_RUN}}}")
+        _fast[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special), own, long_run
     return _fast[path]
 
 

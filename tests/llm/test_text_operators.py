@@ -304,6 +304,12 @@ def test_ranks_across_shards(spark, monkeypatch, tokenizer):
     check_packing(rows, dict(enumerate(texts)), 32, tokenizer)
 
 
+def test_long_runs_of_one_kind(spark, tokenizer):
+    """White space alone, digits, marks and letters, each of them longer than a backtracking pattern stands."""
+    texts = [" " * 1_200_000 + "x", "\n" * 1_200_000 + "x", "\u3000 " * 300_000, "\t\x1c" * 300 + "\x85" * 500, "7" * 5000, "=-" * 3000, " " * 399 + "a" + "\n" * 401 + "b"]
+    check_packing(packing.pack_documents(table(spark, texts), PATH, 512).collect(), dict(enumerate(texts)), 512, tokenizer)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 12), min_size=1, max_size=9))
 def test_reduction_loses_no_optimum(lengths):
