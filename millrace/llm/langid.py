@@ -7,11 +7,14 @@ interpolated character trigram model per language.  *Viterbi* over the words,
 with one penalty for each change of language, labels spans of mixed text; the
 language with most letters on the best path is the document's.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE_DOCS``, the
-rows with the smallest hashes of their identifier); its size is bounded by
-``FEATURES`` times the number of languages.  Prediction is a map over all rows.
-
-Edge cases: a null text, or one without a letter, is ``und`` with score 0; rows
+The model is fitted on a bounded sample of labelled rows: of each label about
+``SAMPLE_DOCS``, those with the smallest hashes of their identifier, so that a
+rare language is learned from all that it has.  Its size is bounded by
+``FEATURES`` times ``LANGUAGES``; more labels are an error, none is left out.
+Prediction is a map over all rows.
+
+Edge cases: letters are Unicode's category L, so numerals such as ½ or Ⅷ are
+none; a null text, or one without a letter, is ``und`` with score 0; rows
 without a label or text are never learned from; without any labelled row all
 is ``und``; ties go to the language that sorts first; repeated rows are
 predicted alike; an empty table gives an empty result; extra columns are kept
@@ -27,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._shared import ship
-from .bpe import slices
+from .bpe import _class_of, slices
 
-#: Rows that the classifier is fitted on, at most (a bounded sample).
-SAMPLE_DOCS = 8_000
+#: Rows of each label that the classifier is fitted on, about (a bounded sample), and labels at most.
+SAMPLE_DOCS, LANGUAGES = 2_000, 200
 #: Counters per language; n-grams are hashed into them.
 FEATURES = 1 << 17
 #: Log-probability cost of a change of language between two words.
@@ -42,6 +45,7 @@ SCRIPT_SHARE = 0.02
 #: Words whose scores a worker keeps.
 CACHE_WORDS = 150_000
 UND = "und"
+STEPS = 1_000_000_000
 
 #: Where scripts begin, by code point; a letter's script is the last one that begins at or before it.
 SCRIPTS = [
@@ -55,7 +59,7 @@ SCRIPTS = [
 _BEGINS = np.array([b for b, _ in SCRIPTS])
 _NAMES = sorted({n for _, n in SCRIPTS})
 _SCRIPT = np.array([_NAMES.index(n) for _, n in SCRIPTS])
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(f"[{_class_of('L')}]+")
 
 
 def _grams(words: list[str]):
@@ -105,12 +109,16 @@ class Model:
 
 
 def fit(docs: DataFrame, chosen: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE_DOCS) -> Model:
-    """Fit on the rows where ``chosen`` holds and text and label are there; at most ``sample`` identifiers of them."""
+    """Fit on the rows where ``chosen`` holds and text and label are there; about ``sample`` identifiers of each label."""
     ship(docs.sparkSession)
     rows = docs.where(chosen & F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    rank = F.xxhash64(F.col(id_col))
-    cutoff = rows.select(rank.alias("h")).orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
-    rows = rows.where(rank <= F.lit(cutoff)).select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    label = F.col(label_col).cast("string")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy(label.alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels")
+    # a label's share of the hashes' range, in steps of a billionth
+    shares = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(STEPS, -(-sample * STEPS // n))))) if sizes else F.create_map().cast("map<string,bigint>")
+    rows = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(STEPS)) < F.element_at(shares, label)).select(label.alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches):
         for batch in slices(batches, "text"):

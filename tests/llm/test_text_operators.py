@@ -363,6 +363,34 @@ def test_language_edges(spark, model):
     assert langid.identify(table(spark, []), model).count() == 0
 
 
+def test_numerals_are_no_letters(spark, model):
+    texts = ["½ ² Ⅷ", "① ٣ ㊀", "Ⅷ the house and the dog are in the garden", "中文"]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(table(spark, texts), model).collect()}
+    assert got[0] == got[1] == ("und", 0.0) and got[2][0] == "en" and got[3][0] != "und"
+    assert {r["doc_id"] for r in langid.keep_identified(table(spark, texts), model).collect()} == {2, 3}
+
+
+def test_fit_samples_by_label(spark, monkeypatch):
+    """A rare label is learned beside a frequent one; held-out rows teach nothing; too many labels are an error."""
+    rows = [(i, f"the dog is in the house number {i % 7}", "en", "s", 0) for i in range(400)] + [(1000 + i, "zxq kvv wqz jjx qqk", "xx", "s", 0) for i in range(5)] + [(2000 + i, "ouais le chat dort ici", "fr", "s", 0) for i in range(5)]
+    docs = spark.createDataFrame(rows, DOCS)
+    fitted = langid.fit(docs, F.col("lang") != "fr", sample=20)
+    assert fitted.langs == ["en", "xx"] and 0 < fitted.counts[:, 0].sum() < 400 * 30 / 4 and fitted.counts[:, 1].sum() > 0
+    again = langid.fit(docs.withColumn("text", F.when(F.col("lang") == "fr", "other").otherwise(F.col("text"))), F.col("lang") != "fr", sample=20)
+    assert again.langs == fitted.langs and (again.counts == fitted.counts).all()
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        langid.fit(docs, F.lit(True))
+
+
+def test_ties_and_long_texts(spark):
+    """A word that two languages share alike goes to the one that sorts first; a text of many words is one path."""
+    docs = spark.createDataFrame([(1, "same words", "b", "s", 0), (2, "same words", "a", "s", 0)], DOCS)
+    model = langid.fit(docs, F.lit(True))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(table(spark, ["same", "words same " * 200_000]), model).collect()}
+    assert got == {0: "a", 1: "a"}
+
+
 def test_scripts_narrow_candidates():
     words = ["мир", "und", "ou"]
     counts = np.ones((langid.FEATURES, 2), np.float32)
