@@ -6,17 +6,22 @@ belongs to the minimizer's shard.
 
 1. Minimizers that occur in one document only are dropped by a partial
    aggregation; the others mark candidate windows.
-2. A candidate's run of windows with one minimizer is a segment.  Equal segments
-   are one row with the smallest identifier, so any number of copies costs one
-   row.  A minimizer with more than ``HOT`` different segments (the border of a
-   passage that very many documents share) is dealt by window instead.
-3. Each shard's segments are indexed, and the segments stream through the index:
-   backward search over the wavelet matrix gives the matching statistic of every
-   window up to the threshold, and the least identifier in its interval is the
-   first document in which the window starts.
+2. A candidate's run of windows with one minimizer is a segment.  It carries its
+   words themselves, so nothing is ever decided by a hash of them: equal segments
+   (by a SHA-256 of their bytes) are one row with the smallest identifier, so any
+   number of copies costs one row.  A minimizer with more than ``HOT`` different
+   segments (the border of a passage that very many documents share) is dealt by
+   window instead.
+3. Each shard's segments are indexed over a dictionary of the shard's words, and
+   the segments stream through the index: backward search over the wavelet matrix
+   gives the matching statistic of every window up to the threshold, and the least
+   identifier in its interval is the first document in which the window starts.
 4. Documents remove every word that a window covers whose first document is
    smaller than they are.  Windows are judged on the input.
 
+Hashes of words only choose minimizers: equal windows always have equal ones, and
+windows that meet by a collision are told apart by their words.
+
 Edge cases: null texts have no words; texts under ``WINDOW`` words lose nothing;
 rows with a null identifier lose nothing and are nobody's earlier document; rows
 that share an identifier don't remove from one another; an empty table gives an
@@ -29,12 +34,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ._shared import discard, materialize, release, ship
 from .bpe import slices
 from .fm_index import FMIndex
-from .words import gram_hashes, mix, word_hashes
+from .words import gram_hashes, word_hashes
 
 WINDOW = 13
 #: Words in the grams that minimizers are taken from.
@@ -92,32 +98,45 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _segments(batch: pa.RecordBatch, window: int):
-    """The batch's segments with an asked-for minimizer: their rows, first words, windows, minimizers, keys and words' low 32 bits."""
-    words, row, _, _ = word_hashes(batch.column("text"))
-    places, least = window_minimizers(words, row, batch.num_rows, window)
-    if not len(places):
-        return None
-    own = row[places]
-    new = np.concatenate(([True], (least[1:] != least[:-1]) | (own[1:] != own[:-1])))
-    starts = np.flatnonzero(new)
-    sizes = np.diff(np.concatenate((starts, [len(places)])))
-    hit = np.zeros(len(starts), bool)
-    first = np.searchsorted(own[starts], np.arange(batch.num_rows + 1))
-    asked = batch.column("minis")
-    for i in range(batch.num_rows):
-        a, b = first[i], first[i + 1]
-        hit[a:b] = np.isin(least[starts[a:b]], asked[i].values.to_numpy())
-    if not hit.any():
-        return None
-    # a segment's key: its windows' hashes with their places in it
-    grams = gram_hashes(words, window)[places]
-    with np.errstate(over="ignore"):
-        keys = mix(np.add.reduceat(mix(grams + (np.arange(len(places)) - np.repeat(starts, sizes)).astype(np.uint64)), starts))
-    base = np.searchsorted(row, np.arange(batch.num_rows))
-    starts, sizes, keys = starts[hit], sizes[hit], keys[hit]
-    begin = places[starts]
-    return own[starts], (begin - base[own[starts]]).astype(np.int32), begin, sizes, least[starts], keys.view(np.int64), words.astype(np.uint32)
+class _Segments:
+    """The batch's segments with an asked-for minimizer: their rows, first words, numbers of windows, minimizers and words."""
+
+    def __init__(self, batch: pa.RecordBatch, window: int):
+        texts = batch.column("text")
+        words, row, begin, end = word_hashes(texts)
+        places, least = window_minimizers(words, row, batch.num_rows, window)
+        own = row[places]
+        new = np.concatenate(([True], (least[1:] != least[:-1]) | (own[1:] != own[:-1])))[: len(places)]
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.concatenate((starts, [len(places)])))
+        hit = np.zeros(len(starts), bool)
+        first = np.searchsorted(own[starts], np.arange(batch.num_rows + 1))
+        asked = batch.column("minis")
+        for i in range(batch.num_rows):
+            a, b = first[i], first[i + 1]
+            hit[a:b] = np.isin(least[starts[a:b]], asked[i].values.to_numpy())
+        starts, self.sizes = starts[hit], sizes[hit]
+        self.row, self.begin, self.least = own[starts], places[starts], least[starts]
+        base = np.searchsorted(row, np.arange(batch.num_rows))
+        self.start = (self.begin - base[self.row]).astype(np.int32)
+        # all words of the batch, one space between two, and where each begins
+        self.flat = b" ".join(b" ".join(t for t in _octets(texts) if t).split()) if len(starts) else b""
+        self.at = np.concatenate(([0], np.cumsum(end - begin + 1)))
+        self.window = window
+
+    def words(self) -> list[bytes]:
+        """Each segment's words, joined by one space."""
+        a, b = self.at[self.begin], self.at[self.begin + self.sizes + self.window - 1] - 1
+        return [self.flat[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def _key(words: bytes) -> bytes:
+    return hashlib.sha256(words).digest()
+
+
+def _windows(words: bytes, window: int) -> list[bytes]:
+    own = words.split(b" ")
+    return [b" ".join(own[i : i + window]) for i in range(len(own) - window + 1)]
 
 
 def _removed(rows: DataFrame, window: int) -> DataFrame:
@@ -146,32 +165,38 @@ def _removed(rows: DataFrame, window: int) -> DataFrame:
 
     def told(batches):
         for batch in slices(batches, "text", 2 << 20):
-            if (own := _segments(batch, window)) is None:
-                continue
-            row, _, begin, sizes, least, keys, low = own
-            data = [low[a : a + n + window - 1].tobytes() for a, n in zip(begin, sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(least), pa.array(keys), pa.array(data, pa.binary())], ["id", "mini", "key", "words"])
+            own = _Segments(batch, window)
+            words = own.words()
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(own.row)), pa.array(own.least), pa.array(map(_key, words), pa.binary()), pa.array(own.sizes, pa.int64()), pa.array(words, pa.binary())], ["id", "mini", "key", "n", "words"])
 
-    segments = found.select("id", "text", "minis").mapInArrow(told, "id long, mini long, key long, words binary")
-    segments = materialize(segments.groupBy("mini", "key").agg(F.min("id").alias("first"), F.first("words").alias("words")), "segments")
+    segments = found.select("id", "text", "minis").mapInArrow(told, "id long, mini long, key binary, n long, words binary")
+    segments = materialize(segments.groupBy("mini", "key").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("words").alias("words")), "segments")
     release(spark)
     hot = materialize(segments.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("mini"), "hot")
-    width = 4 * window
-    each = F.posexplode(F.transform(F.sequence(F.lit(0), (F.octet_length("words") / 4).cast("int") - window), lambda i: F.substring(F.col("words"), 4 * i + 1, F.lit(width)))).alias("step", "words")
-    split = segments.join(hot, "mini", "left_semi").select("first", each).groupBy("words").agg(F.min("first").alias("first"))
-    pieces = segments.join(hot, "mini", "left_anti").select("mini", "key", "words", "first").unionByName(split.select(F.xxhash64("words").alias("mini"), F.lit(0).cast("long").alias("key"), "words", "first"))
-    total = pieces.agg(F.coalesce(F.sum(F.octet_length("words") / 4), F.lit(0))).first()[0]
+
+    def cut(batches):
+        for batch in batches:
+            each = [_windows(w, window) for w in batch.column("words").to_pylist()]
+            flat = [w for own in each for w in own]
+            yield pa.RecordBatch.from_arrays([batch.column("first").take(pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))), pa.array(map(_key, flat), pa.binary()), pa.array(flat, pa.binary())], ["first", "key", "words"])
+
+    # a window of a hot minimizer is a segment of its own, whose minimizer is a hash of its key
+    split = segments.join(hot, "mini", "left_semi").select("first", "words").mapInArrow(cut, "first long, key binary, words binary")
+    split = split.groupBy("key").agg(F.min("first").alias("first"), F.first("words").alias("words"))
+    pieces = segments.join(hot, "mini", "left_anti").select("mini", "key", "n", "words", "first").unionByName(split.select(F.xxhash64("key").alias("mini"), "key", F.lit(1).cast("long").alias("n"), "words", "first"))
+    total = segments.agg(F.coalesce(F.sum(F.col("n") + window - 1), F.lit(0))).first()[0]
     shards = max(1, -(-int(total) // SHARD))
 
     def match(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("words")]
-        sizes = np.array([len(x) for x in parts])
+        table = table.combine_chunks()
+        parts = pc.split_pattern(table.column("words"), pattern=b" ").combine_chunks()
+        sizes = np.diff(parts.offsets.to_numpy())
         ends = np.cumsum(sizes + 1)
         starts = ends - sizes - 1
         flat = np.zeros(int(ends[-1]), np.int64)
         inside = np.ones(len(flat), bool)
         inside[ends - 1] = False
-        flat[inside] = np.unique(np.concatenate(parts), return_inverse=True)[1].reshape(-1) + 1
+        flat[inside] = parts.flatten().dictionary_encode().indices.to_numpy() + 1
         index = FMIndex(flat, np.repeat(table.column("first").to_numpy(), sizes + 1), window, TABLE)
         asked = sizes - window + 1
         places = np.repeat(starts - (np.cumsum(asked) - asked), asked) + np.arange(int(asked.sum()))
@@ -179,12 +204,12 @@ def _removed(rows: DataFrame, window: int) -> DataFrame:
         cuts = np.concatenate(([0], np.cumsum(asked))).astype(np.int32)
         return pa.table([table.column("mini").combine_chunks(), table.column("key").combine_chunks(), pa.ListArray.from_arrays(pa.array(cuts), pa.array(least))], ["mini", "key", "firsts"])
 
-    matched = pieces.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards))).groupBy("shard").applyInArrow(match, "mini long, key long, firsts array<long>")
+    matched = pieces.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards))).groupBy("shard").applyInArrow(match, "mini long, key binary, firsts array<long>")
     matched = materialize(matched, "matched")
     release(spark)
     discard(segments)
 
-    # where each segment stands; those of a hot minimizer bring their words, to be told window by window
+    # where each segment stands; those of a hot minimizer are told window by window
     asked = found.select("id", "text_key", "text", "minis")
     many = hot.count()
     shared_hot = spark.sparkContext.broadcast(np.sort([r["mini"] for r in hot.collect()]).astype(np.int64) if many <= HOT_BROADCAST else None)
@@ -197,23 +222,23 @@ def _removed(rows: DataFrame, window: int) -> DataFrame:
     def place(batches):
         everywhere = shared_hot.value
         for batch in slices(batches, "text", 2 << 20):
-            if (own := _segments(batch, window)) is None:
-                continue
-            row, start, begin, sizes, least, keys, low = own
+            own = _Segments(batch, window)
             if everywhere is not None:
-                busy = np.isin(least, everywhere)
+                busy = np.isin(own.least, everywhere)
             else:
                 by_row = [set(x or ()) for x in batch.column("hot").to_pylist()]
-                busy = np.array([m in by_row[r] for r, m in zip(row.tolist(), least.tolist(), strict=True)], bool)
-            data = [low[a : a + n + window - 1].tobytes() if x else None for x, a, n in zip(busy.tolist(), begin, sizes, strict=True)]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("text_key").take(take), pa.array(start), pa.array(least), pa.array(keys), pa.array(data, pa.binary())], ["id", "text_key", "start", "mini", "key", "words"])
-
-    runs = asked.mapInArrow(place, "id long, text_key long, start int, mini long, key long, words binary")
-    whole = F.array(F.struct(F.col("start").alias("start"), F.col("mini").alias("mini"), F.col("key").alias("key")))
-    last = (F.octet_length("words") / 4).cast("int") - window
-    by_window = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((F.col("start") + i).alias("start"), F.xxhash64(F.substring(F.col("words"), 4 * i + 1, F.lit(width))).alias("mini"), F.lit(0).cast("long").alias("key")))
-    stands = runs.select("id", "text_key", F.explode(F.when(F.col("words").isNull(), whole).otherwise(by_window)).alias("x")).select("id", "text_key", "x.*")
+                busy = np.array([m in by_row[r] for r, m in zip(own.row.tolist(), own.least.tolist(), strict=True)], bool)
+            row, start, least, keys = [], [], [], []
+            for r, s, m, b, words in zip(own.row.tolist(), own.start.tolist(), own.least.tolist(), busy.tolist(), own.words(), strict=True):
+                each = _windows(words, window) if b else [words]
+                row += [r] * len(each)
+                start += range(s, s + len(each))
+                least += [None if b else m] * len(each)
+                keys += map(_key, each)
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("text_key").take(take), pa.array(start, pa.int32()), pa.array(least, pa.int64()), pa.array(keys, pa.binary())], ["id", "text_key", "start", "mini", "key"])
+
+    stands = asked.mapInArrow(place, "id long, text_key long, start int, mini long, key binary").withColumn("mini", F.coalesce("mini", F.xxhash64("key")))
     stands = stands.join(matched.hint("shuffle_hash"), ["mini", "key"])
     # which windows of the segment start in an earlier document
     gone = stands.select("id", "text_key", F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("id"), F.col("start") + i)), lambda x: x.isNotNull()).alias("at")).where(F.size("at") > 0)

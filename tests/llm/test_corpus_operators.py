@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -126,6 +127,29 @@ def test_substrings(spark, monkeypatch, hot, most):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute_removed(dict(enumerate(texts)), 13) and len(got) == len(texts)
 
 
+def test_substrings_are_told_apart_by_their_words(spark):
+    """Two words of equal low 32 bits, at the end of windows that are equal otherwise."""
+    lead = " ".join(f"w{i}" for i in range(12))
+    texts = {1: f"{lead} id108638", 2: f"{lead} id199068", 3: f"{lead}  id108638 x"}
+    got = substring_dedup.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute_removed(texts, 13)
+
+
+@pytest.mark.parametrize("hot", [substring_dedup.HOT, 2])
+def test_substrings_whatever_the_hash(spark, monkeypatch, hot):
+    """With hashes of two bits nearly all grams, minimizers and words collide; the words still decide."""
+    whole = substring_dedup.word_hashes
+    monkeypatch.setattr(substring_dedup, "word_hashes", lambda texts, fold_case=False: (whole(texts)[0] & np.uint64(3), *whole(texts)[1:]))
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    texts = made(21, n=40, words=12)
+    cloudpickle.register_pickle_by_value(substring_dedup)  # the workers get the patched module
+    try:
+        got = substring_dedup.remove_repeats(table(spark, texts)).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(substring_dedup)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute_removed(dict(enumerate(texts)), 13)
+
+
 def test_substrings_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in entry.op4_substring_dedup(spark, SMALL).collect()}
