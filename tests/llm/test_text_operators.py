@@ -90,6 +90,86 @@ def test_secrets_find_random_strings_in_paths(spark):
     assert not any("random" in got[i] for i in range(150, 153))
 
 
+ALPHABETS = {name: letters for name, _, letters in secrets.ENCODINGS}
+
+
+def keys(rnd, alphabet, n, many):
+    """Keys that their encoding's pattern takes, as a generator of such keys makes them."""
+    pattern, out = {name: p for name, p, _ in secrets.ENCODINGS}[alphabet], []
+    while len(out) < many:
+        key = "".join(rnd.choice(ALPHABETS[alphabet]) for _ in range(n))
+        if re.match(pattern, key):
+            out.append(key)
+    return out
+
+
+def plain_statistics(body, alphabet):
+    places = np.array([alphabet.index(c) + 1.0 for c in body])
+    n, k = len(places), len(alphabet)
+    counts = np.bincount(places.astype(int), minlength=k + 1)[1:]
+    chi = ((counts - n / k) ** 2 / (n / k)).sum()
+    above = places > k / 2
+    up, runs = above.sum(), 1 + (above[1:] != above[:-1]).sum()
+    mean = 2 * up * (n - up) / n + 1
+    z_runs = (runs - mean) / np.sqrt((mean - 1) * (mean - 2) / (n - 1)) if 2 * up * (n - up) > n else 9.0
+    r = np.corrcoef(places, np.roll(places, -1))[0, 1] if places.std() > 0 else None
+    shares = [(1 - secrets.LETTER_NOISE) * p / sum(secrets.LETTERS) + secrets.LETTER_NOISE / 26 for p in secrets.LETTERS]
+    kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in body]
+
+    def text(swap):
+        of, total = (1, 0, 2, 3) if swap else (0, 1, 2, 3), 0.0
+        for i, c in enumerate(body):
+            total += np.log(shares[ord(c.lower()) - 97] if c.isalpha() else 0.1 if c.isdigit() else 0.25)
+            total += np.log(secrets.CHANGES[of[kinds[i - 1]]][of[kinds[i]]]) if i else np.log(0.25)
+        return total
+
+    return n, (chi - (k - 1)) / np.sqrt(2 * (k - 1) * (1 - 1 / n)), z_runs, 9.0 if r is None else (r + 1 / n) * np.sqrt(n), -n * np.log(k) - max(text(False), text(True))
+
+
+def test_statistics_equal_a_plain_computation(spark):
+    rnd = random.Random(8)
+    bodies = [(k, a) for a in ("hex", "base62", "base64", "base32", "lower") for n in (20, 33, 70) for k in keys(rnd, a, n, 3)] + [("ab" * 12, "lower"), ("a" * 25, "lower"), ("ThisIsAName2" * 3, "base62")]
+    rows = spark.createDataFrame([(i, b, ALPHABETS[a]) for i, (b, a) in enumerate(bodies)], "i int, body string, alphabet string")
+    got = rows.select("i", secrets.statistics(secrets._characters(F.col("body"), F.col("alphabet")), F.length("alphabet").cast("double")).alias("s")).orderBy("i").collect()
+    for r in got:
+        assert np.allclose(tuple(r["s"]), plain_statistics(bodies[r["i"]][0], ALPHABETS[bodies[r["i"]][1]]), rtol=1e-6, atol=1e-6), bodies[r["i"]]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 30)), max_size=40))
+def test_thresholds_equal_a_plain_rule(spark, pairs):
+    rows = spark.createDataFrame([([{"band": b, "step": x} for b, x in pairs],)], "tests array<struct<band:int,step:int>>")
+    expected = {}
+    for band in {b for b, _ in pairs}:
+        steps = sorted((x for b, x in pairs if b == band), reverse=True)
+        accepted = [x for x in steps if 10 ** (-x / secrets.STEPS) <= secrets.FDR * sum(y >= x for y in steps) / len(steps)]
+        if accepted:
+            expected[band] = min(accepted)
+    assert secrets._thresholds(rows) == expected
+
+
+def test_recall_by_length_and_encoding(spark):
+    """At least nine of ten keys of 24 and more characters among ordinary texts and names, and no name among them."""
+    rnd = random.Random(12)
+    names = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    names += ["org_springframework_context_support", "ThisIsAVeryLongCamelCaseIdentifierName2", "HTTP_STATUS_INTERNAL_SERVER_ERROR", "Rindfleischetikettierungsueberwachung", "INTERNATIONALIZATIONALIZED", "https://Host.example/Some/Long/Path2/To/The/Article", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdef0123456789", "AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA"]
+    planted = [(a, n, k) for a in ("base62", "base64", "base64url", "base36", "BASE36", "base32", "HEX") for n in (24, 32, 40) for k in keys(rnd, a, n, 40)]
+    texts = names + [f"see {k} here" for _, _, k in planted]
+    found, got = {}, {r["doc_id"]: r["spans"] or "" for r in secrets.digests(table(spark, texts)).collect()}
+    for i, (a, n, k) in enumerate(planted):
+        found.setdefault((a, n), []).append(f"random:4:{4 + n}" in got[len(names) + i].split(",") or "access" in got[len(names) + i])
+    assert all(sum(x) >= 0.9 * len(x) for x in found.values()), {k: sum(x) for k, x in found.items()}
+    assert not any("random" in got[i] for i in range(len(names)))
+
+
+def test_many_spans_in_one_text(spark):
+    texts = [("0123456789abcdef" * 2 + " ") * 100_000, "token=abcdefgh0123 " * 50_000, "x" * 400_000, "AKIA" + "B" * 300_000]
+    got = {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in secrets.digests(table(spark, texts)).collect()}
+    assert [got[i][:3] for i in range(4)] == [(0, 0, 100_000), (50_000, 0, 0), (0, 0, 0), (0, 1, 0)]
+    assert all(got[i][3] == sha(",".join(f"{k}:{s}:{e}" for k, s, e in base_secrets(t))) for i, t in enumerate(texts))
+    assert secrets.digests(table(spark, [])).count() == 0
+
+
 def test_secrets_are_native(spark):
     plan = secrets.scan(table(spark, ["a"]))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
