@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -58,10 +59,14 @@ BESIDE = {
     "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "promoted", "related", "replies", "respond", "share", "sharing", "sidebar", "signup",
     "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget", "widgets",
 }
-#: Words that beside such a word name the same thing, where a class or id of an article's element has no others.
+#: Those of them that no article or main element below them redeems, and that an article itself may bear.
+NEVER = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "comment", "comments", "commentlist", "disqus", "promo", "promoted", "related", "replies", "respond", "sponsor", "sponsored",
+}
+#: Words that beside such a word name the same thing; a class or id with any other word names something else.
 HOLDERS = {
-    "area", "bar", "block", "box", "btn", "button", "buttons", "container", "form", "icons", "inner", "item", "items", "label", "link", "links", "list", "media", "module", "outer", "panel",
-    "posts", "section", "slot", "unit", "wrap", "wrapper",
+    "area", "article", "bar", "block", "blog", "bottom", "box", "btn", "button", "buttons", "container", "desktop", "form", "global", "icons", "inner", "item", "items", "label", "left", "link", "links", "list", "main", "media", "mobile",
+    "module", "outer", "page", "panel", "post", "posts", "primary", "reader", "right", "secondary", "section", "site", "slot", "sticky", "sub", "top", "unit", "user", "wrap", "wrapper",
 }
 #: Opening one of the keys ends an open one of the values, looked for up to the nearest of the bounds.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -75,36 +80,60 @@ DROPPED, OPEN, MAIN = 0, 1, 2
 
 
 class _Element:
-    __slots__ = ("beside", "holds", "inside", "name", "parent")
+    __slots__ = ("beside", "gone", "holds", "inside", "name", "parent")
 
     def __init__(self, name: str, parent: _Element | None, beside: int, inside: bool):
         self.name, self.parent, self.beside, self.inside, self.holds = name, parent, beside, inside, False
+        self.gone = [None, None]
 
 
-def _named_beside(names: str, inside: bool) -> bool:
-    """Whether a class or id names something beside the text: by any word or, inside an article, by all words of one name."""
-    if not inside:
-        return not BESIDE.isdisjoint(_NAME_WORD.findall(names))
-    return any(not BESIDE.isdisjoint(words) and BESIDE.union(HOLDERS).issuperset(words) for words in map(_NAME_WORD.findall, names.split()))
+def _named(names: str, inside: bool) -> int:
+    """2 or 1 if one name of a class or id says throughout that it is beside the text; inside an article a header may hold its title."""
+    out = 0
+    for words in map(set, map(_NAME_WORD.findall, names.split())):
+        found = BESIDE & words
+        if found and found | HOLDERS >= words and not (inside and found == {"header"}):
+            out = max(out, 1 if NEVER.isdisjoint(found) else 2)
+    return out
 
 
 def _beside(name: str, rest: str, inside: bool) -> int:
-    """2 if the element is never main text, 1 if its names say so, 0 otherwise; ``inside`` an article with more care."""
+    """2 if the element is never main text, 1 if its names say so unless it holds an article, 0 otherwise; ``inside`` an article with more care."""
     if name in DROP:
         return 2
-    if name in ("html", "body", "article", "main") or "=" not in rest and "hidden" not in rest:
+    if name in ("html", "body") or "=" not in rest and "hidden" not in rest:
         return 0
+    out, main = 0, name in ("article", "main")
     for m in _ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return 2
-        if key == "role" and value in ROLES:
-            return 1
-        if key == "id" and inside and (name in HEADINGS or name == "p"):
-            continue  # a slug of the text
-        if key in ("class", "id") and _named_beside(value, inside):
-            return 1
-    return 0
+        if key == "role" and value in ROLES and not main:
+            out = max(out, 1)
+        elif key in ("class", "id") and not (inside and (name in HEADINGS or name == "p" and key == "id")):  # such names follow the text
+            level = _named(value, inside)
+            out = max(out, level if not main or level == 2 else 0)
+    return out
+
+
+def _gone(element: _Element) -> bool:
+    """Whether the element or one around it is beside the text, except the headings in an article's own header.
+
+    Told once for an element and whether there is a heading below it, so that deep pages take linear time.
+    """
+    path, own, heading = [], element, False
+    while own.parent:
+        heading = heading or own.name in HEADINGS
+        if own.gone[heading] is not None:
+            break
+        path.append((own, heading))
+        own = own.parent
+    verdict = bool(own.parent and own.gone[heading])
+    for own, heading in reversed(path):
+        if not (own.name == "header" and heading and own.inside):
+            verdict = verdict or own.beside == 2 or own.beside == 1 and not own.holds
+        own.gone[heading] = verdict
+    return verdict
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
@@ -114,6 +143,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     root = _Element("", None, 0, False)
     here, parts, out = root, [], []
     found: list[tuple[_Element, str]] = []
+    stands: Counter[str] = Counter()  # open elements by name
 
     def flush() -> None:
         if parts:
@@ -124,7 +154,11 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
 
     def pop_to(element: _Element) -> None:
         nonlocal here
-        here = element.parent
+        while True:
+            stands[here.name] -= 1
+            here, last = here.parent, here
+            if last is element:
+                return
 
     at, raw = 0, None
     size = len(page)
@@ -150,6 +184,8 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 continue
             if name in BLOCK or name in DROP:
                 flush()
+            if not stands[name]:
+                continue
             e = here
             while e.parent and e.name != name:
                 if name not in BLOCK and name not in DROP and e.name in _SCOPE:
@@ -166,7 +202,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             flush()
         if name in VOID:
             continue
-        if name in BLOCK:  # a block ends an open paragraph
+        if name in BLOCK and stands["p"]:  # a block ends an open paragraph
             e = here
             while e.parent and e.name not in _SCOPE and e.name != "p":
                 e = e.parent
@@ -185,7 +221,8 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             continue
         beside = _beside(name, m["rest"], here.inside)
         here = _Element(name, here, beside, here.inside or name in ("article", "main"))
-        if name in ("article", "main"):
+        stands[name] += 1
+        if name in ("article", "main") and beside < 2:
             e = here.parent
             while e and not e.holds:
                 e.holds = True
@@ -193,19 +230,8 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
         if name in RAW:
             raw = name
     flush()
-    any_article = False
-    for e, text in found:
-        state, own, heading = MAIN if e.inside else OPEN, e, False
-        while own.parent:
-            heading = heading or own.name in HEADINGS
-            if own.name == "header" and heading and own.inside:
-                pass  # a heading inside the article's own header
-            elif own.beside == 2 or own.beside == 1 and not own.holds:
-                state = DROPPED
-                break
-            own = own.parent
-        any_article = any_article or state == MAIN
-        out.append((state, text))
+    out = [(DROPPED if _gone(e) else MAIN if e.inside else OPEN, text) for e, text in found]
+    any_article = any(state == MAIN for state, _ in out)
     if any_article:
         out = [(DROPPED if state == OPEN else state, text) for state, text in out]
     return out

@@ -283,6 +283,36 @@ def test_slugs_inside_an_article_keep_its_text():
     assert [t for s, t in html_text.blocks(page) if s == html_text.MAIN] == list("ABCDEF")
 
 
+@pytest.mark.parametrize("html, kept", [
+    ('<article><h2 class="section-header">Title</h2><p>a</p></article>', ["Title", "a"]),
+    ('<article><div class="section-header"><h2>Title</h2></div><p>a</p></article>', ["Title", "a"]),
+    ('<article><div class="entry-content share-enabled"><p>a</p></div></article>', ["a"]),
+    ('<main><p class="notice-period">a</p></main>', ["a"]),
+    ('<div class="layout with-sidebar"><p>main text</p><div class="left-sidebar">s</div></div>', ["main text"]),
+    ('<article><p>a</p></article><section id="comments"><article class="comment"><p>c</p></article></section>', ["a"]),
+    ('<article><p>a</p><div class="post-comments"><article><p>c</p></article></div></article>', ["a"]),
+    ('<article><p>a</p></article><div class="related"><article><p>teaser</p></article></div>', ["a"]),
+    ('<div class="site-header"><article><p>a</p></article></div>', ["a"]),
+    ('<p>text</p><article class="comment"><p>c</p></article>', ["text"]),
+    ('<article class="post category-social tag-ads"><p>a</p></article>', ["a"]),
+    ('<article><header><h1>T</h1><p>by me</p></header><p>a</p></article>', ["T", "a"]),
+])
+def test_names_beside_the_text(html, kept):
+    assert [t for s, t in html_text.blocks(f"<body>{html}</body>") if s != html_text.DROPPED] == kept
+
+
+def test_deep_and_long_pages(spark):
+    import time
+
+    began = time.perf_counter()
+    deep = "<div>" * 20_000 + "<p>inside</p>" + "</p></div>" * 20_000 + "x</span>" * 20_000
+    assert ("inside" in dict((t, s) for s, t in html_text.blocks(deep))) and time.perf_counter() - began < 5
+    long = "<body><article>" + "".join(f"<p>paragraph {i} of a very long page</p>" for i in range(60_000)) + "</article></body>"
+    frame = pages(spark, [(1, "http://h/1", long), (2, "http://h/2", deep)]).select("*", *(F.lit(1).alias(n) for n in ("id", "host", "part", "whole", "blocks", "text", "n_chars", "run", "slices")))
+    got = {r["page_id"]: r for r in html_text.extract(frame).collect()}
+    assert got[1]["text"].count("\n\n") == 59_999 and got[1]["n_chars"] == len(got[1]["text"]) and got[2]["text"].startswith("inside")
+
+
 def test_repeated_blocks_go_where_no_article_tells(spark):
     common = "this line stands on every single page of the host and is boilerplate"
     rows = [(i, f"http://h.example/{i}", f"<body><div>{common}</div><div>own words of page {i} " + " ".join(f"w{i}x{j}" for j in range(20)) + "</div></body>") for i in range(6)]
