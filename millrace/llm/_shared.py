@@ -17,21 +17,30 @@ ARROW_ROWS = 1024
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where that is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on one machine."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = getattr(spark.sparkContext, "_millrace_scratch", None)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = getattr(context, "_millrace_scratch", None)
         if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
-            spark.sparkContext._millrace_scratch = folder
+            folder = context._millrace_scratch = "file://" + tempfile.mkdtemp(prefix="millrace-")
     return folder.rstrip("/")
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Have an intermediate folder deleted when the application ends, as results may read it until then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
+    """Cut the lineage: write ``df`` as Parquet in the shared folder, until the application ends, and read it back."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/millrace/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    until_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out
