@@ -1,8 +1,14 @@
 """Every query with SQL gives DuckDB's rows; those without run."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 
 from millrace.plans import catalog
+from tests.conftest import ROOT
 from tests.oracle import assert_same
 
 SF = "/root/testdata/sf0.001"
@@ -25,6 +31,17 @@ def test_entry_points(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+@pytest.mark.parametrize("gone", [["millrace/llm", "tests/llm"], ["millrace/llm", "tests/llm", "corpus_pipeline.py"]])
+def test_entry_points_without_the_training_data_operators(tmp_path, gone):
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    for name in gone:
+        shutil.rmtree(copy / name, ignore_errors=True)
+        (copy / name).unlink(missing_ok=True)
+    told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True, check=True)
+    assert told.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLE_SQL))]
+
+
 def test_shapes_of_plans(spark):
     """The words of a document are unnested after its rows are dealt, and pairs need no exchange of their own."""
     plan = catalog.QUERIES["dice_pairs_threshold"](spark, SF)._jdf.queryExecution().executedPlan().toString()
