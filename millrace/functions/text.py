@@ -81,3 +81,8 @@ def size_label(octets: Column) -> Column:
 def unique_matches(text: Column, pattern: str, most: int) -> Column:
     """Distinct matches in order of appearance, ``most`` at most (a report shows no more)."""
     return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), 1, most)
+
+
+def first_error(notes: Column) -> Column:
+    """The first note of a source that failed or returned nothing; null without one."""
+    return F.get(F.filter(notes, lambda n: F.lower(n).rlike("failed|returned")), F.lit(0))

@@ -2,95 +2,164 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions import similarity as S, text as T
+from millrace.operators import mapside
 
-#: A query side is broadcast only up to this many rows; beyond it the joins shuffle.
-BROADCAST_ROWS = 10_000
-#: Blocks that a query side beyond it is dealt into for pairwise scores.
-QUERY_BLOCKS = 64
+#: Digits of a score that count in an order, so that a tie doesn't hang on the order of a sum.
+DIGITS = 12
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most so many rows; reads no more than it needs to tell."""
-    return df.limit(rows + 1).count() <= rows
+def tokenized(df: DataFrame, prefix: str) -> DataFrame:
+    """``<prefix>key, words`` of ``df (key, text)``."""
+    return df.select(F.col("key").alias(f"{prefix}key"), T.token_set(F.col("text")).alias("words"))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Ask for a broadcast if the table's size was checked to be small."""
-    return F.broadcast(df) if is_small(df, rows) else df
+def _dice(block: mapside.Block, rows: pa.RecordBatch) -> np.ndarray:
+    """Twice the common words by all words, per row and query; 0 where either has none."""
+    own = np.diff(rows.column("words").offsets.to_numpy())
+    total = own[:, None] + block.sizes
+    return np.where((own[:, None] > 0) & (block.sizes > 0), 2.0 * block.common(rows.column("words")) / np.maximum(total, 1), 0.0)
 
 
-def tokenized(df: DataFrame, key: str, text: str, prefix: str) -> DataFrame:
-    """``<prefix>key, <prefix>tokens, <prefix>size``."""
-    out = df.select(F.col(key).alias(f"{prefix}key"), T.token_set(F.col(text)).alias(f"{prefix}tokens"))
-    return out.withColumn(f"{prefix}size", F.size(f"{prefix}tokens"))
+def dice_threshold(queries: DataFrame, corpus: DataFrame, least: float = S.DUAL) -> DataFrame:
+    """``q_key, c_key, lex`` of the pairs with Dice of ``least`` or more (more than 0)."""
 
+    def score(block, rows):
+        lex = _dice(block, rows)
+        row, query = np.nonzero((lex >= least) & (lex > 0))
+        return row, query, lex[row, query]
 
-def dice_pairs(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``q_key, c_key, lex`` of every pair with a common word.
+    return mapside.scored(tokenized(mapside.spread(corpus), "c_"), tokenized(queries, "q_"), score, "lex double")
 
-    An equi-join on words.  The corpus is dealt by key before its words are unnested, so its texts are
-    tokenised on all cores and the count per pair needs no further exchange: the partitioning by the
-    corpus key already holds each pair together.
-    """
-    c = tokenized(corpus.repartition(F.col("key")), "key", "text", "c_")
-    q = tokenized(queries, "key", "text", "q_")
-    words = small(q.select("q_key", "q_size", F.explode("q_tokens").alias("word")), 64 * BROADCAST_ROWS)
-    pairs = c.select("c_key", "c_size", F.explode("c_tokens").alias("word")).join(words, "word")
-    counted = pairs.groupBy("c_key", "q_key", "c_size", "q_size").agg(F.count(F.lit(1)).alias("common"))
-    return counted.select("q_key", "c_key", S.dice(F.col("common"), F.col("q_size"), F.col("c_size")).alias("lex"))
+
+def dice_pairs(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``q_key, c_key, lex`` of every pair with a common word."""
+    return dice_threshold(queries, corpus, 0.0)
 
 
 def dice_topk(queries: DataFrame, corpus: DataFrame, k: int = S.TOP_INSTRUCTIONS) -> DataFrame:
-    """``q_key, rank, c_key, lex``: the k best by Dice, ties in corpus order.
+    """``q_key, rank, c_key, lex``: the k best of the texts that aren't blank by Dice, 0 too, ties in corpus order."""
 
-    Pairs without a common word score 0 and rank by order alone, so at most the first 2k rows of the
-    corpus can be needed to fill a rank.
-    """
-    pairs = dice_pairs(queries, corpus)
-    filling = corpus.where(F.trim("text") != "").orderBy("key").limit(2 * k).select(F.col("key").alias("c_key"))
-    zero = queries.select(F.col("key").alias("q_key")).crossJoin(F.broadcast(filling)).withColumn("lex", F.lit(0.0))
-    # a pair that is there twice keeps its larger score: the filling rows' 0 never wins over a count
-    ranked = pairs.withColumn("filling", F.lit(0)).unionByName(zero.withColumn("filling", F.lit(1)))
-    per_pair = Window.partitionBy("q_key").orderBy(F.desc("lex"), "c_key", "filling")
-    few = ranked.withColumn("n", F.row_number().over(per_pair)).where(F.col("n") <= 3 * k)  # both kinds of the best k are among them
-    scored = few.groupBy("q_key", "c_key").agg(F.max("lex").alias("lex"))
-    best = Window.partitionBy("q_key").orderBy(F.desc("lex"), "c_key")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q_key", "rank", "c_key", "lex")
+    def score(block, rows):
+        lex = _dice(block, rows)
+        row, query = mapside.first_rows((-lex,), k)
+        return row, query, lex[row, query]
 
+    texts = mapside.spread(corpus).where(F.trim("text") != "")
+    few = mapside.scored(tokenized(texts, "c_"), tokenized(queries, "q_"), score, "lex double")
+    return top(few, "q_key", "lex", "c_key", k).select("q_key", "rank", "c_key", "lex")
 
-def dice_threshold(queries: DataFrame, corpus: DataFrame, least: float = S.DUAL) -> DataFrame:
-    """Pairs with Dice of ``least`` or more; sizes that can't reach it are left out before the count."""
-    ratio = least / (2 - least)
-    c = tokenized(corpus.repartition(F.col("key")), "key", "text", "c_")
-    q = tokenized(queries, "key", "text", "q_")
-    words = small(q.select("q_key", "q_size", F.explode("q_tokens").alias("word")), 64 * BROADCAST_ROWS)
-    pairs = c.select("c_key", "c_size", F.explode("c_tokens").alias("word")).join(words, "word").where(F.least("c_size", "q_size") >= ratio * F.greatest("c_size", "q_size"))
-    counted = pairs.groupBy("c_key", "q_key", "c_size", "q_size").agg(F.count(F.lit(1)).alias("common"))
-    return counted.select("q_key", "c_key", S.dice(F.col("common"), F.col("q_size"), F.col("c_size")).alias("lex")).where(F.col("lex") >= least)
+
+def _vectors(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(F.col("key").alias(f"{prefix}key"), F.transform("v", lambda x: x.cast("double")).alias("v"))
 
 
 def cosine_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """``q_key, c_key, sem`` of every query against every vector (columns ``key, v``): exact, no index."""
-    double = F.transform("v", lambda x: x.cast("double"))
-    q = queries.select(F.col("key").alias("q_key"), double.alias("q_v")).withColumn("q_norm", S.norm(F.col("q_v")))
-    c = vectors.repartition(F.col("key")).select(F.col("key").alias("c_key"), double.alias("c_v")).withColumn("c_norm", S.norm(F.col("c_v")))
-    if is_small(q):
-        both = c.join(F.broadcast(q), how="cross")
-    else:  # a stated query set against all rows, in blocks of queries
-        q = q.withColumn("block", F.pmod(F.xxhash64("q_key"), F.lit(QUERY_BLOCKS)))
-        both = c.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(QUERY_BLOCKS - 1)))).withColumn("block", F.col("block").cast("long")).join(q, "block")
-    return both.select("q_key", "c_key", S.cosine(F.col("q_v"), F.col("c_v"), F.col("q_norm"), F.col("c_norm")).alias("sem"))
+
+    def score(block, rows):
+        sem = block.cosines(rows.column("v"))
+        row, query = np.nonzero(~np.isnan(sem))
+        return row, query, sem[row, query]
+
+    return mapside.scored(_vectors(mapside.spread(vectors), "c_"), _vectors(queries, "q_"), score, "sem double")
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = S.TOP_INSTRUCTIONS, itself: bool = False) -> DataFrame:
+    """``q_key, rank, c_key, sem``: the k nearest vectors, ties in corpus order; a query's own key only if asked for."""
+
+    def score(block, rows):
+        sem = block.cosines(rows.column("v"))
+        gone = np.isnan(sem)
+        if not itself:
+            gone |= np.equal.outer(rows.column("c_key").to_numpy(zero_copy_only=False), block.keys.to_numpy(zero_copy_only=False))
+        row, query = mapside.first_rows((gone, -np.round(sem, DIGITS)), k)
+        stays = ~gone[row, query]
+        return row[stays], query[stays], sem[row, query][stays]
+
+    few = mapside.scored(_vectors(mapside.spread(vectors), "c_"), _vectors(queries, "q_"), score, "sem double")
+    return top(few, "q_key", "sem", "c_key", k).select("q_key", "rank", "c_key", "sem")
 
 
 def top(scored: DataFrame, by: str, score: str, order: str, k: int) -> DataFrame:
     """The k best rows per key, ties by ``order``; only the report's length is limited."""
-    best = Window.partitionBy(by).orderBy(F.desc(score), F.asc(order))
+    best = Window.partitionBy(by).orderBy(F.desc(F.round(score, DIGITS)), F.asc(order))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def precheck(submissions: DataFrame, corpus: DataFrame, k: int = S.TOP_INSTRUCTIONS) -> DataFrame:
+    """The search as it is run: words and meaning against the whole corpus, merged, decided and ranked.
+
+    ``submissions (key, text, name, v)`` and ``corpus (key, text, label, v)``: ``name`` leaves out the corpus
+    rows whose label holds it (a blank one none), a null ``v`` is a text without a vector, whose meaning is
+    unknown.  Returns ``q_key, rank, c_key`` with scores, flag and reason of the k first rows by flag, meaning,
+    words and corpus order.  Blank texts are no part of the corpus.
+    """
+
+    def score(block, rows):
+        lex, sem = np.round(_dice(block, rows), DIGITS), np.round(block.cosines(rows.column("v")), DIGITS)
+        label = rows.column("label")
+        gone = np.zeros(lex.shape, bool)
+        for i, name in enumerate(block.names):
+            if name:
+                gone[:, i] = pc.match_substring(label, name).to_numpy(zero_copy_only=False)
+        flagged = (sem >= S.MEANING) | (sem >= S.DUAL) & (lex >= S.DUAL)
+        row, query = mapside.first_rows((gone, ~flagged, -np.nan_to_num(sem, nan=-1.0), -lex), k)
+        stays = ~gone[row, query]
+        row, query = row[stays], query[stays]
+        return row, query, lex[row, query], pa.array(sem[row, query], from_pandas=True)
+
+    texts = mapside.spread(corpus).where(F.trim("text") != "")
+    double = F.transform("v", lambda x: x.cast("double")).alias("v")
+    c = texts.select(F.col("key").alias("c_key"), T.token_set(F.col("text")).alias("words"), F.lower(F.coalesce("label", F.lit(""))).alias("label"), double)
+    q = submissions.select(F.col("key").alias("q_key"), T.token_set(F.col("text")).alias("words"), F.lower(F.trim(F.coalesce("name", F.lit("")))).alias("name"), double)
+    return ranked(decided(mapside.scored(c, q, score, "lex double, sem double")), "q_key", "c_key", k)
+
+
+def _whole_percent(share: Column) -> Column:
+    return F.concat(F.bround(share * 100, 0).cast("int").cast("string"), F.lit("%"))
+
+
+def messages(submissions: DataFrame, hits: DataFrame, corpus_count: Column, load_notes: Column | None = None) -> DataFrame:
+    """``q_key, blocked, max_similarity, meaning_ran, corpus_count, message, notes`` of every submission.
+
+    ``hits`` are ranked and have the corpus row's ``task`` and ``trainer``; ``load_notes`` is what loading the
+    corpus had to say.  A blank submission is told so; without a corpus the first note of an error is shown.
+    """
+    first = lambda c, when: F.min_by(c, F.when(when, F.col("rank")))
+    flagged, every = F.col("flagged"), F.lit(True)
+    wanted = ("task", "trainer", "lex", "sem", "block_reason")
+    told = hits.groupBy("q_key").agg(
+        F.bool_or("flagged").alias("blocked"), F.min_by("score", "rank").alias("max_similarity"), F.bool_or(F.col("sem").isNotNull()).alias("meaning_ran"),
+        *(first(c, every).alias(f"top_{c}") for c in wanted), *(first(c, flagged).alias(f"hit_{c}") for c in wanted),
+    )
+    out = submissions.select(F.col("key").alias("q_key"), F.trim(F.coalesce("text", F.lit(""))).alias("text")).join(told, "q_key", "left")
+    out = out.withColumn("corpus_count", corpus_count).withColumn("_load", load_notes if load_notes is not None else F.array().cast("array<string>"))
+    shares = lambda p: F.concat(F.lit("words "), _whole_percent(F.col(f"{p}_lex")), F.lit(", meaning "), _whole_percent(F.coalesce(f"{p}_sem", F.lit(0.0))))
+    rule = f"both {S.DUAL:.0%} or more, or meaning {S.MEANING:.0%} or more"
+    reason = F.when(F.col("hit_block_reason") == "meaning", f"meaning {S.MEANING:.0%} or more").otherwise(f"words and meaning {S.DUAL:.0%} or more")
+    trainer = F.coalesce(F.nullif(F.col("hit_trainer"), F.lit("")), F.lit("unknown"))
+    block = F.concat(F.lit("Choose another task: the nearest existing text is "), F.col("hit_task"), F.lit(" (by "), trainer, F.lit("): "), shares("hit"), F.lit(" ("), reason, F.lit(")."))
+    some, ran, blocked = F.col("top_task").isNotNull(), F.coalesce("meaning_ran", F.lit(False)), F.coalesce("blocked", F.lit(False))
+    message = (
+        F.when(F.col("text") == "", "There is no text to check.")
+        .when(blocked, block)
+        .when(some & ran, F.concat(F.lit("Nothing too near: the nearest text has "), shares("top"), F.lit(f" ({rule} is flagged).")))
+        .when(some, F.concat(F.lit("Compared by words alone, as meaning was not compared: the nearest text has words "), _whole_percent(F.col("top_lex")), F.lit(".")))
+        .when(F.col("corpus_count") == 0, F.concat_ws(" ", F.lit("There are no texts to compare with."), T.first_error(F.col("_load"))))
+        .otherwise("Nothing was found.")
+    )
+    how = F.when(ran, F.concat(F.lit("Meaning was compared with "), F.col("corpus_count").cast("string"), F.lit(" texts."))).otherwise("Meaning was not compared.")
+    notes = F.when((F.col("text") == "") | (F.col("corpus_count") == 0), F.col("_load")).otherwise(F.concat("_load", F.array(how, F.col("message"))))
+    out = out.withColumn("message", message).withColumn("notes", notes)
+    return out.select("q_key", blocked.alias("blocked"), F.coalesce("max_similarity", F.lit(0.0)).alias("max_similarity"), ran.alias("meaning_ran"), "corpus_count", "message", "notes")
+
+
 def decided(scored: DataFrame, lex: str = "lex", sem: str = "sem") -> DataFrame:
     """Add ``flagged, block_reason, method, score, flag_label`` to rows with both scores."""
     x, y = F.coalesce(F.col(lex), F.lit(0.0)), F.col(sem)
@@ -104,12 +173,6 @@ def ranked(hits: DataFrame, by: str, order: str, k: int = S.TOP_INSTRUCTIONS) ->
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def merged(lexical: DataFrame, semantic: DataFrame) -> DataFrame:
-    """Scores of both kinds by pair: words default to 0, meaning to none."""
-    both = lexical.join(semantic, ["q_key", "c_key"], "full")
-    return both.select("q_key", "c_key", F.coalesce("lex", F.lit(0.0)).alias("lex"), "sem")
-
-
 def blocked(hits: DataFrame, by: str) -> DataFrame:
     """Per key: whether any hit is flagged, and the first-ranked score (which need not be the largest)."""
     return hits.groupBy(by).agg(F.coalesce(F.bool_or("flagged"), F.lit(False)).alias("blocked"), F.min_by("score", "rank").alias("max_similarity"), F.min(F.when(F.col("flagged"), F.col("rank"))).alias("first_flagged"))

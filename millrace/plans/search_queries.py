@@ -70,16 +70,11 @@ _COSINE = """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS
     scored AS (SELECT q.vec_id AS q_key, c.vec_id AS c_key, list_cosine_similarity(q.e, c.e) AS sem FROM v q CROSS JOIN v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)"""
 
 
-def _cosines(spark, d):
-    """Every vector whose id is divisible by 100 is a query, against all vectors but itself."""
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("key"), F.col("embedding").alias("v"))
-    return search.cosine_pairs(rows.where("key % 100 = 0"), rows).where("q_key != c_key")
-
-
 @query(f"WITH {_COSINE}, r AS (SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY round(sem, 9) DESC, c_key) AS r FROM scored) SELECT q_key, CAST(r AS INTEGER) AS rank, c_key, round(sem, 6) AS sem FROM r WHERE r <= 10")
 def cosine_topk(spark, d):
-    pairs = _cosines(spark, d).withColumn("near", F.round("sem", 9))
-    return search.top(pairs, "q_key", "near", "c_key", S.TOP_INSTRUCTIONS).select("q_key", "rank", "c_key", F.round("sem", 6).alias("sem"))
+    """Every vector whose id is divisible by 100 is a query, against all vectors but itself."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("key"), F.col("embedding").alias("v"))
+    return search.cosine_topk(rows.where("key % 100 = 0"), rows).withColumn("sem", F.round("sem", 6))
 
 
 _REASON = "CASE WHEN sem IS NULL THEN '' WHEN lex >= 0.6 AND sem >= 0.6 THEN 'dual' WHEN sem >= 0.7 THEN 'meaning' ELSE '' END"

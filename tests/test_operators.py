@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions import similarity as S, text as T
-from millrace.operators import gates, report, rules, search, tfidf, verdicts
+from millrace.operators import gates, mapside, report, rules, search, tfidf, verdicts
 from millrace.plans import fixtures
 from millrace.sources import bundles, options, sheets, vectors
 from millrace.streaming import submissions
@@ -63,11 +63,24 @@ def test_cosine_guards(spark):
     assert {k: got[k] for k in (0, 1, 2, 3, 4)} == {0: 1.0, 1: 0.0, 2: 0.0, 3: 0.0, 4: 1.0}
 
 
-def test_cosine_in_blocks_gives_the_same(spark, monkeypatch):
-    rows = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(20)], "key long, v array<double>")
-    plain = sorted(map(tuple, search.cosine_pairs(rows, rows).collect()))
-    monkeypatch.setattr(search, "is_small", lambda df, rows=0: False)
-    assert sorted(map(tuple, search.cosine_pairs(rows, rows).collect())) == plain
+
+@pytest.mark.parametrize("postings, pairs", [(mapside.POSTINGS, 7), (40, mapside.PAIRS)])
+def test_blocks_of_queries_give_the_same(spark, monkeypatch, postings, pairs):
+    rows = spark.createDataFrame([(i, [float(i), 1.0, 2.0], f"w{i % 5} w{i % 3} x") for i in range(20)], "key long, v array<double>, text string")
+    found = lambda: [sorted(map(tuple, f(rows, rows).collect())) for f in (search.cosine_pairs, search.dice_pairs, search.dice_topk, tfidf.topk)]
+    plain = found()
+    monkeypatch.setattr(mapside, "POSTINGS", postings), monkeypatch.setattr(mapside, "PAIRS", pairs)
+    assert found() == plain
+
+
+def test_no_text_is_shuffled(spark):
+    """Over a corpus of many parts nothing is exchanged but the best rows of each task."""
+    rows = spark.range(1000, numPartitions=64).select(F.col("id").alias("key"), F.lit("some text").alias("text"), F.array(F.lit(1.0)).alias("v"), F.lit("").alias("label"), F.lit("").alias("name"))
+    few = rows.where("key < 3")
+    for found in (search.dice_topk(few, rows), search.dice_threshold(few, rows), search.cosine_topk(few, rows), search.precheck(few, rows), tfidf.topk(few, rows)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        below = plan[plan.index("MapInArrow") :]
+        assert "Exchange" not in below and plan.count("Exchange") <= 1
 
 
 def test_exclusions(spark):

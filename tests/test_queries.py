@@ -40,10 +40,3 @@ def test_entry_points_without_the_training_data_operators(tmp_path, gone):
         (copy / name).unlink(missing_ok=True)
     told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True, check=True)
     assert told.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLE_SQL))]
-
-
-def test_shapes_of_plans(spark):
-    """The words of a document are unnested after its rows are dealt, and pairs need no exchange of their own."""
-    plan = catalog.QUERIES["dice_pairs_threshold"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert plan.count("Exchange hashpartitioning") == 1
