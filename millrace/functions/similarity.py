@@ -42,8 +42,10 @@ def combined(lex: Column, sem: Column) -> Column:
     return F.greatest(lex, F.coalesce(sem, F.lit(0.0)))
 
 
-def flag_label(blocked: Column, reason: Column) -> Column:
-    return F.when(~blocked, "No").when(reason == "meaning", "YES (meaning ≥70%)").when(reason == "dual", "YES (both ≥60%)").otherwise("YES")
+def flag_label(blocked: Column, reason: Column, short: bool = False) -> Column:
+    """Why a match is flagged, in the wording of reports or the shorter one of lists."""
+    why = {"meaning": "YES · meaning ≥70%", "dual": "YES · both ≥60%"} if short else {"meaning": "YES (meaning ≥70%)", "dual": "YES (both ≥60%)"}
+    return F.when(~blocked, "No").when(reason == "meaning", why["meaning"]).when(reason == "dual", why["dual"]).otherwise("YES")
 
 
 def excludes(key: Column, name: Column) -> Column:

@@ -7,7 +7,7 @@ rule order.  No rule needs a scan or a join of its own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions import text as T
 
@@ -34,6 +34,30 @@ NOT_COUNTED = ["Dockerfile", "docker-compose.yaml", "docker-compose.yml"]
 TIMEOUT = 1800
 SMALL_FILES = 20
 
+#: What to do about an issue, by its rule; rules that aren't listed say nothing.
+HINTS = {
+    "ST1": "Fix zip layout — files must be at archive root (not nested in a folder).",
+    "ST2": "Add environment/.../SPEC.md — required behavioral reference.",
+    "S01": "Remove all comments — task.toml must have ZERO comments",
+    "S02": "Remove the name = line — it causes AutoEval BUILD FAILURE",
+    "S03": "Add allow_internet = false under [environment]",
+    "S05": "Use 'small' (>=20 files) or 'large'",
+    "S06": f"Valid: {sorted(SUBCATEGORIES)}. Use subcategories = [] if none fit.",
+    "S12": "Add [agent] with timeout_sec = 1800.0",
+    "S13": "Remove it",
+    "S15": "Add @sha256:<digest> to pin the image",
+    "S18": "Use debian:bookworm-slim@sha256:… and install compilers/Go tarball explicitly",
+    "S19": "Install Go from official tarball on debian:bookworm-slim (~80MB base)",
+    "S20": "Bake pytest into the Dockerfile",
+    "S21": "Bake pytest-json-ctrf into the Dockerfile (test.sh needs ctrf.json)",
+    "S22": "Remove references to solve.sh, solution/, oracle",
+    "S23": "Re-derive expected values from the spec — never import solution/",
+    "S24": "Run the oracle and fill in actual hash values",
+    "S27": "Move all test deps to Dockerfile",
+    "S28": "Add more fixture files or split large JSONs",
+    "R0": "Paste or upload rubrics.txt.",
+}
+
 ISSUE = "array<struct<rule_id:string,severity:string,message:string>>"
 
 
@@ -63,6 +87,12 @@ def _decimal(value: Column) -> Column:
     return F.when(F.abs(value) >= 1e7, F.format_string("%.1f", value)).otherwise(value.cast("string"))
 
 
+def hinted(issues: DataFrame) -> DataFrame:
+    """Add ``fix_hint``, empty where a rule has none."""
+    hints = F.create_map(*(F.lit(x) for pair in HINTS.items() for x in pair))
+    return issues.withColumn("fix_hint", F.coalesce(F.element_at(hints, F.col("rule_id")), F.lit("")))
+
+
 def side_by_side(files: DataFrame) -> DataFrame:
     """One row per bundle: the six files' texts, whether there is a SPEC.md, and the environment's file count.
 
@@ -169,15 +199,15 @@ def count_rules() -> Column:
 
 
 def static_issues(files: DataFrame) -> DataFrame:
-    """``bundle_id, seq, rule_id, severity, message``; content rules run only where no file is missing."""
+    """``bundle_id, seq, rule_id, severity, message, fix_hint``; content rules run only where no file is missing."""
     found = side_by_side(files).withColumn("structure", structure())
     whole = F.forall("structure", lambda i: i["rule_id"] != "ST1")
     issues = F.concat(F.col("structure"), F.when(whole, F.concat(toml_rules(), docker_rules(), test_rules(), count_rules())).otherwise(_none()))
-    return found.select("bundle_id", F.posexplode(issues).alias("seq", "issue")).select("bundle_id", "seq", "issue.*")
+    return hinted(found.select("bundle_id", F.posexplode(issues).alias("seq", "issue")).select("bundle_id", "seq", "issue.*"))
 
 
 def rubric_issues(rubrics: DataFrame) -> DataFrame:
-    """``bundle_id, seq, rule_id, severity, message`` of rubric texts (columns ``bundle_id, text``)."""
+    """``bundle_id, seq, rule_id, severity, message, fix_hint`` of rubric texts (columns ``bundle_id, text``)."""
     strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
     kept = F.filter(F.transform(T.lines(F.coalesce("text", F.lit(""))), strip), lambda x: x != "")
 
@@ -202,7 +232,14 @@ def rubric_issues(rubrics: DataFrame) -> DataFrame:
     blank = F.array(_one("R0", "MEDIUM", "No rubrics uploaded")).cast(ISSUE)
     rows = rubrics.withColumn("scored", F.transform(kept, scored))
     issues = F.when(F.size("scored") == 0, blank).otherwise(F.concat(F.flatten(F.transform("scored", of_line)), sums))
-    return rows.select("bundle_id", F.posexplode(issues).alias("seq", "issue")).select("bundle_id", "seq", "issue.*")
+    return hinted(rows.select("bundle_id", F.posexplode(issues).alias("seq", "issue")).select("bundle_id", "seq", "issue.*"))
+
+
+def all_issues(static: DataFrame, rubric: DataFrame) -> DataFrame:
+    """Static issues, then rubric issues, numbered through per bundle."""
+    both = static.withColumn("_part", F.lit(0)).unionByName(rubric.withColumn("_part", F.lit(1)))
+    order = Window.partitionBy("bundle_id").orderBy("_part", "seq")
+    return both.withColumn("seq", (F.row_number().over(order) - 1).cast("int")).drop("_part")
 
 
 def rubric_totals_of(scored: Column) -> tuple[Column, Column]:

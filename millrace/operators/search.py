@@ -98,7 +98,8 @@ def precheck(submissions: DataFrame, corpus: DataFrame, k: int = S.TOP_INSTRUCTI
     ``submissions (key, text, name, v)`` and ``corpus (key, text, label, v)``: ``name`` leaves out the corpus
     rows whose label holds it (a blank one none), a null ``v`` is a text without a vector, whose meaning is
     unknown.  Returns ``q_key, rank, c_key`` with scores, flag and reason of the k first rows by flag, meaning,
-    words and corpus order.  Blank texts are no part of the corpus.
+    words and corpus order.  Blank texts are no part of the
+    corpus, and blank submissions find nothing.
     """
 
     def score(block, rows):
@@ -117,7 +118,7 @@ def precheck(submissions: DataFrame, corpus: DataFrame, k: int = S.TOP_INSTRUCTI
     texts = mapside.spread(corpus).where(F.trim("text") != "")
     double = F.transform("v", lambda x: x.cast("double")).alias("v")
     c = texts.select(F.col("key").alias("c_key"), T.token_set(F.col("text")).alias("words"), F.lower(F.coalesce("label", F.lit(""))).alias("label"), double)
-    q = submissions.select(F.col("key").alias("q_key"), T.token_set(F.col("text")).alias("words"), F.lower(F.trim(F.coalesce("name", F.lit("")))).alias("name"), double)
+    q = submissions.where(F.trim("text") != "").select(F.col("key").alias("q_key"), T.token_set(F.col("text")).alias("words"), F.lower(F.trim(F.coalesce("name", F.lit("")))).alias("name"), double)
     return ranked(decided(mapside.scored(c, q, score, "lex double, sem double")), "q_key", "c_key", k)
 
 

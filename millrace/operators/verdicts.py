@@ -46,15 +46,53 @@ def files_block(files: DataFrame) -> DataFrame:
     # of several SPEC.md the first by path
     of = lambda n: F.min_by(F.when(name == n, F.col("content")), F.when(name == n, F.col("path")))
     side = files.groupBy("bundle_id").agg(*(of(n).alias(f"f{i}") for i, n in enumerate(PROMPT_FILES)))
-    parts = [F.concat(F.lit(f"===== SUBMITTED {n} =====\n"), T.truncated(F.col(f"f{i}"), TOML_CHARS if n == "task.toml" else FILE_CHARS)) for i, n in enumerate(PROMPT_FILES)]
+    parts = [F.concat(F.lit(f"<<< {n} >>>\n"), T.truncated(F.col(f"f{i}"), TOML_CHARS if n == "task.toml" else FILE_CHARS)) for i, n in enumerate(PROMPT_FILES)]
     return side.select("bundle_id", F.concat(F.lit("\n"), F.concat_ws("\n\n", *parts), F.lit("\n")).alias("block"))
 
 
-def prompts(files: DataFrame, templates: dict[str, str], guard: str) -> DataFrame:
-    """``bundle_id, check_key, prompt`` of the checks that apply: guard, template and files."""
-    body = F.create_map(*(F.lit(x) for pair in templates.items() for x in pair))
+#: What every prompt begins with: who judges, what may not be objected to, and the form of the answer.
+PERSONA = "You review tasks that are submitted for a benchmark. Judge only what the files below say; quote them where you object."
+GUARD = "Folder layout and required files were checked before and are in order; do not report them."
+ANSWER = 'Answer with one JSON object: {"verdict": "PASS", "NEEDS_WORK" or "REJECT", "alignment_score": 0 to 100, "reasoning": text, "gaps": [{"file": name, "issue": text, "fix": text}]}.'
+#: What each check asks.
+QUESTIONS = {
+    "instruction_vs_all_refs": "Compare the instruction with every accepted instruction below. Is it of their kind and depth, and is it a task of its own? For each add to reference_comparisons an object with reference_task, structural_alignment, differentiation_score, too_similar and issues.",
+    "accepted_pattern": "Does the task follow the pattern of the accepted tasks below without copying one? Set copy_paste_risk and too_similar_to_existing.",
+    "instruction_spec": "Do the instruction and SPEC.md ask for the same behaviour, and does neither leave out or contradict what the other fixes?",
+    "instruction_test": "Does every assertion of the tests follow from the instruction, and is every demand of the instruction tested? Set instruction_leaks_rules if it gives the checks away.",
+    "spec_test": "Do the tests check what SPEC.md fixes, no more and no less? Set unused_hash_checks if expected hashes are never compared.",
+    "solution_instruction": "Does the solution do what the instruction asks by working it out? Set hardcoded_solution if it writes down results.",
+    "solution_spec": "Does the solution keep to SPEC.md, edge cases included?",
+    "solution_test": "Would the solution pass the tests, and could something that doesn't solve the task pass them too? Set bypass_possible if so.",
+    "environment": "Do the Dockerfile and task.toml give the task what it needs, and nothing that gives the solution away?",
+}
+#: The checks that are shown the accepted references, as whole texts or as a digest.
+WITH_LIST, WITH_DIGEST = "instruction_vs_all_refs", "accepted_pattern"
+
+
+def closest(instruction_hits: DataFrame, spec_hits: DataFrame, most: int = 1500) -> DataFrame:
+    """``bundle_id, closest``: the first match of the instruction and of the SPEC, each with the beginning of its text (``q_key, rank, task, score, text``)."""
+    one = lambda hits, what: hits.where("rank = 1").select(F.col("q_key").alias("bundle_id"), F.concat(F.lit(f"Nearest {what}: "), F.col("task"), F.lit(" ("), T.percent(F.col("score")), F.lit(")\n"), F.left(F.coalesce("text", F.lit("")), F.lit(most))).alias(what))
+    both = one(instruction_hits, "instruction").join(one(spec_hits, "SPEC"), "bundle_id", "full")
+    return both.select("bundle_id", F.concat_ws("\n\n", "instruction", "SPEC").alias("closest"))
+
+
+def prompts(files: DataFrame, references: DataFrame | None = None, names: list[str] | None = None, nearest: DataFrame | None = None) -> DataFrame:
+    """``bundle_id, check_key, prompt`` of the checks that apply: guard, persona, question, references, files and answer's form.
+
+    ``references (name, instruction, toml)`` are the accepted tasks, a set of bounded size, those of ``names`` first;
+    ``nearest`` is what :func:`closest` gives.
+    """
+    asked = F.create_map(*(F.lit(x) for pair in QUESTIONS.items() for x in pair))
     rows = applicable(files).where("applies").join(files_block(files), "bundle_id")
-    return rows.select("bundle_id", "check_key", F.concat(F.lit(guard + "\n\n"), F.coalesce(F.element_at(body, F.col("check_key")), F.lit("")), F.col("block")).alias("prompt"))
+    if references is not None:
+        told = references.agg(reference_list(references, names or []).alias("listed"), accepted_digest(references, names or []).alias("digest"))
+        rows = rows.crossJoin(F.broadcast(told))  # one row
+    else:
+        rows = rows.withColumn("listed", F.lit(None).cast("string")).withColumn("digest", F.lit(None).cast("string"))
+    rows = rows.join(nearest, "bundle_id", "left") if nearest is not None else rows.withColumn("closest", F.lit(None).cast("string"))
+    shown = F.when(F.col("check_key") == WITH_LIST, F.col("listed")).when(F.col("check_key") == WITH_DIGEST, F.concat_ws("\n\n", "digest", "closest"))
+    return rows.select("bundle_id", "check_key", F.concat_ws("\n\n", F.lit(GUARD), F.lit(PERSONA), F.element_at(asked, F.col("check_key")), F.nullif(shown, F.lit("")), F.trim(F.col("block"), F.lit("\n")), F.lit(ANSWER)).alias("prompt"))
 
 
 def judged(prompted: DataFrame, provider: Callable[[list[str]], list[str]]) -> DataFrame:
@@ -107,6 +145,14 @@ def results(applied: DataFrame, answers: DataFrame) -> DataFrame:
     return out.select("bundle_id", "ord", "check_key", "label", F.when(told, F.col("verdict")).otherwise("SKIPPED").alias("verdict"), F.when(told, F.col("alignment_score")).alias("alignment_score"))
 
 
+def explained(applied: DataFrame, answers: DataFrame) -> DataFrame:
+    """The checks that ran, by bundle: ``ord, check_key, label, verdict, alignment_score, reasoning`` and their ``gaps`` in order."""
+    each = gaps(answers.select("bundle_id", "check_key", "answer")).groupBy("bundle_id", "check_key").agg(F.array_sort(F.collect_list(F.struct("pos", "file", "issue", "fix"))).alias("gaps"))
+    own = F.transform("gaps", lambda g: F.struct(g["file"].alias("file"), g["issue"].alias("issue"), g["fix"].alias("fix")))
+    out = applied.join(answers.select("bundle_id", "check_key", "verdict", "alignment_score", "reasoning"), ["bundle_id", "check_key"]).join(each, ["bundle_id", "check_key"], "left")
+    return out.select("bundle_id", "ord", "check_key", "label", "verdict", "alignment_score", "reasoning", F.coalesce(own, F.array().cast("array<struct<file:string,issue:string,fix:string>>")).alias("gaps"))
+
+
 def accepted_digest(references: DataFrame, names: list[str], limit: int = 1200) -> Column:
     """One line block per accepted reference in the order of ``names`` (an aggregate over ``name, instruction, toml``)."""
     order = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("name"))

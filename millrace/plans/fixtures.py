@@ -84,10 +84,22 @@ TABLES = {
     "models": ("model string", [("a/gpt-5-mini",), ("O3",), ("gpt-4o",), ("x/y/o4-mini",), ("other",)]),
     "accepted": ("name string, instruction string, toml string", [("t2", " do two ", 'category = "web"'), ("t1", "do one", "category='x'"), ("t9", "other", ""), ("t3", None, None)]),
 }
+RUBRIC_OF = [(b, RUBRICS[i % len(RUBRICS)][1]) for i, b in enumerate(BUNDLES)]
+RUBRIC_OF[0] = ("clean", RUBRICS[1][1])
+JUDGED = [
+    ("clean", "instruction_test", '{"verdict": "PASS", "alignment_score": 90, "reasoning": "fine <b>", "gaps": []}'),
+    ("clean", "spec_test", '{"verdict": "PASS", "alignment_score": 85}'),
+    ("golang", "instruction_test", '{"verdict": "NEEDS_WORK", "alignment_score": 40, "reasoning": "gaps", "gaps": [{"file": "a.py", "issue": "i & j", "fix": "f"}, "plain"]}'),
+    ("alpine", "environment", "no json"),
+]
 ANSWERS = [
     ("b1", "accepted_pattern", '{"verdict": "PASS", "copy_paste_risk": true, "bypass_possible": "true", "hardcoded_solution": false, "reference_comparisons": [{"reference_task": "t1", "structural_alignment": 7, "too_similar": true, "issues": ["a", "b", "c"]}, "no object", {"reference_task": "t2"}]}'),
     ("b2", "accepted_pattern", '{"verdict": "PASS", "too_similar_to_existing": true, "instruction_leaks_rules": true}'),
 ]
+TABLES["rubric_of"] = ("bundle_id string, text string", RUBRIC_OF)
+TABLES["judged"] = ("bundle_id string, check_key string, raw string", JUDGED)
+TABLES["corpora"] = ("id int, value string", [(1, '{"a": {"instruction": "do a", "spec": "sa"}, "b": {"instruction": "", "spec": "sb"}, "c": "text", "d": {"instruction": "do d"}, "e": {"other": 1}}'), (2, "{}")])
+TABLES["noted"] = ("id int, notes array<string>", [(1, ["Loaded 3", "The sheet returned nothing", "fetch FAILED"]), (2, ["Loaded 3"]), (3, [])])
 TABLES["answers"] = ("bundle_id string, check_key string, raw string", ANSWERS)
 ACCEPTED_NAMES = ["t1", "t2", "t3", "t4"]
 
@@ -100,6 +112,8 @@ def frame(spark: SparkSession, name: str) -> DataFrame:
 def _literal(value, kind: str) -> str:
     if value is None:
         return f"CAST(NULL AS {kind})"
+    if isinstance(value, list):
+        return "[" + ", ".join(_literal(v, "VARCHAR") for v in value) + "]::VARCHAR[]"
     if isinstance(value, str):
         return "'" + value.replace("'", "''") + "'"
     return f"CAST({str(value).lower()} AS {kind})"
@@ -109,6 +123,6 @@ def sql(name: str) -> str:
     """The table as SQL, to stand in a FROM clause."""
     schema, rows = TABLES[name]
     columns = [c.split() for c in schema.split(", ")]
-    kinds = [{"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}[k] for _, k in columns]
+    kinds = [{"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]"}[k] for _, k in columns]
     values = ", ".join("(" + ", ".join(_literal(v, k) for v, k in zip(r, kinds, strict=True)) + ")" for r in rows)
     return f"(VALUES {values}) AS {name}({', '.join(c for c, _ in columns)})"

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions import text as T
-from millrace.operators import gates, report, rules, search, verdicts
+from millrace.operators import gates, rules, verdicts
 from millrace.plans import fixtures
-from millrace.plans.search_queries import _TOP, _docs, _items
 from millrace.sources import bundles, sheets
 
 QUERIES, SQL = {}, {}
@@ -88,7 +87,8 @@ _TESTS = [
     _rule(47, "S27", "CRITICAL", f"'test.sh downloads packages (' || {_USED} || ') but allow_internet=false'", f"contains(toml, 'allow_internet = false') AND {_USED} <> ''"),
     _rule(48, "S28", "HIGH", "'codebase_size=''small'' but only ' || envs || ' files in environment/ (need >=20)'", "contains(toml, 'codebase_size = \"small\"') AND envs < 20"),
 ]
-_ISSUES = f"WITH {_SIDE}, issues AS ({' UNION ALL '.join([_MISSING, *_TOML, *_DOCKER, *_TESTS])}), numbered AS (SELECT bundle_id, CAST(row_number() OVER (PARTITION BY bundle_id ORDER BY o, p) - 1 AS INTEGER) AS seq, rule_id, severity, message FROM issues)"
+_HINT = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{h.replace(chr(39), chr(39) * 2)}'" for r, h in rules.HINTS.items()) + " ELSE '' END"
+_ISSUES = f"WITH {_SIDE}, issues AS ({' UNION ALL '.join([_MISSING, *_TOML, *_DOCKER, *_TESTS])}), numbered AS (SELECT bundle_id, CAST(row_number() OVER (PARTITION BY bundle_id ORDER BY o, p) - 1 AS INTEGER) AS seq, rule_id, severity, message, {_HINT} AS fix_hint FROM issues)"
 
 
 def _of(*prefixes: str) -> str:
@@ -138,7 +138,7 @@ _RUBRIC = f"""{_LINE}, found AS (SELECT id, 0 AS i, 0 AS o, 'R0' AS rule_id, 'ME
     UNION ALL SELECT id, 2000000000, 6, 'R6', 'HIGH', 'Rubric has only ' || bad || ' negatives (need >=3)' FROM sums WHERE n > 0 AND bad < 3)"""
 
 
-@query(f"WITH src AS (SELECT bundle_id AS id, text FROM {fixtures.sql('rubrics')}), {_RUBRIC} SELECT id AS bundle_id, CAST(row_number() OVER (PARTITION BY id ORDER BY i, o) - 1 AS INTEGER) AS seq, rule_id, severity, message FROM found")
+@query(f"WITH src AS (SELECT bundle_id AS id, text FROM {fixtures.sql('rubrics')}), {_RUBRIC} SELECT id AS bundle_id, CAST(row_number() OVER (PARTITION BY id ORDER BY i, o) - 1 AS INTEGER) AS seq, rule_id, severity, message, {_HINT} AS fix_hint FROM found")
 def rubric_lint(spark, d):
     return rules.rubric_issues(fixtures.frame(spark, "rubrics"))
 
@@ -185,7 +185,7 @@ def llm_gap_normalise(spark, d):
     return verdicts.gaps(verdicts.parsed(fixtures.frame(spark, "verdicts")).select("bundle_id", "check_key", "answer"))
 
 
-@query(f"WITH {_PARSED} SELECT bundle_id, count(*) FILTER (verdict = 'REJECT') AS rejects, count(*) FILTER (verdict = 'NEEDS_WORK') AS needs_work, count(*) AS ran, count(*) FILTER (verdict IN ('REJECT', 'NEEDS_WORK')) = 0 AS llm_pass FROM parsed GROUP BY bundle_id")
+@query(f"WITH {_PARSED} SELECT bundle_id, count(*) FILTER (verdict = 'REJECT') AS rejects, count(*) FILTER (verdict = 'NEEDS_WORK') AS needs_work, count(*) FILTER (verdict = 'ERROR') AS errors, count(*) AS ran, count(*) FILTER (verdict IN ('REJECT', 'NEEDS_WORK')) = 0 AS llm_pass FROM parsed GROUP BY bundle_id")
 def llm_verdict_fold(spark, d):
     return gates.llm_pass(verdicts.parsed(fixtures.frame(spark, "verdicts")))
 
@@ -286,43 +286,3 @@ def truncated_read(spark, d):
 @query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 def json_payloads(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select(F.from_json("props", "k bigint")["k"].alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""WITH {_TOP}, q2 AS (SELECT item_id, text FROM benchmark) SELECT q_key, count(*) AS cards, sum(CASE WHEN length(t.text) >= 20 THEN 1 ELSE 0 END)::BIGINT AS recovered FROM ranked JOIN documents t ON t.doc_id = c_key WHERE r <= 10 GROUP BY q_key""")
-def comparison_cards(spark, d):
-    best = search.dice_topk(_items(spark, d), _docs(spark, d))
-    rows = best.join(_docs(spark, d).select(F.col("key").alias("c_key"), F.col("text").alias("matched_instruction")), "c_key").join(_items(spark, d).select(F.col("key").alias("q_key"), F.col("text").alias("own_text")), "q_key")
-    carded = report.comparison_cards(rows)
-    return carded.groupBy("q_key").agg(F.count("card").alias("cards"), F.sum(F.when(F.length("matched_instruction") >= 20, 1).otherwise(0)).alias("recovered"))
-
-
-def _hits(spark, d):
-    best = search.dice_topk(_items(spark, d), _docs(spark, d)).withColumn("sem", F.lit(None).cast("double"))
-    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("c_key"), F.col("source").alias("trainer"), F.col("text").alias("matched_instruction"))
-    return search.decided(best).join(texts, "c_key").withColumn("key", F.col("c_key").cast("string"))
-
-
-@query()
-def precheck_json(spark, d):
-    return report.precheck_json(_hits(spark, d))
-
-
-@query()
-def precheck_html(spark, d):
-    return report.precheck_html(_hits(spark, d))
-
-
-@query()
-def report_json(spark, d):
-    issues = rules.static_issues(_files(spark))
-    return report.report_json(gates.structure_ok(issues, _files(spark)), issues)
-
-
-@query()
-def issues_html(spark, d):
-    return report.issues_html(rules.static_issues(_files(spark)))
-
-
-@query()
-def judge_prompts(spark, d):
-    return verdicts.prompts(_files(spark), {k: f"Judge: {label}\n" for k, label, _, _ in verdicts.CHECKS}, "Answer in JSON.")

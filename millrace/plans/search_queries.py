@@ -139,14 +139,18 @@ def tfidf_vocab(spark, d):
     return tfidf.vocabulary(_docs(spark, d))
 
 
-@query(f"""WITH {_VOCABULARY}, qc AS (SELECT key, gram, count(*) AS tf FROM ({_grams('item_id', 'benchmark')}) GROUP BY key, gram),
-    n AS (SELECT count(*) AS n FROM documents), idf AS (SELECT gram, ln(CAST(1 + n AS DOUBLE) / (1 + df)) + 1 AS idf FROM vocabulary, n),
+def _tfidf(key: str, table: str) -> str:
+    """CTEs up to ``tfidf_ranked`` (q_key, c_key, score, rank) for the texts of a table against the documents."""
+    return f"""{_VOCABULARY}, qc AS (SELECT key, gram, count(*) AS tf FROM ({_grams(key, table)}) GROUP BY key, gram),
+    n AS (SELECT count(*) AS n FROM documents WHERE trim(text) <> ''), idf AS (SELECT gram, ln(CAST(1 + n AS DOUBLE) / (1 + df)) + 1 AS idf FROM vocabulary, n),
     dw AS (SELECT key, gram, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY key)) AS w FROM dc JOIN idf USING (gram)),
     qw AS (SELECT key, gram, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY key)) AS w FROM qc JOIN idf USING (gram)),
-    p AS (SELECT qw.key AS q_key, dw.key AS c_key, sum(qw.w * dw.w) AS score FROM qw JOIN dw USING (gram) GROUP BY 1, 2),
-    every AS (SELECT b.item_id AS q_key, doc_id AS c_key, coalesce(score, 0) AS score FROM benchmark b CROSS JOIN documents t LEFT JOIN p ON p.q_key = b.item_id AND p.c_key = t.doc_id),
-    r AS (SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY round(score, 9) DESC, c_key) AS r FROM every)
-    SELECT q_key, CAST(r AS INTEGER) AS rank, c_key, round(score, 6) AS score FROM r WHERE r <= 5""")
+    weighed AS (SELECT qw.key AS q_key, dw.key AS c_key, sum(qw.w * dw.w) AS score FROM qw JOIN dw USING (gram) GROUP BY 1, 2),
+    tfidf_every AS (SELECT b.{key} AS q_key, doc_id AS c_key, coalesce(score, 0) AS score FROM {table} b CROSS JOIN (SELECT doc_id FROM documents WHERE trim(text) <> '') t LEFT JOIN weighed p ON p.q_key = b.{key} AND p.c_key = t.doc_id),
+    tfidf_ranked AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q_key ORDER BY round(score, 9) DESC, c_key) AS INTEGER) AS rank FROM tfidf_every) WHERE rank <= 5)"""
+
+
+@query(f"WITH {_tfidf('item_id', 'benchmark')} SELECT q_key, rank, c_key, round(score, 6) AS score FROM tfidf_ranked")
 def tfidf_topk(spark, d):
     return tfidf.topk(_items(spark, d), _docs(spark, d)).withColumn("score", F.round("score", 6))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,16 +17,22 @@ IGNORED = [".DS_Store", "__MACOSX"]
 
 
 def read_zips(spark: SparkSession, path: str) -> DataFrame:
-    """``bundle_id, zip_name, path, content`` of every text file of the archives under ``path``."""
+    """``bundle_id, zip_name, path, content`` of every text file of the archives under ``path``.
+
+    An archive that can't be read gives one row with a null path whose content says why, so that it ends no job.
+    """
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for name, content in zip(rows["path"], rows["content"], strict=True):
                 out = []
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for entry in z.infolist():
-                        if not entry.is_dir():
-                            out.append((name, entry.filename, z.read(entry).decode("utf-8", "replace")))
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        for entry in z.infolist():
+                            if not entry.is_dir():
+                                out.append((name, entry.filename, z.read(entry).decode("utf-8", "replace")))
+                except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError) as e:
+                    out = [(name, None, f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame(out, columns=["zip_name", "path", "content"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 TRAINER_COLUMN, ID_COLUMN, STATUS_COLUMN, NAME_COLUMN, INSTRUCTION_COLUMN = 1, 2, 3, 4, 16
 INSTRUCTION_NAMES = ["task instruction", "instruction", "instructions"]
 #: Texts that a reader of sheets takes for no value.
-NO_VALUE = ["", "#N/A", "#NA", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null", "<NA>"]
+NO_VALUE = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
 def sheet_id(url: str) -> str:
@@ -40,8 +40,10 @@ def reject_body(body: str) -> str | None:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A sheet with a header; texts as they are, ``ord`` by the file's order."""
+    """A sheet with a header; texts as they are, ``ord`` by the file's order.  A sheet without a row is an error."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    if rows.isEmpty():
+        raise ValueError("the sheet has no rows")
     return rows.withColumn("_ord", F.monotonically_increasing_id())
 
 

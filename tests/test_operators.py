@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions import similarity as S, text as T
 from millrace.operators import gates, mapside, report, rules, search, tfidf, verdicts
 from millrace.plans import fixtures
-from millrace.sources import bundles, options, sheets, vectors
+from millrace.sources import bundles, cache, options, sheets, vectors
 from millrace.streaming import submissions
 
 
@@ -125,6 +125,9 @@ def test_sheet_and_json_sources(spark, tmp_path):
     assert sheets.keyed(rows, "name", "trainer", "instruction").first()["instruction"] == 'two\nlines, "q"'
     texts = spark.createDataFrame([(json.dumps({"a": {"instruction": "i", "spec": ""}, "b": "text", "c": {"spec": "s"}}),)], "value string")
     assert sorted(map(tuple, sheets.json_corpus(texts).collect())) == [("a", "i", None), ("c", None, "s")]
+    (tmp_path / "e.csv").write_text("name,trainer,instruction\n")
+    with pytest.raises(ValueError):
+        sheets.read_csv(spark, str(tmp_path / "e.csv"))
     found, notes = sheets.first_corpus(lambda: 1 / 0, lambda: sheets.json_corpus(texts).limit(0), lambda: sheets.json_corpus(texts))
     assert found.count() == 2 and len(notes) == 2
 
@@ -193,7 +196,7 @@ def test_percents_differ_between_reports(spark):
 
 
 def test_reports_escape(spark):
-    issues = spark.createDataFrame([("b", 0, "HIGH", "<i>'x'")], "bundle_id string, seq int, severity string, message string")
+    issues = spark.createDataFrame([("b", 0, "HIGH", "<i>'x'", "")], "bundle_id string, seq int, severity string, message string, fix_hint string")
     assert "&lt;i&gt;&#x27;x&#x27;" in report.issues_html(issues).first()["html"]
     assert [one(spark, report.badge(F.lit(v).cast("boolean")))[-11:-7] for v in (True, False, None)] == ["PASS", "FAIL", "PPED"]
 
@@ -203,7 +206,10 @@ def test_zip_bundles(spark, tmp_path):
         for name in ("top/task.toml", "top/tests/test.sh", "__MACOSX/x"):
             z.writestr(name, "text")
     (tmp_path / "broken.txt").write_bytes(io.BytesIO(b"x").getvalue())
-    rows = bundles.flattened(bundles.read_zips(spark, str(tmp_path)))
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    read = bundles.read_zips(spark, str(tmp_path))
+    assert [(r["bundle_id"], r["content"][:10]) for r in read.where("path is null").collect()] == [("bad", "BadZipFile")]
+    rows = bundles.flattened(read.where("path is not null"))
     assert sorted((r["bundle_id"], r["path"]) for r in rows.collect()) == [("my task", "__MACOSX/x"), ("my task", "task.toml"), ("my task", "tests/test.sh")]
 
 
@@ -214,6 +220,49 @@ def test_vectors(spark):
     assert vectors.known(texts.limit(2), spark.createDataFrame([(0, [1.0])], "key long, v array<double>")).where("v is null").count() == 1
 
 
+def test_cached_tables(spark, tmp_path):
+    built, key = [], cache.key_of(sheet="s", column="c")
+    assert key == cache.key_of(column="c", sheet="s") != cache.key_of(column="d", sheet="s")
+
+    def build():
+        built.append(len(built))
+        return spark.createDataFrame([(len(built),)], "n int")
+
+    at = lambda now: cache.cached(spark, f"file://{tmp_path}", key, build, 100, now).first()["n"]
+    assert [at(1000.0), at(1050.0), at(1099.0), at(1101.0), at(1150.0), at(2000.0)] == [1, 1, 1, 2, 2, 3] and len(built) == 3
+    assert cache.cached(spark, "nosuchscheme://x", key, build, 100, 2001.0).first()["n"] == 4
+    with pytest.raises(ZeroDivisionError):
+        cache.cached(spark, f"file://{tmp_path}", "other", lambda: 1 / 0)
+
+
+def test_messages_without_texts(spark):
+    """A blank submission, an empty corpus with the error of its source, and words alone."""
+    corpus = spark.createDataFrame([(1, "red fish", "a", None)], "key long, text string, label string, v array<double>")
+    asked = spark.createDataFrame([(7, " ", "", None), (8, "red bird", "", None)], "key long, text string, name string, v array<double>")
+    notes = F.array(F.lit("Loaded 0"), F.lit("The sheet returned nothing"))
+
+    def told(rows, many):
+        hits = search.precheck(asked, rows).withColumn("task", F.lit("a")).withColumn("trainer", F.lit(""))
+        return {r["q_key"]: r for r in search.messages(asked, hits, F.lit(many).cast("long"), notes).collect()}
+
+    some, none = told(corpus, 1), told(corpus.limit(0), 0)
+    assert some[7]["message"] == "There is no text to check." and not some[8]["blocked"] and "words 50%" in some[8]["message"] and some[8]["notes"][2] == "Meaning was not compared."
+    assert none[8]["message"] == "There are no texts to compare with. The sheet returned nothing" and none[8]["max_similarity"] == 0
+
+
+def test_gates_over_all_issues(spark):
+    """A rubric's severe issue fails the static gate too; a flagged match fails similarity and the whole."""
+    files = fixtures.frame(spark, "files").where("bundle_id = 'clean'")
+    static = rules.static_issues(files)
+    rubric = rules.rubric_issues(spark.createDataFrame([("clean", "agent a, +5")], "bundle_id string, text string"))
+    hits = spark.createDataFrame([("clean", True)], "q_key string, flagged boolean")
+    answers = spark.createDataFrame([], "bundle_id string, check_key string, verdict string")
+    row = gates.gated(files, static, rubric, hits, answers).first()
+    assert (row["structure_pass"], row["static_pass"], row["rubric_pass"], row["similarity_pass"], row["llm_pass"], row["overall_pass"]) == (True, False, False, False, None, False)
+    good = rules.rubric_issues(spark.createDataFrame([("clean", fixtures.RUBRICS[1][1])], "bundle_id string, text string"))
+    assert gates.gated(files, static, good, hits.limit(0), answers).first()["overall_pass"] is True
+
+
 def test_options(spark):
     spark.conf.set("spark.millrace.model", " m ")
     assert options.option(spark, "model", "d") == "m" and options.option(spark, "other", "d") == "d"
