@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from millrace import packages
+
 #: Words are maximal runs of anything but these six characters (fixed by the contracts).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows in one Arrow batch: bounds what a Python worker holds when texts are long.
@@ -65,21 +65,29 @@ def release(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package and bound the rows of an Arrow batch, once per context."""
+    """Give the executors this package and bound the rows of an Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    context = spark.sparkContext
-    if getattr(context, "_millrace_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    archive = os.path.join(tempfile.mkdtemp(prefix="millrace-"), "millrace_shipped.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.join("millrace", os.path.relpath(full, root)))
-    context.addPyFile(archive)
-    context._millrace_shipped = True
+    packages.ship(spark)
+
+
+#: Keys that a join broadcasts as hot, at most, and rows under which no key is hot.
+HOT_KEYS, HOT_ROWS = 20_000, 100_000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Join with a table that has one row a key and tells in ``weight`` how many rows have it; ``weight`` itself is left out.
+
+    Keys that hold more than 1 / ``HOT_KEYS`` of all rows are fewer than ``HOT_KEYS`` by that, so their facts are
+    broadcast and their rows stay where they are; only the other rows are dealt out by key.
+    """
+    total = facts.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = facts.where(F.col(weight) > least)
+    if hot.isEmpty():
+        return rows.join(facts.drop(weight), on, how)
+    hot = F.broadcast(hot.drop(weight))
+    others = rows.join(hot.select(*on), on, "left_anti").join(facts.where(F.col(weight) <= least).drop(weight), on, how)
+    return rows.join(hot, on).unionByName(others)
 
 
 def text_or_empty(column: str = "text") -> Column:

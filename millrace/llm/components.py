@@ -1,7 +1,9 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Each round is a few equi-joins and minimum aggregations; no node's neighbours
-ever meet in one place.  Rounds end when the edges are stars around the smallest
+Each round is a few equi-joins and minimum aggregations.  Minima are taken before
+the shuffle, and the edges of a hub, a node with more than a small share of all
+edges, are never dealt out by it: the least neighbours of hubs, a bounded number,
+are broadcast to them.  Rounds end when the edges are stars around the smallest
 node of each component and no longer change, or when at most ``LOCAL_EDGES`` are
 left, a number that one task settles at once.  Every round's edges are written
 to the shared folder, which also cuts the lineage.
@@ -13,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import materialize
+from ._shared import join_hot, materialize
 
 #: Edges that one task may hold (some 16 MB); more go through rounds of stars.
 LOCAL_EDGES = 500_000
@@ -48,16 +50,21 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first())
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """Each node's least neighbour and number of edges."""
+    return materialize(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("edges")), "least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    told = join_hot(both, _least(both), ["a"], "edges").withColumn("m", F.least("a", "m"))
+    return told.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.withColumnRenamed("m", "b")).distinct()
+    least = _least(edges)
+    moved = join_hot(edges, least, ["a"], "edges").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -21,8 +21,9 @@ prefix is counted once for all sets below it, and a subtree is left as soon as
 the remaining lengths cannot reach the needed overlap.  Components are all that
 is asked for, so a set that is linked leaves the trie and queries it later
 itself: a group of near copies costs about one walk a set, not one a pair.
-In clusters of more than one block, a few pivots gather most members in one pass;
-only the members that they leave are dealt out, in blocks, to meet the others.
+In clusters of more than ``SMALL`` shingles, a few pivots gather most members in
+one pass that is spread over as many tasks as the cluster is large; only the
+members that they leave are dealt out, in blocks, to meet the others.
 
 Edge cases: null texts and texts without a word have no set and link with
 nothing; texts with fewer words than a shingle have their whole sequence as one;
@@ -39,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._shared import materialize, release, ship
+from ._shared import join_hot, materialize, release, ship
 from .bpe import slices
 from .components import components
 from .words import gram_hashes, mix, word_hashes
@@ -50,8 +51,8 @@ BAND = 1.5
 SPARE = 1
 #: Percent under which more partitions are spared, one for so many that may differ, and frequent signatures left out.
 STRICT, LOOSE = 90, 4
-#: Shingles in one task's trie, about.
-BLOCK = 1_000_000
+#: Shingles in one task's trie, about, and in a cluster that is joined in one trie.
+BLOCK, SMALL = 1_000_000, 200_000
 #: Members of a large cluster that all its others are held against first.
 PIVOTS = 4
 #: Symbols in one trie node at most, so that bounds are looked at early.
@@ -294,15 +295,17 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
         clusters = components(told.join(shared.hint("shuffle_hash"), "sig").select("a", F.col("k1").alias("b")))
     release(docs.sparkSession)
     clusters = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
-    # one document for each distinct set of a cluster
-    nodes = described.where("n > 0 and id is not null").join(clusters.withColumnRenamed("node", "k1"), "k1")
-    nodes = materialize(nodes.groupBy("component", "k1", "k2").agg(F.min("id").alias("id"), F.max("n").alias("n")), "nodes")
+    # one document for each distinct set, copies before any join
+    owners = described.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    owners = materialize(owners, "owners")
+    nodes = owners.where("id is not null").drop("copies").join(clusters.withColumnRenamed("node", "k1"), "k1")
+    nodes = materialize(nodes.select("component", "k1", "k2", "id", "n"), "nodes")
     release(docs.sparkSession)
     linked = components(_links(rows, nodes, n, percent, key))
     release(docs.sparkSession)
-    owners = described.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("owner"))
-    owners = owners.join(linked.withColumnRenamed("node", "owner"), "owner", "left").select("k1", "k2", F.coalesce("component", "owner").alias("component"))
-    out = described.join(owners, ["k1", "k2"], "left")
+    owners = owners.select("k1", "k2", F.col("id").alias("owner"), "copies").join(linked.withColumnRenamed("node", "owner"), "owner", "left")
+    owners = materialize(owners.select("k1", "k2", F.coalesce("component", "owner").alias("component"), "copies"), "components-of")
+    out = join_hot(described.drop("sigs", "surplus"), owners, ["k1", "k2"], "copies", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 
@@ -321,7 +324,7 @@ def _rarely_shared(told: DataFrame, surplus: DataFrame) -> DataFrame:
 
 def _links(rows: DataFrame, nodes: DataFrame, n: int, percent: int, key) -> DataFrame:
     """Spanning links ``(a, b)`` between the documents of each cluster."""
-    weights = nodes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    weights = nodes.groupBy("component").agg(F.ceil(F.sum("n") / SMALL).cast("int").alias("blocks"))
     placed = materialize(nodes.join(weights, "component"), "placed")
     total = placed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tasks = max(1, 4 * math.ceil(total / BLOCK))
@@ -356,7 +359,7 @@ def _links(rows: DataFrame, nodes: DataFrame, n: int, percent: int, key) -> Data
 
 
 def _large(sets: DataFrame, percent: int, link) -> DataFrame:
-    """Links within clusters of more than one block.
+    """Links within large clusters.
 
     First every member is held against a few pivots of its cluster, which gathers most near copies of
     one text at the cost of one pass.  Members of the largest group so found are linked already; only
@@ -378,8 +381,11 @@ def _large(sets: DataFrame, percent: int, link) -> DataFrame:
     least = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id")).alias(f"p{i}") for i in range(PIVOTS)]
     chosen = sets.groupBy("component").agg(*least).select(F.explode(F.array(*(F.col(f"p{i}.id") for i in range(PIVOTS)))).alias("id")).distinct()
     pivots = sets.join(chosen, "id", "left_semi").groupBy("component").agg(F.collect_list(F.struct("id", "own")).alias("pivots"))
-    pivots = materialize(pivots, "pivots")
-    star = materialize(sets.join(pivots, "component").select("id", "own", "pivots").mapInArrow(against_pivots, "a long, b long"), "star")
+    # every part of a cluster gets its pivots, so that no cluster meets in one task
+    parts = sets.groupBy("component").agg(F.first("blocks").alias("blocks"))
+    pivots = materialize(pivots.join(parts, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"), "pivots")
+    part = F.pmod(F.xxhash64("id", F.lit("part")), F.col("blocks")).cast("int")
+    star = materialize(sets.withColumn("part", part).join(pivots, ["component", "part"]).select("id", "own", "pivots").mapInArrow(against_pivots, "a long, b long"), "star")
     groups = sets.select("id", "component", F.octet_length("own").alias("size")).join(components(star).select(F.col("node").alias("id"), F.col("component").alias("grp")), "id", "left")
     groups = materialize(groups.select("id", "component", "size", F.coalesce("grp", "id").alias("grp")).dropDuplicates(["id"]), "groups")
     sums = groups.groupBy("component", "grp").agg(F.sum("size").alias("size"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from millrace.llm import components, embedding_dedup, entry, exact_dedup, ngram_join, pii, stages, substring_dedup
+from millrace.llm import _shared, components, embedding_dedup, entry, exact_dedup, ngram_join, pii, stages, substring_dedup
 from millrace.llm.fm_index import FMIndex
 from tests.llm.test_text_operators import DOCS, check_packing, clashing, sha, table
 from tests.oracle import assert_same
@@ -60,11 +60,11 @@ def union(pairs, nodes):
 
 
 # -- components ------------------------------------------------------------------------
-@pytest.mark.parametrize("limit", [components.LOCAL_EDGES, 0])
-def test_components(spark, monkeypatch, limit):
-    monkeypatch.setattr(components, "LOCAL_EDGES", limit)
+@pytest.mark.parametrize("limit, hot", [(components.LOCAL_EDGES, _shared.HOT_ROWS), (0, _shared.HOT_ROWS), (0, 3)])
+def test_components(spark, monkeypatch, limit, hot):
+    monkeypatch.setattr(components, "LOCAL_EDGES", limit), monkeypatch.setattr(_shared, "HOT_ROWS", hot)
     rnd = random.Random(1)
-    edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(500, 520)] + [(None, 3), (7, 7), (900, 901), (901, 900)]
+    edges = [(1000 + i, 990) for i in range(60)] + [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(500, 520)] + [(None, 3), (7, 7), (900, 901), (901, 900)]
     real = [(a, b) for a, b in edges if a is not None and b is not None]
     expected = {x: c for x, c in union(real, {x for e in real for x in e}).items() if c != x}
     got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
@@ -190,9 +190,9 @@ def brute_links(texts):
     return {i: (len(s), linked[i]) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [ngram_join.BLOCK, 60])
-def test_ngrams(spark, monkeypatch, block):
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+@pytest.mark.parametrize("block, small, hot", [(ngram_join.BLOCK, ngram_join.SMALL, _shared.HOT_ROWS), (60, 60, 1), (ngram_join.BLOCK, 40, 3)])
+def test_ngrams(spark, monkeypatch, block, small, hot):
+    monkeypatch.setattr(ngram_join, "BLOCK", block), monkeypatch.setattr(ngram_join, "SMALL", small), monkeypatch.setattr(_shared, "HOT_ROWS", hot)
     texts = made(7, n=90, words=300)
     texts += [t.upper() for t in texts[:10] if t]
     got = ngram_join.join(clashing(spark, texts)).collect()
@@ -201,6 +201,21 @@ def test_ngrams(spark, monkeypatch, block):
     assert len({c for _, c in expected.values()}) < len(texts) - 15
 
 
+def test_one_cluster_of_many_parts(spark, monkeypatch):
+    """Near copies of one text far beyond a block, with chains at its border that no pivot reaches."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 400), monkeypatch.setattr(ngram_join, "SMALL", 100)
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join([f"x{rnd.randrange(9)}" if rnd.random() < 0.01 else w for w in base]) for _ in range(150)]
+    chain = list(base)
+    for k in range(25):
+        chain[(3 * k) % 80] = f"y{k}"
+        texts.append(" ".join(chain))
+    rnd.shuffle(texts)
+    got = ngram_join.join(table(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_links(dict(enumerate(texts)))
+
+
 def test_ngrams_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in entry.op6_ngram_join(spark, SMALL).collect()} == brute_links(texts)
