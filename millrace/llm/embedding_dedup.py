@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import materialize, ship
+from ._shared import join_hot, materialize, ship
 from .components import components
 
 #: Width of a cell on a line, in units of a unit vector's spread; half a window, in standard deviations at the threshold.
@@ -130,7 +130,9 @@ def near(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vecto
     """``id_col, n_links, component_id, kept`` of every row."""
     spark = rows.sparkSession
     ship(spark)
-    own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
+    if dict(own.dtypes)["v"] != "array<float>":  # which is exact in doubles, and half as large
+        own = own.withColumn("v", F.col("v").cast("array<double>"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()
     usable = usable & F.when(F.coalesce(F.size("v"), F.lit(0)) > 0, F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))).otherwise(False)
@@ -139,9 +141,9 @@ def near(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vecto
     linked = components(told.where("b is not null").select("a", "b"))
     sums = told.where("b is null").groupBy("a").agg(F.sum("n").alias("others"))
     facts = classes.select("label", "v", "rep", "weight").join(sums.withColumnRenamed("a", "rep"), "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    facts = facts.select("label", "v", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    facts = facts.select("label", "v", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"), "weight")
     single = own.where(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    joined = own.where(usable).join(facts, ["label", "v"]).select("id", "n_links", "component")
+    joined = join_hot(own.where(usable), materialize(facts, "facts"), ["label", "v"], "weight").select("id", "n_links", "component")
     out = joined.unionByName(single)
     return out.select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
 
@@ -163,18 +165,22 @@ def _meet(classes: DataFrame, threshold: float) -> DataFrame:
                 for table in range(tables):
                     cell = cells(unit, table, lines).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(c) for c in ("label", "rep", "weight", "v")] + [pa.array([dim] * len(unit), pa.int32()), pa.array([lines] * len(unit), pa.int32()), pa.array([table] * len(unit), pa.int32()), pa.array(cell)],
-                        ["label", "rep", "weight", "v", "dim", "lines", "tab", "cell"],
+                        [part.column(c) for c in ("label", "rep")] + [pa.array([dim] * len(unit), pa.int32()), pa.array([lines] * len(unit), pa.int32()), pa.array([table] * len(unit), pa.int32()), pa.array(cell)],
+                        ["label", "rep", "dim", "lines", "tab", "cell"],
                     )
 
-    schema = f"label {label}, rep long, weight long, v array<double>, dim int, lines int, tab int, cell long"
-    dealt = materialize(counted.select("label", "dim", "rep", "weight", "v", "vectors").mapInArrow(deal, schema), "cells")
+    # where each vector falls, without the vector: most are alone in their cells and never dealt out
+    dealt = materialize(counted.select("label", "dim", "rep", "v", "vectors").mapInArrow(deal, f"label {label}, rep long, dim int, lines int, tab int, cell long"), "cells")
     place = ["label", "dim", "tab", "cell"]
-    full = dealt.groupBy(*place).agg(F.count(F.lit(1)).alias("many")).where("many > 1").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")).drop("many")
+    full = dealt.groupBy(*place).agg(F.count(F.lit(1)).alias("many")).where("many > 1").withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
     # vectors alone in their cell meet nobody; blocks of a large cell meet pairwise
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws(":", *place, F.least(j, F.col("block")), F.greatest(j, F.col("block"))))
-    placed = dealt.join(full, place).withColumn("block", block).withColumn("task", F.explode(meets)).select("task", "block", "rep", "weight", "v", "dim", "lines", "tab")
+    placed = join_hot(dealt, materialize(full, "full-cells"), place, "many").withColumn("block", block).withColumn("tasks", meets)
+    # each vector goes to the tasks of all its cells at once
+    by_vector = placed.groupBy("label", "rep").agg(F.collect_list(F.struct("tasks", "block", "dim", "lines", "tab")).alias("places"))
+    sent = classes.select("label", "rep", "weight", "v").join(by_vector, ["label", "rep"])
+    sent = sent.select("rep", "weight", "v", F.explode("places").alias("p")).select(F.explode("p.tasks").alias("task"), "p.block", "rep", "weight", "v", "p.dim", "p.lines", "p.tab")
 
     def count(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -208,4 +214,4 @@ def _meet(classes: DataFrame, threshold: float) -> DataFrame:
         b = pa.array([None] * len(some) + reps[[j for _, j in forest]].tolist(), pa.int64())
         return pa.table([pa.array(a), b, pa.array(np.concatenate((links[some], np.zeros(len(forest), np.int64))))], ["a", "b", "n"])
 
-    return placed.groupBy("task").applyInArrow(count, "a long, b long, n long")
+    return sent.groupBy("task").applyInArrow(count, "a long, b long, n long")
