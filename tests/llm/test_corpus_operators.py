@@ -97,6 +97,31 @@ def test_exact_dedup_checks_full_bytes(spark, monkeypatch):
     assert got == {0: (5, 3, False), 2: (5, 3, False), 5: (5, 3, True), 1: (4, 2, False), 4: (4, 2, True), 3: (3, 1, True)}
 
 
+@pytest.mark.parametrize("lengths_only", [False, True])
+def test_state_outlives_a_batch(spark, tmp_path, monkeypatch, lengths_only):
+    """Batches one after another against brute force over all that came before, also where digests collide."""
+    if lengths_only:
+        monkeypatch.setattr(exact_dedup, "digest", lambda c: F.lpad(F.hex(F.length(c)), 64, "0"))
+    rnd, seen = random.Random(3), {}
+    for k in range(3):
+        ids = rnd.sample([i for i in range(300) if i not in seen], 60)
+        rows = [(i, rnd.choice(["ab", "cd", "xyz", None, "", "long one", "other!!!", f"own {i}"])) for i in ids]
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / f"batch{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"batch{k}"))
+        seen |= {i: t or "" for i, t in rows}
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(docs, state=f"file://{tmp_path}/state").collect()}
+        same = {i: [j for j, t in seen.items() if t == seen[i]] for i in ids}
+        assert got == {i: (max(same[i]), len(same[i]), i == max(same[i])) for i in ids}
+
+
+def test_a_hot_text_is_not_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(_shared, "HOT_ROWS", 5)
+    texts = ["hot"] * 50 + ["warm"] * 3 + ["cold", None, ""]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup(table(spark, texts)).collect()}
+    last = {t or "": max(i for i, u in enumerate(texts) if (u or "") == (t or "")) for t in texts}
+    assert got == {i: (last[t or ""], sum((u or "") == (t or "") for u in texts), i == last[t or ""]) for i, t in enumerate(texts)}
+
+
 def test_exact_dedup_is_native(spark):
     plan = exact_dedup.dedup(table(spark, ["a", "a"]))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
