@@ -48,7 +48,8 @@ _AUTHORITY = re.compile(r"[^\s/@?#<>\"']+@[A-Za-z0-9.-]+")
 _IBAN = re.compile(r"[\s:=#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
 _SSN = re.compile(r"(?: (?:no|number))?[\s:.=#]{1,3}((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9])", re.ASCII)
 _ACCOUNT = re.compile(r"(?:[ _-]?(?:no|nr|number|id))?\.?\s{0,2}[:=#]\s{0,2}([0-9](?:[ -]?[0-9]){5,19})(?![0-9])", re.I | re.ASCII)
-_HOUSE = re.compile(r"(?<![\w.,-])[0-9]{1,5}[A-Za-z]? (?:[A-Z][a-z'-]+ ){1,3}$")
+_HOUSE = re.compile(r"(?<![\w.,-])[0-9]{1,5}[A-Za-z]?$")
+_IN_NAME = frozenset("abcdefghijklmnopqrstuvwxyz'-")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -86,6 +87,23 @@ def _small(part: str) -> bool:
     return len(part) < 4 and int(part or "0") <= 255
 
 
+def _house(text: str, at: int) -> int | None:
+    """Where the house number begins that stands before one to three capitalised names of any length and the place."""
+    for _ in range(3):
+        if at < 2 or text[at - 1] != " ":
+            return None
+        at -= 1
+        last = at
+        while at and text[at - 1] in _IN_NAME:
+            at -= 1
+        if at == last or not at or not "A" <= text[at - 1] <= "Z":
+            return None
+        at -= 1
+        if at and text[at - 1] == " " and (found := _HOUSE.search(text, max(0, at - 7), at - 1)):
+            return found.start()
+    return None
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of a text as (kind, start, end), by start, then kind as listed."""
     if not text:
@@ -133,9 +151,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if run:
                 out.append(("url_user", end, run.end()))
         elif anchor == "street":
-            house = _HOUSE.search(text, max(0, at - 60), at)
-            if house and not text[end : end + 1].isalpha():
-                out.append(("address", house.start(), end))
+            house = _house(text, at)
+            if house is not None and not text[end : end + 1].isalpha():
+                out.append(("address", house, end))
         elif anchor == "iban":
             run = _IBAN.match(text, end)
             if run:

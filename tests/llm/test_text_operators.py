@@ -246,6 +246,8 @@ def test_added_kinds():
     assert kinds("IBAN: DE88 3704 0044 0532 0130 00 x") == {}
     assert kinds("SSN: 123-45-6789, account no: 12345678, lives at 12 Main Street.") == {"ssn": "123-45-6789", "account": "12345678", "address": "12 Main Street"}
     assert kinds("https://bob:pw@example.com/x https://example.com/@y") == {"url_user": "bob:pw@example.com"}
+    long = "221B " + "B" + "a" * 90 + " Saint Mary's Street"
+    assert kinds(f"at {long}.") == {"address": long} and kinds("12,5 Main Street, 7 One Two Three Four Road, main Street") == {}
     assert kinds("on account of the street") == {}
 
 
