@@ -193,7 +193,8 @@ def corpus_signature(spark, d):
     return V.signature(_items(spark, d).withColumn("key", F.col("key").cast("string")))
 
 
-@query("""WITH r AS (SELECT left(sha256(CAST(doc_id AS VARCHAR)), 4) AS bucket, sha256(CAST(doc_id AS VARCHAR) || chr(0) || text || chr(0)) AS own FROM documents),
-    b AS (SELECT bucket, sha256(string_agg(own, '' ORDER BY own)) AS digest FROM r GROUP BY bucket) SELECT sha256(string_agg(digest, '' ORDER BY bucket)) AS signature FROM b""")
+@query("""WITH r AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS bucket, sha256(CAST(doc_id AS VARCHAR) || chr(0) || text || chr(0)) AS digest FROM documents),
+    a AS (SELECT left(bucket, 8) AS own, sha256(string_agg(digest, '' ORDER BY bucket, digest)) AS digest FROM r GROUP BY own),
+    b AS (SELECT left(own, 4) AS top, sha256(string_agg(digest, '' ORDER BY own)) AS digest FROM a GROUP BY top) SELECT sha256(string_agg(digest, '' ORDER BY top)) AS signature FROM b""")
 def corpus_tree_signature(spark, d):
     return V.tree_signature(_docs(spark, d).withColumn("key", F.col("key").cast("string")))
