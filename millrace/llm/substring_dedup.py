@@ -8,7 +8,7 @@ belongs to the minimizer's shard.
    aggregation; the others mark candidate windows.
 2. A candidate's run of windows with one minimizer is a segment.  It carries its
    words themselves, so nothing is ever decided by a hash of them: equal segments
-   (by a SHA-256 of their bytes) are one row with the smallest identifier, so any
+   (by a cryptographic digest of their bytes, 128 bits) are one row with the smallest identifier, so any
    number of copies costs one row.  A minimizer with more than ``HOT`` different
    segments (the border of a passage that very many documents share) is dealt by
    window instead.
@@ -131,7 +131,7 @@ class _Segments:
 
 
 def _key(words: bytes) -> bytes:
-    return hashlib.sha256(words).digest()
+    return hashlib.blake2b(words, digest_size=16).digest()
 
 
 def _windows(words: bytes, window: int) -> list[bytes]:
@@ -170,7 +170,7 @@ def _removed(rows: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(own.row)), pa.array(own.least), pa.array(map(_key, words), pa.binary()), pa.array(own.sizes, pa.int64()), pa.array(words, pa.binary())], ["id", "mini", "key", "n", "words"])
 
     segments = found.select("id", "text", "minis").mapInArrow(told, "id long, mini long, key binary, n long, words binary")
-    segments = materialize(segments.groupBy("mini", "key").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("words").alias("words")), "segments")
+    segments = materialize(segments.groupBy("key").agg(F.first("mini").alias("mini"), F.min("id").alias("first"), F.first("n").alias("n"), F.first("words").alias("words")), "segments")
     release(spark)
     hot = materialize(segments.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("mini"), "hot")
 
@@ -183,7 +183,7 @@ def _removed(rows: DataFrame, window: int) -> DataFrame:
     # a window of a hot minimizer is a segment of its own, whose minimizer is a hash of its key
     split = segments.join(hot, "mini", "left_semi").select("first", "words").mapInArrow(cut, "first long, key binary, words binary")
     split = split.groupBy("key").agg(F.min("first").alias("first"), F.first("words").alias("words"))
-    pieces = segments.join(hot, "mini", "left_anti").select("mini", "key", "n", "words", "first").unionByName(split.select(F.xxhash64("key").alias("mini"), "key", F.lit(1).cast("long").alias("n"), "words", "first"))
+    pieces = segments.join(hot, "mini", "left_anti").select("mini", "key", "words", "first").unionByName(split.select(F.xxhash64("key").alias("mini"), "key", "words", "first"))
     total = segments.agg(F.coalesce(F.sum(F.col("n") + window - 1), F.lit(0))).first()[0]
     shards = max(1, -(-int(total) // SHARD))
 
@@ -202,9 +202,9 @@ def _removed(rows: DataFrame, window: int) -> DataFrame:
         places = np.repeat(starts - (np.cumsum(asked) - asked), asked) + np.arange(int(asked.sum()))
         least = index.least_owner(*index.search(places, window))
         cuts = np.concatenate(([0], np.cumsum(asked))).astype(np.int32)
-        return pa.table([table.column("mini").combine_chunks(), table.column("key").combine_chunks(), pa.ListArray.from_arrays(pa.array(cuts), pa.array(least))], ["mini", "key", "firsts"])
+        return pa.table([table.column("key").combine_chunks(), pa.ListArray.from_arrays(pa.array(cuts), pa.array(least))], ["key", "firsts"])
 
-    matched = pieces.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards))).groupBy("shard").applyInArrow(match, "mini long, key binary, firsts array<long>")
+    matched = pieces.withColumn("shard", F.pmod(F.xxhash64("mini"), F.lit(shards))).groupBy("shard").applyInArrow(match, "key binary, firsts array<long>")
     matched = materialize(matched, "matched")
     release(spark)
     discard(segments)
@@ -228,18 +228,17 @@ def _removed(rows: DataFrame, window: int) -> DataFrame:
             else:
                 by_row = [set(x or ()) for x in batch.column("hot").to_pylist()]
                 busy = np.array([m in by_row[r] for r, m in zip(own.row.tolist(), own.least.tolist(), strict=True)], bool)
-            row, start, least, keys = [], [], [], []
-            for r, s, m, b, words in zip(own.row.tolist(), own.start.tolist(), own.least.tolist(), busy.tolist(), own.words(), strict=True):
+            row, start, keys = [], [], []
+            for r, s, b, words in zip(own.row.tolist(), own.start.tolist(), busy.tolist(), own.words(), strict=True):
                 each = _windows(words, window) if b else [words]
                 row += [r] * len(each)
                 start += range(s, s + len(each))
-                least += [None if b else m] * len(each)
                 keys += map(_key, each)
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("text_key").take(take), pa.array(start, pa.int32()), pa.array(least, pa.int64()), pa.array(keys, pa.binary())], ["id", "text_key", "start", "mini", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("text_key").take(take), pa.array(start, pa.int32()), pa.array(keys, pa.binary())], ["id", "text_key", "start", "key"])
 
-    stands = asked.mapInArrow(place, "id long, text_key long, start int, mini long, key binary").withColumn("mini", F.coalesce("mini", F.xxhash64("key")))
-    stands = stands.join(matched.hint("shuffle_hash"), ["mini", "key"])
+    stands = asked.mapInArrow(place, "id long, text_key long, start int, key binary")
+    stands = stands.join(matched.hint("shuffle_hash"), "key")
     # which windows of the segment start in an earlier document
     gone = stands.select("id", "text_key", F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("id"), F.col("start") + i)), lambda x: x.isNotNull()).alias("at")).where(F.size("at") > 0)
     gone = materialize(gone.groupBy("id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")), "gone")
