@@ -55,6 +55,8 @@ STRICT, LOOSE = 90, 4
 BLOCK, SMALL = 1_000_000, 200_000
 #: Members of a large cluster that all its others are held against first.
 PIVOTS = 4
+#: Octets of all pivots up to which they are broadcast.
+PIVOT_BYTES = 16 << 20
 #: Symbols in one trie node at most, so that bounds are looked at early.
 NODE = 32
 
@@ -381,24 +383,34 @@ def _large(sets: DataFrame, percent: int, link) -> DataFrame:
     least = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id")).alias(f"p{i}") for i in range(PIVOTS)]
     chosen = sets.groupBy("component").agg(*least).select(F.explode(F.array(*(F.col(f"p{i}.id") for i in range(PIVOTS)))).alias("id")).distinct()
     pivots = sets.join(chosen, "id", "left_semi").groupBy("component").agg(F.collect_list(F.struct("id", "own")).alias("pivots"))
-    # every part of a cluster gets its pivots, so that no cluster meets in one task
-    parts = sets.groupBy("component").agg(F.first("blocks").alias("blocks"))
-    pivots = materialize(pivots.join(parts, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"), "pivots")
-    part = F.pmod(F.xxhash64("id", F.lit("part")), F.col("blocks")).cast("int")
-    star = materialize(sets.withColumn("part", part).join(pivots, ["component", "part"]).select("id", "own", "pivots").mapInArrow(against_pivots, "a long, b long"), "star")
+    pivots = materialize(pivots, "pivots")
+    held = pivots.agg(F.coalesce(F.sum(F.aggregate("pivots", F.lit(0).cast("long"), lambda s, p: s + F.octet_length(p["own"]))), F.lit(0))).first()[0]
+    if held <= PIVOT_BYTES:
+        met = sets.join(F.broadcast(pivots), "component")
+    else:  # every part of a cluster gets its pivots, so that no cluster meets in one task
+        parts = sets.groupBy("component").agg(F.first("blocks").alias("blocks"))
+        spread = pivots.join(parts, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        met = sets.withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("blocks")).cast("int")).join(spread, ["component", "part"])
+    star = materialize(met.select("id", "own", "pivots").mapInArrow(against_pivots, "a long, b long"), "star")
     groups = sets.select("id", "component", F.octet_length("own").alias("size")).join(components(star).select(F.col("node").alias("id"), F.col("component").alias("grp")), "id", "left")
     groups = materialize(groups.select("id", "component", "size", F.coalesce("grp", "id").alias("grp")).dropDuplicates(["id"]), "groups")
     sums = groups.groupBy("component", "grp").agg(F.sum("size").alias("size"))
     largest = sums.groupBy("component").agg(F.max_by("grp", F.struct("size", "grp")).alias("main"), F.max("size").alias("main_size"), F.sum("size").alias("size"))
     blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / (8 * BLOCK))).cast("int")
-    told = groups.select("id", "component", "grp").join(largest.withColumn("mains", blocks(F.col("main_size"))).withColumn("others", F.when(F.col("size") > F.col("main_size"), blocks(F.col("size") - F.col("main_size"))).otherwise(0)), "component")
+    fine = lambda size: blocks(4 * size)
+    other_size = F.col("size") - F.col("main_size")
+    some = lambda c: F.when(other_size > 0, c).otherwise(0)
+    largest = largest.withColumn("mains", fine(F.col("main_size"))).withColumn("others", some(blocks(other_size))).withColumn("fine_others", some(fine(other_size)))
+    told = groups.select("id", "component", "grp").join(largest, "component")
     main = F.col("grp") == F.col("main")
+    # the main group is copied once for each large block of the others, which are copied once for each small block of it and of each other
     own = F.pmod(F.xxhash64("id"), F.when(main, F.col("mains")).otherwise(F.greatest("others", F.lit(1)))).cast("int")
-    told = told.where("others > 0").withColumn("own_block", own).withColumn("in_main", main)
+    own_fine = F.pmod(F.xxhash64("id", F.lit("fine")), F.greatest("fine_others", F.lit(1))).cast("int")
+    told = told.where("others > 0").withColumn("own_block", own).withColumn("own_fine", own_fine).withColumn("in_main", main)
     name = lambda kind, i, j: F.concat_ws(":", "component", F.lit(kind), i, j)
     up_to = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    among = F.transform(up_to("others"), lambda j: name("r", F.least(j, F.col("own_block")), F.greatest(j, F.col("own_block"))))
-    among = F.when(F.col("others") > 1, F.filter(among, lambda t: t != name("r", F.col("own_block"), F.col("own_block")))).otherwise(among)  # two blocks together cover each alone
+    among = F.transform(up_to("fine_others"), lambda j: name("r", F.least(j, F.col("own_fine")), F.greatest(j, F.col("own_fine"))))
+    among = F.when(F.col("fine_others") > 1, F.filter(among, lambda t: t != name("r", F.col("own_fine"), F.col("own_fine")))).otherwise(among)  # two blocks together cover each alone
     with_main = F.when(F.col("in_main"), F.transform(up_to("others"), lambda i: name("m", i, F.col("own_block")))).otherwise(F.transform(up_to("mains"), lambda j: name("m", F.col("own_block"), j)))
     tasks = F.concat(F.when(F.col("in_main"), F.array().cast("array<string>")).otherwise(among), with_main)
     def link_main(table: pa.Table) -> pa.Table:

@@ -226,8 +226,10 @@ def test_ngrams(spark, monkeypatch, block, small, hot):
     assert len({c for _, c in expected.values()}) < len(texts) - 15
 
 
-def test_one_cluster_of_many_parts(spark, monkeypatch):
+@pytest.mark.parametrize("octets", [ngram_join.PIVOT_BYTES, 0])
+def test_one_cluster_of_many_parts(spark, monkeypatch, octets):
     """Near copies of one text far beyond a block, with chains at its border that no pivot reaches."""
+    monkeypatch.setattr(ngram_join, "PIVOT_BYTES", octets)
     monkeypatch.setattr(ngram_join, "BLOCK", 400), monkeypatch.setattr(ngram_join, "SMALL", 100)
     rnd = random.Random(5)
     base = [f"w{i}" for i in range(80)]
