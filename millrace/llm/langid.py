@@ -60,6 +60,13 @@ _BEGINS = np.array([b for b, _ in SCRIPTS])
 _NAMES = sorted({n for _, n in SCRIPTS})
 _SCRIPT = np.array([_NAMES.index(n) for _, n in SCRIPTS])
 _WORD = re.compile(f"[{_class_of('L')}]+")
+#: The same for texts without numerals that are neither letters nor decimal digits, and several times as fast.
+_PLAIN_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _words(text: str) -> list[str]:
+    own = _PLAIN_WORD.findall(text)
+    return own if not own or "".join(own).isalpha() else _WORD.findall(text)
 
 
 def _grams(words: list[str]):
@@ -124,7 +131,7 @@ def fit(docs: DataFrame, chosen: Column, id_col: str = "doc_id", text_col: str =
         for batch in slices(batches, "text"):
             by_lang: dict[str, list[str]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).extend(_WORD.findall(text))
+                by_lang.setdefault(lang, []).extend(_words(text))
             for lang, words in by_lang.items():
                 if not words:
                     continue
@@ -190,7 +197,7 @@ class Labeller:
         """Per text its words (matches are found again only for spans), and per word of all texts its length and language."""
         if len(self.known) > CACHE_WORDS:
             self.known, self.scores = {}, np.zeros((0, len(self.model.langs)))
-        words = [_WORD.findall(t) if t else [] for t in texts]
+        words = [_words(t) if t else [] for t in texts]
         new = list(set().union(*words).difference(self.known)) if words else []
         if new:
             at = len(self.known)

@@ -482,6 +482,18 @@ def test_numerals_are_no_letters(spark, model):
     assert {r["doc_id"] for r in langid.keep_identified(table(spark, texts), model).collect()} == {2, 3}
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.characters(), st.sampled_from("aé½²Ⅷ①٣中_ 9ªºǅ\u0301𝟘𐅀")), max_size=30))
+def test_words_are_runs_of_letters(text):
+    expected, run = [], ""
+    for c in text + " ":
+        if unicodedata.category(c)[0] == "L":
+            run += c
+        elif run:
+            expected, run = [*expected, run], ""
+    assert langid._words(text) == expected
+
+
 def test_fit_samples_by_label(spark, monkeypatch):
     """A rare label is learned beside a frequent one; held-out rows teach nothing; too many labels are an error."""
     rows = [(i, f"the dog is in the house number {i % 7}", "en", "s", 0) for i in range(400)] + [(1000 + i, "zxq kvv wqz jjx qqk", "xx", "s", 0) for i in range(5)] + [(2000 + i, "ouais le chat dort ici", "fr", "s", 0) for i in range(5)]
