@@ -337,8 +337,8 @@ def brute_pipeline(spark, sf_dir):
     for i in sorted(kept):
         last[kept[i]] = i
     kept = {i: t for t, i in last.items()}
-    linked = brute_links(kept)
-    kept = {i: t for i, t in kept.items() if linked[i][1] == i}
+    stay = brute_near_copies(kept)
+    kept = {i: t for i, t in kept.items() if i in stay}
     return {i: pii.redacted(t, pii.find(t)) for i, t in kept.items()}
 
 
