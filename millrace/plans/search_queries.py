@@ -114,6 +114,39 @@ def block_any(spark, d):
     return search.blocked(search.ranked(fixtures.frame(spark, "hits"), "q_key", "ord"), "q_key").withColumn("first_flagged", F.coalesce("first_flagged", F.lit(0)))
 
 
+# the same decisions over a whole table: every line item is a match of its part, with scores from its numbers
+_PAIRS = """scores AS (SELECT l_partkey AS q_key, l_orderkey * 100 + l_linenumber AS ord,
+    CASE WHEN l_suppkey % 11 <> 0 THEN (l_orderkey * 37 + l_linenumber * 11) % 101 / 100.0 END AS lex,
+    CASE WHEN l_orderkey % 7 <> 0 THEN (l_orderkey * 13 + l_linenumber * 29) % 101 / 100.0 END AS sem FROM lineitem)"""
+_LABEL = f"CASE {_REASON} WHEN '' THEN 'No' WHEN 'meaning' THEN 'YES (meaning ≥70%)' ELSE 'YES (both ≥60%)' END"
+_DECIDED = f"{_PAIRS}, hits AS (SELECT *, {_REASON} AS block_reason, {_REASON} <> '' AS flagged, {_METHOD} AS method, greatest(coalesce(lex, 0), coalesce(sem, 0)) AS score, {_LABEL} AS flag_label FROM scores)"
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Matches with both scores; a score may be missing."""
+    order, line = F.col("l_orderkey"), F.col("l_linenumber")
+    lex = F.when(F.col("l_suppkey") % 11 != 0, (order * 37 + line * 11) % 101 / F.lit(100.0))
+    sem = F.when(order % 7 != 0, (order * 13 + line * 29) % 101 / F.lit(100.0))
+    return spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_partkey").alias("q_key"), (order * 100 + line).alias("ord"), lex.alias("lex"), sem.alias("sem"))
+
+
+@query(f"WITH {_DECIDED} SELECT q_key, ord, block_reason, flagged, method, score, flag_label FROM hits")
+def decided_rows(spark, d):
+    return search.decided(_pairs(spark, d)).select("q_key", "ord", "block_reason", "flagged", "method", "score", "flag_label")
+
+
+@query(f"WITH {_DECIDED}, r AS (SELECT *, CAST({_RANK} AS INTEGER) AS rank FROM hits) SELECT q_key, ord, rank FROM r WHERE rank <= 10")
+def ranked_rows(spark, d):
+    """The ten best matches of each part, as reports list them."""
+    return search.ranked(search.decided(_pairs(spark, d)), "q_key", "ord").select("q_key", "ord", "rank")
+
+
+@query(f"WITH {_DECIDED}, r AS (SELECT *, CAST({_RANK} AS INTEGER) AS rank FROM hits) SELECT q_key, bool_or(flagged) AS blocked, arg_min(score, rank) AS max_similarity, coalesce(min(rank) FILTER (flagged), 0) AS first_flagged FROM r WHERE rank <= 10 GROUP BY q_key")
+def blocked_rows(spark, d):
+    hits = search.ranked(search.decided(_pairs(spark, d)), "q_key", "ord")
+    return search.blocked(hits, "q_key").withColumn("first_flagged", F.coalesce("first_flagged", F.lit(0)))
+
+
 @query(f"""WITH {_TOP}, best AS (SELECT q_key, c_key, lex FROM ranked WHERE r <= 10)
     SELECT q_key, bool_or(lex >= 0.6) AS lexical_hit, max(lex) AS best_lex FROM best GROUP BY q_key""")
 def search_summary(spark, d):
