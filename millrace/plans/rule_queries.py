@@ -170,7 +170,11 @@ def regex_terms_unique(spark, d):
 
 
 _UNFENCED = "trim(CASE WHEN contains(raw, '```json') THEN string_split(substr(raw, instr(raw, '```json') + 7), '```')[1] WHEN contains(raw, '```') THEN string_split(substr(raw, instr(raw, '```') + 3), '```')[1] ELSE raw END, ' ' || chr(10))"
-_PARSED = f"p AS (SELECT bundle_id, check_key, TRY_CAST({_UNFENCED} AS JSON) AS j FROM {fixtures.sql('verdicts')}), parsed AS (SELECT bundle_id, check_key, j, CASE WHEN j IS NULL THEN 'ERROR' ELSE coalesce(j->>'$.verdict', 'UNKNOWN') END AS verdict, CASE WHEN j IS NULL THEN 0 ELSE CAST(j->>'$.alignment_score' AS DOUBLE) END AS alignment_score, j->>'$.reasoning' AS reasoning FROM p)"
+def _parsed(table: str) -> str:
+    return f"p AS (SELECT bundle_id, check_key, TRY_CAST({_UNFENCED} AS JSON) AS j FROM {table}), parsed AS (SELECT bundle_id, check_key, j, CASE WHEN j IS NULL THEN 'ERROR' ELSE coalesce(j->>'$.verdict', 'UNKNOWN') END AS verdict, CASE WHEN j IS NULL THEN 0 ELSE CAST(j->>'$.alignment_score' AS DOUBLE) END AS alignment_score, j->>'$.reasoning' AS reasoning FROM p)"
+
+
+_PARSED = _parsed(fixtures.sql("verdicts"))
 
 
 @query(f"WITH {_PARSED} SELECT bundle_id, check_key, verdict, coalesce(alignment_score, -1) AS alignment_score, reasoning FROM parsed")
@@ -190,6 +194,30 @@ def llm_verdict_fold(spark, d):
     return gates.llm_pass(verdicts.parsed(fixtures.frame(spark, "verdicts")))
 
 
+# judge answers over a whole table: every label is one answer, bare, fenced or not JSON at all
+_ANSWERS = """answers AS (SELECT doc_id // 9 AS bundle_id, CAST(doc_id % 9 AS VARCHAR) AS check_key, CASE WHEN toxic = 1 AND quality = 0 THEN 'I can not say' WHEN doc_id % 2 = 0 THEN '```json' || chr(10) || body || chr(10) || '```' ELSE body END AS raw
+    FROM (SELECT *, '{"verdict": "' || CASE WHEN quality = 1 THEN 'ALIGNED' WHEN doc_id % 3 = 0 THEN 'REJECT' ELSE 'NEEDS_WORK' END || '", "alignment_score": ' || doc_id % 11 || ', "reasoning": "label ' || doc_id || '"}' AS body FROM labels))"""
+
+
+def _answers(spark, d):
+    key = F.col("doc_id")
+    verdict = F.when(F.col("quality") == 1, "ALIGNED").when(key % 3 == 0, "REJECT").otherwise("NEEDS_WORK")
+    body = F.concat(F.lit('{"verdict": "'), verdict, F.lit('", "alignment_score": '), (key % 11).cast("string"), F.lit(', "reasoning": "label '), key.cast("string"), F.lit('"}'))
+    raw = F.when((F.col("toxic") == 1) & (F.col("quality") == 0), "I can not say").when(key % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    rows = spark.read.parquet(f"{d}/labels.parquet")
+    return rows.select(F.floor(key / 9).alias("bundle_id"), (key % 9).cast("string").alias("check_key"), raw.alias("raw"))
+
+
+@query(f"WITH {_ANSWERS}, {_parsed('answers')} SELECT bundle_id, check_key, verdict, coalesce(alignment_score, -1) AS alignment_score, reasoning FROM parsed")
+def judge_answers(spark, d):
+    return verdicts.parsed(_answers(spark, d)).select("bundle_id", "check_key", "verdict", F.coalesce("alignment_score", F.lit(-1.0)).alias("alignment_score"), "reasoning")
+
+
+@query(f"WITH {_ANSWERS}, {_parsed('answers')} SELECT bundle_id, count(*) FILTER (verdict = 'REJECT') AS rejects, count(*) FILTER (verdict = 'NEEDS_WORK') AS needs_work, count(*) FILTER (verdict = 'ERROR') AS errors, count(*) AS ran, count(*) FILTER (verdict IN ('REJECT', 'NEEDS_WORK')) = 0 AS llm_pass FROM parsed GROUP BY bundle_id")
+def judge_gates(spark, d):
+    return gates.llm_pass(verdicts.parsed(_answers(spark, d)))
+
+
 _CHECKS = ", ".join(f"({i}, '{k}', [{', '.join(repr(r) for r in req)}], {str(spec).lower()})" for i, (k, _, req, spec) in enumerate(verdicts.CHECKS))
 
 
