@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, html_text, langid, ngram_join, packing, pii, secrets, substring_dedup
+from . import bpe, conversation_repair, embedding_dedup, exact_dedup, html_text, langid, ngram_join, packing, pii, secrets, substring_dedup
 from ._shared import documents
 
 #: The vocabulary file of the token contracts.
@@ -69,6 +69,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, trained(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
@@ -80,8 +84,13 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
     "op10_langid": op10_langid,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
+#: CRC-32 of a string of ASCII characters, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({s}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
 ORACLE_SQL = {
     "op8_exact_dedup": """
         WITH groups AS (
@@ -91,4 +100,63 @@ ORACLE_SQL = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(g.body) AS text_sha256
         FROM documents d JOIN groups g ON coalesce(d.text, '') = g.body
     """,
+    "op13_conversation_repair": f"""
+        WITH RECURSIVE known AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   {_CRC32.format(s="coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h
+            FROM conversations
+        ), harmed AS (
+            SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM known WHERE h <> 0
+        ), rows AS (
+            SELECT conv_id, turn, role, text, substr(role, 1, 1) AS initial,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+                   CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+                        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 THEN 'duplicate'
+                        WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' END AS fault
+            FROM harmed
+        ), pairs AS (
+            SELECT conv_id, lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial AS pair FROM rows
+        ), faults AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, max(place) AS n
+            FROM rows GROUP BY conv_id
+        ), illegal AS (
+            SELECT conv_id, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv_id
+        ), inserts(state, cost, letters, mid) AS (
+            VALUES (0, 0, '', 0), (1, 0, '', 1), (2, 0, '', 2), (3, 0, '', 3), (0, 2, 'I', 2), (1, 2, 'I', 2), (2, 2, 'I', 3), (3, 2, 'I', 2),
+                   (0, 4, 'II', 3), (1, 4, 'II', 3), (2, 4, 'II', 2), (3, 4, 'II', 3)
+        ), edits(mid, initial, letter, cost, state) AS (
+            VALUES (0, 's', 'K', 0, 1), (0, 'u', 'K', 0, 2), (1, 'u', 'K', 0, 2), (3, 'u', 'K', 0, 2), (2, 'a', 'K', 0, 3),
+                   (0, NULL, 'R', 2, 2), (1, NULL, 'R', 2, 2), (2, NULL, 'R', 2, 3), (3, NULL, 'R', 2, 2),
+                   (0, NULL, 'D', 3, 0), (1, NULL, 'D', 3, 1), (2, NULL, 'D', 3, 2), (3, NULL, 'D', 3, 3)
+        ), best(conv_id, place, state, told) AS (
+            SELECT conv_id, 0::BIGINT, 0, {{'cost': 0::BIGINT, 'audit': '', 'out': ''}} FROM faults
+            UNION ALL
+            SELECT b.conv_id, r.place, e.state, min({{
+                'cost': b.told.cost + i.cost + e.cost + CASE WHEN r.fault = 'truncated' AND e.letter <> 'D' THEN 1 ELSE 0 END,
+                'audit': b.told.audit || i.letters || e.letter,
+                'out': b.told.out
+                    || CASE WHEN i.letters = '' THEN '' WHEN i.mid = 2 AND i.letters = 'I' THEN 'user:' || chr(10) WHEN i.letters = 'I' THEN 'assistant:' || chr(10)
+                            WHEN i.mid = 3 THEN 'user:' || chr(10) || 'assistant:' || chr(10) ELSE 'assistant:' || chr(10) || 'user:' || chr(10) END
+                    || CASE e.letter WHEN 'K' THEN r.role || ':' || r.text || chr(10) WHEN 'R' THEN CASE e.state WHEN 2 THEN 'user' ELSE 'assistant' END || ':' || r.text || chr(10) ELSE '' END}})
+            FROM best b JOIN rows r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.place = b.place + 1
+            JOIN inserts i ON i.state = b.state
+            JOIN edits e ON e.mid = i.mid AND (e.letter = 'D' OR coalesce(r.fault, '') NOT IN ('blank', 'duplicate') AND (e.letter = 'R' OR e.initial = r.initial))
+            GROUP BY b.conv_id, r.place, e.state
+        ), ends AS (
+            SELECT b.conv_id, min(CASE b.state WHEN 1 THEN {{'cost': b.told.cost + 4, 'audit': b.told.audit || 'II', 'out': b.told.out || 'user:' || chr(10) || 'assistant:' || chr(10)}}
+                WHEN 2 THEN {{'cost': b.told.cost + 2, 'audit': b.told.audit || 'I', 'out': b.told.out || 'assistant:' || chr(10)}} ELSE b.told END) AS told
+            FROM best b JOIN faults f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND b.place = f.n GROUP BY b.conv_id
+        )
+        SELECT c.conv_id, coalesce(f.gaps, 0) AS gaps, coalesce(f.blank, 0) AS blank, coalesce(f.duplicate, 0) AS duplicate, coalesce(f.truncated, 0) AS truncated,
+               coalesce(i.illegal, 0) AS illegal, coalesce(e.told.cost, 0) AS cost, coalesce(e.told.audit, '') AS audit,
+               sha256(coalesce(CASE WHEN e.told.out <> '' THEN left(e.told.out, length(e.told.out) - 1) END, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c
+        LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN illegal i ON i.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+    """,
 }
