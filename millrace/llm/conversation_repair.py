@@ -126,8 +126,9 @@ def numbered(rows: DataFrame) -> DataFrame:
     light = light.repartition("conv_id")
     again = F.row_number().over(Window.partitionBy("conv_id", "digest").orderBy(F.col("turn").asc_nulls_first())) > 1
     fault = F.when(F.col("blank"), "blank").when(F.col("again"), "duplicate").when(F.col("truncated"), "truncated")
-    inside = Window.partitionBy("conv_id").orderBy(*_order())
-    placed = light.withColumn("again", again).select("conv_id", "turn", "initial", fault.alias("fault"), "digest").withColumn("place", F.row_number().over(inside))
+    # of equal rows in one turn the first is the one that isn't a duplicate
+    inside = Window.partitionBy("conv_id").orderBy(*_order(), "again")
+    placed = light.withColumn("again", again).select("conv_id", "turn", "initial", fault.alias("fault"), "digest", "again").withColumn("place", F.row_number().over(inside))
     placed = placed.withColumn("_turn", F.lag("turn").over(inside)).withColumn("_initial", F.lag("initial").over(inside))
     first_of_turn = F.col("turn").isNotNull() & ((F.col("place") == 1) | ~F.col("turn").eqNullSafe(F.col("_turn")))
     lawful = (F.col("place") == 1) | F.concat("_initial", "initial").isin("su", "ua", "au")

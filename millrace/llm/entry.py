@@ -110,13 +110,14 @@ ORACLE_SQL = {
                    CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
                    unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy
             FROM known WHERE h <> 0
+        ), placed AS (
+            SELECT conv_id, turn, role, text, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM harmed
         ), rows AS (
-            SELECT conv_id, turn, role, text, substr(role, 1, 1) AS initial,
-                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+            SELECT *,
                    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
-                        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 THEN 'duplicate'
+                        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
                         WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' END AS fault
-            FROM harmed
+            FROM placed
         ), pairs AS (
             SELECT conv_id, lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial AS pair FROM rows
         ), faults AS (
