@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, conversation_repair, embedding_dedup, exact_dedup, html_text, langid, ngram_join, packing, pii, secrets, substring_dedup
+from . import bpe, conversation_repair, embedding_dedup, exact_dedup, html_text, langid, ngram_join, packing, pii, quality_rules, secrets, substring_dedup
 from ._shared import documents
 
 #: The vocabulary file of the token contracts.
@@ -69,6 +69,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, trained(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_packing": op9_packing,
     "op10_langid": op10_langid,
+    "op11_quality_rules": op11_quality_rules,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
