@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, conversation_repair, embedding_dedup, exact_dedup, html_text, langid, ngram_join, packing, pii, quality_rules, secrets, substring_dedup
+from . import bpe, conversation_repair, embedding_dedup, exact_dedup, html_text, langid, ngram_join, packing, pii, quality_rules, secrets, spelling_variants, substring_dedup
 from ._shared import documents
 
 #: The vocabulary file of the token contracts.
@@ -73,6 +73,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group(documents(spark, sf_dir))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -89,11 +93,13 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_langid": op10_langid,
     "op11_quality_rules": op11_quality_rules,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
-#: CRC-32 of a string of ASCII characters, bit by bit.
-_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({s}, ''), lambda c: ascii(c)::BIGINT)),
+#: CRC-32 of a string's UTF-8 bytes, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(encode({s})) + 1),
+        lambda k: 16 * (instr('0123456789ABCDEF', substr(hex(encode({s})), 2 * k - 1, 1)) - 1) + instr('0123456789ABCDEF', substr(hex(encode({s})), 2 * k, 1)) - 1)),
     lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
 
 ORACLE_SQL = {
@@ -105,6 +111,34 @@ ORACLE_SQL = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(g.body) AS text_sha256
         FROM documents d JOIN groups g ON coalesce(d.text, '') = g.body
     """,
+    "op12_spelling_variants": f"""
+        WITH RECURSIVE runs AS (
+            SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents
+        ), lowered AS (
+            SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS many
+            FROM runs WHERE length(run) >= 7 GROUP BY ALL
+        ), hashed AS (
+            SELECT run, many, {_CRC32.format(s="(id || ':' || run)")} AS h FROM lowered
+        ), words AS (
+            SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(many)::BIGINT AS n
+            FROM hashed GROUP BY 1 HAVING length(word) >= 7 AND sum(many) >= 2
+        ), shorter AS (
+            SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)
+        ), pairs AS (
+            SELECT a.word AS word, b.word AS other FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT s.word, w.word FROM shorter s JOIN words w ON s.rest = w.word
+            UNION SELECT w.word, s.word FROM shorter s JOIN words w ON s.rest = w.word
+        ), near AS (
+            SELECT p.word, count(*) AS n_near, min({{'minus': -o.n, 'word': o.word}}) AS best FROM pairs p JOIN words o ON o.word = p.other GROUP BY p.word
+        ), told AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.minus >= 10 * w.n THEN best.word END AS form, CASE WHEN -best.minus >= 10 * w.n THEN -best.minus END AS form_n
+            FROM words w LEFT JOIN near USING (word)
+        ), chain(word, stands, step) AS (
+            SELECT word, word, 0 FROM told
+            UNION ALL SELECT c.word, t.form, c.step + 1 FROM chain c JOIN told t ON t.word = c.stands WHERE t.form IS NOT NULL
+        )
+        SELECT t.word, t.n, t.n_near, t.form, t.form_n, r.root FROM told t JOIN (SELECT word, arg_max(stands, step) AS root FROM chain GROUP BY word) r USING (word)
+    """,
     "op13_conversation_repair": f"""
         WITH RECURSIVE known AS (
             SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
