@@ -1,15 +1,16 @@
 """Search without a shuffle of texts or vectors: a query set stands in every task, and only a task's best rows leave it.
 
-The query side is a stated set.  It is collected and broadcast in blocks of at
-most ``POSTINGS`` words and vector components, a checked size; a larger set is
-several blocks, each with a pass of its own over the corpus.  The corpus is
-tokenised in the JVM and scored where it lies: words are looked up in the
-block's postings, vectors meet the block's matrix, a few rows at a time.
+The query side is a stated set.  It is broadcast in blocks of at most ``POSTINGS``
+words and vector components, a checked size; a larger set is several blocks, each
+with a pass of its own over the corpus, one after another.  The corpus is tokenised
+in the JVM and scored where it lies: words are looked up in the block's postings,
+vectors meet the block's matrix, a few rows at a time.  A task carries the k best
+rows of every query through all its batches and lets nothing else out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.packages import ship
+from millrace.tables import written
 
 #: Words and vector components of the queries in one block (some 30 MB).
 POSTINGS = 2_000_000
-#: Pairs that a task scores at a time.
-PAIRS = 1_000_000
+#: Pairs that a task scores at a time, and rows of one batch.
+PAIRS, ROWS = 1_000_000, 4_096
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -44,6 +46,8 @@ class Block:
         self.keys, self.many = one("q_key"), table.num_rows
         self.names = [n or "" for n in one("name").to_pylist()] if "name" in table.column_names else []
         self.vectors: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: Rows of the corpus that are scored at a time.
+        self.step = max(1, PAIRS // max(1, self.many)) if "v" in table.column_names else ROWS
         if "words" in table.column_names:
             words = one("words")
             sizes = np.diff(words.offsets.to_numpy())
@@ -55,17 +59,34 @@ class Block:
         if "v" in table.column_names:
             self.vectors = _by_size(one("v"))
 
-    def common(self, words: pa.ListArray, weights: np.ndarray | None = None) -> np.ndarray:
-        """Per row and query how many words they share, or the sum of the products of their weights."""
+    def common(self, words: pa.ListArray, weights: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows and queries that share words, with how many, or the sum of the products of their weights; some rows at a time."""
         at = pc.index_in(words.flatten(), value_set=self.words)
         known = at.is_valid().to_numpy(zero_copy_only=False)
         row = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))[known]
+        own = weights[known] if weights is not None else None
         at = at.drop_null().to_numpy()
         size = self.first[at + 1] - self.first[at]
-        place = np.repeat(self.first[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        cell = np.repeat(row * self.many, size) + self.owner[place]
-        product = None if weights is None else np.repeat(weights[known], size) * self.weights[place]
-        return np.bincount(cell, product, len(words) * self.many).astype(np.float64).reshape(len(words), self.many)
+        whole = np.concatenate([[0], np.cumsum(size)])
+        ends = np.searchsorted(row, np.arange(len(words) + 1))
+        first = 0
+        while first < len(words):
+            last = max(first + 1, int(np.searchsorted(whole[ends], whole[ends[first]] + PAIRS, "right")) - 1)
+            a, b = ends[first], ends[last]
+            many, base = size[a:b], whole[a:b] - whole[a]
+            place = np.repeat(self.first[at[a:b]] - base, many) + np.arange(int(many.sum()))
+            cell = np.repeat((row[a:b] - first) * self.many, many) + self.owner[place]
+            product = None if own is None else np.repeat(own[a:b], many) * self.weights[place]
+            cells = (last - first) * self.many
+            if cells <= 4 * len(cell):
+                total = np.bincount(cell, product, cells)
+                cell = np.flatnonzero(total if product is None else np.bincount(cell, None, cells))
+                total = total[cell]
+            else:
+                cell, back, count = np.unique(cell, return_inverse=True, return_counts=True)
+                total = count if product is None else np.bincount(back, product, len(cell))
+            yield first + cell // self.many, cell % self.many, total.astype(np.float64)
+            first = last
 
     def cosines(self, vectors: pa.ListArray) -> np.ndarray:
         """Per row and query their cosine: none (NaN) where either has no vector, 0 for empty, zero or unequally long ones."""
@@ -93,48 +114,161 @@ def _by_size(vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray, n
     return out
 
 
-def blocks(queries: DataFrame) -> list[pa.Table]:
-    """The query set in blocks of a checked size."""
+class Best:
+    """The k best rows of every query over all rows of a task.
+
+    Rows are compared by ``orders``, of which less is better and the first counts most, then by key.  The first
+    order of a query's k-th row is its ``floor``: what lies beyond it is dropped at once.  What passes waits until as
+    much waits as is held, so a row is sorted a bounded number of times, and never more than k rows a query are held.
+    """
+
+    def __init__(self, k: int, many: int):
+        self.k, self.floor = k, np.full(many, np.inf)
+        self.held: tuple | None = None
+        self.waiting: list[tuple] = []
+        self.waits = 0
+
+    def add(self, query: np.ndarray, orders: list[np.ndarray], keys: pa.Array, values: list[np.ndarray]) -> None:
+        """``keys`` has a key for each place in ``query``."""
+        passes = orders[0] <= self.floor[query]
+        if not passes.any():
+            return
+        if not passes.all():
+            query, orders, values, keys = query[passes], [o[passes] for o in orders], [v[passes] for v in values], keys.filter(pa.array(passes))
+        self.waiting.append((query, orders, keys, values))
+        self.waits += len(query)
+        if self.waits >= max(PAIRS // 8, len(self.held[0]) if self.held else 0):
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
+            return
+        parts = ([self.held] if self.held else []) + self.waiting
+        self.waiting, self.waits = [], 0
+        query = np.concatenate([p[0] for p in parts])
+        orders = [np.concatenate(o) for o in zip(*(p[1] for p in parts))]
+        values = [np.concatenate(v) for v in zip(*(p[3] for p in parts))]
+        keys = pa.concat_arrays([p[2] for p in parts])
+        place = pc.rank(keys, tiebreaker="dense").to_numpy()
+        order = np.lexsort((place, *orders[::-1], query))
+        query = query[order]
+        nth = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = order[nth < self.k]
+        full = order[nth == self.k - 1]
+        self.held = query[nth < self.k], [o[kept] for o in orders], keys.take(pa.array(kept)), [v[kept] for v in values]
+        at = np.concatenate([p[0] for p in parts])[full]
+        self.floor[at] = orders[0][full]
+
+    def rows(self, block: Block, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """``q_key, c_key`` and the values of what is best, a part at a time."""
+        self.settle()
+        if not self.held:
+            return
+        query, _, keys, values = self.held
+        for first in range(0, len(query), ROWS):
+            part = slice(first, first + ROWS)
+            columns = [block.keys.take(pa.array(query[part])), keys.slice(first, ROWS), *(pa.array(v[part], from_pandas=True) for v in values)]
+            yield pa.RecordBatch.from_arrays(columns, ["q_key", "c_key", *names])
+
+
+def _sized(queries: DataFrame) -> tuple[DataFrame, int]:
+    """The query set, in so many blocks of a checked size; several are written once, with the column ``block``."""
     held = [F.coalesce(F.size(c), F.lit(0)) for c in ("words", "v") if c in queries.columns]
     total = queries.agg(F.coalesce(F.sum(sum(held, F.lit(1))), F.lit(0)).alias("n")).first()["n"]
-    if total <= POSTINGS:
-        return [queries.toArrow()]
-    many = -(-total // POSTINGS)
-    return [queries.where(F.pmod(F.xxhash64("q_key"), F.lit(many)) == b).toArrow() for b in range(many)]
+    many = max(1, -(-total // POSTINGS))
+    if many == 1:
+        return queries, 1
+    return written(queries.withColumn("block", F.pmod(F.xxhash64("q_key"), F.lit(many)).cast("int")), "queries", "block"), many
 
 
-def scored(corpus: DataFrame, queries: DataFrame, score: Callable, fields: str) -> DataFrame:
-    """``q_key, c_key`` and ``fields`` of the pairs that ``score(block, rows)`` gives.
+def _met(corpus: DataFrame, queries: DataFrame, run: Callable, fields: str) -> DataFrame:
+    """``run(block, batches)`` over the corpus for every block of the queries.
 
-    ``score`` gets a block and a batch of the corpus in key order, and returns the rows and queries of the
-    pairs that leave the task, and an array for each field.
+    One block is one lazy pass.  Of several blocks the driver holds one at a time: its pass is made and written
+    before the next is read, so a query set of any size takes bounded memory everywhere.
     """
     spark = corpus.sparkSession
     ship(spark)
     kinds = dict(corpus.dtypes)["c_key"], dict(queries.dtypes)["q_key"]
     schema = f"q_key {kinds[1]}, c_key {kinds[0]}, {fields}"
-    names = [f.split()[0] for f in fields.split(", ")]
+    sized, many = _sized(queries)
     out = None
-    for table in blocks(queries):
-        shared = spark.sparkContext.broadcast(table)
+    for b in range(many):
+        shared = spark.sparkContext.broadcast((sized if many == 1 else sized.where(F.col("block") == b).drop("block")).toArrow())
 
-        def run(batches, shared=shared):
+        def task(batches, shared=shared):
             block = Block(shared.value)
-            step = max(1, PAIRS // max(1, block.many))
-            for batch in batches:
-                batch = batch.take(pc.sort_indices(batch.column("c_key")))
-                for first in range(0, batch.num_rows if block.many else 0, step):
-                    # a copy of the slice, as offsets are read from its start
-                    rows = batch.slice(first, step).take(pa.array(range(min(step, batch.num_rows - first))))
-                    row, query, *values = score(block, rows)
-                    yield pa.RecordBatch.from_arrays([block.keys.take(pa.array(query)), rows.column("c_key").take(pa.array(row)), *(v if isinstance(v, pa.Array) else pa.array(v) for v in values)], ["q_key", "c_key", *names])
-
-        part = corpus.mapInArrow(run, schema)
+            if block.many:
+                yield from run(block, batches)
+
+        part = corpus.mapInArrow(task, schema)
+        if many > 1:
+            part = written(part, "search")
+            shared.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def first_rows(order: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and queries of the k best rows of each query; ``order`` are matrices by which less is better, the first counts most."""
-    best = np.lexsort(order[::-1], axis=0)[:k]
-    return best.reshape(-1), np.tile(np.arange(best.shape[1]), len(best))
+def _slices(batch: pa.RecordBatch, step: int) -> Iterator[pa.RecordBatch]:
+    for first in range(0, batch.num_rows, step):
+        # a copy of the slice, as offsets are read from its start
+        yield batch.slice(first, step).take(pa.array(range(min(step, batch.num_rows - first))))
+
+
+def scored(corpus: DataFrame, queries: DataFrame, score: Callable, fields: str) -> DataFrame:
+    """``q_key, c_key`` and ``fields`` of the pairs that ``score(block, rows)`` gives.
+
+    ``score`` gets a block and some rows of the corpus, and yields the rows and queries of the pairs that leave the
+    task, and an array for each field.
+    """
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(block, batches):
+        for batch in batches:
+            for rows in _slices(batch, block.step):
+                for row, query, *values in score(block, rows):
+                    yield pa.RecordBatch.from_arrays([block.keys.take(pa.array(query)), rows.column("c_key").take(pa.array(row)), *(pa.array(v) for v in values)], ["q_key", "c_key", *names])
+
+    return _met(corpus, queries, run, fields)
+
+
+def best(corpus: DataFrame, queries: DataFrame, score: Callable, k: int, fields: str, zeros: bool = False) -> DataFrame:
+    """``q_key, c_key`` and ``fields`` of the k best rows per query and task, of those that ``score(block, rows, floor)`` gives.
+
+    ``score`` yields rows, queries, a list of orders (less is better) and a list of values, and may leave out what is
+    beyond ``floor``.  ``zeros``: a pair that it leaves out has the order and value 0 and comes after all given ones;
+    only the k first keys of a task can be among these, so no more are held.
+    """
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(block, batches):
+        top, first = Best(k, block.many), None
+        for batch in batches:
+            if zeros:
+                keys = column(pa.Table.from_batches([batch]), "c_key")
+                first = keys if first is None else pa.concat_arrays([first, keys])
+                first = first.take(pc.sort_indices(first)[:k])
+            for rows in _slices(batch, block.step):
+                for row, query, orders, values in score(block, rows, top.floor):
+                    top.add(query, orders, rows.column("c_key").take(pa.array(row)), values)
+        if first is not None:
+            _fill(top, block, first)
+        yield from top.rows(block, names)
+
+    return _met(corpus, queries, run, fields)
+
+
+def _fill(top: Best, block: Block, first: pa.Array) -> None:
+    """Give queries of fewer than k rows the first keys with a score of 0, but for those that they have."""
+    top.settle()
+    query, keys = (top.held[0], top.held[2]) if top.held else (np.zeros(0, np.int64), first.slice(0, 0))
+    short = np.flatnonzero(np.bincount(query, minlength=block.many) < top.k)
+    step = max(1, PAIRS // max(1, len(first)))
+    has = pc.index_in(keys, value_set=first)
+    known = has.is_valid().to_numpy(zero_copy_only=False)
+    taken = np.unique(query[known] * len(first) + has.drop_null().to_numpy())
+    for at in range(0, len(short), step):
+        cells = (short[at : at + step, None] * len(first) + np.arange(len(first))).reshape(-1)
+        cells = cells[~np.isin(cells, taken)]
+        nothing = np.zeros(len(cells))
+        top.add(cells // len(first), [nothing], first.take(pa.array(cells % len(first))), [nothing])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,20 +21,32 @@ def tokenized(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(F.col("key").alias(f"{prefix}key"), T.token_set(F.col("text")).alias("words"))
 
 
-def _dice(block: mapside.Block, rows: pa.RecordBatch) -> np.ndarray:
-    """Twice the common words by all words, per row and query; 0 where either has none."""
-    own = np.diff(rows.column("words").offsets.to_numpy())
-    total = own[:, None] + block.sizes
-    return np.where((own[:, None] > 0) & (block.sizes > 0), 2.0 * block.common(rows.column("words")) / np.maximum(total, 1), 0.0)
+def _dice(block: mapside.Block, words: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows and queries with a common word, and twice these by all words of both."""
+    own = np.diff(words.offsets.to_numpy())
+    for row, query, common in block.common(words):
+        yield row, query, 2.0 * common / (own[row] + block.sizes[query])
+
+
+def _possible(block: mapside.Block, words: pa.ListArray, least: np.ndarray) -> np.ndarray:
+    """Rows whose number of words alone lets them reach ``least``, a Dice for each query, for some query."""
+    some = block.sizes > 0
+    sizes, ratio = block.sizes[some], (least / (2.0 - least))[some]
+    with np.errstate(divide="ignore"):
+        low, high = (sizes * ratio).min(initial=np.inf), (sizes / ratio).max(initial=0.0)
+    own = np.diff(words.offsets.to_numpy())
+    # a rounding must not lose a row that just reaches it
+    return np.flatnonzero((own >= low * (1 - 1e-9)) & (own <= high * (1 + 1e-9)))
 
 
 def dice_threshold(queries: DataFrame, corpus: DataFrame, least: float = S.DUAL) -> DataFrame:
     """``q_key, c_key, lex`` of the pairs with Dice of ``least`` or more (more than 0)."""
 
     def score(block, rows):
-        lex = _dice(block, rows)
-        row, query = np.nonzero((lex >= least) & (lex > 0))
-        return row, query, lex[row, query]
+        some = _possible(block, rows.column("words"), np.full(block.many, least))
+        for row, query, lex in _dice(block, rows.column("words").take(pa.array(some))):
+            near = lex >= least
+            yield some[row[near]], query[near], lex[near]
 
     return mapside.scored(tokenized(mapside.spread(corpus), "c_"), tokenized(queries, "q_"), score, "lex double")
 
@@ -45,13 +59,14 @@ def dice_pairs(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 def dice_topk(queries: DataFrame, corpus: DataFrame, k: int = S.TOP_INSTRUCTIONS) -> DataFrame:
     """``q_key, rank, c_key, lex``: the k best of the texts that aren't blank by Dice, 0 too, ties in corpus order."""
 
-    def score(block, rows):
-        lex = _dice(block, rows)
-        row, query = mapside.first_rows((-lex,), k)
-        return row, query, lex[row, query]
+    def score(block, rows, floor):
+        # a query without k rows yet has no least score
+        some = _possible(block, rows.column("words"), np.where(np.isinf(floor), 0.0, -floor))
+        for row, query, lex in _dice(block, rows.column("words").take(pa.array(some))):
+            yield some[row], query, [-lex], [lex]
 
     texts = mapside.spread(corpus).where(F.trim("text") != "")
-    few = mapside.scored(tokenized(texts, "c_"), tokenized(queries, "q_"), score, "lex double")
+    few = mapside.best(tokenized(texts, "c_"), tokenized(queries, "q_"), score, k, "lex double", zeros=True)
     return top(few, "q_key", "lex", "c_key", k).select("q_key", "rank", "c_key", "lex")
 
 
@@ -65,7 +80,7 @@ def cosine_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     def score(block, rows):
         sem = block.cosines(rows.column("v"))
         row, query = np.nonzero(~np.isnan(sem))
-        return row, query, sem[row, query]
+        yield row, query, sem[row, query]
 
     return mapside.scored(_vectors(mapside.spread(vectors), "c_"), _vectors(queries, "q_"), score, "sem double")
 
@@ -73,16 +88,17 @@ def cosine_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = S.TOP_INSTRUCTIONS, itself: bool = False) -> DataFrame:
     """``q_key, rank, c_key, sem``: the k nearest vectors, ties in corpus order; a query's own key only if asked for."""
 
-    def score(block, rows):
+    def score(block, rows, floor):
         sem = block.cosines(rows.column("v"))
-        gone = np.isnan(sem)
+        order = -np.round(sem, DIGITS)
+        # without a cosine nothing compares
+        stays = order <= floor
         if not itself:
-            gone |= np.equal.outer(rows.column("c_key").to_numpy(zero_copy_only=False), block.keys.to_numpy(zero_copy_only=False))
-        row, query = mapside.first_rows((gone, -np.round(sem, DIGITS)), k)
-        stays = ~gone[row, query]
-        return row[stays], query[stays], sem[row, query][stays]
+            stays &= np.not_equal.outer(rows.column("c_key").to_numpy(zero_copy_only=False), block.keys.to_numpy(zero_copy_only=False))
+        row, query = np.nonzero(stays)
+        yield row, query, [order[row, query]], [sem[row, query]]
 
-    few = mapside.scored(_vectors(mapside.spread(vectors), "c_"), _vectors(queries, "q_"), score, "sem double")
+    few = mapside.best(_vectors(mapside.spread(vectors), "c_"), _vectors(queries, "q_"), score, k, "sem double")
     return top(few, "q_key", "sem", "c_key", k).select("q_key", "rank", "c_key", "sem")
 
 
@@ -102,24 +118,26 @@ def precheck(submissions: DataFrame, corpus: DataFrame, k: int = S.TOP_INSTRUCTI
     corpus, and blank submissions find nothing.
     """
 
-    def score(block, rows):
-        lex, sem = np.round(_dice(block, rows), DIGITS), np.round(block.cosines(rows.column("v")), DIGITS)
+    def score(block, rows, floor):
+        lex, sem = np.zeros((rows.num_rows, block.many)), np.round(block.cosines(rows.column("v")), DIGITS)
+        for row, query, dice in _dice(block, rows.column("words")):
+            lex[row, query] = np.round(dice, DIGITS)
         label = rows.column("label")
-        gone = np.zeros(lex.shape, bool)
+        stays = np.ones(lex.shape, bool)
         for i, name in enumerate(block.names):
             if name:
-                gone[:, i] = pc.match_substring(label, name).to_numpy(zero_copy_only=False)
+                stays[:, i] = pc.invert(pc.match_substring(label, name)).to_numpy(zero_copy_only=False)
         flagged = (sem >= S.MEANING) | (sem >= S.DUAL) & (lex >= S.DUAL)
-        row, query = mapside.first_rows((gone, ~flagged, -np.nan_to_num(sem, nan=-1.0), -lex), k)
-        stays = ~gone[row, query]
-        row, query = row[stays], query[stays]
-        return row, query, lex[row, query], pa.array(sem[row, query], from_pandas=True)
+        # the flag and then the meaning as one number: a flagged row's is below any other's
+        order = -np.nan_to_num(sem, nan=-1.0) - 4.0 * flagged
+        row, query = np.nonzero(stays & (order <= floor))
+        yield row, query, [order[row, query], -lex[row, query]], [lex[row, query], sem[row, query]]
 
     texts = mapside.spread(corpus).where(F.trim("text") != "")
     double = F.transform("v", lambda x: x.cast("double")).alias("v")
     c = texts.select(F.col("key").alias("c_key"), T.token_set(F.col("text")).alias("words"), F.lower(F.coalesce("label", F.lit(""))).alias("label"), double)
     q = submissions.where(F.trim("text") != "").select(F.col("key").alias("q_key"), T.token_set(F.col("text")).alias("words"), F.lower(F.trim(F.coalesce("name", F.lit("")))).alias("name"), double)
-    return ranked(decided(mapside.scored(c, q, score, "lex double, sem double")), "q_key", "c_key", k)
+    return ranked(decided(mapside.best(c, q, score, k, "lex double, sem double")), "q_key", "c_key", k)
 
 
 def _whole_percent(share: Column) -> Column:

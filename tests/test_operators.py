@@ -73,6 +73,42 @@ def test_blocks_of_queries_give_the_same(spark, monkeypatch, postings, pairs):
     assert found() == plain
 
 
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_only_the_best_rows_leave_a_task(spark, monkeypatch, batch):
+    """However many batches a task has, and however many queries: k rows a query, which hold the task's own k best."""
+    rows = spark.range(4000, numPartitions=8).select(F.col("id").alias("key"), F.concat_ws(" ", *(F.concat(F.lit("w"), (F.xxhash64("id", F.lit(i)) % 11).cast("string")) for i in range(5))).alias("text"), F.array((F.col("id") % 13).cast("double"), F.lit(1.0)).alias("v"))
+    few = rows.where("key < 200").coalesce(1)
+    left = []
+    kept = mapside._met
+
+    def seen(*told):
+        left.append(kept(*told))
+        return left[-1]
+
+    monkeypatch.setattr(mapside, "_met", seen)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        search.dice_topk(few, rows, 4), search.cosine_topk(few, rows, 4), tfidf.topk(few, rows, 4)
+        many = [[tuple(r) for r in f.withColumn("task", F.spark_partition_id()).groupBy("task", "q_key").count().collect()] for f in left]
+        told = [sorted(map(tuple, f.collect()), key=repr) for f in left]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert all(n <= 4 for f in many for _, _, n in f) and all(len(f) == 1600 for f in many)
+    every = [(q, c, s) for q, c, s in map(tuple, search.dice_pairs(few, rows).collect())]
+    best = {}
+    for q, c, s in sorted(every, key=lambda r: (r[0], -r[2], r[1])):
+        best.setdefault((q, c // 500), []).append((q, c, s))
+    assert told[0] == sorted((r for b in best.values() for r in b[:4]), key=repr)
+
+
+def test_texts_without_a_common_word_fill_up(spark):
+    corpus = spark.createDataFrame([(5, "red fish"), (3, "blue"), (9, "red"), (1, "green"), (2, " "), (7, "")], "key long, text string").repartition(3)
+    few = spark.createDataFrame([(0, "red"), (1, "none of these"), (2, "")], "key long, text string")
+    got = sorted(map(tuple, search.dice_topk(few, corpus, 3).collect()))
+    assert got == [(0, 1, 9, 1.0), (0, 2, 5, 2 / 3), (0, 3, 1, 0.0), (1, 1, 1, 0.0), (1, 2, 3, 0.0), (1, 3, 5, 0.0), (2, 1, 1, 0.0), (2, 2, 3, 0.0), (2, 3, 5, 0.0)]
+
+
 def test_no_text_is_shuffled(spark):
     """Over a corpus of many parts nothing is exchanged but the best rows of each task."""
     rows = spark.range(1000, numPartitions=64).select(F.col("id").alias("key"), F.lit("some text").alias("text"), F.array(F.lit(1.0)).alias("v"), F.lit("").alias("label"), F.lit("").alias("name"))
