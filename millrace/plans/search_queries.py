@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions import similarity as S, text as T
-from millrace.operators import search, tfidf
+from millrace.operators import search, setjoin, tfidf
 from millrace.plans import fixtures
 from millrace.sources import vectors as V
 
@@ -60,6 +60,29 @@ def dice_pairs_threshold(spark, d):
     return search.dice_threshold(_items(spark, d), _docs(spark, d))
 
 
+_CLASSES = f"""sets AS (SELECT doc_id, list_sort({_SET}) AS t FROM documents), classes AS (SELECT min(doc_id) AS set_key, count(*) AS copies, t FROM sets WHERE len(t) > 0 GROUP BY t)"""
+
+
+@query(f"""WITH {_CLASSES}, e AS (SELECT set_key, copies, len(t) AS n, unnest(t) AS w FROM classes)
+    SELECT a.set_key AS a_key, b.set_key AS b_key, any_value(a.copies) AS a_copies, any_value(b.copies) AS b_copies, CAST(2 AS DOUBLE) * count(*) / (any_value(a.n) + any_value(b.n)) AS lex
+    FROM e a JOIN e b ON a.w = b.w AND a.set_key < b.set_key GROUP BY a.set_key, b.set_key HAVING CAST(2 AS DOUBLE) * count(*) / (any_value(a.n) + any_value(b.n)) >= 0.6""")
+def dice_self_pairs(spark, d):
+    """All documents against all: pairs of different word sets at 0.6."""
+    return setjoin.self_pairs(_docs(spark, d))
+
+
+@query(f"WITH {_CLASSES} SELECT doc_id AS key, set_key FROM sets JOIN classes USING (t)")
+def dice_self_classes(spark, d):
+    """The class of every document that has words."""
+    return setjoin.classes(_docs(spark, d))
+
+
+@query(f"WITH {_PAIRS} SELECT q_key, c_key, lex FROM pairs WHERE lex >= 0.6")
+def dice_pairs_distributed(spark, d):
+    """The pairs of ``dice_pairs_threshold`` by the join that holds no side anywhere whole."""
+    return setjoin.search(_items(spark, d), _docs(spark, d))
+
+
 @query(f"SELECT min(doc_id) AS first_key, count(*) AS copies, norm FROM (SELECT doc_id, {_NORM} AS norm FROM documents) GROUP BY norm HAVING count(*) > 1")
 def exact_normalized_dups(spark, d):
     rows = _docs(spark, d).select("key", T.normalize(F.col("text")).alias("norm"))

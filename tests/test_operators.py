@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions import similarity as S, text as T
-from millrace.operators import gates, mapside, report, rules, search, tfidf, verdicts
+from millrace.operators import gates, mapside, report, rules, search, setjoin, tfidf, verdicts
 from millrace.plans import fixtures
 from millrace.sources import bundles, cache, options, sheets, vectors
 from millrace.streaming import submissions
@@ -102,6 +102,45 @@ def test_only_the_best_rows_leave_a_task(spark, monkeypatch, batch):
     assert told[0] == sorted((r for b in best.values() for r in b[:4]), key=repr)
 
 
+def _random_texts(spark, seed, many, words=30):
+    import random
+
+    of = random.Random(seed)
+    # few words that most texts have, many that few have
+    texts = [" ".join(f"w{min(int(of.paretovariate(0.4)), words)}" for _ in range(of.randint(0, 14))) for _ in range(many)]
+    texts += [" ".join(of.sample(t.split(), len(t.split()))) + of.choice(["", " x", "!"]) for t in texts[: many // 3]]
+    return spark.createDataFrame(list(enumerate([*texts, None, "", " ?"])), "key long, text string")
+
+
+@pytest.mark.parametrize("least", [0.05, 0.4, 0.6, 2 / 3, 0.8, 1.0])
+def test_prefix_join_finds_what_the_search_finds(spark, least):
+    left, right = _random_texts(spark, 1, 120), _random_texts(spark, 2, 200)
+    told = lambda df: sorted(map(tuple, df.collect()))
+    assert told(setjoin.search(left, right, least)) == told(search.dice_threshold(left, right, least))
+    first = {r.key: r.set_key for r in setjoin.classes(right).collect()}
+    many = {k: sum(1 for x in first.values() if x == k) for k in first.values()}
+    every = [(a, b, many[a], many[b], lex) for a, b, lex in told(search.dice_threshold(right, right, least)) if a < b and first[a] == a and first[b] == b]
+    assert told(setjoin.self_pairs(right, least)) == every
+    assert least > 0.8 or len(every) > 20
+
+
+def test_prefix_join_broadcasts_nothing(spark):
+    texts = _random_texts(spark, 3, 50)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        for found in (setjoin.self_pairs(texts), setjoin.search(texts, texts)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "Broadcast" not in plan and "Cartesian" not in plan and "Python" not in plan and "Arrow" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_prefix_join_of_nothing(spark):
+    none = spark.createDataFrame([], "key long, text string")
+    assert setjoin.self_pairs(none).collect() == [] and setjoin.search(none, none).collect() == []
+
+
 def test_texts_without_a_common_word_fill_up(spark):
     corpus = spark.createDataFrame([(5, "red fish"), (3, "blue"), (9, "red"), (1, "green"), (2, " "), (7, "")], "key long, text string").repartition(3)
     few = spark.createDataFrame([(0, "red"), (1, "none of these"), (2, "")], "key long, text string")
