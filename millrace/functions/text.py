@@ -72,10 +72,23 @@ def stem_or(name: Column, other: Column) -> Column:
     return F.coalesce(F.nullif(bare, F.lit("")), F.nullif(other, F.lit("")), F.lit("task"))
 
 
+def tenths(value: Column) -> Column:
+    """A double with one decimal, rounded on its exact binary value, ties to even; for magnitudes under 10^9.
+
+    Half of a tenth is compared exactly: the value is split in two parts whose twentyfold is exact, and the sign of
+    a sum of two doubles is always right.
+    """
+    high = value * 134217729.0 - (value * 134217729.0 - value)
+    below = F.floor(value * 10)
+    over = (high * 20 - (2 * below + 1)) + (value - high) * 20
+    up = F.when(over > 0, 1).when(over < 0, 0).otherwise(F.abs(below % 2))
+    return F.when(~F.isnan(value), (below + up) / F.lit(10.0))
+
+
 def size_label(octets: Column) -> Column:
     """A size in KB, or in MB from one of these on."""
     kb = octets / 1024.0
-    return F.when(kb < 1024, F.format_string("%.1f KB", F.greatest(kb, F.lit(0.1)))).otherwise(F.format_string("%.1f MB", kb / 1024))
+    return F.when(kb < 1024, F.format_string("%.1f KB", tenths(F.greatest(kb, F.lit(0.1))))).otherwise(F.format_string("%.1f MB", tenths(kb / 1024)))
 
 
 def unique_matches(text: Column, pattern: str, most: int) -> Column:

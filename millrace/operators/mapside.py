@@ -80,7 +80,8 @@ class Block:
             cells = (last - first) * self.many
             if cells <= 4 * len(cell):
                 total = np.bincount(cell, product, cells)
-                cell = np.flatnonzero(total if product is None else np.bincount(cell, None, cells))
+                # products of weights are over 0
+                cell = np.flatnonzero(total)
                 total = total[cell]
             else:
                 cell, back, count = np.unique(cell, return_inverse=True, return_counts=True)

@@ -10,6 +10,7 @@ from millrace.plans import fixtures
 from millrace.plans.rule_queries import _HINT, _ISSUES, _RUBRIC
 from millrace.plans.search_queries import _METHOD, _REASON, _SET, _tfidf
 from millrace.sources import sheets, vectors as V
+from millrace.tables import written
 
 QUERIES, SQL = {}, {}
 
@@ -47,8 +48,10 @@ def _submissions(spark: SparkSession, d: str) -> DataFrame:
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     corpus = _corpus(spark, d)
-    found = search.precheck(_submissions(spark, d), corpus)
-    return found.join(corpus.select(F.col("key").alias("c_key"), F.col("label").alias("task"), F.coalesce("trainer", F.lit("")).alias("trainer"), F.coalesce("text", F.lit("")).alias("matched_instruction")), "c_key")
+    # written, a few rows a submission have a known size: the corpus is joined without a shuffle, and the search is made once
+    found = written(search.precheck(_submissions(spark, d), corpus), "found")
+    named = corpus.select(F.col("key").alias("c_key"), F.col("label").alias("task"), F.coalesce("trainer", F.lit("")).alias("trainer"), F.coalesce("text", F.lit("")).alias("matched_instruction"))
+    return written(found.join(named, "c_key"), "hits")
 
 
 _LOADED = "Loaded from the table of documents"
@@ -165,14 +168,15 @@ _MATCH_ROW = _cells(_escaped("m.task"), _dash("m.trainer"), _share("m.lexical"),
 
 
 @query(f"""WITH {_PRECHECK}, {_ROWS} SELECT q_key, CAST(to_json({{'type': 'instruction_precheck', 'report_format': 'full_comparison_v2', 'trainer_name': 'Ann', 'timestamp': '2026-01-01T00:00:00Z', 'instruction_preview': left(body, 500), 'instruction_full': body,
-    'instruction_length': length(body), 'blocked': blocked, 'change_task': blocked, 'message': message, 'corpus_count': corpus_count, 'embedding_ran': meaning_ran, 'embed_model': 'table', 'embedding_error': CAST(NULL AS VARCHAR), 'dual_threshold_percent': 60, 'semantic_block_threshold_percent': 70,
+    'instruction_length': length(body), 'blocked': blocked, 'change_task': blocked, 'message': message, 'corpus_count': corpus_count, 'embedding_ran': meaning_ran, 'embed_model': 'table', 'embedding_error': CAST(NULL AS VARCHAR), 'api_key_present': true, 'api_provider': 'table', 'dual_threshold_percent': 60, 'semantic_block_threshold_percent': 70,
+    'tracker_instructions': map_from_entries(list_transform(matches, lambda m: {{'k': m.task, 'v': coalesce(m.text, '')}})),
     'matches': list_transform(matches, lambda m: {{'task': m.task, 'trainer': m.trainer, 'lexical_percent': m.lexical, 'embedding_percent': m.semantic, 'dual_block': m.flagged, 'block_reason': m.block_reason, 'flag_label': m.flag_label, 'method': m.method, 'matched_instruction': m.text}}),
     'notes': notes}}) AS VARCHAR) AS report FROM prechecks""")
 def precheck_json(spark, d):
-    return report.precheck_json(_prechecks(spark, d), "Ann", "2026-01-01T00:00:00Z", "table")
+    return report.precheck_json(_prechecks(spark, d), "Ann", "2026-01-01T00:00:00Z", "table", provider="table")
 
 
-@query(f"""WITH {_PRECHECK}, {_ROWS} SELECT q_key, '<!DOCTYPE html><html><body>' || CASE WHEN blocked THEN '<h1 style="color:{report.BAD}">CHANGE TASK</h1>' ELSE '<h1 style="color:{report.GOOD}">OK TO PROCEED</h1>' END
+@query(f"""WITH {_PRECHECK}, {_ROWS} SELECT q_key, '<!DOCTYPE html><html><body>' || CASE WHEN blocked THEN '<h1 style="color:#a4133c">CHANGE TASK</h1>' ELSE '<h1 style="color:#1b7f4b">OK TO PROCEED</h1>' END
     || '<p>Trainer: Ann</p><p>' || {_escaped('message')} || '</p><p>Texts: ' || corpus_count || '; meaning: ' || CASE WHEN meaning_ran THEN 'compared' ELSE 'not compared' END || '</p><table><tr><th>Task</th><th>Trainer</th><th>Word overlap</th><th>Meaning</th><th>Flagged?</th></tr>'
     || {_table('matches', 'm', _MATCH_ROW, 5, 'No matches returned.')} || '</table>' || {_joined('matches', 'm', _card('body'))} || {_notes('notes')} || '</body></html>' AS html FROM prechecks""")
 def precheck_html(spark, d):
@@ -199,10 +203,11 @@ def _assessments(spark: SparkSession, d: str) -> DataFrame:
     corpus = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("key"), "text", F.col("source").alias("trainer")).withColumn("label", _task()).withColumn("v", F.lit(None).cast("array<double>"))
     submitted = _of_file(spark, "instruction.md").withColumn("name", F.col("key")).withColumn("v", F.lit(None).cast("array<double>"))
     named = corpus.select(F.col("key").alias("c_key"), F.col("label").alias("task"), F.coalesce("trainer", F.lit("")).alias("trainer"), F.col("text").alias("matched_instruction"))
-    hits = search.precheck(submitted, corpus).join(named, "c_key")
+    # three parts of a report read these few rows, so the search is made once
+    hits = written(written(search.precheck(submitted, corpus), "found").join(named, "c_key"), "hits")
     many = corpus.where(F.trim("text") != "").count()
     prechecked = report.prechecks(submitted, hits, search.messages(submitted, hits, F.lit(many).cast("long")))
-    spec = tfidf.topk(_of_file(spark, "SPEC.md"), corpus.select("key", "text")).join(named.select("c_key", "task"), "c_key")
+    spec = written(tfidf.topk(_of_file(spark, "SPEC.md"), corpus.select("key", "text")), "found").join(named.select("c_key", "task"), "c_key")
     static, rubric = rules.static_issues(_files(spark)), rules.rubric_issues(fixtures.frame(spark, "rubric_of"))
     answers = verdicts.parsed(fixtures.frame(spark, "judged"))
     results = verdicts.explained(verdicts.applicable(_files(spark)), answers)
@@ -235,14 +240,14 @@ _ASSESSED = f"""{_ISSUES}, {_RUBRICS},
 
 
 @query(f"""{_ASSESSED} SELECT bundle_id, CAST(to_json({{'task_name': bundle_id, 'trainer_name': 'Ann', 'timestamp': '2026-01-01T00:00:00Z', 'overall_pass': overall_pass, 'structure_pass': structure_pass, 'rubric_pass': rubric_pass, 'static_checks': {{'pass': static_pass, 'issues': issues}},
-    'similarity': {{'pass': similarity_pass, 'instruction_blocked': blocked, 'instruction_block_message': CASE WHEN blocked THEN message ELSE '' END, 'dual_threshold_percent': 60, 'semantic_block_threshold_percent': 70, 'submitted_instruction': body, 'max_score_percent': {_P.format('max_similarity')}, 'threshold_warn_percent': {report.WARN_PERCENT}, 'threshold_block_percent': {report.BLOCK_PERCENT},
+    'similarity': {{'pass': similarity_pass, 'instruction_blocked': blocked, 'instruction_block_message': CASE WHEN blocked THEN message ELSE '' END, 'dual_threshold_percent': 60, 'semantic_block_threshold_percent': 70, 'submitted_instruction': body, 'max_score_percent': {_P.format('max_similarity')}, 'threshold_warn_percent': 60, 'threshold_block_percent': 60,
         'instruction_top_matches': list_transform(matches, lambda m: {{'task': m.task, 'trainer': m.trainer, 'score_percent': m.score_percent, 'lexical_percent': CASE WHEN m.lex <> 0 THEN m.lexical END, 'semantic_percent': CASE WHEN m.sem <> 0 THEN m.semantic END, 'dual_block': m.flagged, 'block_reason': m.block_reason, 'flag_label': m.flag_label, 'method': m.method, 'source': 'instruction', 'matched_instruction': m.text}}),
-        'spec_top_matches': spec_matches}}, 'llm_judge': {{'pass': llm_pass, 'results': results}}, 'notes': notes}}) AS VARCHAR) AS report FROM reported""")
+        'spec_top_matches': spec_matches}}, 'llm_judge': {{'pass': llm_pass, 'results': CASE WHEN len(results) > 0 THEN map_from_entries(list_transform(results, lambda r: {{'k': r.check_key, 'v': {{'label': r.label, 'verdict': r.verdict, 'alignment_score': r.alignment_score, 'reasoning': r.reasoning, 'gaps': r.gaps}}}})) END}}, 'notes': notes}}) AS VARCHAR) AS report FROM reported""")
 def report_json(spark, d):
     return report.report_json(_assessments(spark, d), "Ann", "2026-01-01T00:00:00Z")
 
 
-_COLOUR = "CASE i.severity " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in report.COLOURS.items()) + f" ELSE '{report.OTHER}' END"
+_COLOUR = "CASE i.severity WHEN 'CRITICAL' THEN '#a4133c' WHEN 'HIGH' THEN '#c2571a' WHEN 'MEDIUM' THEN '#8a7a12' WHEN 'INFO' THEN '#2a5d84' ELSE '#555555' END"
 _ISSUE_ROW = f"'<tr><td style=''color:' || {_COLOUR} || '''>' || {_escaped('i.severity')} || '</td><td>' || {_escaped('i.message')} || '</td><td>' || {_escaped('i.fix_hint')} || '</td></tr>'"
 
 
@@ -253,11 +258,11 @@ def issues_html(spark, d):
 
 _BADGE = """CASE WHEN {0} IS NULL THEN '<span class="badge skip">SKIPPED</span>' WHEN {0} THEN '<span class="badge pass">PASS</span>' ELSE '<span class="badge fail">FAIL</span>' END"""
 _GAP = _cells(_escaped("g.file"), _escaped("g.issue"), _escaped("g.fix"))
-_VERDICT = f"""'<section><b style="color:' || CASE r.verdict WHEN 'PASS' THEN '{report.GOOD}' WHEN 'NEEDS_WORK' THEN '{report.COLOURS['HIGH']}' ELSE '{report.BAD}' END || '">' || {_escaped('r.label')} || ': ' || {_escaped('r.verdict')} || '</b> ' || coalesce(CAST(r.alignment_score AS VARCHAR), '—')
+_VERDICT = f"""'<section><b style="color:' || CASE r.verdict WHEN 'PASS' THEN '#1b7f4b' WHEN 'NEEDS_WORK' THEN '#c2571a' ELSE '#a4133c' END || '">' || {_escaped('r.label')} || ': ' || {_escaped('r.verdict')} || '</b> ' || coalesce(CAST(r.alignment_score AS VARCHAR), '—')
     || '<p>' || {_escaped("coalesce(r.reasoning, '')")} || '</p>' || CASE WHEN len(r.gaps) > 0 THEN '<table>' || {_joined('r.gaps', 'g', _GAP)} || '</table>' ELSE '' END || '</section>'"""
 
 
-@query(f"""{_ASSESSED} SELECT bundle_id, '<!DOCTYPE html><html><body>' || CASE WHEN overall_pass THEN '<h1 style="color:{report.GOOD}">READY TO SUBMIT</h1>' ELSE '<h1 style="color:{report.BAD}">NEEDS FIXES</h1>' END || '<p>' || {_escaped('bundle_id')} || ', Ann</p><table><tr><th>Layer</th><th>Result</th><th>Detail</th></tr>'
+@query(f"""{_ASSESSED} SELECT bundle_id, '<!DOCTYPE html><html><body>' || CASE WHEN overall_pass THEN '<h1 style="color:#1b7f4b">READY TO SUBMIT</h1>' ELSE '<h1 style="color:#a4133c">NEEDS FIXES</h1>' END || '<p>' || {_escaped('bundle_id')} || ', Ann</p><table><tr><th>Layer</th><th>Result</th><th>Detail</th></tr>'
     || {_cells("'Static checks'", _BADGE.format('static_pass'), "len(issues) || ' issues'")} || {_cells("'Similarity'", _BADGE.format('similarity_pass'), f"'at most ' || {_P.format('max_similarity')} || '%'")} || {_cells("'Judge'", _BADGE.format('llm_pass'), "CASE WHEN len(results) > 0 THEN 'done' ELSE 'skipped' END")} || '</table><table>'
     || {_table('issues', 'i', _ISSUE_ROW, 3, 'No issues.')} || '</table>' || CASE WHEN blocked THEN '<p><b>' || {_escaped('message')} || '</b></p>' ELSE '' END || '<table>' || {_table('matches', 'm', _MATCH_ROW, 5, 'No matches returned.')} || '</table>' || {_joined('matches', 'm', _card('body'))}
     || '<table>' || {_table('spec_matches', 'm', _cells(_escaped('m.task'), _share('m.score_percent')), 2, 'No matches returned.')} || '</table>' || CASE WHEN len(results) > 0 THEN {_joined('results', 'r', _VERDICT)} ELSE '<p>The judge did not run.</p>' END || {_notes('notes')} || '</body></html>' AS html FROM reported""")
@@ -302,11 +307,9 @@ def flag_label_short(spark, d):
     return rows.select("id", S.flag_label(F.col("flagged"), F.col("block_reason"), short=True).alias("label"))
 
 
-@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) / 1024.0 < 1024 THEN printf('%.1f KB', greatest(octet_length(encode(text)) / 1024.0, 0.1)) ELSE printf('%.1f MB', octet_length(encode(text)) / 1048576.0) END AS size FROM documents WHERE octet_length(encode(text)) * 10 % 512 <> 0")
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) / 1024.0 < 1024 THEN printf('%.1f KB', greatest(octet_length(encode(text)) / 1024.0, 0.1)) ELSE printf('%.1f MB', octet_length(encode(text)) / 1048576.0) END AS size FROM documents")
 def size_labels(spark, d):
-    """Sizes that no rounding rule is needed for."""
-    octets = F.octet_length("text")
-    return spark.read.parquet(f"{d}/documents.parquet").where(octets * 10 % 512 != 0).select("doc_id", T.size_label(octets).alias("size"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.size_label(F.octet_length("text")).alias("size"))
 
 
 @query("SELECT doc_id AS key, e.embedding IS NOT NULL AS known FROM documents LEFT JOIN embeddings e ON vec_id = doc_id")

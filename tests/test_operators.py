@@ -102,6 +102,24 @@ def test_only_the_best_rows_leave_a_task(spark, monkeypatch, batch):
     assert told[0] == sorted((r for b in best.values() for r in b[:4]), key=repr)
 
 
+def test_percents_round_as_python_does(spark):
+    import random
+
+    of = random.Random(6)
+    shares = [of.random() for _ in range(20_000)] + [i / 2000 for i in range(-2000, 2001)] + [i / 2048 for i in range(2049)] + [of.randint(0, 10**6) / 10**6 for _ in range(20_000)] + [0.0, 1.0, -0.0, 1e-300, float("nan"), None]
+    got = spark.createDataFrame([(s,) for s in shares], "s double").coalesce(1).select("s", report.half_even(F.col("s")).alias("p")).collect()
+    assert all(r.p == (None if r.s is None or r.s != r.s else round(r.s * 100, 1)) for r in got)
+    sizes = [(i, i * 103) for i in range(1, 30_000)]
+    for r in spark.createDataFrame(sizes, "i int, n long").select("n", T.size_label(F.col("n")).alias("told")).collect():
+        kb = r.n / 1024
+        assert r.told == (f"{max(kb, 0.1):.1f} KB" if kb < 1024 else f"{kb / 1024:.1f} MB")
+
+
+def test_reports_run_no_python(spark):
+    match = spark.createDataFrame([("q", 1, "t", "a", 0.5, None, 0.5, "dual", True, "r", "YES", "x")], "q_key string, rank int, task string, trainer string, lex double, sem double, score double, method string, flagged boolean, block_reason string, flag_label string, matched_instruction string")
+    assert "Python" not in report.listed(match)._jdf.queryExecution().executedPlan().toString()
+
+
 def _random_texts(spark, seed, many, words=30):
     import random
 
