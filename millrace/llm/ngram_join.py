@@ -7,7 +7,11 @@ the same shingles in both.  The digest of each partition that is not empty is a
 signature (a set with more than one empty partition also gives those), taken
 per band of sizes.  Signatures with one set only are dropped by a partial
 aggregation; connected components over the others are clusters.  Equal sets are
-one node, so copies of any number cost one row.
+one node, and of a set with very many copies one row goes on from there.
+
+*Equality.*  A shingle is the 128-bit digest of its words (BLAKE2 by word), in two
+lanes.  Signatures and orders take the first; two shingles are the same, in a set,
+in a trie and between equal sets, when both lanes are.
 
 *Looser joins.*  Under ``STRICT`` percent a partition holds few shingles, and common
 passages would join most texts into one cluster.  There a quarter of D more
@@ -40,10 +44,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._shared import join_hot, materialize, release, ship
+from ._shared import HOT_KEYS, join_hot, materialize, release, ship
 from .bpe import slices
 from .components import components
-from .words import gram_hashes, mix, word_hashes
+from .words import distinct, gram_digests, mix, word_digests
 
 #: Ratio of the sizes in a band.
 BAND = 1.5
@@ -57,6 +61,8 @@ BLOCK, SMALL = 1_000_000, 200_000
 PIVOTS = 4
 #: Octets of all pivots up to which they are broadcast.
 PIVOT_BYTES = 16 << 20
+#: Copies up to which a set's rows are dealt out with their signatures.
+HOT_COPIES = 1_000
 #: Symbols in one trie node at most, so that bounds are looked at early.
 NODE = 32
 
@@ -69,23 +75,34 @@ def _needed(size_a, size_b, percent: int):
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
-    """Per text its distinct shingles of ``n`` words, A-Z lower-cased, as sorted 64-bit hashes."""
-    words, row, _, _ = word_hashes(texts, fold_case=True)
+    """Per text its distinct shingles of ``n`` words, A-Z lower-cased: two lanes of a 128-bit digest each, in order."""
+    words, row = word_digests(texts, fold_case=True)
     counts = np.bincount(row, minlength=len(texts)) if len(row) else np.zeros(len(texts), np.int64)
     first = np.concatenate(([0], np.cumsum(counts)))
-    grams = gram_hashes(words, n)
+    grams = gram_digests(words, n)
     out = []
     for i in range(len(texts)):
         a, b = first[i], first[i + 1]
         if b - a >= n:
-            out.append(np.unique(grams[a : b - n + 1]))
+            out.append(distinct(grams[a : b - n + 1]))
         elif b > a:  # the whole sequence, told apart by its length
-            out.append(mix(gram_hashes(words[a:b], int(b - a)) + _U(b - a)))
+            with np.errstate(over="ignore"):
+                out.append(mix(gram_digests(words[a:b], int(b - a)) + _U(b - a)))
         else:
-            out.append(np.empty(0, _U))
+            out.append(np.empty((0, 2), _U))
     return out
 
 
+def _lanes(own: pa.BinaryScalar | bytes) -> np.ndarray:
+    """A set from its bytes."""
+    return np.frombuffer(own.as_buffer() if isinstance(own, pa.BinaryScalar) else own, _U).reshape(-1, 2)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many shingles two sets share."""
+    return len(a) + len(b) - len(distinct(np.concatenate((a, b))))
+
+
 def _edges_of_band(band: int) -> tuple[int, int]:
     """Smallest and largest size in a band."""
     low, high = math.ceil(BAND**band), math.ceil(BAND ** (band + 1)) - 1
@@ -112,6 +129,7 @@ def _signatures(own: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
     size, out, surplus = len(own), [], [0, 0]
     if not size:
         return np.empty(0, np.int64), surplus
+    own = own[:, 0]  # signatures only bring sets together
     with np.errstate(over="ignore"):
         content = mix(own ^ _U(0xA24BAED4963EE407))
         place = own >> _U(11)
@@ -236,9 +254,12 @@ def _ranges(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarr
 
 def globally_ordered(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
     """The sets as ascending ranks in one order of all their shingles, frequent ones first so that prefixes are shared; and how many ranks there are."""
-    names, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(names), np.int64)
-    rank[np.lexsort((names, -often))] = np.arange(len(names))
+    every = np.concatenate(sets)
+    names, first, at, often = np.unique(every[:, 0], return_index=True, return_inverse=True, return_counts=True)
+    if (every[first, 1][at.reshape(-1)] != every[:, 1]).any():  # different shingles share the first lane
+        names, at, often = np.unique(every, axis=0, return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(often))
     cuts = np.cumsum([len(s) for s in sets])[:-1]
     return [np.sort(s) for s in np.split(rank[at.reshape(-1)], cuts)], len(names)
 
@@ -277,7 +298,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
 
     def key(own: np.ndarray) -> tuple[int, int]:
         with np.errstate(over="ignore"):
-            both = (mix(own + _U(1)).sum(dtype=_U), mix(own ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U))
+            both = (mix(own[:, 0] + _U(1)).sum(dtype=_U), mix(own[:, 1] ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U))
         return tuple(int(np.int64(x)) for x in both)
 
     def describe(batches):
@@ -289,7 +310,10 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(map(len, sets)), pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), found, surplus], ["id", "n", "k1", "k2", "sigs", "surplus"])
 
     described = materialize(rows.mapInArrow(describe, "id long, n long, k1 long, k2 long, sigs array<long>, surplus array<int>"), "sets")
-    told = described.where("n > 0").select("k1", F.explode("sigs").alias("sig"))
+    # one document for each distinct set, copies before any join
+    owners = described.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    owners = materialize(owners, "owners")
+    told = _without_copies(described.where("n > 0"), owners).select("k1", F.explode("sigs").alias("sig"))
     if percent < STRICT:
         clusters = components(_rarely_shared(told, described.where("n > 0").select("k1", "surplus")))
     else:
@@ -297,9 +321,6 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
         clusters = components(told.join(shared.hint("shuffle_hash"), "sig").select("a", F.col("k1").alias("b")))
     release(docs.sparkSession)
     clusters = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
-    # one document for each distinct set, copies before any join
-    owners = described.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    owners = materialize(owners, "owners")
     nodes = owners.where("id is not null").drop("copies").join(clusters.withColumnRenamed("node", "k1"), "k1")
     nodes = materialize(nodes.select("component", "k1", "k2", "id", "n"), "nodes")
     release(docs.sparkSession)
@@ -311,6 +332,14 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _without_copies(described: DataFrame, owners: DataFrame) -> DataFrame:
+    """Leave out the rows of very frequent sets but for their owner's, before signatures are dealt out: fewer than ``HOT_KEYS`` sets have that share of all rows."""
+    total = owners.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = owners.where(F.col("copies") > max(HOT_COPIES, total // HOT_KEYS)).select("k1", "k2", F.col("id").alias("owner"))
+    met = described.join(F.broadcast(hot), ["k1", "k2"], "left")
+    return met.where(F.col("owner").isNull() | (F.col("owner") == F.col("id"))).drop("owner")
+
+
 def _rarely_shared(told: DataFrame, surplus: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` between the sets that share a signature which neither leaves out as one of its most frequent."""
     of_sig = Window.partitionBy("sig")
@@ -345,7 +374,7 @@ def _links(rows: DataFrame, nodes: DataFrame, n: int, percent: int, key) -> Data
         ids, own = table.column("id").to_numpy(), table.column("own")
         a, b = [], []
         for members in by_cluster.values():
-            for x, y in spanning_links([np.frombuffer(own[i].as_buffer(), _U) for i in members], percent):
+            for x, y in spanning_links([_lanes(own[i]) for i in members], percent):
                 a.append(ids[members[x]]), b.append(ids[members[y]])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -372,10 +401,10 @@ def _large(sets: DataFrame, percent: int, link) -> DataFrame:
         for batch in batches:
             a, b = [], []
             for member, own, pivots in zip(batch.column("id").to_pylist(), batch.column("own"), batch.column("pivots").to_pylist(), strict=True):
-                mine = np.frombuffer(own.as_buffer(), _U)
+                mine = _lanes(own)
                 for p in pivots:
-                    other = np.frombuffer(p["own"], _U)
-                    if p["id"] != member and len(np.intersect1d(mine, other, assume_unique=True)) >= _needed(len(mine), len(other), percent):
+                    other = _lanes(p["own"])
+                    if p["id"] != member and _common(mine, other) >= _needed(len(mine), len(other), percent):
                         a.append(member), b.append(p["id"])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -396,7 +425,7 @@ def _large(sets: DataFrame, percent: int, link) -> DataFrame:
     groups = materialize(groups.select("id", "component", "size", F.coalesce("grp", "id").alias("grp")).dropDuplicates(["id"]), "groups")
     sums = groups.groupBy("component", "grp").agg(F.sum("size").alias("size"))
     largest = sums.groupBy("component").agg(F.max_by("grp", F.struct("size", "grp")).alias("main"), F.max("size").alias("main_size"), F.sum("size").alias("size"))
-    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / (8 * BLOCK))).cast("int")
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / (16 * BLOCK))).cast("int")
     told = groups.select("id", "component", "grp").join(largest.withColumn("mains", blocks(F.col("main_size"))).withColumn("others", F.when(F.col("size") > F.col("main_size"), blocks(F.col("size") - F.col("main_size"))).otherwise(0)), "component")
     main = F.col("grp") == F.col("main")
     own = F.pmod(F.xxhash64("id"), F.when(main, F.col("mains")).otherwise(F.greatest("others", F.lit(1)))).cast("int")
@@ -412,7 +441,7 @@ def _large(sets: DataFrame, percent: int, link) -> DataFrame:
         ids, own, main = table.column("id").to_numpy(), table.column("own"), np.array(table.column("in_main").to_pylist(), bool)
         if main.all() or not main.any():  # a block may be empty
             return pa.table([pa.array([], pa.int64())] * 2, ["a", "b"])
-        ordered, symbols = globally_ordered([np.frombuffer(x.as_buffer(), _U) for x in own])
+        ordered, symbols = globally_ordered([_lanes(x) for x in own])
         trie, inside = Trie(ordered, np.flatnonzero(main)), np.zeros(symbols, bool)
         a, b = [], []
         for x in np.flatnonzero(~main):

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark import cloudpickle
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from millrace.llm import _shared, components, embedding_dedup, entry, exact_dedup, ngram_join, pii, stages, substring_dedup
+from millrace.llm import _shared, components, embedding_dedup, entry, exact_dedup, ngram_join, pii, stages, substring_dedup, words
 from millrace.llm.fm_index import FMIndex
 from tests.llm.test_text_operators import DOCS, check_packing, clashing, sha, table
 from tests.oracle import assert_same
@@ -249,6 +250,60 @@ def test_ngrams_query(spark):
     assert ngram_join.join(table(spark, [])).count() == 0
 
 
+def test_ngrams_of_texts_whose_polynomial_hashes_agree(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), f"x {word} y {word}", f"x {word} y {word}"]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(table(spark, texts)).collect()}
+    assert got == {0: (1, 0), 1: (1, 1), 2: (2, 2), 3: (2, 2)}
+
+
+def test_ngrams_with_a_poor_first_lane(monkeypatch):
+    """Where the first lane tells few shingles apart, the second decides."""
+    import random
+
+    of = random.Random(12)
+    base = [[of.choice("abcdefghijkl") for _ in range(60)] for _ in range(12)]
+    texts = [" ".join(w) for w in base for _ in range(1)]
+    for w in base:
+        for _ in range(3):
+            other = list(w)
+            other[of.randrange(60)] = of.choice("abc")
+            texts.append(" ".join(other))
+    texts = {i: t for i, t in enumerate(texts)}
+    plain = ngram_join.shingle_sets(pa.array(list(texts.values())), 3)
+    poor = words.gram_digests
+
+    def few(*told):
+        out = poor(*told)
+        out[:, 0] &= np.uint64(7)
+        return out
+
+    monkeypatch.setattr(ngram_join, "gram_digests", few)
+    sets = ngram_join.shingle_sets(pa.array(list(texts.values())), 3)
+    assert [len(s) for s in sets] == [len(s) for s in plain] == [brute_links(texts)[i][0] for i in texts]
+    expected = {i: c for i, (_, c) in brute_links(texts).items()}
+    assert union(ngram_join.spanning_links(sets, 90), texts) == union([(i, c) for i, c in expected.items()], texts)
+    assert all(ngram_join._common(a, b) == ngram_join._common(c, d) for a, c in zip(sets[:9], plain) for b, d in zip(sets, plain))
+    told = [set(ngram_join.signatures(s, 90).tolist()) for s in sets]
+    assert all(told[i] & told[c] for i, c in expected.items())
+
+
+def test_ngrams_of_very_many_copies(spark, monkeypatch):
+    """Copies are left out before signatures are dealt out."""
+    monkeypatch.setattr(ngram_join, "HOT_COPIES", 20)
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, text) for i in range(500, 3000)] + [(7, text + " more"), (8, "something else entirely here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = []
+    without = ngram_join._without_copies
+    monkeypatch.setattr(ngram_join, "_without_copies", lambda *told: kept.append(without(*told)) or kept[-1])
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(docs).collect()}
+    assert got == {i: 7 for i in range(500, 3000)} | {7: 7, 8: 8}
+    assert kept[0].count() == 3
+
+
 def test_ngrams_null_identifiers(spark):
     rows = [(4, "a b c d"), (None, "a b c d"), (None, "x y z"), (2, "A b C d"), (2, "A b C d")]
     got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -268,8 +323,8 @@ def test_signatures_and_tries_lose_no_link(seed, size):
                 own.pop(rnd.randrange(len(own)))
             else:
                 own.append(rnd.randrange(10_000))
-        sets.append(np.unique(ngram_join.mix(np.array(own, np.uint64))))
-    links = [(i, j) for i in range(25) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))]
+        sets.append(ngram_join.distinct(np.stack([ngram_join.mix(np.array(own, np.uint64) + np.uint64(k)) for k in (0, 7)], 1)))
+    links = [(i, j) for i in range(25) for j in range(i) if 100 * len(np.intersect1d(sets[i][:, 0], sets[j][:, 0])) >= 90 * len(np.union1d(sets[i][:, 0], sets[j][:, 0]))]
     told = [set(ngram_join.signatures(s, 90).tolist()) for s in sets]
     assert all(told[i] & told[j] or np.array_equal(sets[i], sets[j]) for i, j in links)
     assert union(links, range(25)) == union(ngram_join.spanning_links(sets, 90), range(25))
@@ -366,7 +421,7 @@ def test_rare_signatures_lose_no_link(seed, size):
     for _ in range(25):
         rate = rnd.choice([0.02, 0.05, 0.1])
         own = [x for x in base if rnd.random() > rate] + rnd.sample(range(10_000), rnd.randint(0, 1 + size // 12))
-        sets.append(np.unique(ngram_join.mix(np.array(own, np.uint64))))
+        sets.append(ngram_join.distinct(np.stack([ngram_join.mix(np.array(own, np.uint64) + np.uint64(k)) for k in (0, 7)], 1)))
     told = [ngram_join._signatures(s, 80) for s in sets]
     often = Counter(x for sigs, _ in told for x in sigs.tolist())
     kept = []
@@ -375,7 +430,7 @@ def test_rare_signatures_lose_no_link(seed, size):
         for odd in (0, 1):
             own = sorted((x for x in sigs.tolist() if x & 1 == odd), key=lambda x: (often[x], x))
             kept[-1].update(own[: len(own) - surplus[odd]])
-    links = [(i, j) for i in range(25) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    links = [(i, j) for i in range(25) for j in range(i) if 100 * len(np.intersect1d(sets[i][:, 0], sets[j][:, 0])) >= 80 * len(np.union1d(sets[i][:, 0], sets[j][:, 0]))]
     assert links or size < 20
     assert all(kept[i] & kept[j] for i, j in links if len(sets[i]))
 
