@@ -10,8 +10,9 @@ aggregation; connected components over the others are clusters.  Equal sets are
 one node, and of a set with very many copies one row goes on from there.
 
 *Equality.*  A shingle is the 128-bit digest of its words (BLAKE2 by word), in two
-lanes.  Signatures and orders take the first; two shingles are the same, in a set,
-in a trie and between equal sets, when both lanes are.
+lanes.  Signatures and orders take the first; shingles of a set, and equal sets, are
+the same when both lanes are, shingles of different sets in a trie when the first
+and half of the second are.
 
 *Looser joins.*  Under ``STRICT`` percent a partition holds few shingles, and common
 passages would join most texts into one cluster.  There a quarter of D more
@@ -44,7 +45,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._shared import HOT_KEYS, join_hot, materialize, release, ship
+from ._shared import HOT_KEYS, discard, join_hot, materialize, release, ship
 from .bpe import slices
 from .components import components
 from .words import distinct, gram_digests, mix, word_digests
@@ -93,9 +94,16 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
+def _packed(own: np.ndarray) -> bytes:
+    """A set as bytes: all of the first lane, half of the second, 96 bits a shingle."""
+    return own[:, 0].tobytes() + own[:, 1].astype(np.uint32).tobytes()
+
+
 def _lanes(own: pa.BinaryScalar | bytes) -> np.ndarray:
     """A set from its bytes."""
-    return np.frombuffer(own.as_buffer() if isinstance(own, pa.BinaryScalar) else own, _U).reshape(-1, 2)
+    data = own.as_buffer() if isinstance(own, pa.BinaryScalar) else own
+    size = len(data) // 12
+    return np.stack((np.frombuffer(data, _U, size), np.frombuffer(data, np.uint32, size, 8 * size)), 1)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -320,6 +328,9 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
         shared = told.groupBy("sig").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b").select("sig", "a")
         clusters = components(told.join(shared.hint("shuffle_hash"), "sig").select("a", F.col("k1").alias("b")))
     release(docs.sparkSession)
+    # from here on only the sets' names are needed
+    slim = materialize(described.drop("sigs", "surplus"), "names")
+    discard(described)
     clusters = clusters.unionByName(clusters.select(F.col("component").alias("node"), "component").distinct())
     nodes = owners.where("id is not null").drop("copies").join(clusters.withColumnRenamed("node", "k1"), "k1")
     nodes = materialize(nodes.select("component", "k1", "k2", "id", "n"), "nodes")
@@ -328,7 +339,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     release(docs.sparkSession)
     owners = owners.select("k1", "k2", F.col("id").alias("owner"), "copies").join(linked.withColumnRenamed("node", "owner"), "owner", "left")
     owners = materialize(owners.select("k1", "k2", F.coalesce("component", "owner").alias("component"), "copies"), "components-of")
-    out = join_hot(described.drop("sigs", "surplus"), owners, ["k1", "k2"], "copies", "left")
+    out = join_hot(slim, owners, ["k1", "k2"], "copies", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 
@@ -364,7 +375,7 @@ def _links(rows: DataFrame, nodes: DataFrame, n: int, percent: int, key) -> Data
         for batch in slices(batches, "text", 2 << 20):
             sets = shingle_sets(batch.column("text"), n)
             right = [key(s) == k for s, k in zip(sets, zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True), strict=True)]
-            own = pa.array([s.tobytes() for s in sets], pa.binary())
+            own = pa.array([_packed(s) for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "component", "blocks")] + [own], ["id", "component", "blocks", "own"]).filter(pa.array(right, pa.bool_()))
 
     def link(table: pa.Table) -> pa.Table:
@@ -425,7 +436,7 @@ def _large(sets: DataFrame, percent: int, link) -> DataFrame:
     groups = materialize(groups.select("id", "component", "size", F.coalesce("grp", "id").alias("grp")).dropDuplicates(["id"]), "groups")
     sums = groups.groupBy("component", "grp").agg(F.sum("size").alias("size"))
     largest = sums.groupBy("component").agg(F.max_by("grp", F.struct("size", "grp")).alias("main"), F.max("size").alias("main_size"), F.sum("size").alias("size"))
-    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / (16 * BLOCK))).cast("int")
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / (12 * BLOCK))).cast("int")
     told = groups.select("id", "component", "grp").join(largest.withColumn("mains", blocks(F.col("main_size"))).withColumn("others", F.when(F.col("size") > F.col("main_size"), blocks(F.col("size") - F.col("main_size"))).otherwise(0)), "component")
     main = F.col("grp") == F.col("main")
     own = F.pmod(F.xxhash64("id"), F.when(main, F.col("mains")).otherwise(F.greatest("others", F.lit(1)))).cast("int")
