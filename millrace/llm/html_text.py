@@ -3,7 +3,8 @@
 A page is read into blocks of text.  Blocks inside scripts, menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments are known not to
 belong to the text; blocks inside an explicit article (or main) element are
-known to belong.  What lies outside both is *open*.
+known to belong.  What lies outside both is *open*; a page that has more than
+``TEASER`` times as much open text as text of articles is open throughout.
 
 *Host suffix array.*  The token streams of a host's pages, without what an
 article element protects, are concatenated; the array of their suffixes, sorted
@@ -68,11 +69,22 @@ HOLDERS = {
     "area", "article", "bar", "block", "blog", "bottom", "box", "btn", "button", "buttons", "container", "desktop", "form", "global", "icons", "inner", "item", "items", "label", "left", "link", "links", "list", "main", "media", "mobile",
     "module", "outer", "page", "panel", "post", "posts", "primary", "reader", "right", "secondary", "section", "site", "slot", "sticky", "sub", "top", "unit", "user", "wrap", "wrapper",
 }
+#: Words that, first in a name or behind words that only say where or whose, tell what the whole name is of, whatever follows.
+TELLING = {"comment", "comments", "commentlist", "disqus", "newsletter", "signup", "subscribe"}
+#: Words that may stand before them besides ``HOLDERS``, and words behind the last three that name a text instead.
+BEFORE, TEXTS = {"fb", "js", "the", "wp"}, {"article", "body", "content", "issue", "post", "posts", "text"}
+#: Words beside "cookie" or "cookies" that name a notice; alone these may name a dish.
+NOTICES = {"accept", "alert", "banner", "bar", "consent", "disclaimer", "gdpr", "info", "law", "message", "modal", "notice", "overlay", "policy", "popup", "settings", "warning"}
+#: An article of which a page has so many times as much other text is a teaser.
+TEASER = 2
 #: Opening one of the keys ends an open one of the values, looked for up to the nearest of the bounds.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _SCOPE = {"article", "main", "section", "div", "td", "th", "table", "li", "body", "html", "blockquote", "nav", "aside", "header", "footer", "form", "button", "figure"}
 
-_TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|$)|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>)", re.S)
+#: What ends a tag's name, and what a tag's end is looked for among.
+#: A tag without another one's begin in it, which nearly all are; it reads no further than that.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?>[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>")
+_NAME_END, _QUOTE_OR_END = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME_WORD = re.compile(r"[a-z]+")
 
@@ -90,9 +102,13 @@ class _Element:
 def _named(names: str, inside: bool) -> int:
     """2 or 1 if one name of a class or id says throughout that it is beside the text; inside an article a header may hold its title."""
     out = 0
-    for words in map(set, map(_NAME_WORD.findall, names.split())):
+    for order in map(_NAME_WORD.findall, names.split()):
+        words = set(order)
         found = BESIDE & words
-        if found and found | HOLDERS >= words and not (inside and found == {"header"}):
+        told = next((w for w in order if w not in HOLDERS and w not in BEFORE), "")
+        if told in TELLING and (told in NEVER or TEXTS.isdisjoint(words)) or not words.isdisjoint(("cookie", "cookies")) and not words.isdisjoint(NOTICES):
+            out = max(out, 2 if told in NEVER else 1)
+        elif found and found | HOLDERS >= words and not (inside and found == {"header"}):
             out = max(out, 1 if NEVER.isdisjoint(found) else 2)
     return out
 
@@ -136,6 +152,75 @@ def _gone(element: _Element) -> bool:
     return verdict
 
 
+class _Tags:
+    """The tags of a page in order, in time linear in its length whatever is left open.
+
+    A tag ends at the first ``>`` outside quotes; where there is none, its ``<`` is text.  Whatever a search
+    finds is remembered, and so is every quote from which no end is reached, so that no part is read again
+    for each of many open tags.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.known: dict[re.Pattern, tuple[int, int]] = {}
+        self.endless: set[int] = set()
+        self.last = page.rfind(">")
+
+    def _next(self, pattern: re.Pattern, at: int) -> int:
+        first, found = self.known.get(pattern, (0, -1))
+        if not first <= at <= found:
+            m = pattern.search(self.page, at)
+            first, found = self.known[pattern] = at, m.start() if m else len(self.page)
+        return found
+
+    def _end(self, at: int) -> int:
+        """The ``>`` that ends the tag whose attributes begin at ``at``, or -1."""
+        page, quotes = self.page, []
+        while True:
+            at = self._next(_QUOTE_OR_END, at)
+            if at == len(page) or at in self.endless:
+                break
+            if page[at] == ">":
+                return at
+            quotes.append(at)
+            at = page.find(page[at], at + 1) + 1
+            if not at:
+                break
+        self.endless.update(quotes)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Begin, end, whether it closes, name and attributes of the first tag from ``at`` on; comments and declarations have no name."""
+        page = self.page
+        while True:
+            at = page.find("<", at)
+            if at < 0:
+                return None
+            plain = _PLAIN.match(page, at)
+            if plain:
+                return at, plain.end(), bool(plain[1]), plain[2], plain[3]
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(page), False, "", ""
+            if at > self.last:  # no tag ends from here on, but a comment may begin
+                at = page.find("<!--", at)
+                if at < 0:
+                    return None
+                continue
+            close = page.startswith("/", at + 1)
+            begin = at + 1 + close
+            if "a" <= page[begin : begin + 1].lower() <= "z":
+                stop = self._next(_NAME_END, begin)
+                end = self._end(stop)
+                if end >= 0:
+                    return at, end + 1, close, page[begin:stop], page[stop:end]
+                if close:
+                    return at, page.find(">", at) + 1, close, "", ""
+            elif page[at + 1 : at + 2] in ("!", "?", "/"):
+                return at, page.find(">", at) + 1, close, "", ""
+            at += 1
+
+
 def blocks(page: str | None) -> list[tuple[int, str]]:
     """The page's blocks of text in order, each with DROPPED, OPEN or MAIN."""
     if not page:
@@ -160,25 +245,25 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             if last is element:
                 return
 
-    at, raw = 0, None
+    at, raw, tags = 0, None, _Tags(page)
     size = len(page)
     while at < size:
         if raw:
             end = re.compile(rf"</{re.escape(raw)}[\s/>]", re.I).search(page, at)
             at, raw = end.start() if end else size, None
             continue
-        m = _TAG.search(page, at)
-        if not m:
+        tag = tags.next(at)
+        if not tag:
             parts.append(page[at:])
             break
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
+        begin, end, close, name, rest = tag
+        if begin > at:
+            parts.append(page[at:begin])
+        at = end
         if not name:
             continue
         name = name.lower()
-        if m["close"]:
+        if close:
             if name == "br":
                 parts.append(" ")
                 continue
@@ -217,9 +302,9 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 e = e.parent
             if last:
                 pop_to(last)
-        if m["rest"].endswith("/") and name in ("svg", "math", "path"):
+        if rest.endswith("/") and name in ("svg", "math", "path"):
             continue
-        beside = _beside(name, m["rest"], here.inside)
+        beside = _beside(name, rest, here.inside)
         here = _Element(name, here, beside, here.inside or name in ("article", "main"))
         stands[name] += 1
         if name in ("article", "main") and beside < 2:
@@ -231,9 +316,12 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             raw = name
     flush()
     out = [(DROPPED if _gone(e) else MAIN if e.inside else OPEN, text) for e, text in found]
-    any_article = any(state == MAIN for state, _ in out)
-    if any_article:
+    length = lambda state: sum(len(text) for own, text in out if own == state)
+    main = length(MAIN)
+    if main and length(OPEN) <= TEASER * main:
         out = [(DROPPED if state == OPEN else state, text) for state, text in out]
+    elif main:  # an article that is a small part of the page is no more than its other text
+        out = [(OPEN if state == MAIN else state, text) for state, text in out]
     return out
 
 

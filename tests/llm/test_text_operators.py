@@ -298,11 +298,46 @@ def test_slugs_inside_an_article_keep_its_text():
     ('<p>text</p><article class="comment"><p>c</p></article>', ["text"]),
     ('<article class="post category-social tag-ads"><p>a</p></article>', ["a"]),
     ('<article><header><h1>T</h1><p>by me</p></header><p>a</p></article>', ["T", "a"]),
+    ('<article><p>a</p><div id="disqus_thread"><p>c</p></div></article>', ["a"]),
+    ('<article><p>a</p><ul class="comments-thread"><li>c</li></ul></article>', ["a"]),
+    ('<article><p>a</p><section class="user-comments-v2"><p>c</p></section></article>', ["a"]),
+    ('<article><p>a</p><div class="cookie-notice-text">c</div></article>', ["a"]),
+    ('<article><p>a</p><div class="wp-block-subscribe">c</div></article>', ["a"]),
+    ('<article><p>a</p><div class="newsletter-signup-v2">c</div></article>', ["a"]),
+    ('<article><div class="cookie-recipe"><p>a</p></div><div class="newsletter-body"><p>b</p></div><p class="code-comments">c</p></article>', ["a", "b", "c"]),
+    ('<div><p>The whole long main text.</p></div><article><p>teaser</p></article>', ["The whole long main text.", "teaser"]),
+    ('<div><p>aside</p></div><article><p>The article itself.</p></article>', ["The article itself."]),
 ])
 def test_names_beside_the_text(html, kept):
     assert [t for s, t in html_text.blocks(f"<body>{html}</body>") if s != html_text.DROPPED] == kept
 
 
+@pytest.mark.parametrize("unit", ["<a ", '<a href="', "<p class='x\" ", '<x y="1" ', "<a<a", "<!", "<!--", "</", "<a '>\"", "<"])
+def test_open_tags_take_linear_time(unit):
+    import time
+
+    told = []
+    for size in (150_000, 600_000):
+        for tail in ("", ">", " \"'>"):
+            page = unit * (size // len(unit)) + tail
+            began = time.perf_counter()
+            html_text.blocks(page)
+            told.append(time.perf_counter() - began)
+    # a page four times as long takes about four times as long; quadratic time would be minutes
+    assert sum(told) < 10
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<a ", "<p>", "</p>", '"', "'", ">", "<", "x", "=", "<!--", "-->", "<!d", "</", " ", "/"]), max_size=14).map("".join))
+def test_tags_as_a_backtracking_pattern_finds_them(page):
+    pattern = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/)?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/][^>]*>)", re.S)
+    tags, at, got = html_text._Tags(page), 0, []
+    while tag := tags.next(at):
+        got.append(tag)
+        at = tag[1]
+    assert got == [(m.start(), m.end(), bool(m[2] and m[1]) or page.startswith("</", m.start()) and not m[2], m[2] or "", m[3] or "") for m in pattern.finditer(page)]
+
+
 def test_deep_and_long_pages(spark):
     import time
 
