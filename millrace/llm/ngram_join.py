@@ -12,7 +12,7 @@ one node, and of a set with very many copies one row goes on from there.
 *Equality.*  A shingle is the 128-bit digest of its words (BLAKE2 by word), in two
 lanes.  Signatures and orders take the first; shingles of a set, and equal sets, are
 the same when both lanes are, shingles of different sets in a trie when the first
-and half of the second are.
+and a quarter of the second are.
 
 *Looser joins.*  Under ``STRICT`` percent a partition holds few shingles, and common
 passages would join most texts into one cluster.  There a quarter of D more
@@ -95,15 +95,15 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
 
 
 def _packed(own: np.ndarray) -> bytes:
-    """A set as bytes: all of the first lane, half of the second, 96 bits a shingle."""
-    return own[:, 0].tobytes() + own[:, 1].astype(np.uint32).tobytes()
+    """A set as bytes: all of the first lane, a quarter of the second, 80 bits a shingle."""
+    return own[:, 0].tobytes() + own[:, 1].astype(np.uint16).tobytes()
 
 
 def _lanes(own: pa.BinaryScalar | bytes) -> np.ndarray:
     """A set from its bytes."""
     data = own.as_buffer() if isinstance(own, pa.BinaryScalar) else own
-    size = len(data) // 12
-    return np.stack((np.frombuffer(data, _U, size), np.frombuffer(data, np.uint32, size, 8 * size)), 1)
+    size = len(data) // 10
+    return np.stack((np.frombuffer(data, _U, size), np.frombuffer(data, np.uint16, size, 8 * size)), 1)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -436,7 +436,7 @@ def _large(sets: DataFrame, percent: int, link) -> DataFrame:
     groups = materialize(groups.select("id", "component", "size", F.coalesce("grp", "id").alias("grp")).dropDuplicates(["id"]), "groups")
     sums = groups.groupBy("component", "grp").agg(F.sum("size").alias("size"))
     largest = sums.groupBy("component").agg(F.max_by("grp", F.struct("size", "grp")).alias("main"), F.max("size").alias("main_size"), F.sum("size").alias("size"))
-    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / (12 * BLOCK))).cast("int")
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / (10 * BLOCK))).cast("int")
     told = groups.select("id", "component", "grp").join(largest.withColumn("mains", blocks(F.col("main_size"))).withColumn("others", F.when(F.col("size") > F.col("main_size"), blocks(F.col("size") - F.col("main_size"))).otherwise(0)), "component")
     main = F.col("grp") == F.col("main")
     own = F.pmod(F.xxhash64("id"), F.when(main, F.col("mains")).otherwise(F.greatest("others", F.lit(1)))).cast("int")
