@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions import similarity as S, text as T
-from millrace.operators import search, setjoin, tfidf
+from millrace import tables
+from millrace.operators import gramindex, search, setjoin, tfidf
 from millrace.plans import fixtures
 from millrace.sources import vectors as V
 
@@ -202,7 +205,7 @@ def _tfidf(key: str, table: str) -> str:
     dw AS (SELECT key, gram, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY key)) AS w FROM dc JOIN idf USING (gram)),
     qw AS (SELECT key, gram, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY key)) AS w FROM qc JOIN idf USING (gram)),
     weighed AS (SELECT qw.key AS q_key, dw.key AS c_key, sum(qw.w * dw.w) AS score FROM qw JOIN dw USING (gram) GROUP BY 1, 2),
-    tfidf_every AS (SELECT b.{key} AS q_key, doc_id AS c_key, coalesce(score, 0) AS score FROM {table} b CROSS JOIN (SELECT doc_id FROM documents WHERE trim(text) <> '') t LEFT JOIN weighed p ON p.q_key = b.{key} AND p.c_key = t.doc_id),
+    tfidf_every AS (SELECT b.{key} AS q_key, t.doc_id AS c_key, coalesce(score, 0) AS score FROM {table} b CROSS JOIN (SELECT doc_id FROM documents WHERE trim(text) <> '') t LEFT JOIN weighed p ON p.q_key = b.{key} AND p.c_key = t.doc_id),
     tfidf_ranked AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q_key ORDER BY round(score, 9) DESC, c_key) AS INTEGER) AS rank FROM tfidf_every) WHERE rank <= 5)"""
 
 
@@ -211,6 +214,24 @@ def tfidf_topk(spark, d):
     return tfidf.topk(_items(spark, d), _docs(spark, d)).withColumn("score", F.round("score", 6))
 
 
+def _gram_index(spark: SparkSession, d: str) -> gramindex.Index:
+    folder = f"{tables.scratch(spark)}/millrace/gram-index-{uuid.uuid4().hex}"
+    tables.until_exit(spark, folder)
+    return gramindex.build(_docs(spark, d), folder)
+
+
+@query(f"WITH {_tfidf('item_id', 'benchmark')} SELECT q_key, rank, c_key, round(score, 6) AS score FROM tfidf_ranked")
+def tfidf_indexed_topk(spark, d):
+    """The rows of ``tfidf_topk`` from a written index."""
+    return gramindex.topk(_items(spark, d), _gram_index(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_tfidf('doc_id', '(SELECT * FROM documents WHERE doc_id % 100 = 0)')} SELECT q_key, rank, c_key, round(score, 6) AS score FROM tfidf_ranked")
+def tfidf_indexed_documents(spark, d):
+    """The documents whose id is divisible by 100 against all documents."""
+    return gramindex.topk(_docs(spark, d).where("key % 100 = 0"), _gram_index(spark, d)).withColumn("score", F.round("score", 6))
+
+
 _NAMED = "(VALUES (''), ('task 1'), ('SRC3'), ('nobody')) AS n(name)"
 
 

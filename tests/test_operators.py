@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions import similarity as S, text as T
-from millrace.operators import gates, mapside, report, rules, search, setjoin, tfidf, verdicts
+from millrace.operators import gates, gramindex, mapside, report, rules, search, setjoin, tfidf, verdicts
 from millrace.plans import fixtures
 from millrace.sources import bundles, cache, options, sheets, vectors
 from millrace.streaming import submissions
@@ -142,6 +142,21 @@ def test_prefix_join_finds_what_the_search_finds(spark, least):
     assert least > 0.8 or len(every) > 20
 
 
+@pytest.mark.parametrize("size, first", [(32, 4), (1, 1), (3, 2)])
+def test_index_finds_what_the_scan_finds(spark, monkeypatch, tmp_path, size, first):
+    """Blocks of any size give the scan's rows; where a query has k near rows, few blocks are read."""
+    monkeypatch.setattr(gramindex, "RANGE", size), monkeypatch.setattr(gramindex, "FIRST", first)
+    corpus = spark.createDataFrame([(i, f"topic{i % 40} word{i % 7} other{i % 3} rare{i}" if i % 50 else (" ", None, "the of")[i % 3]) for i in range(600)], "key long, text string")
+    queries = spark.createDataFrame([(1, "topic3 word3 other0"), (2, "rare17 topic17"), (3, "unknown"), (4, None), (5, "word1"), (6, "topic39 topic39 rare39")], "key long, text string")
+    found = gramindex.Search(queries, gramindex.build(corpus, str(tmp_path / "index"), 300), 3)
+    rows = lambda df: [(r.q_key, r["rank"], r.c_key, round(r.score, 9)) for r in df.orderBy("q_key", "rank").collect()]
+    assert rows(found.top()) == rows(tfidf.topk(queries, corpus, 3, 300))
+    told = {r.q_key: (r.blocks, r.opened) for r in found.opened().collect()}
+    assert told[3] == told[4] == (0, 0) and all(o <= b for b, o in told.values())
+    if size == 1:
+        assert told[1][1] < told[1][0] / 2
+
+
 def test_prefix_join_broadcasts_nothing(spark):
     texts = _random_texts(spark, 3, 50)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
