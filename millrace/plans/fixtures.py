@@ -1,8 +1,13 @@
-"""Small inline tables, the same in Spark and in SQL."""
+"""Submissions, answers and the like, which the driver's tables don't hold, made from every row of one of them.
+
+``TABLES`` are groups of model rows that show every case.  A row of a table takes
+the group that its key falls to and makes it its own: keys bear the row's key, and
+texts its text where a case allows it.  The same expressions stand in Spark and SQL.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _TOML = '[metadata]\ndifficulty = "hard"\nsubcategories = []\ncategory = "data"\n\n[environment]\nallow_internet = false\n\n[agent]\ntimeout_sec = 1800.0\n'
 _DOCKER = "FROM debian:bookworm-slim@sha256:abc\nRUN pip install pytest pytest-json-ctrf\n"
@@ -119,10 +124,70 @@ def _literal(value, kind: str) -> str:
     return f"CAST({str(value).lower()} AS {kind})"
 
 
-def sql(name: str) -> str:
-    """The table as SQL, to stand in a FROM clause."""
+#: Key and text of the tables that rows are made from.
+SOURCES = {"documents": ("doc_id", "text"), "benchmark": ("item_id", "text")}
+_OWN = "{0} || '-' || CAST(_key AS STRING)"
+_NUMBER = "_key * 100 + {0}"
+#: Columns that tell a group's rows (a row alone where none are named), and what becomes of columns.
+_BUNDLE = (["bundle_id"], {"bundle_id": _OWN})
+MADE = {
+    "files": (["bundle_id"], {"bundle_id": _OWN, "content": "CASE WHEN path = 'instruction.md' THEN content || coalesce(_text, '') ELSE content END"}),
+    "rubrics": _BUNDLE, "verdicts": _BUNDLE, "archives": _BUNDLE, "answers": _BUNDLE, "rubric_of": _BUNDLE, "judged": _BUNDLE,
+    "scores": ([], {"id": _NUMBER}), "names": ([], {"id": _NUMBER}), "noted": ([], {"id": _NUMBER}), "models": ([], {}),
+    "corpora": ([], {"id": _NUMBER, "value": "replace(value, 'do ', 'do ' || CAST(_key AS STRING) || ' ')"}),
+    "hits": (["q_key"], {"q_key": _NUMBER}),
+    "sheet": ([], {"_ord": _NUMBER}),
+    "matches": ([], {"key": _OWN}), "tracker": ([], {"key": _OWN}), "corpus": ([], {"key": _OWN}),
+}
+#: Tables whose groups are told apart alike, so that their rows meet.
+ALIKE = {"judged": list(BUNDLES), "rubric_of": list(BUNDLES), "files": list(BUNDLES)}
+
+
+def _numbered(name: str) -> tuple[list[str], list[str], list[tuple], int]:
+    """Columns, kinds, the model rows with their group's number first, and how many groups there are."""
     schema, rows = TABLES[name]
     columns = [c.split() for c in schema.split(", ")]
-    kinds = [{"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]"}[k] for _, k in columns]
-    values = ", ".join("(" + ", ".join(_literal(v, k) for v, k in zip(r, kinds, strict=True)) + ")" for r in rows)
-    return f"(VALUES {values}) AS {name}({', '.join(c for c, _ in columns)})"
+    names, by = [c for c, _ in columns], MADE[name][0]
+    if name in ("matches", "tracker", "corpus"):  # what is about one key meets
+        group = lambda i, row: "abcde".index(row[0])
+        many = 5
+    elif by:
+        keys = ALIKE.get(name) or list(dict.fromkeys(row[names.index(by[0])] for row in rows))
+        group, many = (lambda i, row: keys.index(row[names.index(by[0])])), len(keys)
+    else:
+        group, many = (lambda i, row: i), len(rows)
+    return names, [k for _, k in columns], [(group(i, row), *row) for i, row in enumerate(rows)], many
+
+
+def _expressions(name: str, names: list[str]) -> list[tuple[str, str]]:
+    return [(MADE[name][1].get(c, "{0}").format(c), c) for c in names]
+
+
+def over(spark: SparkSession, d: str, name: str, source: str = "documents") -> DataFrame:
+    """The rows of a kind that all rows of a source make."""
+    key, text = SOURCES[source]
+    rows = spark.read.parquet(f"{d}/{source}.parquet").select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    if name == "accepted":
+        return rows.select(F.expr("'t' || CAST(_key AS STRING)").alias("name"), F.col("_text").alias("instruction"), F.expr("'category = \"c' || CAST(_key % 3 AS STRING) || '\"'").alias("toml")).where(F.col("name").isin(ACCEPTED))
+    names, _, models, many = _numbered(name)
+    model = spark.createDataFrame(models, "_group int, " + TABLES[name][0])
+    met = rows.join(F.broadcast(model), F.expr(f"_key % {many} = _group"))  # the models are a fixed number
+    return met.select(*(F.expr(e).alias(c) for e, c in _expressions(name, names)))
+
+
+#: References are accepted by name.
+ACCEPTED = [*ACCEPTED_NAMES, "t9"]
+
+
+def sql(name: str, source: str = "documents") -> str:
+    """What :func:`over` gives as SQL, to stand in a FROM clause."""
+    key, text = SOURCES[source]
+    rows = f"(SELECT {key} AS _key, {text} AS _text FROM {source}) AS s"
+    if name == "accepted":
+        told = ", ".join(f"'{n}'" for n in ACCEPTED)
+        return f"(SELECT * FROM (SELECT 't' || CAST(_key AS STRING) AS name, _text AS instruction, 'category = \"c' || CAST(_key % 3 AS STRING) || '\"' AS toml FROM {rows}) WHERE name IN ({told})) AS accepted"
+    names, kinds, models, many = _numbered(name)
+    types = [{"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]"}[k] for k in kinds]
+    values = ", ".join("(" + ", ".join([str(r[0]), *(_literal(v, k) for v, k in zip(r[1:], types, strict=True))]) + ")" for r in models)
+    made = ", ".join(f"{e} AS {c}" for e, c in _expressions(name, names))
+    return f"(SELECT {made} FROM {rows} JOIN (VALUES {values}) AS m(_group, {', '.join(names)}) ON _key % {many} = _group) AS {name}"

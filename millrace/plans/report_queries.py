@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from millrace.functions import similarity as S, text as T
 from millrace.operators import gates, report, rules, search, tfidf, verdicts
 from millrace.plans import fixtures
-from millrace.plans.rule_queries import _HINT, _ISSUES, _RUBRIC
+from millrace.plans.rule_queries import _HINT, _ISSUES as _DOCUMENT_ISSUES, _RUBRIC
 from millrace.plans.search_queries import _METHOD, _REASON, _SET, _tfidf
 from millrace.sources import sheets, vectors as V
 from millrace.tables import written
 
 QUERIES, SQL = {}, {}
+#: The issues of the benchmark's bundles.
+_ISSUES = _DOCUMENT_ISSUES.replace(fixtures.sql("files"), fixtures.sql("files", "benchmark"))
 
 
 def query(sql: str | None = None):
@@ -189,39 +191,39 @@ def comparison_cards(spark, d):
 
 
 # -- reports on bundles ----------------------------------------------------------------
-def _files(spark: SparkSession) -> DataFrame:
-    return fixtures.frame(spark, "files")
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.over(spark, d, "files", "benchmark")
 
 
-def _of_file(spark: SparkSession, name: str) -> DataFrame:
+def _of_file(spark: SparkSession, d: str, name: str) -> DataFrame:
     """``key, text`` of one file of every bundle."""
     here = F.regexp_replace("path", "^.*/", "") == name
-    return _files(spark).where(here).groupBy(F.col("bundle_id").alias("key")).agg(F.min_by(F.trim(F.coalesce("content", F.lit("")), F.lit(" \n\t\r")), "path").alias("text"))
+    return _files(spark, d).where(here).groupBy(F.col("bundle_id").alias("key")).agg(F.min_by(F.trim(F.coalesce("content", F.lit("")), F.lit(" \n\t\r")), "path").alias("text"))
 
 
 def _assessments(spark: SparkSession, d: str) -> DataFrame:
     corpus = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("key"), "text", F.col("source").alias("trainer")).withColumn("label", _task()).withColumn("v", F.lit(None).cast("array<double>"))
-    submitted = _of_file(spark, "instruction.md").withColumn("name", F.col("key")).withColumn("v", F.lit(None).cast("array<double>"))
+    submitted = _of_file(spark, d, "instruction.md").withColumn("name", F.col("key")).withColumn("v", F.lit(None).cast("array<double>"))
     named = corpus.select(F.col("key").alias("c_key"), F.col("label").alias("task"), F.coalesce("trainer", F.lit("")).alias("trainer"), F.col("text").alias("matched_instruction"))
     # three parts of a report read these few rows, so the search is made once
     hits = written(written(search.precheck(submitted, corpus), "found").join(named, "c_key"), "hits")
     many = corpus.where(F.trim("text") != "").count()
     prechecked = report.prechecks(submitted, hits, search.messages(submitted, hits, F.lit(many).cast("long")))
-    spec = written(tfidf.topk(_of_file(spark, "SPEC.md"), corpus.select("key", "text")), "found").join(named.select("c_key", "task"), "c_key")
-    static, rubric = rules.static_issues(_files(spark)), rules.rubric_issues(fixtures.frame(spark, "rubric_of"))
-    answers = verdicts.parsed(fixtures.frame(spark, "judged"))
-    results = verdicts.explained(verdicts.applicable(_files(spark)), answers)
-    return report.assessments(gates.gated(_files(spark), static, rubric, hits, answers), rules.all_issues(static, rubric), prechecked, spec, results)
+    spec = written(tfidf.topk(_of_file(spark, d, "SPEC.md"), corpus.select("key", "text")), "found").join(named.select("c_key", "task"), "c_key")
+    static, rubric = rules.static_issues(_files(spark, d)), rules.rubric_issues(fixtures.over(spark, d, "rubric_of", "benchmark"))
+    answers = verdicts.parsed(fixtures.over(spark, d, "judged", "benchmark"))
+    results = verdicts.explained(verdicts.applicable(_files(spark, d)), answers)
+    return report.assessments(gates.gated(_files(spark, d), static, rubric, hits, answers), rules.all_issues(static, rubric), prechecked, spec, results)
 
 
-_JUDGED = f"""aj AS (SELECT bundle_id, check_key, TRY_CAST(raw AS JSON) AS j FROM {fixtures.sql('judged')}), answered AS (SELECT bundle_id, check_key, CASE WHEN j IS NULL THEN 'ERROR' ELSE coalesce(j->>'$.verdict', 'UNKNOWN') END AS verdict,
+_JUDGED = f"""aj AS (SELECT bundle_id, check_key, TRY_CAST(raw AS JSON) AS j FROM {fixtures.sql('judged', 'benchmark')}), answered AS (SELECT bundle_id, check_key, CASE WHEN j IS NULL THEN 'ERROR' ELSE coalesce(j->>'$.verdict', 'UNKNOWN') END AS verdict,
         CASE WHEN j IS NULL THEN 0 ELSE CAST(j->>'$.alignment_score' AS DOUBLE) END AS alignment_score, j->>'$.reasoning' AS reasoning, j FROM aj),
     gap AS (SELECT bundle_id, check_key, pos, json_extract(j, '$.gaps[' || pos || ']') AS g FROM (SELECT *, unnest(range(CAST(json_array_length(j, '$.gaps') AS BIGINT))) AS pos FROM answered WHERE j IS NOT NULL)),
     gaps AS (SELECT bundle_id, check_key, list(CASE json_type(g) WHEN 'OBJECT' THEN {{'file': coalesce(g->>'$.file', '—'), 'issue': coalesce(g->>'$.issue', ''), 'fix': coalesce(g->>'$.fix', '')}} ELSE {{'file': '—', 'issue': g->>'$', 'fix': ''}} END ORDER BY pos) AS gaps FROM gap GROUP BY 1, 2),
     results AS (SELECT bundle_id, list({{'check_key': check_key, 'label': label, 'verdict': verdict, 'alignment_score': alignment_score, 'reasoning': reasoning, 'gaps': coalesce(gaps, [])}} ORDER BY ord) AS results
         FROM answered LEFT JOIN gaps USING (bundle_id, check_key) JOIN (VALUES {", ".join(f"({i}, '{k}', '{label}')" for i, (k, label, _, _) in enumerate(verdicts.CHECKS))}) AS k(ord, check_key, label) USING (check_key) GROUP BY bundle_id),
     judge AS (SELECT bundle_id, count(*) FILTER (verdict IN ('REJECT', 'NEEDS_WORK')) = 0 AS llm_pass FROM answered GROUP BY bundle_id)"""
-_RUBRICS = f"src AS (SELECT bundle_id AS id, text FROM {fixtures.sql('rubric_of')}), {_RUBRIC}"
+_RUBRICS = f"src AS (SELECT bundle_id AS id, text FROM {fixtures.sql('rubric_of', 'benchmark')}), {_RUBRIC}"
 _BUNDLE_TEXT = lambda name: f"SELECT bundle_id, arg_min(trim(coalesce(content, ''), ' ' || chr(10) || chr(9) || chr(13)), path) AS text FROM f WHERE regexp_replace(path, '^.*/', '') = '{name}' GROUP BY bundle_id"
 _ASSESSED = f"""{_ISSUES}, {_RUBRICS},
     every AS (SELECT bundle_id, CAST(row_number() OVER (PARTITION BY bundle_id ORDER BY part, a, b) - 1 AS INTEGER) AS seq, rule_id, severity, message, {_HINT} AS fix_hint FROM (
@@ -253,7 +255,7 @@ _ISSUE_ROW = f"'<tr><td style=''color:' || {_COLOUR} || '''>' || {_escaped('i.se
 
 @query(f"{_ISSUES} SELECT bundle_id, string_agg({_ISSUE_ROW}, '' ORDER BY seq) AS html FROM numbered i GROUP BY bundle_id")
 def issues_html(spark, d):
-    return report.issues_html(rules.static_issues(_files(spark)))
+    return report.issues_html(rules.static_issues(_files(spark, d)))
 
 
 _BADGE = """CASE WHEN {0} IS NULL THEN '<span class="badge skip">SKIPPED</span>' WHEN {0} THEN '<span class="badge pass">PASS</span>' ELSE '<span class="badge fail">FAIL</span>' END"""
@@ -275,27 +277,27 @@ _ASKED = "CASE check_key " + " ".join(f"WHEN '{k}' THEN '{q.replace(chr(39), chr
 _SHOWN = [n for n in verdicts.PROMPT_FILES]
 
 
-@query(f"""WITH f AS (SELECT * FROM {fixtures.sql('files')}), side AS (SELECT bundle_id, {", ".join(f"arg_min(content, path) FILTER ({'path LIKE ' + repr('%' + n) if n == 'SPEC.md' else 'path = ' + repr(n)}) AS f{i}" for i, n in enumerate(_SHOWN))}, list(path) AS paths, bool_or(regexp_replace(path, '^.*/', '') = 'SPEC.md') AS spec FROM f GROUP BY bundle_id),
+@query(f"""WITH f AS (SELECT * FROM {fixtures.sql('files', 'benchmark')}), side AS (SELECT bundle_id, {", ".join(f"arg_min(content, path) FILTER ({'path LIKE ' + repr('%' + n) if n == 'SPEC.md' else 'path = ' + repr(n)}) AS f{i}" for i, n in enumerate(_SHOWN))}, list(path) AS paths, bool_or(regexp_replace(path, '^.*/', '') = 'SPEC.md') AS spec FROM f GROUP BY bundle_id),
     k AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', [{', '.join(repr(r) for r in req)}], {str(spec).lower()})" for i, (k, _, req, spec) in enumerate(verdicts.CHECKS))}) AS c(ord, check_key, required, need_spec)),
-    accepted AS (SELECT * FROM {fixtures.sql('accepted')}),
+    accepted AS (SELECT * FROM {fixtures.sql('accepted', 'benchmark')}),
     told AS (SELECT (SELECT string_agg('--- ACCEPTED: ' || name || ' (category=' || regexp_extract(coalesce(toml, ''), 'category\\s*=\\s*"([^"]+)"', 1) || ') ---' || chr(10) || left(trim(coalesce(instruction, '')), 1200) || chr(10), chr(10) ORDER BY name) FROM accepted WHERE name IN ('t1', 't2', 't3', 't4')) AS digest,
-        (SELECT string_agg('--- ACCEPTED REFERENCE' || CASE WHEN name = 't9' THEN ': ' || name ELSE ' ' || o || '/4: ' || name || ' (category=' || regexp_extract(coalesce(toml, ''), 'category\\s*=\\s*"([^"]+)"', 1) || ')' END || ' ---' || chr(10) || instruction || chr(10), chr(10) ORDER BY o, name) FROM (SELECT *, CASE name WHEN 't1' THEN 1 WHEN 't2' THEN 2 ELSE 9 END AS o FROM accepted WHERE coalesce(instruction, '') <> '')) AS listed)
+        (SELECT string_agg('--- ACCEPTED REFERENCE' || CASE WHEN name = 't9' THEN ': ' || name ELSE ' ' || o || '/4: ' || name || ' (category=' || regexp_extract(coalesce(toml, ''), 'category\\s*=\\s*"([^"]+)"', 1) || ')' END || ' ---' || chr(10) || instruction || chr(10), chr(10) ORDER BY o, name) FROM (SELECT *, CASE name WHEN 't1' THEN 1 WHEN 't2' THEN 2 WHEN 't3' THEN 3 WHEN 't4' THEN 4 ELSE 9 END AS o FROM accepted WHERE coalesce(instruction, '') <> '')) AS listed)
     SELECT bundle_id, check_key, concat_ws(chr(10) || chr(10), '{verdicts.GUARD}', '{verdicts.PERSONA}', {_ASKED}, CASE check_key WHEN '{verdicts.WITH_LIST}' THEN listed WHEN '{verdicts.WITH_DIGEST}' THEN digest END,
         trim({" || chr(10) || chr(10) || ".join(f"'<<< {n} >>>' || chr(10) || coalesce(left(f{i}, {verdicts.TOML_CHARS if n == 'task.toml' else verdicts.FILE_CHARS}), '[FILE NOT FOUND]')" for i, n in enumerate(_SHOWN))}, chr(10)), '{verdicts.ANSWER}') AS prompt
     FROM side CROSS JOIN k CROSS JOIN told WHERE len(list_filter(required, lambda r: NOT list_contains(paths, r))) = 0 AND (NOT need_spec OR spec)""")
 def judge_prompts(spark, d):
-    return verdicts.prompts(_files(spark), fixtures.frame(spark, "accepted"), fixtures.ACCEPTED_NAMES)
+    return verdicts.prompts(_files(spark, d), fixtures.over(spark, d, "accepted", "benchmark"), fixtures.ACCEPTED_NAMES)
 
 
 @query(f"SELECT id, (list_filter(notes, lambda n: regexp_matches(lower(n), 'failed|returned')))[1] AS error FROM {fixtures.sql('noted')}")
 def first_error_note(spark, d):
-    return fixtures.frame(spark, "noted").select("id", T.first_error(F.col("notes")).alias("error"))
+    return fixtures.over(spark, d, "noted").select("id", T.first_error(F.col("notes")).alias("error"))
 
 
 @query(f"""WITH k AS (SELECT id, unnest(json_keys(value)) AS key, value FROM {fixtures.sql('corpora')}), e AS (SELECT id, key, json_extract(value, '$.' || key) AS entry FROM k)
     SELECT key, nullif(entry->>'$.instruction', '') AS instruction, nullif(entry->>'$.spec', '') AS spec FROM e WHERE json_type(entry) = 'OBJECT'""")
 def json_corpus(spark, d):
-    return sheets.json_corpus(fixtures.frame(spark, "corpora"))
+    return sheets.json_corpus(fixtures.over(spark, d, "corpora"))
 
 
 _SHORT = "CASE {0} WHEN '' THEN 'No' WHEN 'meaning' THEN 'YES · meaning ≥70%' ELSE 'YES · both ≥60%' END".format(_REASON)
@@ -303,7 +305,7 @@ _SHORT = "CASE {0} WHEN '' THEN 'No' WHEN 'meaning' THEN 'YES · meaning ≥70%'
 
 @query(f"SELECT id, {_SHORT} AS label FROM {fixtures.sql('scores')}")
 def flag_label_short(spark, d):
-    rows = search.decided(fixtures.frame(spark, "scores"))
+    rows = search.decided(fixtures.over(spark, d, "scores"))
     return rows.select("id", S.flag_label(F.col("flagged"), F.col("block_reason"), short=True).alias("label"))
 
 
@@ -317,12 +319,12 @@ def cached_vectors(spark, d):
     return _corpus(spark, d).select("key", F.col("v").isNotNull().alias("known"))
 
 
-@query(f"""WITH {_JUDGED}, f AS (SELECT * FROM {fixtures.sql('files')}), side AS (SELECT bundle_id, list(path) AS paths, bool_or(regexp_replace(path, '^.*/', '') = 'SPEC.md') AS spec FROM f GROUP BY bundle_id),
+@query(f"""WITH {_JUDGED}, f AS (SELECT * FROM {fixtures.sql('files', 'benchmark')}), side AS (SELECT bundle_id, list(path) AS paths, bool_or(regexp_replace(path, '^.*/', '') = 'SPEC.md') AS spec FROM f GROUP BY bundle_id),
     k AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', [{', '.join(repr(r) for r in req)}], {str(spec).lower()})" for i, (k, _, req, spec) in enumerate(verdicts.CHECKS))}) AS c(ord, check_key, required, need_spec)),
     a AS (SELECT bundle_id, CAST(ord AS INTEGER) AS ord, check_key, len(list_filter(required, lambda r: NOT list_contains(paths, r))) = 0 AND (NOT need_spec OR spec) AS applies FROM side CROSS JOIN k)
     SELECT bundle_id, ord, check_key, CASE WHEN applies AND verdict IS NOT NULL THEN verdict ELSE 'SKIPPED' END AS verdict, coalesce(CASE WHEN applies THEN alignment_score END, -1) AS alignment_score FROM a LEFT JOIN answered USING (bundle_id, check_key)""")
 def judge_results(spark, d):
-    rows = verdicts.results(verdicts.applicable(_files(spark)), verdicts.parsed(fixtures.frame(spark, "judged")))
+    rows = verdicts.results(verdicts.applicable(_files(spark, d)), verdicts.parsed(fixtures.over(spark, d, "judged", "benchmark")))
     return rows.select("bundle_id", "ord", "check_key", "verdict", F.coalesce("alignment_score", F.lit(-1.0)).alias("alignment_score"))
 
 
@@ -336,10 +338,18 @@ def exclude_identical(spark, d):
     return rows.groupBy("name").agg(F.count_if(~S.excludes_identical(F.col("key"), F.col("name"), F.col("text"), F.col("own"))).alias("kept"))
 
 
-_SUMMARISED = "(VALUES ('t1', ['a', 'b'], ['X'], true), ('t2', CAST([] AS VARCHAR[]), NULL, false), ('t3', NULL, ['Y', 'Z'], NULL)) AS r(name, expected_field_hash_keys, test_classes, hashes_asserted)"
+_SUMMARISED = """(SELECT 't' || item_id AS name, CASE item_id % 3 WHEN 0 THEN [text, 'b'] WHEN 1 THEN CAST([] AS VARCHAR[]) END AS expected_field_hash_keys, CASE item_id % 3 WHEN 0 THEN ['X'] WHEN 2 THEN ['Y', 'Z'] END AS test_classes,
+    CASE item_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS hashes_asserted FROM benchmark) AS r"""
 
 
 @query(f"SELECT name, '  ' || name || ': ' || coalesce(len(expected_field_hash_keys), 0) || ' hash-locked fields, ' || coalesce(len(test_classes), 0) || ' test classes, hashes_asserted=' || CASE WHEN hashes_asserted THEN 'True' ELSE 'False' END AS line FROM {_SUMMARISED}")
 def reference_patterns(spark, d):
-    rows = [("t1", ["a", "b"], ["X"], True), ("t2", [], None, False), ("t3", None, ["Y", "Z"], None)]
-    return verdicts.reference_patterns(spark.createDataFrame(rows, "name string, expected_field_hash_keys array<string>, test_classes array<string>, hashes_asserted boolean"))
+    third = F.col("item_id") % 3
+    none = F.array().cast("array<string>")
+    rows = spark.read.parquet(f"{d}/benchmark.parquet").select(
+        F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("name"),
+        F.when(third == 0, F.array(F.col("text"), F.lit("b"))).when(third == 1, none).alias("expected_field_hash_keys"),
+        F.when(third == 0, F.array(F.lit("X"))).when(third == 2, F.array(F.lit("Y"), F.lit("Z"))).alias("test_classes"),
+        F.when(third == 0, True).when(third == 1, False).alias("hashes_asserted"),
+    )
+    return verdicts.reference_patterns(rows)

@@ -22,8 +22,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _files(spark: SparkSession) -> DataFrame:
-    return fixtures.frame(spark, "files")
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.over(spark, d, "files")
 
 
 def _list(expression: str) -> str:
@@ -97,33 +97,33 @@ def _of(*prefixes: str) -> str:
 
 @query(_of("ST1-ST2"))
 def structure_missing(spark, d):
-    return rules.static_issues(_files(spark)).where("rule_id IN ('ST1', 'ST2')")
+    return rules.static_issues(_files(spark, d)).where("rule_id IN ('ST1', 'ST2')")
 
 
 @query(_of("S01-S14"))
 def rule_toml(spark, d):
-    return rules.static_issues(_files(spark)).where("rule_id BETWEEN 'S01' AND 'S14'")
+    return rules.static_issues(_files(spark, d)).where("rule_id BETWEEN 'S01' AND 'S14'")
 
 
 @query(_of("S15-S21"))
 def rule_dockerfile(spark, d):
-    return rules.static_issues(_files(spark)).where("rule_id BETWEEN 'S15' AND 'S21'")
+    return rules.static_issues(_files(spark, d)).where("rule_id BETWEEN 'S15' AND 'S21'")
 
 
 @query(_of("S22-S27"))
 def rule_tests(spark, d):
-    return rules.static_issues(_files(spark)).where("rule_id BETWEEN 'S22' AND 'S27'")
+    return rules.static_issues(_files(spark, d)).where("rule_id BETWEEN 'S22' AND 'S27'")
 
 
 @query(_of("S28-S28"))
 def rule_file_count(spark, d):
-    return rules.static_issues(_files(spark)).where("rule_id = 'S28'")
+    return rules.static_issues(_files(spark, d)).where("rule_id = 'S28'")
 
 
 @query(f"""{_ISSUES} SELECT b.bundle_id, NOT coalesce(bool_or(severity = 'CRITICAL' AND starts_with(message, 'Missing ')), false) AS structure_pass,
     NOT coalesce(bool_or(severity IN ('CRITICAL', 'HIGH')), false) AS static_pass, count(seq) AS n_issues FROM side b LEFT JOIN numbered n ON n.bundle_id = b.bundle_id GROUP BY b.bundle_id""")
 def severity_gates(spark, d):
-    return gates.structure_ok(rules.static_issues(_files(spark)), _files(spark))
+    return gates.structure_ok(rules.static_issues(_files(spark, d)), _files(spark, d))
 
 
 _LINE = """lines AS (SELECT id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT id, list_filter(list_transform(string_split_regex(text, '\\r\\n|\\r|\\n'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS l FROM src)),
@@ -140,7 +140,7 @@ _RUBRIC = f"""{_LINE}, found AS (SELECT id, 0 AS i, 0 AS o, 'R0' AS rule_id, 'ME
 
 @query(f"WITH src AS (SELECT bundle_id AS id, text FROM {fixtures.sql('rubrics')}), {_RUBRIC} SELECT id AS bundle_id, CAST(row_number() OVER (PARTITION BY id ORDER BY i, o) - 1 AS INTEGER) AS seq, rule_id, severity, message, {_HINT} AS fix_hint FROM found")
 def rubric_lint(spark, d):
-    return rules.rubric_issues(fixtures.frame(spark, "rubrics"))
+    return rules.rubric_issues(fixtures.over(spark, d, "rubrics"))
 
 
 @query(f"WITH src AS (SELECT conv_id || ':' || turn AS id, text FROM conversations), {_RUBRIC} SELECT rule_id, count(*) AS n, count(DISTINCT id) AS texts FROM found GROUP BY rule_id")
@@ -156,7 +156,7 @@ _LEAK_SQL = f"SELECT bundle_id, path, {_list(_unique('content', _LEAK, 5))} AS f
 @query(_LEAK_SQL)
 def regex_leakage_unique(spark, d):
     found = T.unique_matches(F.col("content"), rules.LEAKAGE, 5)
-    return _files(spark).where(F.size(found) > 0).select("bundle_id", "path", rules._listed(found).alias("found"))
+    return _files(spark, d).where(F.size(found) > 0).select("bundle_id", "path", rules._listed(found).alias("found"))
 
 
 _WORDS = _unique("text", "idiot|clown|worthless|license", 3)
@@ -179,19 +179,19 @@ _PARSED = _parsed(fixtures.sql("verdicts"))
 
 @query(f"WITH {_PARSED} SELECT bundle_id, check_key, verdict, coalesce(alignment_score, -1) AS alignment_score, reasoning FROM parsed")
 def llm_json_parse(spark, d):
-    return verdicts.parsed(fixtures.frame(spark, "verdicts")).select("bundle_id", "check_key", "verdict", F.coalesce("alignment_score", F.lit(-1.0)).alias("alignment_score"), "reasoning")
+    return verdicts.parsed(fixtures.over(spark, d, "verdicts")).select("bundle_id", "check_key", "verdict", F.coalesce("alignment_score", F.lit(-1.0)).alias("alignment_score"), "reasoning")
 
 
 @query(f"""WITH {_PARSED}, g AS (SELECT bundle_id, check_key, pos, json_extract(j, '$.gaps[' || pos || ']') AS gap FROM (SELECT *, unnest(range(CAST(json_array_length(j, '$.gaps') AS BIGINT))) AS pos FROM parsed WHERE j IS NOT NULL))
     SELECT bundle_id, check_key, CAST(pos AS INTEGER) AS pos, CASE json_type(gap) WHEN 'OBJECT' THEN coalesce(gap->>'$.file', '—') ELSE '—' END AS file, CASE json_type(gap) WHEN 'OBJECT' THEN coalesce(gap->>'$.issue', '') ELSE gap->>'$' END AS issue,
     CASE json_type(gap) WHEN 'OBJECT' THEN coalesce(gap->>'$.fix', '') ELSE '' END AS fix FROM g WHERE json_type(gap) = 'OBJECT' OR json_type(gap) = 'VARCHAR' AND gap->>'$' <> ''""")
 def llm_gap_normalise(spark, d):
-    return verdicts.gaps(verdicts.parsed(fixtures.frame(spark, "verdicts")).select("bundle_id", "check_key", "answer"))
+    return verdicts.gaps(verdicts.parsed(fixtures.over(spark, d, "verdicts")).select("bundle_id", "check_key", "answer"))
 
 
 @query(f"WITH {_PARSED} SELECT bundle_id, count(*) FILTER (verdict = 'REJECT') AS rejects, count(*) FILTER (verdict = 'NEEDS_WORK') AS needs_work, count(*) FILTER (verdict = 'ERROR') AS errors, count(*) AS ran, count(*) FILTER (verdict IN ('REJECT', 'NEEDS_WORK')) = 0 AS llm_pass FROM parsed GROUP BY bundle_id")
 def llm_verdict_fold(spark, d):
-    return gates.llm_pass(verdicts.parsed(fixtures.frame(spark, "verdicts")))
+    return gates.llm_pass(verdicts.parsed(fixtures.over(spark, d, "verdicts")))
 
 
 # judge answers over a whole table: every label is one answer, bare, fenced or not JSON at all
@@ -225,19 +225,19 @@ _CHECKS = ", ".join(f"({i}, '{k}', [{', '.join(repr(r) for r in req)}], {str(spe
     SELECT p.bundle_id, check_key, CAST(ord AS INTEGER) AS ord, len(list_filter(required, lambda r: NOT list_contains(paths, r))) = 0 AND (NOT need_spec OR spec) AS applies
     FROM present p JOIN side USING (bundle_id) CROSS JOIN (VALUES {_CHECKS}) AS c(ord, check_key, required, need_spec)""")
 def check_applicability(spark, d):
-    return verdicts.applicable(_files(spark)).select("bundle_id", "check_key", "ord", "applies")
+    return verdicts.applicable(_files(spark, d)).select("bundle_id", "check_key", "ord", "applies")
 
 
 @query(f"""SELECT coalesce(string_agg('--- ACCEPTED: ' || name || ' (category=' || regexp_extract(coalesce(toml, ''), 'category\\s*=\\s*"([^"]+)"', 1) || ') ---' || chr(10) || left(trim(coalesce(instruction, '')), 1200) || chr(10), chr(10) ORDER BY name), '[No accepted reference tasks loaded]') AS digest
-    FROM {fixtures.sql('accepted')} WHERE name IN ('t1', 't2', 't3', 't4')""")
+    FROM {fixtures.sql('accepted', 'benchmark')} WHERE name IN ('t1', 't2', 't3', 't4')""")
 def accepted_digest(spark, d):
-    return fixtures.frame(spark, "accepted").agg(verdicts.accepted_digest(fixtures.frame(spark, "accepted"), fixtures.ACCEPTED_NAMES).alias("digest"))
+    return fixtures.over(spark, d, "accepted", "benchmark").agg(verdicts.accepted_digest(fixtures.over(spark, d, "accepted", "benchmark"), fixtures.ACCEPTED_NAMES).alias("digest"))
 
 
 @query(f"""SELECT string_agg('--- ACCEPTED REFERENCE' || CASE WHEN name = 't9' THEN ': ' || name ELSE ' ' || o || '/4: ' || name || ' (category=' || regexp_extract(coalesce(toml, ''), 'category\\s*=\\s*"([^"]+)"', 1) || ')' END || ' ---' || chr(10) || instruction || chr(10), chr(10) ORDER BY o, name) AS listed
-    FROM (SELECT *, CASE name WHEN 't1' THEN 1 WHEN 't2' THEN 2 ELSE 9 END AS o FROM {fixtures.sql('accepted')} WHERE coalesce(instruction, '') <> '')""")
+    FROM (SELECT *, CASE name WHEN 't1' THEN 1 WHEN 't2' THEN 2 WHEN 't3' THEN 3 WHEN 't4' THEN 4 ELSE 9 END AS o FROM {fixtures.sql('accepted', 'benchmark')} WHERE coalesce(instruction, '') <> '')""")
 def accepted_list(spark, d):
-    rows = fixtures.frame(spark, "accepted")
+    rows = fixtures.over(spark, d, "accepted", "benchmark")
     return rows.agg(verdicts.reference_list(rows, fixtures.ACCEPTED_NAMES).alias("listed"))
 
 
@@ -246,26 +246,28 @@ _FLAGGED = ", ".join(f"CASE WHEN json_type(raw, '$.{n}') = 'BOOLEAN' AND raw->>'
 
 @query(f"SELECT bundle_id, array_to_string(list_filter([{_FLAGGED}], lambda x: x IS NOT NULL), ',') AS flags FROM {fixtures.sql('answers')}")
 def llm_flags(spark, d):
-    return verdicts.flags(verdicts.parsed(fixtures.frame(spark, "answers"))).select("bundle_id", F.array_join("flags", ",").alias("flags"))
+    return verdicts.flags(verdicts.parsed(fixtures.over(spark, d, "answers"))).select("bundle_id", F.array_join("flags", ",").alias("flags"))
 
 
 @query(f"""WITH r AS (SELECT bundle_id, CAST(pos AS INTEGER) AS pos, json_extract(raw, '$.reference_comparisons[' || pos || ']') AS j FROM (SELECT *, unnest(range(CAST(json_array_length(raw, '$.reference_comparisons') AS BIGINT))) AS pos FROM {fixtures.sql('answers')}))
     SELECT bundle_id, pos, coalesce(j->>'$.reference_task', '') AS reference, coalesce(j->>'$.structural_alignment', '—') AS structure, coalesce(j->>'$.differentiation_score', '—') AS differentiation, coalesce(j->>'$.too_similar', 'false') AS too_similar,
     coalesce(array_to_string(CAST(json_extract(j, '$.issues') AS VARCHAR[])[1:2], '; '), '') AS issues FROM r WHERE json_type(j) = 'OBJECT'""")
 def llm_comparisons(spark, d):
-    return verdicts.comparisons(verdicts.parsed(fixtures.frame(spark, "answers")).select("bundle_id", "answer"))
+    return verdicts.comparisons(verdicts.parsed(fixtures.over(spark, d, "answers")).select("bundle_id", "answer"))
 
 
-_BOOL = "(VALUES (true), (false))"
+_BITS = ["blocked", "structure_ok", "rubric_ok", "similarity_ok", "static_ok"]
 
 
-@query(f"""SELECT blocked, structure_ok, rubric_ok, coalesce(CAST(llm AS VARCHAR), 'none') AS llm, similarity_ok, static_ok, NOT blocked AND structure_ok AND rubric_ok AND coalesce(llm, true) AND similarity_ok AND static_ok AS overall
-    FROM {_BOOL} a(blocked) CROSS JOIN {_BOOL} b(structure_ok) CROSS JOIN {_BOOL} c(rubric_ok) CROSS JOIN (VALUES (true), (false), (NULL)) e(llm) CROSS JOIN {_BOOL} g(similarity_ok) CROSS JOIN {_BOOL} h(static_ok)""")
+@query(f"""SELECT doc_id, blocked, structure_ok, rubric_ok, coalesce(CAST(llm AS VARCHAR), 'none') AS llm, similarity_ok, static_ok, NOT blocked AND structure_ok AND rubric_ok AND coalesce(llm, true) AND similarity_ok AND static_ok AS overall
+    FROM (SELECT doc_id, {", ".join(f"(doc_id // {2**i}) % 2 = 0 AS {n}" for i, n in enumerate(["blocked", "structure_ok", "rubric_ok", "similarity_ok", "static_ok"]))}, CASE (doc_id // 32) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS llm FROM documents)""")
 def overall_gate_truth_table(spark, d):
-    names = ["blocked", "structure_ok", "rubric_ok", "similarity_ok", "static_ok"]
-    rows = spark.range(96).select(*((F.floor(F.col("id") / 2**i) % 2 == 0).alias(n) for i, n in enumerate(names)), F.element_at(F.array(F.lit(True), F.lit(False), F.lit(None)), F.floor(F.col("id") / 32).cast("int") + 1).alias("llm"))
+    """Every document with the gates that the digits of its number tell, all 96 cases among them."""
+    bit = lambda i: F.floor(F.col("doc_id") / 2**i) % 2 == 0
+    third = F.floor(F.col("doc_id") / 32) % 3
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", *(bit(i).alias(n) for i, n in enumerate(_BITS)), F.when(third == 0, True).when(third == 1, False).alias("llm"))
     out = rows.withColumn("overall", gates.overall(*(F.col(c) for c in ("blocked", "structure_ok", "rubric_ok", "llm", "similarity_ok", "static_ok"))))
-    return out.withColumn("llm", F.coalesce(F.col("llm").cast("string"), F.lit("none"))).select("blocked", "structure_ok", "rubric_ok", "llm", "similarity_ok", "static_ok", "overall")
+    return out.withColumn("llm", F.coalesce(F.col("llm").cast("string"), F.lit("none"))).select("doc_id", "blocked", "structure_ok", "rubric_ok", "llm", "similarity_ok", "static_ok", "overall")
 
 
 _NAN = "CASE WHEN {0} IN ('', 'nan', 'NaN') THEN 'nan' ELSE trim({0}) END"
@@ -281,7 +283,7 @@ def corpus_key_last_wins(spark, d):
 @query(f"""WITH r AS (SELECT _ord, {_NAN.format('name')} AS n, {_NAN.format('trainer')} AS t, {_NAN.format('instruction')} AS i FROM {fixtures.sql('sheet')}),
     k AS (SELECT _ord, CASE WHEN n = 'nan' THEN 'row-' || (_ord + 2) ELSE n END || ' · ' || t AS key, i FROM r WHERE i <> 'nan' AND i <> '') SELECT key, min(_ord) AS ord, arg_max(i, _ord) AS instruction FROM k GROUP BY key""")
 def corpus_nan_guard(spark, d):
-    return sheets.keyed(fixtures.frame(spark, "sheet"), "name", "trainer", "instruction").select("key", "ord", "instruction")
+    return sheets.keyed(fixtures.over(spark, d, "sheet"), "name", "trainer", "instruction").select("key", "ord", "instruction")
 
 
 @query("SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS escaped FROM pages")
@@ -292,17 +294,17 @@ def html_escape(spark, d):
 @query(f"""WITH a AS (SELECT *, string_split(path, '/')[1] AS top FROM {fixtures.sql('archives')}), r AS (SELECT bundle_id, count(DISTINCT top) FILTER (top NOT IN ('.DS_Store', '__MACOSX')) AS tops, bool_and(contains(path, '/')) FILTER (top NOT IN ('.DS_Store', '__MACOSX')) AS folders FROM a GROUP BY bundle_id)
     SELECT bundle_id, CASE WHEN tops = 1 AND folders AND top NOT IN ('.DS_Store', '__MACOSX') THEN regexp_replace(path, '^[^/]*/', '') ELSE path END AS path, content FROM a JOIN r USING (bundle_id)""")
 def bundle_flatten(spark, d):
-    return bundles.flattened(fixtures.frame(spark, "archives"))
+    return bundles.flattened(fixtures.over(spark, d, "archives"))
 
 
-@query("SELECT * FROM (VALUES (1, 'my task'), (2, 'd'), (3, 'b.tar'), (4, 'folder'), (5, 'task'), (6, '.zip')) AS t(id, name)")
+@query(f"SELECT id, CASE id % 100 WHEN 1 THEN 'my task' WHEN 2 THEN 'd' WHEN 3 THEN 'b.tar' WHEN 4 THEN 'folder' WHEN 5 THEN 'task' ELSE '.zip' END AS name FROM {fixtures.sql('names')}")
 def task_name(spark, d):
-    return fixtures.frame(spark, "names").select("id", T.stem_or(F.coalesce("zip_name", F.lit("")), F.col("folder")).alias("name"))
+    return fixtures.over(spark, d, "names").select("id", T.stem_or(F.coalesce("zip_name", F.lit("")), F.col("folder")).alias("name"))
 
 
 @query(f"SELECT model, lower(string_split(model, '/')[-1]) AS slug, regexp_matches(lower(string_split(model, '/')[-1]), '^(gpt-5|o1|o3|o4)') AS other_limit FROM {fixtures.sql('models')}")
 def model_family(spark, d):
-    return fixtures.frame(spark, "models").select("model", T.model_slug(F.col("model")).alias("slug"), T.takes_other_limit(F.col("model")).alias("other_limit"))
+    return fixtures.over(spark, d, "models").select("model", T.model_slug(F.col("model")).alias("slug"), T.takes_other_limit(F.col("model")).alias("other_limit"))
 
 
 @query("SELECT doc_id, left(text, 15000) AS content, octet_length(encode(text)) AS octets, length(text) AS chars, replace(source || ' ' || lang, ' ', '-') AS file_name FROM documents")

@@ -109,22 +109,22 @@ _METHOD = "CASE WHEN sem >= 0.6 AND lex >= 0.6 THEN 'dual-60' WHEN sem >= 0.7 TH
 
 @query(f"SELECT id, {_REASON} AS block_reason, {_REASON} <> '' AS flagged FROM {fixtures.sql('scores')}")
 def decide_branches(spark, d):
-    return search.decided(fixtures.frame(spark, "scores")).select("id", "block_reason", "flagged")
+    return search.decided(fixtures.over(spark, d, "scores")).select("id", "block_reason", "flagged")
 
 
 @query(f"SELECT id, {_METHOD} AS method FROM {fixtures.sql('scores')}")
 def method_label(spark, d):
-    return search.decided(fixtures.frame(spark, "scores")).select("id", "method")
+    return search.decided(fixtures.over(spark, d, "scores")).select("id", "method")
 
 
 @query(f"SELECT id, greatest(lex, coalesce(sem, 0)) AS score FROM {fixtures.sql('scores')}")
 def combined_score(spark, d):
-    return search.decided(fixtures.frame(spark, "scores")).select("id", "score")
+    return search.decided(fixtures.over(spark, d, "scores")).select("id", "score")
 
 
 @query(f"SELECT id, CASE {_REASON} WHEN '' THEN 'No' WHEN 'meaning' THEN 'YES (meaning ≥70%)' ELSE 'YES (both ≥60%)' END AS flag_label FROM {fixtures.sql('scores')}")
 def flag_label(spark, d):
-    return search.decided(fixtures.frame(spark, "scores")).select("id", "flag_label")
+    return search.decided(fixtures.over(spark, d, "scores")).select("id", "flag_label")
 
 
 _RANK = "row_number() OVER (PARTITION BY q_key ORDER BY flagged DESC, coalesce(sem, -1) DESC, lex DESC, ord)"
@@ -132,12 +132,12 @@ _RANK = "row_number() OVER (PARTITION BY q_key ORDER BY flagged DESC, coalesce(s
 
 @query(f"SELECT q_key, ord, CAST({_RANK} AS INTEGER) AS rank FROM {fixtures.sql('hits')}")
 def rank_with_ties(spark, d):
-    return search.ranked(fixtures.frame(spark, "hits"), "q_key", "ord").select("q_key", "ord", "rank")
+    return search.ranked(fixtures.over(spark, d, "hits"), "q_key", "ord").select("q_key", "ord", "rank")
 
 
 @query(f"WITH r AS (SELECT *, CAST({_RANK} AS INTEGER) AS rank FROM {fixtures.sql('hits')}) SELECT q_key, bool_or(flagged) AS blocked, arg_min(score, rank) AS max_similarity, coalesce(min(rank) FILTER (flagged), 0) AS first_flagged FROM r GROUP BY q_key")
 def block_any(spark, d):
-    return search.blocked(search.ranked(fixtures.frame(spark, "hits"), "q_key", "ord"), "q_key").withColumn("first_flagged", F.coalesce("first_flagged", F.lit(0)))
+    return search.blocked(search.ranked(fixtures.over(spark, d, "hits"), "q_key", "ord"), "q_key").withColumn("first_flagged", F.coalesce("first_flagged", F.lit(0)))
 
 
 # the same decisions over a whole table: every line item is a match of its part, with scores from its numbers
@@ -261,7 +261,7 @@ def closest_match_excerpt(spark, d):
 @query(f"""SELECT key, coalesce(CASE WHEN trim(matched_instruction) <> '' THEN matched_instruction END, CASE WHEN trim(t.text) <> '' THEN t.text END, CASE WHEN trim(c.text) <> '' THEN c.text END, '') AS matched_instruction
     FROM {fixtures.sql('matches')} LEFT JOIN (SELECT * FROM {fixtures.sql('tracker')}) t USING (key) LEFT JOIN (SELECT * FROM {fixtures.sql('corpus')}) c USING (key)""")
 def text_fallback(spark, d):
-    return search.enriched(*(fixtures.frame(spark, n) for n in ("matches", "tracker", "corpus")))
+    return search.enriched(*(fixtures.over(spark, d, n) for n in ("matches", "tracker", "corpus")))
 
 
 @query("SELECT sha256(string_agg(key || chr(0) || text || chr(0), '' ORDER BY key)) AS signature FROM (SELECT CAST(item_id AS VARCHAR) AS key, text FROM benchmark)")
