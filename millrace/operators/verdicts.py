@@ -156,9 +156,9 @@ def explained(applied: DataFrame, answers: DataFrame) -> DataFrame:
 def accepted_digest(references: DataFrame, names: list[str], limit: int = 1200) -> Column:
     """One line block per accepted reference in the order of ``names`` (an aggregate over ``name, instruction, toml``)."""
     order = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("name"))
-    block = F.concat(F.lit("--- ACCEPTED: "), F.col("name"), F.lit(" (category="), T.toml_category(F.coalesce("toml", F.lit(""))), F.lit(") ---\n"), F.left(F.trim(F.coalesce("instruction", F.lit(""))), F.lit(limit)), F.lit("\n"))
+    block = F.concat(F.lit("== accepted task "), F.col("name"), F.lit(", of category "), T.toml_category(F.coalesce("toml", F.lit(""))), F.lit(" ==\n"), F.left(F.trim(F.coalesce("instruction", F.lit(""))), F.lit(limit)), F.lit("\n"))
     listed = F.array_sort(F.collect_list(F.when(order > 0, F.struct(order.alias("o"), block.alias("b")))))
-    return F.when(F.size(listed) > 0, F.array_join(F.transform(listed, lambda x: x["b"]), "\n")).otherwise("[No accepted reference tasks loaded]")
+    return F.when(F.size(listed) > 0, F.array_join(F.transform(listed, lambda x: x["b"]), "\n")).otherwise("(no accepted tasks are known)")
 
 
 #: The yes-or-no findings that an answer may carry.
@@ -188,7 +188,7 @@ def reference_patterns(references: DataFrame) -> DataFrame:
     """``name, line``: how many hash-locked fields and test classes an accepted reference has, and whether hashes are asserted."""
     count = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("string")
     asserted = F.when(F.coalesce("hashes_asserted", F.lit(False)), "True").otherwise("False")
-    line = F.concat(F.lit("  "), F.col("name"), F.lit(": "), count("expected_field_hash_keys"), F.lit(" hash-locked fields, "), count("test_classes"), F.lit(" test classes, hashes_asserted="), asserted)
+    line = F.concat(F.lit("  "), F.col("name"), F.lit(": "), count("expected_field_hash_keys"), F.lit(" fields fixed by a hash, "), count("test_classes"), F.lit(" test classes; hashes are asserted: "), asserted)
     return references.select("name", line.alias("line"))
 
 
@@ -199,7 +199,7 @@ def reference_list(references: DataFrame, names: list[str]) -> Column:
     rows = F.array_sort(F.collect_list(F.when(known, F.struct(F.when(place > 0, place).otherwise(1 << 30).alias("o"), F.col("name").alias("n"), F.col("instruction").alias("i"), T.toml_category(F.coalesce("toml", F.lit(""))).alias("c")))))
 
     def block(r: Column, at: Column) -> Column:
-        named = F.concat(F.lit(" "), (at + 1).cast("string"), F.lit(f"/{len(names)}: "), r["n"], F.lit(" (category="), r["c"], F.lit(")"))
-        return F.concat(F.lit("--- ACCEPTED REFERENCE"), F.when(r["o"] < 1 << 30, named).otherwise(F.concat(F.lit(": "), r["n"])), F.lit(" ---\n"), r["i"], F.lit("\n"))
+        named = F.concat(F.lit(" "), (at + 1).cast("string"), F.lit(f"/{len(names)}: "), r["n"], F.lit(", of category "), r["c"])
+        return F.concat(F.lit("== reference"), F.when(r["o"] < 1 << 30, named).otherwise(F.concat(F.lit(": "), r["n"])), F.lit(" ==\n"), r["i"], F.lit("\n"))
 
-    return F.when(F.size(rows) > 0, F.array_join(F.transform(rows, block), "\n")).otherwise("[No accepted references available]")
+    return F.when(F.size(rows) > 0, F.array_join(F.transform(rows, block), "\n")).otherwise("(no references are known)")

@@ -280,8 +280,8 @@ _SHOWN = [n for n in verdicts.PROMPT_FILES]
 @query(f"""WITH f AS (SELECT * FROM {fixtures.sql('files', 'benchmark')}), side AS (SELECT bundle_id, {", ".join(f"arg_min(content, path) FILTER ({'path LIKE ' + repr('%' + n) if n == 'SPEC.md' else 'path = ' + repr(n)}) AS f{i}" for i, n in enumerate(_SHOWN))}, list(path) AS paths, bool_or(regexp_replace(path, '^.*/', '') = 'SPEC.md') AS spec FROM f GROUP BY bundle_id),
     k AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', [{', '.join(repr(r) for r in req)}], {str(spec).lower()})" for i, (k, _, req, spec) in enumerate(verdicts.CHECKS))}) AS c(ord, check_key, required, need_spec)),
     accepted AS (SELECT * FROM {fixtures.sql('accepted', 'benchmark')}),
-    told AS (SELECT (SELECT string_agg('--- ACCEPTED: ' || name || ' (category=' || regexp_extract(coalesce(toml, ''), 'category\\s*=\\s*"([^"]+)"', 1) || ') ---' || chr(10) || left(trim(coalesce(instruction, '')), 1200) || chr(10), chr(10) ORDER BY name) FROM accepted WHERE name IN ('t1', 't2', 't3', 't4')) AS digest,
-        (SELECT string_agg('--- ACCEPTED REFERENCE' || CASE WHEN name = 't9' THEN ': ' || name ELSE ' ' || o || '/4: ' || name || ' (category=' || regexp_extract(coalesce(toml, ''), 'category\\s*=\\s*"([^"]+)"', 1) || ')' END || ' ---' || chr(10) || instruction || chr(10), chr(10) ORDER BY o, name) FROM (SELECT *, CASE name WHEN 't1' THEN 1 WHEN 't2' THEN 2 WHEN 't3' THEN 3 WHEN 't4' THEN 4 ELSE 9 END AS o FROM accepted WHERE coalesce(instruction, '') <> '')) AS listed)
+    told AS (SELECT (SELECT string_agg('== accepted task ' || name || ', of category ' || regexp_extract(coalesce(toml, ''), 'category\\s*=\\s*"([^"]+)"', 1) || ' ==' || chr(10) || left(trim(coalesce(instruction, '')), 1200) || chr(10), chr(10) ORDER BY name) FROM accepted WHERE name IN ('t1', 't2', 't3', 't4')) AS digest,
+        (SELECT string_agg('== reference' || CASE WHEN name = 't9' THEN ': ' || name ELSE ' ' || o || '/4: ' || name || ', of category ' || regexp_extract(coalesce(toml, ''), 'category\\s*=\\s*"([^"]+)"', 1) END || ' ==' || chr(10) || instruction || chr(10), chr(10) ORDER BY o, name) FROM (SELECT *, CASE name WHEN 't1' THEN 1 WHEN 't2' THEN 2 WHEN 't3' THEN 3 WHEN 't4' THEN 4 ELSE 9 END AS o FROM accepted WHERE coalesce(instruction, '') <> '')) AS listed)
     SELECT bundle_id, check_key, concat_ws(chr(10) || chr(10), '{verdicts.GUARD}', '{verdicts.PERSONA}', {_ASKED}, CASE check_key WHEN '{verdicts.WITH_LIST}' THEN listed WHEN '{verdicts.WITH_DIGEST}' THEN digest END,
         trim({" || chr(10) || chr(10) || ".join(f"'<<< {n} >>>' || chr(10) || coalesce(left(f{i}, {verdicts.TOML_CHARS if n == 'task.toml' else verdicts.FILE_CHARS}), '[FILE NOT FOUND]')" for i, n in enumerate(_SHOWN))}, chr(10)), '{verdicts.ANSWER}') AS prompt
     FROM side CROSS JOIN k CROSS JOIN told WHERE len(list_filter(required, lambda r: NOT list_contains(paths, r))) = 0 AND (NOT need_spec OR spec)""")
@@ -342,7 +342,7 @@ _SUMMARISED = """(SELECT 't' || item_id AS name, CASE item_id % 3 WHEN 0 THEN [t
     CASE item_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS hashes_asserted FROM benchmark) AS r"""
 
 
-@query(f"SELECT name, '  ' || name || ': ' || coalesce(len(expected_field_hash_keys), 0) || ' hash-locked fields, ' || coalesce(len(test_classes), 0) || ' test classes, hashes_asserted=' || CASE WHEN hashes_asserted THEN 'True' ELSE 'False' END AS line FROM {_SUMMARISED}")
+@query(f"SELECT name, '  ' || name || ': ' || coalesce(len(expected_field_hash_keys), 0) || ' fields fixed by a hash, ' || coalesce(len(test_classes), 0) || ' test classes; hashes are asserted: ' || CASE WHEN hashes_asserted THEN 'True' ELSE 'False' END AS line FROM {_SUMMARISED}")
 def reference_patterns(spark, d):
     third = F.col("item_id") % 3
     none = F.array().cast("array<string>")

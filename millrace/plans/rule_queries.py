@@ -228,13 +228,13 @@ def check_applicability(spark, d):
     return verdicts.applicable(_files(spark, d)).select("bundle_id", "check_key", "ord", "applies")
 
 
-@query(f"""SELECT coalesce(string_agg('--- ACCEPTED: ' || name || ' (category=' || regexp_extract(coalesce(toml, ''), 'category\\s*=\\s*"([^"]+)"', 1) || ') ---' || chr(10) || left(trim(coalesce(instruction, '')), 1200) || chr(10), chr(10) ORDER BY name), '[No accepted reference tasks loaded]') AS digest
+@query(f"""SELECT coalesce(string_agg('== accepted task ' || name || ', of category ' || regexp_extract(coalesce(toml, ''), 'category\\s*=\\s*"([^"]+)"', 1) || ' ==' || chr(10) || left(trim(coalesce(instruction, '')), 1200) || chr(10), chr(10) ORDER BY name), '(no accepted tasks are known)') AS digest
     FROM {fixtures.sql('accepted', 'benchmark')} WHERE name IN ('t1', 't2', 't3', 't4')""")
 def accepted_digest(spark, d):
     return fixtures.over(spark, d, "accepted", "benchmark").agg(verdicts.accepted_digest(fixtures.over(spark, d, "accepted", "benchmark"), fixtures.ACCEPTED_NAMES).alias("digest"))
 
 
-@query(f"""SELECT string_agg('--- ACCEPTED REFERENCE' || CASE WHEN name = 't9' THEN ': ' || name ELSE ' ' || o || '/4: ' || name || ' (category=' || regexp_extract(coalesce(toml, ''), 'category\\s*=\\s*"([^"]+)"', 1) || ')' END || ' ---' || chr(10) || instruction || chr(10), chr(10) ORDER BY o, name) AS listed
+@query(f"""SELECT string_agg('== reference' || CASE WHEN name = 't9' THEN ': ' || name ELSE ' ' || o || '/4: ' || name || ', of category ' || regexp_extract(coalesce(toml, ''), 'category\\s*=\\s*"([^"]+)"', 1) END || ' ==' || chr(10) || instruction || chr(10), chr(10) ORDER BY o, name) AS listed
     FROM (SELECT *, CASE name WHEN 't1' THEN 1 WHEN 't2' THEN 2 WHEN 't3' THEN 3 WHEN 't4' THEN 4 ELSE 9 END AS o FROM {fixtures.sql('accepted', 'benchmark')} WHERE coalesce(instruction, '') <> '')""")
 def accepted_list(spark, d):
     rows = fixtures.over(spark, d, "accepted", "benchmark")
