@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions import similarity as S, text as T
 from millrace import tables
-from millrace.operators import gramindex, search, setjoin, tfidf
+from millrace.operators import gramindex, nearest, search, setjoin, tfidf
 from millrace.plans import fixtures
 from millrace.sources import vectors as V
 
@@ -103,6 +103,13 @@ def cosine_topk(spark, d):
     return search.cosine_topk(rows.where("key % 100 = 0"), rows).withColumn("sem", F.round("sem", 6))
 
 
+@query(f"WITH {_COSINE.replace('q.vec_id % 100 = 0 AND ', '')}, r AS (SELECT *, row_number() OVER (PARTITION BY q_key ORDER BY round(sem, 9) DESC, c_key) AS r FROM scored) SELECT q_key, CAST(r AS INTEGER) AS rank, c_key, round(sem, 6) AS sem FROM r WHERE r <= 10")
+def cosine_all_topk(spark, d):
+    """Every vector against all others, exactly, by pivots."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("key"), F.col("embedding").alias("v"))
+    return nearest.all_topk(rows).withColumn("sem", F.round("sem", 6))
+
+
 _REASON = "CASE WHEN sem IS NULL THEN '' WHEN lex >= 0.6 AND sem >= 0.6 THEN 'dual' WHEN sem >= 0.7 THEN 'meaning' ELSE '' END"
 _METHOD = "CASE WHEN sem >= 0.6 AND lex >= 0.6 THEN 'dual-60' WHEN sem >= 0.7 THEN 'meaning-70' WHEN sem >= 0.6 THEN 'semantic-high' WHEN lex >= 0.6 THEN 'lexical-only' ELSE 'below-threshold' END"
 

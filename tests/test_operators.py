@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions import similarity as S, text as T
-from millrace.operators import gates, gramindex, mapside, report, rules, search, setjoin, tfidf, verdicts
+from millrace.operators import gates, gramindex, mapside, nearest, report, rules, search, setjoin, tfidf, verdicts
 from millrace.plans import fixtures
 from millrace.sources import bundles, cache, options, sheets, vectors
 from millrace.streaming import submissions
@@ -120,6 +120,30 @@ def test_reports_run_no_python(spark):
     assert "Python" not in report.listed(match)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("pivots, cell, chunk", [(256, 4096, 65_536), (2, 3, 5), (7, 1, 1)])
+def test_pivots_find_what_the_scan_finds(spark, monkeypatch, pivots, cell, chunk):
+    import random
+
+    of = random.Random(pivots)
+    monkeypatch.setattr(nearest, "PIVOTS", pivots), monkeypatch.setattr(nearest, "CELL", cell), monkeypatch.setattr(nearest, "CHUNK", chunk)
+    centres = [[of.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    near = lambda c, s: [x + of.gauss(0, s) for x in c]
+    vectors = [near(of.choice(centres), 0.05) for _ in range(120)] + [centres[0]] * 9 + [[0.0] * 6, [], [1.0, 2.0], [2.0, 4.0], [-1.0, 1.0], None, [float("nan")] + [1.0] * 5, [None, 1.0]]
+    order = of.sample(range(1000), len(vectors))
+    rows = spark.createDataFrame(list(zip(order, vectors)), "key long, v array<double>").repartition(4)
+    told = lambda df: sorted((r.q_key, r["rank"], r.c_key, round(r.sem, 9)) for r in df.collect())
+    found = nearest.AllNearest(rows, 4)
+    assert told(found.top()) == told(search.cosine_topk(rows, rows, 4))
+    if pivots == 256:
+        # five groups far apart: most pairs are never compared
+        counted = found.compared().first()
+        assert counted.met < counted.pairs / 2
+
+
+def test_pivots_of_nothing(spark):
+    assert nearest.all_topk(spark.createDataFrame([], "key long, v array<double>")).collect() == []
+
+
 def _random_texts(spark, seed, many, words=30):
     import random
 
