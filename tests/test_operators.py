@@ -228,6 +228,27 @@ def test_tfidf_grams(spark):
     assert one(spark, tfidf.grams(F.lit(None).cast("string"))) == []
 
 
+@pytest.mark.parametrize("summary, candidates", [(1_000_000, 200_000), (60, 200_000), (60, 3), (5, 200_000)])
+def test_vocabulary_from_summaries(spark, monkeypatch, summary, candidates):
+    """Whether summaries have room, grams are counted again, or all are: the counts are exact."""
+    import random
+    from collections import Counter
+
+    of = random.Random(4)
+    monkeypatch.setattr(tfidf, "SUMMARY", summary), monkeypatch.setattr(tfidf, "CANDIDATES", candidates), monkeypatch.setattr(tfidf, "TEXTS", 7)
+    texts = [" ".join(f"word{min(int(of.paretovariate(0.9)), 500)}" for _ in range(of.randint(0, 30))) for _ in range(400)] + [None, ""]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(3)
+    cf, df = Counter(), Counter()
+    for text in texts:
+        words = (text or "").split()
+        own = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        cf.update(own), df.update(set(own))
+    best = sorted(cf, key=lambda g: (-cf[g], g))[:20]
+    assert [tuple(r) for r in tfidf.vocabulary(corpus, 20).collect()] == [(g, cf[g], df[g]) for g in best]
+    left = tfidf._summaries(corpus.select(tfidf.grams(F.col("text")).alias("all"))).where("gram is not null").count()
+    assert left <= 3 * summary
+
+
 def test_tfidf_query_without_known_words_scores_zero(spark):
     corpus = spark.createDataFrame([(0, "red fish"), (1, "blue fish")], "key long, text string")
     rows = tfidf.topk(spark.createDataFrame([(5, "zebra")], "key long, text string"), corpus).collect()
