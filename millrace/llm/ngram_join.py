@@ -99,11 +99,16 @@ def _packed(own: np.ndarray) -> bytes:
     return own[:, 0].tobytes() + own[:, 1].astype(np.uint16).tobytes()
 
 
-def _lanes(own: pa.BinaryScalar | bytes) -> np.ndarray:
-    """A set from its bytes."""
+def _views(own: pa.BinaryScalar | bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The two lanes of a set from its bytes, without a copy."""
     data = own.as_buffer() if isinstance(own, pa.BinaryScalar) else own
     size = len(data) // 10
-    return np.stack((np.frombuffer(data, _U, size), np.frombuffer(data, np.uint16, size, 8 * size)), 1)
+    return np.frombuffer(data, _U, size), np.frombuffer(data, np.uint16, size, 8 * size)
+
+
+def _lanes(own: pa.BinaryScalar | bytes) -> np.ndarray:
+    """A set from its bytes."""
+    return np.stack(_views(own), 1)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -260,19 +265,23 @@ def _ranges(values: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarr
     return values[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)]
 
 
-def globally_ordered(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+def globally_ordered(sets: list[np.ndarray] | list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], int]:
     """The sets as ascending ranks in one order of all their shingles, frequent ones first so that prefixes are shared; and how many ranks there are."""
-    every = np.concatenate(sets)
-    names, first, at, often = np.unique(every[:, 0], return_index=True, return_inverse=True, return_counts=True)
-    if (every[first, 1][at.reshape(-1)] != every[:, 1]).any():  # different shingles share the first lane
-        names, at, often = np.unique(every, axis=0, return_inverse=True, return_counts=True)
+    lanes = [(s[:, 0], s[:, 1]) if isinstance(s, np.ndarray) else s for s in sets]
+    first, second = (np.concatenate(x) for x in zip(*lanes))
+    names, at, often = np.unique(first, return_inverse=True, return_counts=True)
+    at = at.reshape(-1)
+    told = np.empty(len(names), second.dtype)
+    told[at] = second
+    if (told[at] != second).any():  # different shingles share the first lane
+        names, at, often = np.unique(np.stack((first, second), 1), axis=0, return_inverse=True, return_counts=True)
     rank = np.empty(len(often), np.int64)
     rank[np.argsort(-often, kind="stable")] = np.arange(len(often))
-    cuts = np.cumsum([len(s) for s in sets])[:-1]
+    cuts = np.cumsum([len(s) for s, _ in lanes])[:-1]
     return [np.sort(s) for s in np.split(rank[at.reshape(-1)], cuts)], len(names)
 
 
-def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def spanning_links(sets: list[np.ndarray] | list[tuple[np.ndarray, np.ndarray]], percent: int) -> list[tuple[int, int]]:
     """Links that join exactly the sets that links join: a spanning forest, by walks over a shrinking trie."""
     if len(sets) < 2:
         return []
@@ -385,7 +394,7 @@ def _links(rows: DataFrame, nodes: DataFrame, n: int, percent: int, key) -> Data
         ids, own = table.column("id").to_numpy(), table.column("own")
         a, b = [], []
         for members in by_cluster.values():
-            for x, y in spanning_links([_lanes(own[i]) for i in members], percent):
+            for x, y in spanning_links([_views(own[i]) for i in members], percent):
                 a.append(ids[members[x]]), b.append(ids[members[y]])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -452,7 +461,7 @@ def _large(sets: DataFrame, percent: int, link) -> DataFrame:
         ids, own, main = table.column("id").to_numpy(), table.column("own"), np.array(table.column("in_main").to_pylist(), bool)
         if main.all() or not main.any():  # a block may be empty
             return pa.table([pa.array([], pa.int64())] * 2, ["a", "b"])
-        ordered, symbols = globally_ordered([_lanes(x) for x in own])
+        ordered, symbols = globally_ordered([_views(x) for x in own])
         trie, inside = Trie(ordered, np.flatnonzero(main)), np.zeros(symbols, bool)
         a, b = [], []
         for x in np.flatnonzero(~main):

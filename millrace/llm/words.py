@@ -133,4 +133,4 @@ def distinct(lanes: np.ndarray) -> np.ndarray:
     if (same[:, 0] & ~same[:, 1]).any():  # different ones may share the first lane
         out = lanes[np.lexsort((lanes[:, 1], lanes[:, 0]))]
         same = out[1:] == out[:-1]
-    return out[np.concatenate(([True] * bool(len(out)), ~same.all(1)))]
+    return out[np.concatenate((np.ones(min(1, len(out)), bool), ~same.all(1)))]
