@@ -10,7 +10,7 @@ from millrace.functions import similarity as S, text as T
 from millrace import tables
 from millrace.operators import gramindex, nearest, search, setjoin, tfidf
 from millrace.plans import fixtures
-from millrace.sources import vectors as V
+from millrace.sources import vectors as V, versions
 
 QUERIES, SQL = {}, {}
 
@@ -277,6 +277,24 @@ def corpus_signature(spark, d):
     return V.signature(_items(spark, d).withColumn("key", F.col("key").cast("string")))
 
 
+def _next_version(docs: DataFrame) -> DataFrame:
+    """Documents some of which are gone, changed or new."""
+    text = F.when(F.col("key") % 97 == 3, F.concat(F.col("text"), F.lit("!"))).otherwise(F.col("text"))
+    new = docs.where("key % 83 = 7").select((-F.col("key") - 1).alias("key"), "text")
+    return docs.where("key % 89 <> 5").select("key", text.alias("text")).unionByName(new)
+
+
+@query("""WITH old AS (SELECT doc_id AS key, text FROM documents), new AS (SELECT key, CASE WHEN key % 97 = 3 THEN text || '!' ELSE text END AS text FROM old WHERE key % 89 <> 5 UNION ALL SELECT -key - 1, text FROM old WHERE key % 83 = 7)
+    SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'added' WHEN b.key IS NULL THEN 'removed' ELSE 'changed' END AS change
+    FROM old a FULL JOIN new b ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL OR coalesce(a.text, '') <> coalesce(b.text, '')""")
+def corpus_changes(spark, d):
+    """What differs between the documents and a next version of them, from two written trees of digests."""
+    folder = f"{tables.scratch(spark)}/millrace/versions-{uuid.uuid4().hex}"
+    tables.until_exit(spark, folder)
+    old, new = versions.keep(_docs(spark, d), f"{folder}/old"), versions.keep(_next_version(_docs(spark, d)), f"{folder}/new")
+    return versions.changes(old, new)
+
+
 @query("""WITH r AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS bucket, sha256(CAST(doc_id AS VARCHAR) || chr(0) || text || chr(0)) AS digest FROM documents),
     a AS (SELECT left(bucket, 8) AS own, sha256(string_agg(digest, '' ORDER BY bucket, digest)) AS digest FROM r GROUP BY own),
     b AS (SELECT left(own, 4) AS top, sha256(string_agg(digest, '' ORDER BY own)) AS digest FROM a GROUP BY top) SELECT sha256(string_agg(digest, '' ORDER BY top)) AS signature FROM b""")

@@ -144,6 +144,29 @@ def test_pivots_of_nothing(spark):
     assert nearest.all_topk(spark.createDataFrame([], "key long, v array<double>")).collect() == []
 
 
+def test_versions(spark, tmp_path):
+    """Only changed rows are found, and only their vectors are made again."""
+    from millrace.sources import versions
+
+    rows = [(i, f"text {i}" if i % 7 else None) for i in range(300)]
+    old = spark.createDataFrame(rows, "key long, text string")
+    new = spark.createDataFrame([(k, (t or "") + ("x" if k == 14 else "")) for k, t in rows if k not in (3, 4)] + [(900, "new")], "key long, text string")
+    a, b = versions.keep(old, str(tmp_path / "a")), versions.keep(new, str(tmp_path / "b"))
+    assert sorted(map(tuple, versions.changes(a, b).collect())) == [(3, "removed"), (4, "removed"), (14, "changed"), (900, "added")]
+    assert a.signature() != b.signature() and a.signature() == versions.keep(old.repartition(3, "text"), str(tmp_path / "c")).signature()
+    assert versions.changes(a, versions.Version(spark, str(tmp_path / "c"))).count() == 0
+    asked = spark.sparkContext.accumulator(0)
+
+    def provider(texts):
+        asked.add(len(texts))
+        return [[float(len(t or ""))] for t in texts]
+
+    vectors = old.selectExpr("key", "array(double(length(coalesce(text, '')))) AS v")
+    got = {r.key: r.v for r in versions.refreshed(vectors, new, versions.changes(a, b), provider).collect()}
+    assert got == {k: [float(len(t or ""))] for k, t in map(tuple, new.collect())}
+    assert asked.value == 2
+
+
 def _random_texts(spark, seed, many, words=30):
     import random
 
