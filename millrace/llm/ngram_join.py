@@ -62,6 +62,10 @@ BLOCK, SMALL = 1_000_000, 200_000
 PIVOTS = 4
 #: Octets of all pivots up to which they are broadcast.
 PIVOT_BYTES = 16 << 20
+#: Octets of sets that are dealt out at a time in large clusters, at least.
+WAVE = 256 << 20
+#: Sets in clusters, of some octets each, up to which their identifiers are broadcast.
+MEMBERS = 2_000_000
 #: Copies up to which a set's rows are dealt out with their signatures.
 HOT_COPIES = 1_000
 #: Symbols in one trie node at most, so that bounds are looked at early.
@@ -334,8 +338,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     if percent < STRICT:
         clusters = components(_rarely_shared(told, described.where("n > 0").select("k1", "surplus")))
     else:
-        shared = told.groupBy("sig").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a < b").select("sig", "a")
-        clusters = components(told.join(shared.hint("shuffle_hash"), "sig").select("a", F.col("k1").alias("b")))
+        clusters = components(_together(told))
     release(docs.sparkSession)
     # from here on only the sets' names are needed
     slim = materialize(described.drop("sigs", "surplus"), "names")
@@ -360,6 +363,28 @@ def _without_copies(described: DataFrame, owners: DataFrame) -> DataFrame:
     return met.where(F.col("owner").isNull() | (F.col("owner") == F.col("id"))).drop("owner")
 
 
+def _together(told: DataFrame) -> DataFrame:
+    """Edges ``(a, b)`` from the least set of every shared signature to its others: signatures are dealt out once, eight octets each beside the set's name."""
+
+    def least(batches):
+        sig, first = None, None  # rows come by signature, and there by set
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, k1 = batch.column("sig").to_numpy(), batch.column("k1").to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            firsts = k1[starts]
+            if sig == at[0]:
+                firsts[0] = first
+            a = np.repeat(firsts, np.diff(np.concatenate((starts, [len(at)]))))
+            sig, first = at[-1], firsts[-1]
+            met = a < k1
+            yield pa.RecordBatch.from_arrays([pa.array(a[met]), pa.array(k1[met])], ["a", "b"])
+
+    dealt = told.select("sig", "k1").repartition("sig").sortWithinPartitions("sig", "k1")
+    return dealt.mapInArrow(least, "a long, b long")
+
+
 def _rarely_shared(told: DataFrame, surplus: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` between the sets that share a signature which neither leaves out as one of its most frequent."""
     of_sig = Window.partitionBy("sig")
@@ -398,11 +423,14 @@ def _links(rows: DataFrame, nodes: DataFrame, n: int, percent: int, key) -> Data
                 a.append(ids[members[x]]), b.append(ids[members[y]])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    if placed.count() <= MEMBERS:  # identifiers only, so that just the texts of clusters are exchanged
+        rows = rows.join(F.broadcast(placed.select("id")), "id", "left_semi")
     sets = rows.join(placed.select("id", "k1", "k2", "component", "blocks").hint("shuffle_hash"), "id").mapInArrow(read, "id long, component long, blocks int, own binary")
     if placed.where("blocks > 1").isEmpty():
         small, large = sets, None
     else:  # the sets of large clusters are read several times
         sets = materialize(sets, "own-sets")
+        release(rows.sparkSession)
         small, large = sets.where("blocks = 1"), sets.where("blocks > 1")
     task = F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("string")
     links = small.withColumn("task", task).groupBy("task").applyInArrow(link, "a long, b long")
@@ -446,7 +474,7 @@ def _large(sets: DataFrame, percent: int, link) -> DataFrame:
     sums = groups.groupBy("component", "grp").agg(F.sum("size").alias("size"))
     largest = sums.groupBy("component").agg(F.max_by("grp", F.struct("size", "grp")).alias("main"), F.max("size").alias("main_size"), F.sum("size").alias("size"))
     blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / (10 * BLOCK))).cast("int")
-    told = groups.select("id", "component", "grp").join(largest.withColumn("mains", blocks(F.col("main_size"))).withColumn("others", F.when(F.col("size") > F.col("main_size"), blocks(F.col("size") - F.col("main_size"))).otherwise(0)), "component")
+    told = groups.select("id", "component", "grp", F.col("size").alias("own_size")).join(largest.withColumn("mains", blocks(F.col("main_size"))).withColumn("others", F.when(F.col("size") > F.col("main_size"), blocks(F.col("size") - F.col("main_size"))).otherwise(0)), "component")
     main = F.col("grp") == F.col("main")
     own = F.pmod(F.xxhash64("id"), F.when(main, F.col("mains")).otherwise(F.greatest("others", F.lit(1)))).cast("int")
     told = told.where("others > 0").withColumn("own_block", own).withColumn("in_main", main)
@@ -470,7 +498,19 @@ def _large(sets: DataFrame, percent: int, link) -> DataFrame:
                 a.append(ids[x]), b.append(ids[near[0]])
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = sets.join(told.select("id", "in_main", tasks.alias("tasks")), "id").withColumn("task", F.explode("tasks")).select("task", "id", "component", "own", "in_main")
+    told = materialize(told.select("id", "in_main", F.col("own_size").alias("size"), tasks.alias("tasks")), "told")
+    # how often a set is dealt out grows with its cluster, so this is done in waves of about the sets' own size, each written and its shuffles deleted
+    octets, copied = told.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.col("size") * F.size("tasks")), F.lit(0))).first()
+    waves = max(1, -(-copied // max(WAVE, octets)))
     other = F.split_part(F.col("task"), F.lit(":"), F.lit(2)) == "r"
-    among_others = dealt.where(other).groupBy("task").applyInArrow(link, "a long, b long")
-    return star.unionByName(among_others).unionByName(dealt.where(~other).groupBy("task").applyInArrow(link_main, "a long, b long"))
+    links = star
+    for wave in range(waves):
+        mine = told.withColumn("task", F.explode("tasks")).where(F.pmod(F.xxhash64("task", F.lit("wave")), F.lit(waves)) == wave).groupBy("id", "in_main").agg(F.collect_list("task").alias("tasks"))
+        dealt = sets.join(mine, "id").withColumn("task", F.explode("tasks")).select("task", "id", "component", "own", "in_main")
+        among_others = dealt.where(other).groupBy("task").applyInArrow(link, "a long, b long")
+        found = among_others.unionByName(dealt.where(~other).groupBy("task").applyInArrow(link_main, "a long, b long"))
+        if waves > 1:
+            found = materialize(found, "wave")
+            release(sets.sparkSession)
+        links = links.unionByName(found)
+    return links

@@ -244,6 +244,26 @@ def test_one_cluster_of_many_parts(spark, monkeypatch, octets):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_links(dict(enumerate(texts)))
 
 
+def test_large_clusters_are_dealt_out_in_waves(spark, monkeypatch):
+    """What is dealt out at a time doesn't grow with the square of a cluster, and signatures are dealt out once."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 40), monkeypatch.setattr(ngram_join, "SMALL", 100), monkeypatch.setattr(ngram_join, "WAVE", 1)
+    base, texts = [f"w{i}" for i in range(80)], []
+    for k in range(60):  # a chain, of which pivots reach little
+        base[(3 * k) % 80] = f"y{k}"
+        texts.append(" ".join(base))
+    waves, write, together, plans = [], ngram_join.materialize, ngram_join._together, []
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, tag: waves.append(tag) or write(df, tag))
+
+    def seen(told):
+        plans.append(together(told)._jdf.queryExecution().executedPlan().toString())
+        return together(told)
+
+    monkeypatch.setattr(ngram_join, "_together", seen)
+    got = ngram_join.join(table(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_links(dict(enumerate(texts)))
+    assert waves.count("wave") > 1 and plans[0].count("Exchange hashpartitioning(sig") == 1
+
+
 def test_ngrams_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in entry.op6_ngram_join(spark, SMALL).collect()} == brute_links(texts)
