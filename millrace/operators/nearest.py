@@ -3,14 +3,19 @@
 Vectors of length one are as near as their cosine is large, and their distances obey
 the triangle inequality.  A vector belongs to its nearest pivot, and there to a ring
 by its distance from it.  No vector of a ring is nearer to a query than the query's
-distance from the pivot leaves it, so a query first meets the few rings that may be
-nearest, until these hold ``AHEAD`` times k vectors, and then, of all others, only
-those whose bound is within the distance of its k-th neighbour so far.
+distance from the pivot leaves it.  A query first meets one cell of about ``CELL``
+vectors of each of the few rings that may be nearest, until these hold ``AHEAD`` times
+k vectors; the k-th distance found is its floor, and what it met is dropped.
+
+Then the queries are broadcast in blocks of a checked size (``mapside.POSTINGS``), one
+after another, and the vectors, written once in the order of their rings, are compared
+where they lie: of a block only those queries meet a piece of a ring whose bound is
+within their floor, and only what reaches the floor leaves a task, k rows a query at
+most.  So no vector is copied for a ring that it meets, and disk follows the input; the
+time of the exact job grows with the square of it where the bounds spare little.
 
 The pivots are a fixed number of vectors and the rings' facts a bounded table, so
-both are broadcast.  A ring is dealt out in cells of about ``CELL`` vectors, and a
-cell's queries in chunks of about ``CHUNK``: a task holds one cell and one batch of
-queries, however many vectors are alike.
+both are broadcast.
 
 The rows are those of ``search.cosine_topk``: null vectors have no cosine; empty
 and zero vectors, vectors with a part that isn't finite, and vectors of different
@@ -99,7 +104,7 @@ class _Rings:
 
 
 def _visits(rows: DataFrame, pivots: _Pivots, rings: _Rings, k: int, first: bool) -> DataFrame:
-    """``q_key, kind, v, pivot, ring, cells``: the rings that a vector meets first, or later under its ``floor``."""
+    """``q_key, kind, v, pivot, ring, cells``: the rings that a vector meets first, or all under its ``floor``."""
     shared = rows.sparkSession.sparkContext.broadcast((pivots, rings))
 
     def bounds(kind: int, v: np.ndarray) -> np.ndarray:
@@ -124,7 +129,7 @@ def _visits(rows: DataFrame, pivots: _Pivots, rings: _Rings, k: int, first: bool
                     met = np.cumsum(facts["many"][order], axis=1)
                     ahead = np.zeros(bound.shape, bool)
                     np.put_along_axis(ahead, order, np.concatenate((np.ones((len(part), 1), bool), met[:, :-1] < AHEAD * k + 1), axis=1), 1)
-                    wanted = ahead if first else ~ahead & (bound <= batch.column("floor").take(pa.array(part)).to_numpy(zero_copy_only=False)[:, None] + SLACK)
+                    wanted = ahead if first else (bound <= batch.column("floor").take(pa.array(part)).to_numpy(zero_copy_only=False)[:, None] + SLACK)
                     row, ring = np.nonzero(wanted)
                     at = pa.array(part[row])
                     for i in range(0, len(row), mapside.ROWS):
@@ -135,9 +140,9 @@ def _visits(rows: DataFrame, pivots: _Pivots, rings: _Rings, k: int, first: bool
 
 
 def _compared(visits: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """``q_key, c_key, sem``: the k nearest of every cell that a query meets, without itself."""
+    """``q_key, c_key, sem``: the k nearest of one cell of every ring that a query meets, without itself."""
     place = ["kind", "pivot", "ring", "cell"]
-    asked = visits.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
+    asked = visits.withColumn("cell", F.pmod(F.xxhash64("q_key"), F.col("cells")).cast("int")).drop("cells")
     chunks = asked.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     of = lambda rows, key: rows.select(F.col(key).alias("key"), "v", *place, "chunks")
     queries = of(asked.join(chunks, place), "q_key").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")).withColumn("asks", F.lit(True))
@@ -181,8 +186,46 @@ def _compared(visits: DataFrame, members: DataFrame, k: int) -> DataFrame:
     return mixed.mapInArrow(compare, f"q_key {key}, c_key {key}, sem double")
 
 
+def _within(members: DataFrame, asked: DataFrame, pivots: _Pivots, k: int) -> DataFrame:
+    """``q_key, c_key, sem``: of every task the k nearest within a query's ``floor``, without itself."""
+    shared = members.sparkSession.sparkContext.broadcast(pivots)
+
+    def run(block, batches):
+        best, limit = mapside.Best(k, block.many), block.floors
+        # the least cosine that counts, with what rounding may take
+        best.floor = np.where(limit < 2.0, limit * limit / 2.0 - 1.0 + SLACK, np.inf)
+        last, d = None, {}
+        for batch in batches:
+            kind, pivot, ring, near = (batch.column(c).to_numpy() for c in ("kind", "pivot", "ring", "near"))
+            spot = np.stack([kind, pivot, ring], 1)
+            cuts = [0, *(np.flatnonzero((spot[1:] != spot[:-1]).any(1)) + 1).tolist(), len(spot)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b or kind[a] not in block.vectors:
+                    continue
+                at, queries, _ = block.vectors[kind[a]]
+                if last != (kind[a], pivot[a]):
+                    last, own = (kind[a], pivot[a]), shared.value.of.get(kind[a])
+                    d = _distances(queries, own[1][own[0] == pivot[a]])[:, 0] if own and pivot[a] >= 0 else None
+                step = max(1, mapside.PAIRS // len(at))
+                for i in range(a, b, step):
+                    j = min(b, i + step)
+                    v = _matrix(batch.column("v").slice(i, j - i).take(pa.array(range(j - i))))
+                    some = np.arange(len(at)) if d is None else np.flatnonzero(np.maximum(d - near[i:j].max(), near[i:j].min() - d) <= limit[at] + SLACK)
+                    if not len(some):
+                        continue
+                    sem = v @ (queries if len(some) == len(at) else queries[some]).T
+                    row, found = np.nonzero(-sem <= best.floor[at[some]] + SLACK)
+                    sem, query = sem[row, found], at[some[found]]
+                    keys = batch.column("c_key").take(pa.array(row + i))
+                    others = pc.not_equal(keys, block.keys.take(pa.array(query))).to_numpy(zero_copy_only=False)
+                    best.add(query[others], [-np.round(sem[others], DIGITS)], keys.filter(pa.array(others)), [np.clip(sem[others], -1.0, 1.0)])
+        yield from best.rows(block, ["sem"])
+
+    return mapside._met(members, asked, run, "sem double")
+
+
 class AllNearest:
-    """The steps of one join: ``first`` and ``later`` rows, ``rings`` and what was visited of them."""
+    """The steps of one join: ``first`` rows, which give floors, ``later`` rows, which are the result, ``rings`` and what is visited of them."""
 
     def __init__(self, vectors: DataFrame, k: int = TOP_INSTRUCTIONS):
         spark = vectors.sparkSession
@@ -198,13 +241,16 @@ class AllNearest:
         self.rings = written(facts, "rings")
         rings = _Rings(self.rings.toArrow())  # PIVOTS times twice RINGS rows at most, and one for each length without a pivot
         members = placed.join(F.broadcast(self.rings.select(*place, "cells")), place).withColumn("cell", F.pmod(F.xxhash64("key", F.lit(1)), F.col("cells")).cast("int"))
-        members = written(members.select("key", "v", *place, "cell"), "members")
-        self.visits = [written(_visits(placed.select("key", "kind", "v"), pivots, rings, k, True), "visits")]
-        self.first = written(_compared(self.visits[0], members, k), "first")
+        many = max(placed.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+        members = members.select("key", "v", *place, "cell", "near").repartitionByRange(many, *place, "key").sortWithinPartitions(*place, "key")
+        members = written(members, "members")
+        visits = _visits(placed.select("key", "kind", "v"), pivots, rings, k, True)
+        self.first = written(_compared(visits, members, k), "first")
         floors = top(self.first, "q_key", "sem", "c_key", k).where(F.col("rank") == k).select(F.col("q_key").alias("key"), F.sqrt(2.0 - 2.0 * F.col("sem")).alias("floor"))
-        asked = placed.select("key", "kind", "v").join(floors, "key", "left").withColumn("floor", F.coalesce("floor", F.lit(3.0)))
-        self.visits.append(written(_visits(asked, pivots, rings, k, False), "visits"))
-        self.later = written(_compared(self.visits[1], members, k), "later")
+        asked = written(placed.select("key", "kind", "v").join(floors, "key", "left").withColumn("floor", F.coalesce("floor", F.lit(3.0))), "asked")
+        #: What is met first, and later; only told apart by :meth:`compared`.
+        self.visits = [visits, _visits(asked, pivots, rings, k, False)]
+        self.later = _within(members.withColumnRenamed("key", "c_key").drop("cell"), asked.select(F.col("key").alias("q_key"), "v", "floor"), pivots, k)
 
     def _nothing(self) -> DataFrame:
         """``q_key, c_key, sem`` with the cosine 0: of every other kind the first keys are enough, k and one more."""
@@ -220,7 +266,7 @@ class AllNearest:
 
     def top(self) -> DataFrame:
         """``q_key, rank, c_key, sem``: the k nearest of every vector, ties in the order of keys."""
-        return top(self.first.unionByName(self.later).unionByName(self._nothing()), "q_key", "sem", "c_key", self.k).select("q_key", "rank", "c_key", "sem")
+        return top(self.later.unionByName(self._nothing()), "q_key", "sem", "c_key", self.k).select("q_key", "rank", "c_key", "sem")
 
     def compared(self) -> DataFrame:
         """``vectors, pairs, met``: how many pairs there are, and how many were compared."""

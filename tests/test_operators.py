@@ -144,6 +144,23 @@ def test_pivots_of_nothing(spark):
     assert nearest.all_topk(spark.createDataFrame([], "key long, v array<double>")).collect() == []
 
 
+def test_no_vector_is_copied_for_every_ring(spark, monkeypatch, tmp_path):
+    """However many rings a vector must meet: what is written follows the number of vectors."""
+    import random
+
+    of = random.Random(8)
+    rows = spark.createDataFrame([(i, [of.gauss(0, 1) for _ in range(48)]) for i in range(400)], "key long, v array<double>").repartition(2)
+    monkeypatch.setattr(nearest, "PIVOTS", 64), monkeypatch.setattr(mapside, "POSTINGS", 8_000)
+    kept, write = [], nearest.written
+    monkeypatch.setattr(nearest, "written", lambda df, *told: kept.append(write(df, *told)) or kept[-1])
+    monkeypatch.setattr(mapside, "written", lambda df, *told: kept.append(write(df, *told)) or kept[-1])
+    found = nearest.AllNearest(rows, 4)
+    told = lambda df: sorted((r.q_key, r["rank"], r.c_key, round(r.sem, 9)) for r in df.collect())
+    assert told(found.top()) == told(search.cosine_topk(rows, rows, 4))
+    assert found.compared().first().met > 400 * 400 / 2
+    assert all(f.count() <= 400 for f in kept if "v" in f.columns)
+
+
 def test_versions(spark, tmp_path):
     """Only changed rows are found, and only their vectors are made again."""
     from millrace.sources import versions
