@@ -221,6 +221,14 @@ def test_index_finds_what_the_scan_finds(spark, monkeypatch, tmp_path, size, fir
         assert told[1][1] < told[1][0] / 2
 
 
+def test_index_search_writes_the_best_rows_only(spark, tmp_path):
+    """However many ranges there are: a task lets k rows a query and their count out."""
+    corpus = spark.range(3000).selectExpr("id AS key", "concat('topic', id % 40, ' word', id % 7, ' other', id % 3) AS text").repartition(4)
+    found = gramindex.Search(corpus.where("key < 50"), gramindex.build(corpus, str(tmp_path / "index")), 3)
+    assert found.told.count() <= 50 * (3 + 1) * found.index.table("ranges").rdd.getNumPartitions()
+    assert found.top().count() == 150
+
+
 def test_prefix_join_broadcasts_nothing(spark):
     texts = _random_texts(spark, 3, 50)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
