@@ -102,6 +102,24 @@ def test_only_the_best_rows_leave_a_task(spark, monkeypatch, batch):
     assert told[0] == sorted((r for b in best.values() for r in b[:4]), key=repr)
 
 
+def test_words_are_a_floor_where_meaning_is_unknown(monkeypatch):
+    """Rows without a vector have one first order; those beyond the k-th by words are dropped at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(mapside, "PAIRS", 80)
+    best, sorted_rows, of = mapside.Best(3, 1), [], np.random.default_rng(1)
+    settle = best.settle
+    monkeypatch.setattr(best, "settle", lambda: sorted_rows.append(best.waits) or settle())
+    lex = of.integers(0, 1000, (50, 100))
+    for i, part in enumerate(lex):
+        best.add(np.zeros(100, np.int64), [np.ones(100), -part.astype(float)], pa.array(range(i * 100, i * 100 + 100)), [part])
+    best.settle()
+    told = sorted(((-x, i) for i, x in enumerate(lex.reshape(-1))))[:3]
+    assert [(-v, k) for v, k in zip(best.held[3][0], best.held[2].to_pylist())] == told
+    assert sum(sorted_rows) < 1000
+
+
 def test_percents_round_as_python_does(spark):
     import random
 
