@@ -11,7 +11,10 @@ more between sets of x and y words:
   both, itself, and the words after either;
 * count: words that meet in both prefixes and those after one of them must suffice.
 
-What passes has its common words counted.  Every step is a join or a grouping on a
+What passes has its common words counted.  Meetings can grow with the square of a table, so
+they are counted first, and where they are many the join is made in waves of the left
+classes, each of at most about four times the words of all prefixes (or ``MEETINGS``): a
+wave's pairs are written and its shuffles deleted before the next.  Every step is a join or a grouping on a
 word, a class or a pair; no side is broadcast but by the optimizer's own check of
 its size, and words that many texts share stand last, so that few texts meet on them.
 """
@@ -21,8 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions import similarity as S, text as T
-from millrace.tables import written
+from millrace.tables import released, written
 
+#: Meetings of words that are joined at a time, at least.
+MEETINGS = 100_000_000
 #: A rounding must not lose a pair that just reaches the threshold.
 SLACK = 1e-9
 
@@ -69,8 +74,30 @@ def prefixes(tables: list[DataFrame], least: float) -> list[DataFrame]:
 def _pairs(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
     """``a_key, b_key, lex`` of the classes with Dice of ``least`` or more; of one table, each pair once and no class with itself."""
     itself = right is None
-    told = prefixes([left] if itself else [left, right], least)
+    told = [written(t, "prefixes") for t in prefixes([left] if itself else [left, right], least)]
     a, b = (told[i if not itself else 0].select("word", *(F.col(c).alias(f"{side}_{c}") for c in ("key", "size", "place", "after"))) for i, side in enumerate("ab"))
+    waves = _waves(a, b)
+    if waves == 1:
+        return _near(a, b, left, right, least)
+    out = None
+    for wave in range(waves):
+        found = written(_near(a.where(F.pmod(F.xxhash64("a_key", F.lit("wave")), F.lit(waves)) == wave), b, left, right, least), "wave")
+        released(found.sparkSession)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _waves(a: DataFrame, b: DataFrame) -> int:
+    """In how many waves the meetings of two tables of prefixes are joined."""
+    many = lambda t, name: t.groupBy("word").agg(F.count(F.lit(1)).alias(name))
+    counts = many(a, "x").join(many(b, "y"), "word", "full").select(F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"))
+    met, words = counts.agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0)), F.coalesce(F.sum(F.col("x") + F.col("y")), F.lit(0))).first()
+    return max(1, -(-met // max(MEETINGS, 4 * words)))
+
+
+def _near(a: DataFrame, b: DataFrame, left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
+    """The pairs of classes that meet in their prefixes ``a`` and ``b``."""
+    itself = right is None
     x, y = F.col("a_size"), F.col("b_size")
     needed = F.ceil((x + y) * (least / 2.0) - SLACK)
     sizes = F.least(x, y) >= F.greatest(x, y) * (least / (2.0 - least)) - SLACK

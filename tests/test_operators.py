@@ -239,6 +239,17 @@ def test_index_finds_what_the_scan_finds(spark, monkeypatch, tmp_path, size, fir
         assert told[1][1] < told[1][0] / 2
 
 
+def test_prefix_join_in_waves(spark, monkeypatch):
+    """Where words meet often, few meetings are joined at a time, and the pairs are the same."""
+    texts = spark.createDataFrame([(i, f"a b c d e f{i % 3} g{i % 7} h{i % 11}") for i in range(120)], "key long, text string")
+    told = lambda df: sorted(map(tuple, df.collect()))
+    whole, kept, write = told(setjoin.self_pairs(texts)), [], setjoin.written
+    monkeypatch.setattr(setjoin, "MEETINGS", 1)
+    monkeypatch.setattr(setjoin, "written", lambda df, tag: kept.append(tag) or write(df, tag))
+    assert told(setjoin.self_pairs(texts)) == whole and len(whole) > 1000
+    assert kept.count("wave") > 1
+
+
 def test_index_search_writes_the_best_rows_only(spark, tmp_path):
     """However many ranges there are: a task lets k rows a query and their count out."""
     corpus = spark.range(3000).selectExpr("id AS key", "concat('topic', id % 40, ' word', id % 7, ' other', id % 3) AS text").repartition(4)
