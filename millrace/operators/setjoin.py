@@ -77,6 +77,7 @@ def _pairs(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
     told = [written(t, "prefixes") for t in prefixes([left] if itself else [left, right], least)]
     a, b = (told[i if not itself else 0].select("word", *(F.col(c).alias(f"{side}_{c}") for c in ("key", "size", "place", "after"))) for i, side in enumerate("ab"))
     waves = _waves(a, b)
+    released(left.sparkSession)
     if waves == 1:
         return _near(a, b, left, right, least)
     out = None
