@@ -326,6 +326,39 @@ def test_vocabulary_from_summaries(spark, monkeypatch, summary, candidates):
     assert left <= 3 * summary
 
 
+def test_vocabulary_counts_pairs_of_frequent_words_only(spark, monkeypatch):
+    """Texts are told into words once, and a pair of which a word is too rare is counted in no summary."""
+    kept, write = [], tfidf.written
+    monkeypatch.setattr(tfidf, "written", lambda df, tag, *by: kept.append((tag, write(df, tag, *by))) or kept[-1][1])
+    texts = [(i, f"big fish the big sea rare{i} odd{i} fish") for i in range(300)]
+    corpus = spark.createDataFrame(texts, "key long, text string").repartition(3)
+    got = [tuple(r) for r in tfidf.vocabulary(corpus, 3).collect()]
+    assert got == [("big", 600, 300), ("fish", 600, 300), ("big fish", 300, 300)]
+    assert [tag for tag, _ in kept].count("words") == 1
+    pairs = [table for tag, table in kept if tag == "summaries"][-1]
+    assert pairs.where("gram like '% %' and (gram like '%rare%' or gram like '%odd%')").count() == 0
+
+
+def test_words_by_numbers_make_the_same_grams(spark):
+    """Accents go word by word after the words are told, and nothing else changes."""
+    import random
+
+    import pyarrow as pa
+
+    of = random.Random(9)
+    letters = tfidf.accents()[0] + "abcéÉİßşx_1²Ⅷ中文 \t-.'’\u0301\U0001d518" + " " * 200
+    texts = ["".join(of.choice(letters) for _ in range(of.randint(0, 60))) for _ in range(300)] + ["The Café of a big blue-Sky x", "àbove the ab the cd", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string").coalesce(1)
+    rows = rows.select(tfidf.grams(F.col("text")).alias("grams"), tfidf._words(F.col("text")).alias("words")).toArrow()
+    wanted = [sorted(g) for g in rows.column("grams").to_pylist()]
+    every = sorted({g for gs in wanted for g in gs})
+    row, at = tfidf.Known(pa.array(every, pa.string())).found(mapside.column(rows, "words"))
+    got = [[] for _ in wanted]
+    for r, g in zip(row.tolist(), at.tolist()):
+        got[r].append(every[g])
+    assert [sorted(g) for g in got] == wanted and len(every) > 300
+
+
 def test_tfidf_query_without_known_words_scores_zero(spark):
     corpus = spark.createDataFrame([(0, "red fish"), (1, "blue fish")], "key long, text string")
     rows = tfidf.topk(spark.createDataFrame([(5, "zebra")], "key long, text string"), corpus).collect()
