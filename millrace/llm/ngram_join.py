@@ -64,7 +64,7 @@ PIVOTS = 4
 PIVOT_BYTES = 16 << 20
 #: Octets of sets that are dealt out at a time in large clusters, at least.
 WAVE = 256 << 20
-#: Sets in clusters, of some octets each, up to which their identifiers are broadcast.
+#: Sets in clusters, or tasks of sets, of some octets each, up to which their identifiers are broadcast.
 MEMBERS = 2_000_000
 #: Copies up to which a set's rows are dealt out with their signatures.
 HOT_COPIES = 1_000
@@ -459,7 +459,8 @@ def _large(sets: DataFrame, percent: int, link) -> DataFrame:
     # a fixed number of pivots: the members with the least hash by each of so many hashes
     least = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id")).alias(f"p{i}") for i in range(PIVOTS)]
     chosen = sets.groupBy("component").agg(*least).select(F.explode(F.array(*(F.col(f"p{i}.id") for i in range(PIVOTS)))).alias("id")).distinct()
-    pivots = sets.join(chosen, "id", "left_semi").groupBy("component").agg(F.collect_list(F.struct("id", "own")).alias("pivots"))
+    # identifiers of a few members of each large cluster: sets stay where they are
+    pivots = sets.join(F.broadcast(chosen), "id", "left_semi").groupBy("component").agg(F.collect_list(F.struct("id", "own")).alias("pivots"))
     pivots = materialize(pivots, "pivots")
     held = pivots.agg(F.coalesce(F.sum(F.aggregate("pivots", F.lit(0).cast("long"), lambda s, p: s + F.octet_length(p["own"]))), F.lit(0))).first()[0]
     if held <= PIVOT_BYTES:
@@ -500,13 +501,14 @@ def _large(sets: DataFrame, percent: int, link) -> DataFrame:
 
     told = materialize(told.select("id", "in_main", F.col("own_size").alias("size"), tasks.alias("tasks")), "told")
     # how often a set is dealt out grows with its cluster, so this is done in waves of about the sets' own size, each written and its shuffles deleted
-    octets, copied = told.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.col("size") * F.size("tasks")), F.lit(0))).first()
+    octets, copied, many = told.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("size"), F.col("size") * F.size("tasks"), F.size("tasks")))).first()
     waves = max(1, -(-copied // max(WAVE, octets)))
     other = F.split_part(F.col("task"), F.lit(":"), F.lit(2)) == "r"
     links = star
     for wave in range(waves):
-        mine = told.withColumn("task", F.explode("tasks")).where(F.pmod(F.xxhash64("task", F.lit("wave")), F.lit(waves)) == wave).groupBy("id", "in_main").agg(F.collect_list("task").alias("tasks"))
-        dealt = sets.join(mine, "id").withColumn("task", F.explode("tasks")).select("task", "id", "component", "own", "in_main")
+        mine = told.select("id", "in_main", F.filter("tasks", lambda t: F.pmod(F.xxhash64(t, F.lit("wave")), F.lit(waves)) == wave).alias("tasks"))  # noqa: B023
+        # tasks are told where the sets lie, so that a set is exchanged by its tasks only
+        dealt = sets.join(F.broadcast(mine) if many <= MEMBERS * waves else mine, "id").withColumn("task", F.explode("tasks")).select("task", "id", "component", "own", "in_main")
         among_others = dealt.where(other).groupBy("task").applyInArrow(link, "a long, b long")
         found = among_others.unionByName(dealt.where(~other).groupBy("task").applyInArrow(link_main, "a long, b long"))
         if waves > 1:

@@ -264,6 +264,37 @@ def test_large_clusters_are_dealt_out_in_waves(spark, monkeypatch):
     assert waves.count("wave") > 1 and plans[0].count("Exchange hashpartitioning(sig") == 1
 
 
+def test_sets_of_large_clusters_are_exchanged_by_task_only(spark, monkeypatch):
+    """What tells a set's tasks goes to the sets: these are not dealt out by their identifiers before."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 40), monkeypatch.setattr(ngram_join, "SMALL", 100)
+    base, texts = [f"w{i}" for i in range(80)], []
+    for k in range(16):
+        base[(3 * k) % 80] = f"y{k}"
+        texts.append(" ".join(base))
+    plans, large, write = [], ngram_join._large, ngram_join.materialize
+
+    def seen(df, tag):
+        if tag in ("pivots", "wave"):
+            plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, tag)
+
+    def dealt(sets, percent, link):
+        links = large(sets, percent, link)
+        plans.append(("wave", links._jdf.queryExecution().executedPlan().toString()))
+        return links
+
+    monkeypatch.setattr(ngram_join, "materialize", seen), monkeypatch.setattr(ngram_join, "_large", dealt)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        got = ngram_join.join(table(spark, texts)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_links(dict(enumerate(texts)))
+    assert {tag for tag, _ in plans} == {"pivots", "wave"}
+    assert not any("SortMergeJoin" in plan or "ShuffledHashJoin" in plan for _, plan in plans)
+
+
 def test_ngrams_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in entry.op6_ngram_join(spark, SMALL).collect()} == brute_links(texts)
