@@ -551,3 +551,34 @@ def test_empty_tables(spark):
     texts = spark.createDataFrame([], "key long, text string")
     assert search.dice_topk(texts, texts).count() == 0 and tfidf.topk(texts, texts).count() == 0
     assert rules.static_issues(spark.createDataFrame([], "bundle_id string, path string, content string")).count() == 0
+
+
+def test_words_of_bytes_are_those_of_expressions(spark):
+    """Reports' searches tell words from bytes, and the words that several passes read are written without stop words."""
+    import random
+
+    from millrace.operators import tokens
+
+    of = random.Random(3)
+    letters = tfidf.accents()[0] + "abcABCéÉİKÅßşx_1²Ⅷ中文 \t\n-.'’́\U0001d518\U0001f600" + " " * 200
+    texts = ["".join(of.choice(letters) for _ in range(of.randint(0, 60))) for _ in range(400)] + ["The Café of a big blue-Sky x", "àbove the ab the cd", "", "a", "the", "end", "end", None, " ", "’ ’"]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(3)
+    told = tfidf._told(corpus)
+    assert dict(told.dtypes)["all"] == "string"
+    got = {r["key"]: r["all"].split(" ") if r["all"] else [] for r in told.collect()}
+    grams = {r["key"]: [g for g in r["grams"] if " " not in g] for r in corpus.select("key", tfidf.grams(F.col("text")).alias("grams")).collect()}
+    assert got == grams
+    rows = corpus.coalesce(1).select(F.lower(F.coalesce("text", F.lit(""))).alias("low"), T.token_set(F.col("text")).alias("words")).toArrow()
+    low = mapside.column(rows, "low")
+    wanted = [sorted(w) for w in rows.column("words").to_pylist()]
+    assert [sorted(w) for w in tokens.sets(low).to_pylist()] == wanted
+    assert [sorted(w) for w in tokens.sets(low.slice(100, 200)).to_pylist()] == wanted[100:300]
+    assert tokens.sets(low.slice(0, 0)).to_pylist() == []
+
+
+def test_precheck_sends_texts_to_its_tasks(spark):
+    """No list of words is made of a corpus text before its task: texts go there as they are."""
+    corpus = spark.createDataFrame([(1, "a red fish", "t", None)], "key long, text string, label string, v array<double>")
+    found = search.precheck(corpus.select("key", "text", F.lit("").alias("name"), "v"), corpus)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "regexp_replace" not in plan and "split(" not in plan
