@@ -3,10 +3,13 @@
 *Routing.*  Sets that can be linked are brought together by exact signatures:
 two sets with Jaccard similarity t differ in at most D shingles, where D follows
 from their sizes, so of D + 2 hash partitions of the shingles at least two hold
-the same shingles in both.  The digest of each partition that is not empty is a
-signature (a set with more than one empty partition also gives those), taken
-per band of sizes.  Signatures with one set only are dropped by a partial
-aggregation; connected components over the others are clusters.  Equal sets are
+the same shingles in both.  The digest of each partition is a signature, taken per
+band of sizes.  A quarter of D more partitions are made, and each set leaves out so
+many of its smallest ones: empty ones and those of a common shingle or two, which
+would join most long texts into one cluster.  Of the partitions that two linked sets
+share the largest is left out by neither, as its place follows from what it holds.
+Signatures with one set only are dropped by a partial aggregation; connected
+components over the others are clusters.  Equal sets are
 one node, and of a set with very many copies one row goes on from there.
 
 *Equality.*  A shingle is the 128-bit digest of its words (BLAKE2 by word), in two
@@ -15,10 +18,9 @@ the same when both lanes are, shingles of different sets in a trie when the firs
 and a quarter of the second are.
 
 *Looser joins.*  Under ``STRICT`` percent a partition holds few shingles, and common
-passages would join most texts into one cluster.  There a quarter of D more
-partitions are made, so that linked sets agree in more of them, and each set
-leaves out its most frequent signatures, as many as that allows: in one order by
-frequency the rarest signature that two linked sets share is left out by neither.
+passages would join most texts into one cluster.  There each set leaves out its
+most frequent signatures instead of its smallest, as many as the additional
+partitions allow: in one order by frequency the rarest signature that two linked sets share is left out by neither.
 
 *Join.*  In each cluster the sets, ordered by one global order of shingles, are
 stored in a trie.  A query set walks the trie from the root; the overlap with a
@@ -52,9 +54,9 @@ from .words import distinct, gram_digests, mix, word_digests
 
 #: Ratio of the sizes in a band.
 BAND = 1.5
-#: Empty partitions that the signatures allow for.
+#: Partitions that are spared, at least.
 SPARE = 1
-#: Percent under which more partitions are spared, one for so many that may differ, and frequent signatures left out.
+#: Percent under which frequent signatures are left out instead of small ones, and one partition is spared for so many that may differ.
 STRICT, LOOSE = 90, 4
 #: Shingles in one task's trie, about, and in a cluster that is joined in one trie.
 BLOCK, SMALL = 1_000_000, 200_000
@@ -155,17 +157,20 @@ def _signatures(own: np.ndarray, percent: int) -> tuple[np.ndarray, list[int]]:
             if band > b and 100 * size < percent * low:
                 continue
             differ = (100 - percent) * 2 * high // (100 + percent)
-            spare = max(SPARE, differ // LOOSE) if percent < STRICT else SPARE
+            spare = max(SPARE, differ // LOOSE)
             parts = differ + 1 + spare if differ else 1
             total, many = np.zeros(parts, _U), np.zeros(parts, np.int64)
             at = (place % _U(parts)).astype(np.int64)
             np.add.at(total, at, content)
             np.add.at(many, at, 1)
             full = many > 0
-            keep = full if (~full).sum() <= spare else np.ones(parts, bool)
             number = np.arange(parts, dtype=_U)
-            sigs = mix(total + mix(number + _U(band << 40) + _U(1)))[keep]
-            if percent < STRICT:
+            sigs = mix(total + mix(number + _U(band << 40) + _U(1)))
+            if percent >= STRICT:
+                if differ:  # one order of partitions by size and content, the same in all sets
+                    sigs = sigs[np.argsort(np.minimum(many, 4095).astype(_U) << _U(52) | sigs >> _U(12), kind="stable")[spare:]]
+            else:
+                sigs = sigs[full if (~full).sum() <= spare else np.ones(parts, bool)]
                 sigs = sigs & ~_U(1) | _U(band & 1)
                 if differ and (~full).sum() <= spare:
                     surplus[band & 1] = max(0, len(sigs) - differ - 1)

@@ -295,6 +295,20 @@ def test_sets_of_large_clusters_are_exchanged_by_task_only(spark, monkeypatch):
     assert not any("SortMergeJoin" in plan or "ShuffledHashJoin" in plan for _, plan in plans)
 
 
+def test_long_texts_of_a_common_shingle_meet_in_no_cluster():
+    """Small partitions, as of one shingle that many texts have, bring no sets together; linked sets still meet."""
+    import numpy as np
+
+    of = np.random.default_rng(2)
+    common = of.integers(0, 1 << 63, (1500, 2)).astype(np.uint64)
+    sets = [np.concatenate((common[of.random(1500) < 0.8], of.integers(0, 1 << 63, (3000, 2)).astype(np.uint64))) for _ in range(40)]
+    told = [set(ngram_join.signatures(s, 90).tolist()) for s in sets]
+    assert sum(bool(told[i] & told[j]) for i in range(40) for j in range(i)) == 0
+    for s, own in zip(sets, told):
+        near = np.concatenate((s[100:], of.integers(0, 1 << 63, (100, 2)).astype(np.uint64)))
+        assert own & set(ngram_join.signatures(near, 90).tolist())
+
+
 def test_ngrams_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in entry.op6_ngram_join(spark, SMALL).collect()} == brute_links(texts)
