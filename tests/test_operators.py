@@ -582,3 +582,18 @@ def test_precheck_sends_texts_to_its_tasks(spark):
     found = search.precheck(corpus.select("key", "text", F.lit("").alias("name"), "v"), corpus)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "regexp_replace" not in plan and "split(" not in plan
+
+
+def test_dense_tables_are_compared_in_blocks(spark, monkeypatch):
+    """Where most texts share words no words are joined; blocks of any size give the pairs of the scan, for keys of any kind."""
+    texts = _random_texts(spark, 4, 200, 60).withColumn("key", F.format_string("k%d", "key"))
+    told = lambda df: sorted(map(tuple, df.collect()))
+    every, kept, write = told(search.dice_threshold(texts, texts, 0.5)), [], setjoin.written
+    first = {r.key: r.set_key for r in setjoin.classes(texts).collect()}
+    monkeypatch.setattr(setjoin, "written", lambda df, tag: kept.append(tag) or write(df, tag))
+    monkeypatch.setattr(setjoin, "PAIRS", 0)
+    assert told(setjoin.search(texts, texts, 0.5)) == every and "prefixes" not in kept
+    monkeypatch.setattr(setjoin, "MEETINGS", 1)
+    found = told(setjoin.self_pairs(texts, 0.5).select("a_key", "b_key", "lex"))
+    assert found == [(a, b, lex) for a, b, lex in every if a < b and first[a] == a and first[b] == b]
+    assert len(found) > 100 and "prefixes" not in kept and kept.count("wave") > 5
