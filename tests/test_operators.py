@@ -597,3 +597,36 @@ def test_dense_tables_are_compared_in_blocks(spark, monkeypatch):
     found = told(setjoin.self_pairs(texts, 0.5).select("a_key", "b_key", "lex"))
     assert found == [(a, b, lex) for a, b, lex in every if a < b and first[a] == a and first[b] == b]
     assert len(found) > 100 and "prefixes" not in kept and kept.count("wave") > 5
+
+
+def test_precheck_scores_only_what_may_stand_first(spark):
+    """Words are told of few pairs of two vectors, and the rows are those of all pairs, with names and missing vectors."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    of = random.Random(7)
+    vector = lambda: [of.gauss(0, 1) for _ in range(4)] if of.random() < 0.5 else None
+    text = lambda: " ".join(f"w{min(int(of.paretovariate(0.5)), 90)}" for _ in range(of.randint(1, 12)))
+    rows = [(i, text(), f"Task {i} · s{i % 3}", vector()) for i in range(300)]
+    asked = [(i, text(), of.choice(["", " ", f"task {i} ·", " S1", "task"]), vector()) for i in range(40)]
+    corpus = spark.createDataFrame(rows, "key long, text string, label string, v array<double>")
+    found = search.precheck(spark.createDataFrame(asked, "key long, text string, name string, v array<double>"), corpus, 5)
+    wanted = []
+    for q, t, name, v in asked:
+        every = []
+        for c, u, label, w in rows:
+            if name.strip() and name.strip().lower() in label.lower():
+                continue
+            a, b = set(t.split()), set(u.split())
+            lex = round(2 * len(a & b) / (len(a) + len(b)), 12)
+            sem = round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 12) if v and w else None
+            flagged = sem is not None and (sem >= 0.7 or sem >= 0.6 and lex >= 0.6)
+            every.append((not flagged, -(-1 if sem is None else sem), -lex, c))
+        wanted += [(q, i + 1, c) for i, (_, _, _, c) in enumerate(sorted(every)[:5])]
+    assert sorted((r.q_key, r["rank"], r.c_key) for r in found.collect()) == wanted
+    vectors = pa.array([[1.0, x / 100] for x in range(400)])
+    block = mapside.Block(pa.table({"q_key": [1], "name": [""], "words": [["a"]], "v": pa.array([[0.0, -1.0]])}))
+    row, query, sem = search._meant(block, vectors, pa.array([""] * 400), np.array([np.inf]), 5)
+    assert row.tolist() == [0, 1, 2, 3, 4] and not query.any() and sem[0] == 0
